@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .packing import op10_packing
+from .quality import op4_quality
 from .secrets import op9_secrets
+from .urls import op7_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_quality": op4_quality,
+        "op7_url_filter": op7_url_filter,
         "op9_secrets": op9_secrets,
+        "op10_packing": op10_packing,
     }
 
 
