@@ -9,12 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from .packing import op10_packing
 from .quality import op4_quality
 from .secrets import op9_secrets
+from .simhash import op5_simhash
 from .urls import op7_url_filter
+from .warc import op3_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_warc": op3_warc,
         "op4_quality": op4_quality,
+        "op5_simhash": op5_simhash,
         "op7_url_filter": op7_url_filter,
         "op9_secrets": op9_secrets,
         "op10_packing": op10_packing,
