@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .ann import op2_ann
+from .bpe import op1_bpe
 from .packing import op10_packing
 from .quality import op4_quality
 from .secrets import op9_secrets
@@ -17,6 +18,7 @@ from .warc import op3_warc
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_bpe": op1_bpe,
         "op2_ann": op2_ann,
         "op3_warc": op3_warc,
         "op4_quality": op4_quality,
