@@ -98,15 +98,33 @@ def binomial_upper(k: int, n: int, risk: float) -> float:
 
 # --- blocks of documents and packed exchanges ------------------------------------------------------------------------
 
-BLOCK_SCHEMA = "block long, ids binary, sizes binary, text binary"
+NULL_ID = np.iinfo(np.int64).max  # stands for a null doc_id within blocks; larger than any
 
 
-def blocks(docs: DataFrame, block_bytes: int = 12 << 20) -> DataFrame:
+def batch_slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose values of a string column have about so many bytes, so that working memory follows the slice, not the batch."""
+    import pyarrow.compute as pc
+
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + most, "right")))
+        yield batch.slice(a, b - a)
+        a = b
+
+
+def blocks(docs: DataFrame, block_bytes: int = 8 << 20) -> DataFrame:
     """Documents gathered in blocks of about block_bytes, one row a block, within the partitions as read (no shuffle).
 
-    ids: int64 doc ids; sizes: int64 words of each document; text: all words, each followed by one space.
-    Null text has no words. A document longer than block_bytes is a block of its own.
+    block: a number of its own; ids: int64 doc ids; sizes, lens: int64 words and bytes of each document; text: the texts, a space after each; rest: the other columns of docs, a struct each.
+    Null text is empty and null doc_id is NULL_ID. A document longer than block_bytes ends its block.
     """
+    from pyspark.sql import types as T
+
+    rest = [f for f in docs.schema.fields if f.name not in ("doc_id", "text")]
+    row = T.StructType([T.StructField("_null", T.BooleanType()), *rest])
+    schema = T.StructType([T.StructField("block", T.LongType()), *[T.StructField(c, T.BinaryType()) for c in ("ids", "sizes", "lens", "text")], T.StructField("rest", T.ArrayType(row))])
+    names = [f.name for f in rest]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -115,44 +133,63 @@ def blocks(docs: DataFrame, block_bytes: int = 12 << 20) -> DataFrame:
         ids: list[int] = []
         sizes: list[int] = []
         parts: list[bytes] = []
+        kept: list[pa.RecordBatch] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
-            text = b" ".join(parts)
+            others = pa.Table.from_batches(kept).combine_chunks()
+            structs = pa.StructArray.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in others.columns], names=others.column_names)
             return pa.RecordBatch.from_arrays(
-                [pa.array([base + k], pa.int64()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([np.array(sizes, np.int64).tobytes()], pa.binary()), pa.array([text + b" " * bool(text)], pa.binary())],
-                names=["block", "ids", "sizes", "text"],
+                [
+                    pa.array([base + k], pa.int64()),
+                    *[pa.array([np.array(x, np.int64).tobytes()], pa.binary()) for x in (ids, sizes, [len(p) for p in parts])],
+                    pa.array([b"".join(p + b" " for p in parts)], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), structs),
+                ],
+                names=["block", "ids", "sizes", "lens", "text", "rest"],
             )
 
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
-                words = (text.as_py() or b"").split()
-                ids.append(i)
-                sizes.append(len(words))
-                if words:
-                    parts.append(b" ".join(words))
-                    held += len(parts[-1])
-                if held >= block_bytes or len(ids) >= block_bytes >> 6:
+            at = batch.schema.names.index("doc_id")
+            text_at = batch.schema.names.index("text")
+            for part in batch_slices(batch, text_at, block_bytes):
+                own = part.column(at).to_pylist()
+                texts = raw(part.column(text_at))
+                ids += [NULL_ID if i is None else i for i in own]
+                sizes += [len(x.split()) for x in texts]
+                parts += texts
+                held += sum(map(len, texts))
+                kept.append(pa.RecordBatch.from_arrays([part.column(text_at).is_null(), *[part.column(part.schema.names.index(c)) for c in names]], names=["_null", *names]))
+                if held >= block_bytes or len(ids) >= block_bytes >> 5:
                     yield flush()
-                    ids, sizes, parts, held, k = [], [], [], 0, k + 1
+                    ids, sizes, parts, kept, held, k = [], [], [], [], 0, k + 1
         if ids:
             yield flush()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(gather, BLOCK_SCHEMA)
+    return docs.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(gather, schema)
+
 
+def ints(cell: bytes) -> np.ndarray:
+    return np.frombuffer(cell, np.int64)
 
-def words_of(text: bytes) -> list[bytes]:
-    """Words of a block, in order."""
-    return text.split()
 
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit values whose every bit depends on all."""
+    x = x ^ (x >> np.uint64(33))
+    x = x * np.uint64(0xFF51AFD7ED558CCD)
+    x = x ^ (x >> np.uint64(33))
+    x = x * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
 
-def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    """Positions starts[i], starts[i] + 1, ... lens[i] of them, one after another."""
-    ends = np.cumsum(lens)
-    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - lens), lens)
 
+def hashes(words: list[bytes]) -> np.ndarray:
+    """XXH64 of each word."""
+    import xxhash
 
-PACK_SCHEMA = "part int, block long, n long, keys binary, vals binary"
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+PACKED = "part int, block long, n long, keys binary, vals array<binary>"
 
 
 def squeeze(x: np.ndarray) -> bytes:
@@ -166,48 +203,58 @@ def squeeze(x: np.ndarray) -> bytes:
 def unsqueeze(b: bytes, kind: type) -> np.ndarray:
     import zlib
 
-    width = np.dtype(kind).itemsize
-    return np.frombuffer(np.ascontiguousarray(np.frombuffer(zlib.decompress(b), np.uint8).reshape(width, -1).T).tobytes(), kind)
+    flat = np.frombuffer(zlib.decompress(b), np.uint8)
+    return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
 
 
-def pack_keys(block: int, keys: np.ndarray, vals: np.ndarray | None, parts: int) -> pa.RecordBatch:
-    """Sorted distinct 64-bit keys of a block, with a value each, as one row for each part of the key space that has any."""
-    edges = [0, *np.searchsorted(keys, [np.uint64((i << 64) // parts) for i in range(1, parts)]).tolist(), len(keys)]
-    rows = [(p, a, b) for p, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+def pack_keys(block: int, keys: np.ndarray, vals: list[np.ndarray], parts: int) -> pa.RecordBatch:
+    """Sorted 64-bit keys of a block, with values each, as one row for each part of the key space that has any."""
+    edges = [0, *np.searchsorted(keys, np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)).tolist(), len(keys)]
+    rows = [(p, a, b) for p, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
     return pa.RecordBatch.from_arrays(
         [
             pa.array([p for p, _, _ in rows], pa.int32()),
             pa.array([block] * len(rows), pa.int64()),
             pa.array([b - a for _, a, b in rows], pa.int64()),
             pa.array([squeeze(np.diff(keys[a:b], prepend=np.uint64(0))) for _, a, b in rows], pa.binary()),
-            pa.array([b"" if vals is None else squeeze(vals[a:b]) for _, a, b in rows], pa.binary()),
+            pa.array([[squeeze(v[a:b]) for v in vals] for _, a, b in rows], pa.list_(pa.binary())),
         ],
         names=["part", "block", "n", "keys", "vals"],
     )
 
 
-def exchange(packed: DataFrame, answer: Callable[[np.ndarray, np.ndarray | None], np.ndarray], vals: type | None, reply: type, extra: Callable | None = None) -> DataFrame:
+def exchange(packed: DataFrame, answer: Callable[..., np.ndarray], kinds: list[type], reply: type) -> DataFrame:
     """Each part's keys of all blocks meet in one task; every key of every block gets a reply, which goes back packed.
 
-    packed: rows of pack_keys(). answer(keys, vals): the replies, in the order of keys. The size of a part is bounded by the number of parts, which callers choose by the input's size; a key comes at most once from a block.
-    Result: part, block, reply (replies in the order of the block's sorted keys of that part).
+    packed: rows of pack_keys(). answer(keys, *vals): the replies, in the order of keys. Callers choose the number of parts by the number of blocks, so a part's size does not grow with the input; a key is in a block once (or few times), whatever its frequency.
+    Result: part, block, reply: the replies in the order of the block's keys of that part.
     """
 
     def reduce(t: pa.Table) -> pa.Table:
         n = t.column("n").to_numpy()
         keys = np.concatenate([np.cumsum(unsqueeze(b, np.uint64), dtype=np.uint64) for b in t.column("keys").to_pylist()])
-        values = None if vals is None else np.concatenate([unsqueeze(b, vals) for b in t.column("vals").to_pylist()])
-        got = answer(keys, values).astype(reply)
+        vals = t.column("vals").to_pylist()
+        got = answer(keys, *[np.concatenate([unsqueeze(v[i], kind) for v in vals]) for i, kind in enumerate(kinds)]).astype(reply)
         ends = np.cumsum(n)
-        return pa.table({"part": t.column("part"), "block": t.column("block"), "reply": pa.array([squeeze(got[e - k : e]) for e, k in zip(ends, n)], pa.binary())})
+        return pa.table({"part": t.column("part"), "block": t.column("block"), "reply": pa.array([squeeze(got[e - k : e]) for e, k in zip(ends, n, strict=True)], pa.binary())})
 
     return packed.groupBy("part").applyInArrow(reduce, "part int, block long, reply binary")
 
 
-def replies(answers: DataFrame) -> DataFrame:
-    """All replies to a block in one row, ordered by part."""
-    return answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("part", "reply"))).alias("replies"))
+def replies(answers: DataFrame, name: str) -> DataFrame:
+    """All replies to a block in one row, by part."""
+    return answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("part", "reply"))).alias(name))
 
 
 def read_replies(got: list | None, kind: type) -> np.ndarray:
     return np.concatenate([unsqueeze(x["reply"], kind) for x in got]) if got else np.zeros(0, kind)
+
+
+def runs(*keys: np.ndarray) -> np.ndarray:
+    """Starts of the runs of equal keys (all arrays together) in sorted arrays."""
+    new = np.ones(len(keys[0]), bool)
+    if len(new):
+        new[1:] = False
+        for k in keys:
+            new[1:] |= k[1:] != k[:-1]
+    return np.nonzero(new)[0]

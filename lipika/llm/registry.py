@@ -12,6 +12,7 @@ from .packing import op10_packing
 from .quality import op4_quality
 from .secrets import op9_secrets
 from .simhash import op5_simhash
+from .substrings import op6_substrings
 from .urls import op7_url_filter
 from .warc import op3_warc
 
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_warc": op3_warc,
         "op4_quality": op4_quality,
         "op5_simhash": op5_simhash,
+        "op6_substrings": op6_substrings,
         "op7_url_filter": op7_url_filter,
         "op9_secrets": op9_secrets,
         "op10_packing": op10_packing,
