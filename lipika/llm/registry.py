@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .ann import op2_ann
 from .bpe import op1_bpe
+from .lm import op8_lm
 from .packing import op10_packing
 from .quality import op4_quality
 from .secrets import op9_secrets
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_simhash": op5_simhash,
         "op6_substrings": op6_substrings,
         "op7_url_filter": op7_url_filter,
+        "op8_lm": op8_lm,
         "op9_secrets": op9_secrets,
         "op10_packing": op10_packing,
     }
