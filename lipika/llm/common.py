@@ -113,17 +113,23 @@ def batch_slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Ite
         a = b
 
 
-def blocks(docs: DataFrame, block_bytes: int = 8 << 20) -> DataFrame:
+def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The batch's rows, one in memory at a time."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
+def blocks(docs: DataFrame, block_bytes: int, more: Callable[[np.ndarray, np.ndarray, bytes], list[bytes]] | None = None, names_of_more: tuple[str, ...] = ()) -> DataFrame:
     """Documents gathered in blocks of about block_bytes, one row a block, within the partitions as read (no shuffle).
 
-    block: a number of its own; ids: int64 doc ids; sizes, lens: int64 words and bytes of each document; text: the texts, a space after each; rest: the other columns of docs, a struct each.
+    block: a number of its own; ids: int64 doc ids; sizes, lens: int64 words and bytes of each document; text: the texts, a space after each; rest: the other columns of docs, a struct each; then the binary columns that more(ids, sizes, text) gives.
     Null text is empty and null doc_id is NULL_ID. A document longer than block_bytes ends its block.
     """
     from pyspark.sql import types as T
 
     rest = [f for f in docs.schema.fields if f.name not in ("doc_id", "text")]
     row = T.StructType([T.StructField("_null", T.BooleanType()), *rest])
-    schema = T.StructType([T.StructField("block", T.LongType()), *[T.StructField(c, T.BinaryType()) for c in ("ids", "sizes", "lens", "text")], T.StructField("rest", T.ArrayType(row))])
+    schema = T.StructType([T.StructField("block", T.LongType()), *[T.StructField(c, T.BinaryType()) for c in ("ids", "sizes", "lens", "text")], T.StructField("rest", T.ArrayType(row)), *[T.StructField(c, T.BinaryType()) for c in names_of_more]])
     names = [f.name for f in rest]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,15 +144,18 @@ def blocks(docs: DataFrame, block_bytes: int = 8 << 20) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             others = pa.Table.from_batches(kept).combine_chunks()
+            text = b"".join(p + b" " for p in parts)
+            found = more(np.array(ids, np.int64), np.array(sizes, np.int64), text) if more else []
             structs = pa.StructArray.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in others.columns], names=others.column_names)
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([base + k], pa.int64()),
                     *[pa.array([np.array(x, np.int64).tobytes()], pa.binary()) for x in (ids, sizes, [len(p) for p in parts])],
-                    pa.array([b"".join(p + b" " for p in parts)], pa.binary()),
+                    pa.array([text], pa.binary()),
                     pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), structs),
+                    *[pa.array([x], pa.binary()) for x in found],
                 ],
-                names=["block", "ids", "sizes", "lens", "text", "rest"],
+                names=["block", "ids", "sizes", "lens", "text", "rest", *names_of_more],
             )
 
         for batch in batches:
@@ -193,17 +202,17 @@ PACKED = "part int, block long, n long, keys binary, vals array<binary>"
 
 
 def squeeze(x: np.ndarray) -> bytes:
-    """Bytes of an integer array, its byte planes apart and deflated: sorted keys and small numbers get short."""
-    import zlib
+    """Bytes of an integer array, its byte planes apart and compressed: sorted keys and small numbers get short."""
+    import zstandard
 
     x = np.ascontiguousarray(x)
-    return zlib.compress(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes(), 1)
+    return zstandard.ZstdCompressor(1).compress(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes())
 
 
 def unsqueeze(b: bytes, kind: type) -> np.ndarray:
-    import zlib
+    import zstandard
 
-    flat = np.frombuffer(zlib.decompress(b), np.uint8)
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
     return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import NULL_ID, PACKED, blocks, exchange, hashes, ints, mix, pack_keys, read_replies, replies, runs, stash, table
+from .common import NULL_ID, PACKED, blocks, exchange, hashes, ints, mix, pack_keys, read_replies, replies, rows_of, runs, squeeze, stash, table, unsqueeze
 
 TOKEN = re.compile(rb"[^ \t\n\v\f\r]+[ \t\n\v\f\r]*")
 
@@ -24,30 +24,34 @@ TOKEN = re.compile(rb"[^ \t\n\v\f\r]+[ \t\n\v\f\r]*")
 class Block:
     """Words of a block of documents: hash, document, first word of the document and the one after its last."""
 
-    def __init__(self, ids: bytes, sizes: bytes, text: bytes):
-        self.ids, self.sizes = ints(ids), ints(sizes)
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, text: bytes):
+        self.ids, self.sizes = ids, sizes
         self.words = text.split()
         self.hash = hashes(self.words)
-        ends = np.cumsum(self.sizes)
-        self.doc = np.repeat(np.arange(len(self.ids)), self.sizes)
-        self.first, self.end = np.repeat(ends - self.sizes, self.sizes), np.repeat(ends, self.sizes)
+        ends = np.cumsum(self.sizes, dtype=np.int32)
+        self.doc = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.sizes)
+        self.first, self.end = np.repeat(ends - self.sizes.astype(np.int32), self.sizes), np.repeat(ends, self.sizes)
 
+    def starts(self, window: int) -> np.ndarray:
+        return np.nonzero(np.arange(window, len(self.hash) + window, dtype=np.int32) <= self.end)[0]
 
-def representatives(b: Block, window: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of all windows, and the name that represents each; names hold their level in the top bits."""
+
+def representatives(b: Block, window: int, rounds: int) -> np.ndarray:
+    """The name that represents each window of b.starts(); names hold their level in the top bits."""
     n = len(b.hash)
-    starts = np.nonzero(np.arange(n) + window <= b.end)[0]
+    starts = b.starts(window)
     best = np.zeros(n, np.uint64)
 
     def represent(level: int, name: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
         """Offers symbols with contexts low .. high to the windows that hold these."""
         fits = (high - low <= window) & (low >= 0)
         key, low, high = (np.uint64(level) << np.uint64(61)) | (name[fits] >> np.uint64(3)), low[fits], high[fits]
-        inside = b.first[np.minimum(low, n - 1)]
-        for s in range(window):
-            at = high - window + s
-            ok = (at >= inside) & (at <= low)
-            np.maximum.at(best, at[ok], key[ok])
+        # the windows from the first that holds the context's end to the one that starts with the context
+        first = np.maximum(high - window, b.first[np.minimum(low, n - 1)])
+        many = low - first + 1
+        for s in range(int(many.max(initial=0))):
+            ok = many > s
+            np.maximum.at(best, first[ok] + s, key[ok])
 
     # maximal runs of a token; their context holds the tokens on both sides
     same = np.zeros(n + 1, bool)
@@ -58,7 +62,9 @@ def representatives(b: Block, window: int, rounds: int) -> tuple[np.ndarray, np.
     inner = (a > b.first[a]) & (z < b.end[np.maximum(z - 1, 0)]) if len(a) else np.zeros(0, bool)
     represent(1, mix(b.hash[a] * np.uint64(0x9E3779B97F4A7C15) + (z - a).astype(np.uint64))[inner], a[inner] - 1, z[inner] + 1)
 
-    name, start, low, high = b.hash, np.arange(n), np.arange(n), np.arange(1, n + 1)
+    start = np.arange(n, dtype=np.int32)
+    name, low, high = b.hash, start, start + np.int32(1)
+    never_low, never_high = np.int32(-n - window), np.int32(2 * n + window)
     for level in range(1, rounds + 1):
         if len(name) < 2:
             break
@@ -67,13 +73,11 @@ def representatives(b: Block, window: int, rounds: int) -> tuple[np.ndarray, np.
         pair = np.nonzero(joint & left[:-1] & ~left[1:])[0]
         # a symbol stays single because of the neighbour that might have been its partner; at a document's edge that is nothing a window can hold
         new_low, new_high = low.copy(), high.copy()
-        edge_low, edge_high = np.full(len(name), -n - window), np.full(len(name), 2 * n + window)
-        beside_low, beside_high = edge_low.copy(), edge_high.copy()
+        new_high[left], new_low[~left] = never_high, never_low
         lefts = np.nonzero(left[:-1] & joint)[0]
-        beside_low[lefts], beside_high[lefts] = low[lefts + 1], high[lefts + 1]
+        new_low[lefts], new_high[lefts] = np.minimum(low[lefts], low[lefts + 1]), np.maximum(high[lefts], high[lefts + 1])
         rights = np.nonzero(~left[1:] & joint)[0] + 1
-        beside_low[rights], beside_high[rights] = low[rights - 1], high[rights - 1]
-        new_low, new_high = np.minimum(new_low, beside_low), np.maximum(new_high, beside_high)
+        new_low[rights], new_high[rights] = np.minimum(low[rights], low[rights - 1]), np.maximum(high[rights], high[rights - 1])
         new_name = name.copy()
         new_name[pair] = mix(name[pair] * np.uint64(0xD6E8FEB86659FD93) + mix(name[pair + 1] + np.uint64(level)))
         new_low[pair], new_high[pair] = np.minimum(low[pair], low[pair + 1]), np.maximum(high[pair], high[pair + 1])
@@ -85,7 +89,7 @@ def representatives(b: Block, window: int, rounds: int) -> tuple[np.ndarray, np.
     bare = starts[best[starts] == 0]
     for s in range(window):
         best[bare] = np.maximum(best[bare], b.hash[bare + s] >> np.uint64(3))
-    return starts, best[starts]
+    return best[starts]
 
 
 def window_hash(h: np.ndarray, starts: np.ndarray, window: int, factor: int) -> np.ndarray:
@@ -95,15 +99,32 @@ def window_hash(h: np.ndarray, starts: np.ndarray, window: int, factor: int) ->
     return mix(out)
 
 
-def _names(b: Block, window: int, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Windows, the place of each one's name among the block's sorted names, those names (mixed, to spread evenly), and whether two documents of the block hold them."""
-    starts, best = representatives(b, window, rounds)
-    names, place = np.unique(mix(best), return_inverse=True)
-    doc = b.doc[starts]
-    low, high = np.full(len(names), len(b.ids)), np.full(len(names), -1)
-    np.minimum.at(low, place, doc)
-    np.maximum.at(high, place, doc)
-    return starts, place, names, low != high
+INDEX = ("names", "twice", "places", "lengths")
+
+
+def _indexed(window: int, rounds: int):
+    """For a block: its sorted names (mixed, to spread evenly), which of them two of its documents hold, and the windows' names as runs: place among the names, and length."""
+
+    def more(ids: np.ndarray, sizes: np.ndarray, text: bytes) -> list[bytes]:
+        b = Block(ids, sizes, text)
+        doc = b.doc[b.starts(window)]
+        best = representatives(b, window, rounds)
+        first = runs(best, doc)
+        names, place = np.unique(mix(best[first]), return_inverse=True)
+        low, high = np.full(len(names), len(ids), np.int32), np.full(len(names), -1, np.int32)
+        np.minimum.at(low, place, doc[first])
+        np.maximum.at(high, place, doc[first])
+        return [squeeze(np.diff(names, prepend=np.uint64(0))), squeeze((low != high).astype(np.uint8)), squeeze(place.astype(np.uint32)), squeeze(np.diff(np.append(first, len(best))).astype(np.uint32))]
+
+    return more
+
+
+def _open(r: dict, window: int) -> tuple[Block, np.ndarray]:
+    """A block and the starts of its windows with a shared name."""
+    b = Block(ints(r["ids"]), ints(r["sizes"]), r["text"])
+    yes = read_replies(r["shared"], np.uint8)
+    starts = b.starts(window)
+    return b, starts[np.repeat(yes[unsqueeze(r["places"], np.uint32)] > 0, unsqueeze(r["lengths"], np.uint32))] if len(starts) else starts
 
 
 def _compared(b: Block, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -140,7 +161,7 @@ def _earlier(keys: np.ndarray, check: np.ndarray, doc: np.ndarray) -> np.ndarray
     return out
 
 
-def dedup_substrings(docs: DataFrame, window: int = 13, rounds: int = 4, emit: str = "digest", block_bytes: int = 8 << 20) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = 13, rounds: int = 4, emit: str = "digest", block_bytes: int = 4 << 20) -> DataFrame:
     """Removes each word covered by a window of so many words that also starts in a document with a smaller doc_id.
 
     emit "digest": doc_id, n_words, n_removed, kept_sha256 (kept words joined by a space). emit "text": all columns of docs, n_words and n_removed, with text without the removed words; the text of a document that loses none stays byte for byte.
@@ -148,45 +169,39 @@ def dedup_substrings(docs: DataFrame, window: int = 13, rounds: int = 4, emit: s
     Texts are read thrice from blocks in the shared folder; what is shuffled are names and window hashes, once per block, and a flag for each back.
     """
     rest = [f.name for f in docs.schema.fields if f.name not in ("doc_id", "text")] if emit == "text" else []
-    held = stash(blocks(docs.select("doc_id", "text", *rest), block_bytes), "blocks")
-    parts = 8 + held.count() // 2
+    held = stash(blocks(docs.select("doc_id", "text", *rest), block_bytes, _indexed(window, rounds), INDEX), "blocks")
+    parts, columns = 8 + held.count() // 2, docs.columns
 
     def name_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                _, _, names, twice = _names(Block(r["ids"], r["sizes"], r["text"]), window, rounds)
-                yield pack_keys(r["block"], names, [twice.astype(np.uint8)], parts)
+            for r in rows_of(batch):
+                yield pack_keys(r["block"], np.cumsum(unsqueeze(r["names"], np.uint64), dtype=np.uint64), [unsqueeze(r["twice"], np.uint8)], parts)
 
-    cols, columns = ["block", "ids", "sizes", "text"], docs.columns
-    shared = stash(replies(exchange(held.select(*cols).mapInArrow(name_rows, PACKED), _shared, [np.uint8], np.uint8), "shared"), "shared")
+    shared = stash(replies(exchange(held.select("block", "names", "twice").mapInArrow(name_rows, PACKED), _shared, [np.uint8], np.uint8), "shared"), "shared")
 
     def window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                b = Block(r["ids"], r["sizes"], r["text"])
-                starts, place, _, _ = _names(b, window, rounds)
-                starts = starts[read_replies(r["shared"], np.uint8)[place] > 0] if len(starts) else starts
+            for r in rows_of(batch):
+                b, starts = _open(r, window)
                 key, check, doc, _ = _compared(b, starts, window)
                 yield pack_keys(r["block"], key, [check, doc], parts)
 
-    found = held.select(*cols).join(shared, "block", "left").select(*cols, "shared")
-    earlier = stash(replies(exchange(found.mapInArrow(window_rows, PACKED), _earlier, [np.uint32, np.int64], np.uint8), "earlier"), "earlier")
+    opened = held.select("block", "ids", "sizes", "text", "places", "lengths", *(["lens", "rest"] if emit == "text" else [])).join(shared, "block", "left")
+    earlier = stash(replies(exchange(opened.drop("lens", "rest").mapInArrow(window_rows, PACKED), _earlier, [np.uint32, np.int64], np.uint8), "earlier"), "earlier")
 
     def removed(r: dict) -> tuple[Block, np.ndarray]:
-        b = Block(r["ids"], r["sizes"], r["text"])
+        b, starts = _open(r, window)
         gone = np.zeros(len(b.words) + 1, np.int64)
-        starts, place, _, _ = _names(b, window, rounds)
         if len(starts):
-            starts = starts[read_replies(r["shared"], np.uint8)[place] > 0]
             _, _, doc, place = _compared(b, starts, window)
-            covered = starts[(read_replies(r["earlier"], np.uint8)[place] > 0) | (doc[place] < b.ids[b.doc[starts]])] if len(starts) else starts
+            covered = starts[(read_replies(r["earlier"], np.uint8)[place] > 0) | (doc[place] < b.ids[b.doc[starts]])]
             np.add.at(gone, covered, 1)
             np.add.at(gone, covered + window, -1)
         return b, np.cumsum(gone)[:-1] > 0
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in rows_of(batch):
                 b, gone = removed(r)
                 ends, shas, lost = np.cumsum(b.sizes).tolist(), [], []
                 for e, n in zip(ends, b.sizes.tolist(), strict=True):
@@ -200,7 +215,7 @@ def dedup_substrings(docs: DataFrame, window: int = 13, rounds: int = 4, emit: s
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             others = batch.column(batch.schema.names.index("rest"))
-            for k, r in enumerate(batch.drop_columns("rest").to_pylist()):
+            for k, r in enumerate(rows_of(batch.drop_columns("rest"))):
                 b, gone = removed(r)
                 at, text_at, out, lost = 0, 0, [], []
                 other = others[k].values
@@ -215,8 +230,7 @@ def dedup_substrings(docs: DataFrame, window: int = 13, rounds: int = 4, emit: s
                 by_name = {"doc_id": ids, "text": pa.array(out, pa.string()), **{c: other.field(c) for c in rest}}
                 yield pa.RecordBatch.from_arrays([*[by_name[c] for c in columns], pa.array(b.sizes), pa.array(lost, pa.int64())], names=[*columns, "n_words", "n_removed"])
 
-    wanted = [*cols, *(["lens", "rest"] if emit == "text" else [])]
-    last = held.select(*wanted).join(shared, "block", "left").join(earlier, "block", "left")
+    last = opened.join(earlier, "block", "left")
     if emit == "digest":
         return last.mapInArrow(digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
     fields = [T.StructField("doc_id", T.LongType()) if f.name == "doc_id" else f for f in docs.schema.fields]
