@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PACKED, exchange, hashes, ints, mix, pack_keys, read_replies, replies, runs, squeeze, stash, table, unsqueeze
+from .common import PACKED, exchange, hashes, ints, mix, pack_keys, read_replies, replies, rows_of, runs, squeeze, stash, table, unsqueeze
 
 END = b"\n"  # no word holds a line break
 
@@ -32,7 +32,7 @@ class LmConfig:
     discount: float = 0.75
     folds: int = 7
     held: int = 2
-    block_bytes: int = 8 << 20
+    block_bytes: int = 4 << 20
 
 
 CORPUS = "block long, ids binary, null_ids binary, sizes binary, held binary, seq binary, keys binary, train_tokens long"
@@ -276,7 +276,7 @@ def score_documents(docs: DataFrame, config: LmConfig = LmConfig()) -> DataFrame
 
     def unigram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 b = BlockModel(row, c)
                 yield pack_keys(row["block"], b.words, [np.bincount(b.seq[b.train], minlength=len(b.words)).astype(np.uint32)], parts)
 
@@ -289,7 +289,7 @@ def score_documents(docs: DataFrame, config: LmConfig = LmConfig()) -> DataFrame
     def gram_rows(n: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for row in batch.to_pylist():
+                for row in rows_of(batch):
                     b = _rebuild(row, c, n - 1)
                     level = b.grams()
                     yield pack_keys(row["block"], level.key, [np.bincount(level.of[b.train[level.at]], minlength=len(level.key)).astype(np.uint32)], parts)
@@ -299,7 +299,7 @@ def score_documents(docs: DataFrame, config: LmConfig = LmConfig()) -> DataFrame
     def sum_rows(n: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for row in batch.to_pylist():
+                for row in rows_of(batch):
                     b = _rebuild(row, c, n)
                     level, keys = b.levels[-1], b.contexts()
                     mine = level.owner & (level.count > 0)
@@ -316,7 +316,7 @@ def score_documents(docs: DataFrame, config: LmConfig = LmConfig()) -> DataFrame
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 b = _rebuild(row, c, c.order)
                 known = b.levels[0].count
                 base = np.log10((known + 1) / (n_train + n_types + 1))[b.seq]

@@ -194,3 +194,13 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     out = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, words_per_shingle: int = 5, max_bits: int = 2) -> DataFrame:
+    """docs without all but the document with the smallest doc_id of each group; of rows with that doc_id, one. Rows with a null doc_id stay, as they can't be told apart."""
+    grouped = stash(near_duplicates(docs.select("doc_id", "text"), words_per_shingle, max_bits).select("doc_id", "component_id"), "groups")
+    kept = grouped.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    repeated = not kept.where("n > 1").isEmpty()
+    out = docs.join(stash(kept.select("doc_id"), "kept"), "doc_id", "left_semi")
+    out = out.dropDuplicates(["doc_id"]) if repeated else out
+    return out.unionByName(docs.where("doc_id is null")).select(docs.columns)
