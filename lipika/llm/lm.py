@@ -76,13 +76,21 @@ def corpus_blocks(docs: DataFrame, c: LmConfig) -> DataFrame:
 
 
 class Level:
-    """The n-grams of one length in a block. at: positions where they end; key: their distinct keys, sorted; of: place of each position's n-gram among the keys; count, owner: corpus counts (0: not in the model) and whether the block speaks for the n-gram when each is to be summed once."""
+    """The n-grams of one length in a block. at: positions where they end; key: their distinct keys, sorted; first: a place in at of each; of: place of each position's n-gram among the keys; count, owner: corpus counts (0: not in the model) and whether the block speaks for the n-gram when each is to be summed once."""
 
-    def __init__(self, at: np.ndarray, gram: np.ndarray):
-        self.at = at
-        self.key, self.first, self.of = np.unique(gram, return_index=True, return_inverse=True)
+    def __init__(self, at: np.ndarray, key: np.ndarray, first: np.ndarray, of: np.ndarray):
+        self.at, self.key, self.first, self.of = at, key, first, of
         self.count = self.owner = self.sum = None
 
+    @classmethod
+    def found(cls, at: np.ndarray, gram: np.ndarray) -> Level:
+        order = np.argsort(gram)
+        ordered = gram[order]
+        start = runs(ordered)
+        of = np.empty(len(gram), np.int64)
+        of[order] = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(gram))))
+        return cls(at, ordered[start], order[start], of)
+
     def answered(self, reply: np.ndarray) -> None:
         self.count, self.owner = reply >> 1, (reply & 1).astype(bool)
 
@@ -109,7 +117,10 @@ class BlockModel:
         self.gram, self.kept = self.words[self.seq], np.ones(len(self.seq), bool)
 
     def unigrams(self, reply: np.ndarray) -> None:
-        level = Level(np.arange(len(self.seq)), self.gram)
+        at = np.arange(len(self.seq))
+        first = np.empty(len(self.words), np.int64)
+        first[self.seq] = at
+        level = Level(at, self.words, first, self.seq)
         level.answered(reply)
         self.levels.append(level)
         self.kept = level.count[level.of] >= self.c.min_word
@@ -119,7 +130,7 @@ class BlockModel:
         ok = np.zeros(len(self.seq), bool)
         ok[1:] = self.kept[1:] & self.kept[:-1] & ~self.begins[1:]
         at = np.nonzero(ok)[0]
-        return Level(at, mix(mix(self.gram[at - 1] + np.uint64(len(self.levels))) * np.uint64(0x9E3779B97F4A7C15) + self.words[self.seq[at]]))
+        return Level.found(at, mix(mix(self.gram[at - 1] + np.uint64(len(self.levels))) * np.uint64(0x9E3779B97F4A7C15) + self.words[self.seq[at]]))
 
     def next(self, reply: np.ndarray) -> Level:
         """The next level with its counts."""
@@ -181,83 +192,68 @@ def _summed(keys: np.ndarray, parts: np.ndarray) -> np.ndarray:
 class Automaton:
     """The model within a block. States are n-grams in the model that can be a context; state 0 is the empty one.
 
-    Arc (state, token): weight and next state. A state without an arc for a token fails to the state of its n-gram less the first word, at the weight of its backoff; state 0 has a weight for every token.
+    A state has arcs, at a weight each, for the tokens that follow it in the model, and fails to the state of its n-gram less the first word, at the weight of its backoff; state 0 has an arc for every token. weight, fail: by state. level: the number of a state's words. arcs[n]: by position, the weight of the arc of n words that ends there, or nan. after: by position, the state when its token is read.
     """
 
     def __init__(self, b: BlockModel, n_train: int, n_types: int):
-        c = b.c
-        count = b.levels[0].count
+        c, count, size = b.c, b.levels[0].count, len(b.seq)
         # absolute discounting of words; what is taken off goes to the one unknown word
         total = max(1, n_train)
         known = np.where(count > 0, (count - c.discount) / total, max(n_types * c.discount, 1.0 if not n_train else 0.0) / total)
-        self.width = len(b.words)
-        with np.errstate(divide="ignore"):
-            self.root = np.log10(known).tolist()
-        p, state = known[b.seq], np.zeros(len(b.seq), np.int64)  # of the latest level, by position
-        self.arcs: dict[int, tuple[float, int]] = {}
-        self.fail, self.weight = [0], [0.0]
-        self.to = [0] * self.width  # state after a token from state 0
-        back: np.ndarray | None = None
-        for n in range(1, len(b.levels) + 1):
-            level = b.levels[n - 1]
-            kept = (level.count >= c.min_word) if n == 1 else level.count > 0
+        p = known[b.seq]  # probability after the longest context of the level below
+        self.begins = b.begins
+        self.after, self.arcs = np.zeros(size, np.int32), {1: np.log10(p)}
+        fail, weight, level_of = [np.zeros(1, np.int32)], [np.zeros(1)], [np.zeros(1, np.int8)]
+        states = 1
+        back = context_count = None  # of the level below, by position: backoff (not in logs), count
+        for n, level in enumerate(b.levels, 1):
+            kept = (level.count >= c.min_word if n == 1 else level.count > 0)[level.of]
+            own = level.at[kept]
+            counts = np.zeros(size)
+            counts[own] = level.count[level.of][kept]
             if n > 1:
-                own = level.at[kept[level.of]]
-                c_gram, c_context = level.count[level.of][kept[level.of]], before_count[own - 1]
-                p_new = p.copy()
-                p_new[own] = (c_gram - c.discount) / c_context + back[own - 1] * p[own]
-            # states of this level: n-grams in the model that do not end a document
-            if n < c.order and n < len(b.levels):
-                after_keys, after_sums = b.levels[n].sum
-                here = np.zeros(len(b.seq), np.uint64)
-                here[level.at] = level.key[level.of]
-                good = np.zeros(len(b.seq), bool)
-                good[level.at] = kept[level.of]
-                ctx_count = np.zeros(len(b.seq), np.int64)
-                ctx_count[level.at] = level.count[level.of]
-                good_ctx = good & ~b.ends
-                place = np.searchsorted(after_keys, here[good_ctx])
-                weight = np.ones(len(b.seq))
-                weight[good_ctx] = 1 - after_sums[place] / ctx_count[good_ctx]
-                new_state = np.zeros(len(b.seq), np.int64)
-                new_state[good_ctx] = len(self.fail) + place
-                size = len(self.fail)
-                fail, logs = np.zeros(len(after_keys), np.int64), np.zeros(len(after_keys))
-                fail[place], logs[place] = state[good_ctx], np.log10(np.maximum(weight[good_ctx], 1e-12))
-            else:
-                new_state, good_ctx, size = np.zeros(len(b.seq), np.int64), np.zeros(len(b.seq), bool), None
-            best = np.where(good_ctx, new_state, state)
-            if n == 1:
-                for tok, s in zip(b.seq[good_ctx].tolist(), new_state[good_ctx].tolist(), strict=True):
-                    self.to[tok] = s
-            else:
-                # one position of each n-gram in the model stands for its arc
-                at = level.at[level.first[kept]]
-                source = (prior_state[at - 1] * self.width + b.seq[at]).tolist()
-                self.arcs.update(zip(source, zip(np.log10(p_new[at]).tolist(), best[at].tolist(), strict=True), strict=True))
-                p = p_new
-            if size is not None:
-                self.fail += fail.tolist()
-                self.weight += logs.tolist()
-                before_count, back, prior_state = ctx_count, weight, new_state
-            state = best
-
-    def score(self, tokens: list[int]) -> float:
-        """One traversal from left to right."""
-        arcs, root, to, fail, weight, width = self.arcs, self.root, self.to, self.fail, self.weight, self.width
-        state, total = 0, 0.0
-        for t in tokens:
-            while state:
-                arc = arcs.get(state * width + t)
-                if arc is not None:
-                    total += arc[0]
-                    state = arc[1]
-                    break
-                total += weight[state]
-                state = fail[state]
-            else:
-                total += root[t]
-                state = to[t]
+                p = p.copy()
+                p[own] = (counts[own] - c.discount) / context_count[own - 1] + back[own - 1] * p[own]
+                self.arcs[n] = np.full(size, np.nan)
+                self.arcs[n][own] = np.log10(p[own])
+            if n == len(b.levels):
+                break
+            keys, sums = b.levels[n].sum
+            place_at = own[~b.ends[own]]
+            gram = np.zeros(size, np.uint64)
+            gram[level.at] = level.key[level.of]
+            place = np.searchsorted(keys, gram[place_at])
+            back = np.ones(size)
+            back[place_at] = 1 - sums[place] / counts[place_at]
+            fails, weights = np.zeros(len(keys), np.int32), np.zeros(len(keys))
+            fails[place], weights[place] = self.after[place_at], np.log10(np.maximum(back[place_at], 1e-12))
+            fail.append(fails)
+            weight.append(weights)
+            level_of.append(np.full(len(keys), n, np.int8))
+            self.after[place_at] = states + place
+            states += len(keys)
+            context_count = counts
+        self.fail, self.weight, self.level = np.concatenate(fail), np.concatenate(weight), np.concatenate(level_of)
+
+    def traverse(self) -> np.ndarray:
+        """Log-probability of every token, each read from the state that the traversal from the left is in: it takes that state's arc, or fails until a state has one.
+
+        A state is the longest n-gram in the model that ends at a place, so the states of all places are at hand, and the places take their steps together.
+        """
+        state = np.concatenate([[0], self.after[:-1]]) if len(self.after) else self.after
+        state[self.begins] = 0
+        total, open_ = np.zeros(len(state)), np.arange(len(state))
+        while len(open_):
+            now = self.level[state[open_]] + 1
+            arc = np.full(len(open_), np.nan)
+            for n, weights in self.arcs.items():
+                here = now == n
+                arc[here] = weights[open_[here]]
+            fails = np.isnan(arc)
+            total[open_[~fails]] += arc[~fails]
+            open_ = open_[fails]
+            total[open_] += self.weight[state[open_]]
+            state[open_] = self.fail[state[open_]]
         return total
 
 
@@ -320,8 +316,7 @@ def score_documents(docs: DataFrame, config: LmConfig = LmConfig()) -> DataFrame
                 b = _rebuild(row, c, c.order)
                 known = b.levels[0].count
                 base = np.log10((known + 1) / (n_train + n_types + 1))[b.seq]
-                auto = Automaton(b, n_train, n_types)
-                got = [auto.score(b.seq[s : s + n].tolist()) for s, n in zip(b.starts.tolist(), b.sizes.tolist(), strict=True)]
+                got = np.add.reduceat(Automaton(b, n_train, n_types).traverse(), b.starts)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(b.ids, pa.int64(), mask=b.null), pa.array(b.held), pa.array(b.sizes), pa.array(np.add.reduceat((known > 0)[b.seq].astype(np.int64), b.starts)), pa.array([n_train] * len(b.ids), pa.int64()), pa.array(np.add.reduceat(base, b.starts)), pa.array(got, pa.float64())],
                     names=[x.split()[0] for x in SCORES.split(", ")],
