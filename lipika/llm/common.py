@@ -201,18 +201,21 @@ def hashes(words: list[bytes]) -> np.ndarray:
 PACKED = "part int, block long, n long, keys binary, vals array<binary>"
 
 
-def squeeze(x: np.ndarray) -> bytes:
-    """Bytes of an integer array, its byte planes apart and compressed: sorted keys and small numbers get short."""
+def _codec(kind: str):
+    """The process's own (de)compressor, as making one costs more than most uses of it."""
     import zstandard
 
+    return zstandard.__dict__.get(f"_own_{kind}") or zstandard.__dict__.setdefault(f"_own_{kind}", zstandard.ZstdCompressor(1) if kind == "in" else zstandard.ZstdDecompressor())
+
+
+def squeeze(x: np.ndarray) -> bytes:
+    """Bytes of an integer array, its byte planes apart and compressed: sorted keys and small numbers get short."""
     x = np.ascontiguousarray(x)
-    return zstandard.ZstdCompressor(1).compress(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes())
+    return _codec("in").compress(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes())
 
 
 def unsqueeze(b: bytes, kind: type) -> np.ndarray:
-    import zstandard
-
-    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
+    flat = np.frombuffer(_codec("out").decompress(b), np.uint8)
     return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
 
 
