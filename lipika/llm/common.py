@@ -28,12 +28,18 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def stash(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """df written to the shared folder as Parquet and read again; cuts its lineage, and a lost executor loses nothing of it."""
-    path = f"{shared_dir(df.sparkSession)}/lipika-{name}-{uuid.uuid4().hex}"
+def stash(df: DataFrame, name: str, codec: str = "zstd", free: bool = False) -> DataFrame:
+    """df written to the shared folder as Parquet and read again; cuts its lineage, and a lost executor loses nothing of it.
+
+    free: asks the driver's JVM to collect its garbage, on which Spark deletes the shuffle files that nothing refers to any more; else those of all earlier steps stay on the executors' disks until the driver happens to collect.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/lipika-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
     out._lipika_path = path  # for discard()
+    if free:
+        spark._jvm.System.gc()
     return out
 
 
@@ -128,7 +134,7 @@ def blocks(docs: DataFrame, block_bytes: int, more: Callable[[np.ndarray, np.nda
     from pyspark.sql import types as T
 
     rest = [f for f in docs.schema.fields if f.name not in ("doc_id", "text")]
-    row = T.StructType([T.StructField("_null", T.BooleanType()), *rest])
+    row = T.StructType([T.StructField("_lipika_null", T.BooleanType()), *rest])
     schema = T.StructType([T.StructField("block", T.LongType()), *[T.StructField(c, T.BinaryType()) for c in ("ids", "sizes", "lens", "text")], T.StructField("rest", T.ArrayType(row)), *[T.StructField(c, T.BinaryType()) for c in names_of_more]])
     names = [f.name for f in rest]
 
@@ -168,7 +174,7 @@ def blocks(docs: DataFrame, block_bytes: int, more: Callable[[np.ndarray, np.nda
                 sizes += [len(x.split()) for x in texts]
                 parts += texts
                 held += sum(map(len, texts))
-                kept.append(pa.RecordBatch.from_arrays([part.column(text_at).is_null(), *[part.column(part.schema.names.index(c)) for c in names]], names=["_null", *names]))
+                kept.append(pa.RecordBatch.from_arrays([part.column(text_at).is_null(), *[part.column(part.schema.names.index(c)) for c in names]], names=["_lipika_null", *names]))
                 if held >= block_bytes or len(ids) >= block_bytes >> 5:
                     yield flush()
                     ids, sizes, parts, kept, held, k = [], [], [], [], 0, k + 1

@@ -277,7 +277,7 @@ def score_documents(docs: DataFrame, config: LmConfig = LmConfig()) -> DataFrame
                 yield pack_keys(row["block"], b.words, [np.bincount(b.seq[b.train], minlength=len(b.words)).astype(np.uint32)], parts)
 
     def counts(rows, least: int, n: int) -> DataFrame:
-        return stash(replies(exchange(rows, _counted(least), [np.uint32], np.int64), f"count{n}"), f"count{n}")
+        return stash(replies(exchange(rows, _counted(least), [np.uint32], np.int64), f"count{n}"), f"count{n}", free=True)
 
     tables = [counts(corpus.mapInArrow(unigram_rows, PACKED), 1, 1)]
     n_types = _types(tables[0])
@@ -308,7 +308,7 @@ def score_documents(docs: DataFrame, config: LmConfig = LmConfig()) -> DataFrame
     for n in range(2, c.order + 1):
         tables.append(counts(_joined(corpus, tables).mapInArrow(gram_rows(n), PACKED), c.min_count, n))
         sums = _joined(corpus, tables).mapInArrow(sum_rows(n), PACKED)
-        tables.append(stash(replies(exchange(sums, _summed, [np.float64], np.float64), f"sum{n}"), f"sum{n}"))
+        tables.append(stash(replies(exchange(sums, _summed, [np.float64], np.float64), f"sum{n}"), f"sum{n}", free=True))
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -161,13 +161,14 @@ def _earlier(keys: np.ndarray, check: np.ndarray, doc: np.ndarray) -> np.ndarray
     return out
 
 
-def dedup_substrings(docs: DataFrame, window: int = 13, rounds: int = 4, emit: str = "digest", block_bytes: int = 4 << 20) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = 13, rounds: int = 4, emit: str = "digest", names: tuple[str, str] = ("n_words", "n_removed"), block_bytes: int = 4 << 20) -> DataFrame:
     """Removes each word covered by a window of so many words that also starts in a document with a smaller doc_id.
 
-    emit "digest": doc_id, n_words, n_removed, kept_sha256 (kept words joined by a space). emit "text": all columns of docs, n_words and n_removed, with text without the removed words; the text of a document that loses none stays byte for byte.
+    emit "digest": doc_id, n_words, n_removed, kept_sha256 (kept words joined by a space). emit "text": all columns of docs (but those that names replaces) and, by names, words and removed words, with text without the removed words; the text of a document that loses none stays byte for byte.
     Null text has no words. Rows with the same doc_id never count as smaller than each other; null doc_ids count as larger than all others.
     Texts are read thrice from blocks in the shared folder; what is shuffled are names and window hashes, once per block, and a flag for each back.
     """
+    docs = docs.drop(*names)
     rest = [f.name for f in docs.schema.fields if f.name not in ("doc_id", "text")] if emit == "text" else []
     held = stash(blocks(docs.select("doc_id", "text", *rest), block_bytes, _indexed(window, rounds), INDEX), "blocks")
     parts, columns = 8 + held.count() // 2, docs.columns
@@ -177,7 +178,7 @@ def dedup_substrings(docs: DataFrame, window: int = 13, rounds: int = 4, emit: s
             for r in rows_of(batch):
                 yield pack_keys(r["block"], np.cumsum(unsqueeze(r["names"], np.uint64), dtype=np.uint64), [unsqueeze(r["twice"], np.uint8)], parts)
 
-    shared = stash(replies(exchange(held.select("block", "names", "twice").mapInArrow(name_rows, PACKED), _shared, [np.uint8], np.uint8), "shared"), "shared")
+    shared = stash(replies(exchange(held.select("block", "names", "twice").mapInArrow(name_rows, PACKED), _shared, [np.uint8], np.uint8), "shared"), "shared", free=True)
 
     def window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,7 +188,7 @@ def dedup_substrings(docs: DataFrame, window: int = 13, rounds: int = 4, emit: s
                 yield pack_keys(r["block"], key, [check, doc], parts)
 
     opened = held.select("block", "ids", "sizes", "text", "places", "lengths", *(["lens", "rest"] if emit == "text" else [])).join(shared, "block", "left")
-    earlier = stash(replies(exchange(opened.drop("lens", "rest").mapInArrow(window_rows, PACKED), _earlier, [np.uint32, np.int64], np.uint8), "earlier"), "earlier")
+    earlier = stash(replies(exchange(opened.drop("lens", "rest").mapInArrow(window_rows, PACKED), _earlier, [np.uint32, np.int64], np.uint8), "earlier"), "earlier", free=True)
 
     def removed(r: dict) -> tuple[Block, np.ndarray]:
         b, starts = _open(r, window)
@@ -219,7 +220,7 @@ def dedup_substrings(docs: DataFrame, window: int = 13, rounds: int = 4, emit: s
                 b, gone = removed(r)
                 at, text_at, out, lost = 0, 0, [], []
                 other = others[k].values
-                for n, size, null in zip(b.sizes.tolist(), ints(r["lens"]).tolist(), other.field("_null").to_pylist(), strict=True):
+                for n, size, null in zip(b.sizes.tolist(), ints(r["lens"]).tolist(), other.field("_lipika_null").to_pylist(), strict=True):
                     own, text = gone[at : at + n], r["text"][text_at : text_at + size]
                     at, text_at = at + n, text_at + size + 1
                     lost.append(int(own.sum()))
@@ -228,13 +229,13 @@ def dedup_substrings(docs: DataFrame, window: int = 13, rounds: int = 4, emit: s
                     out.append(None if null else text.decode())
                 ids = pa.array(b.ids, pa.int64(), mask=b.ids == NULL_ID)
                 by_name = {"doc_id": ids, "text": pa.array(out, pa.string()), **{c: other.field(c) for c in rest}}
-                yield pa.RecordBatch.from_arrays([*[by_name[c] for c in columns], pa.array(b.sizes), pa.array(lost, pa.int64())], names=[*columns, "n_words", "n_removed"])
+                yield pa.RecordBatch.from_arrays([*[by_name[c] for c in columns], pa.array(b.sizes), pa.array(lost, pa.int64())], names=[*columns, *names])
 
     last = opened.join(earlier, "block", "left")
     if emit == "digest":
         return last.mapInArrow(digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
     fields = [T.StructField("doc_id", T.LongType()) if f.name == "doc_id" else f for f in docs.schema.fields]
-    return last.mapInArrow(texts, T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]))
+    return last.mapInArrow(texts, T.StructType([*fields, *[T.StructField(c, T.LongType()) for c in names]]))
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
