@@ -16,7 +16,7 @@ PASSAGE_WORDS = 50
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the certified cutoffs."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    return quality.judge_quality(docs, labels).where("kept").select(docs.columns)
+    return quality.judge_quality(docs, labels).where("_quality.kept").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,15 +26,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of PASSAGE_WORDS words or more that a document with a smaller doc_id has; n_chars follows."""
-    out = substrings.dedup_substrings(docs, window=PASSAGE_WORDS, rounds=6, emit="text")
-    return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    out = substrings.dedup_substrings(docs, window=PASSAGE_WORDS, rounds=6, emit="text", names=("_lipika_words", "_lipika_removed"))
+    return out.withColumn("n_chars", F.when(F.col("_lipika_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with every secret replaced by a mark; n_chars follows."""
-    found = secrets.scan_secrets(docs)
-    text = F.when(F.size("spans") > 0, secrets.redact(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
-    return found.withColumn("text", text).withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    found = secrets.scan_secrets(docs, names=("_lipika_base_spans", "_lipika_spans"))
+    hit = F.size("_lipika_spans") > 0
+    text = F.when(hit, secrets.redact(F.col("text"), F.col("_lipika_spans"))).otherwise(F.col("text"))
+    return found.withColumn("text", text).withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

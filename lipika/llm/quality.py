@@ -163,15 +163,16 @@ def rejected_by(cutoffs: dict[tuple[str, str], float], of: Column, c: QualityCon
     return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
 
 
-def judge_quality(docs: DataFrame, labels: DataFrame, config: QualityConfig = QualityConfig(), counts: str = "counts") -> DataFrame:
-    """docs with counts (a struct), base_failed, rejected_by and kept. Texts are read twice (fit, verdict) and never shuffled.
+def judge_quality(docs: DataFrame, labels: DataFrame, config: QualityConfig = QualityConfig(), name: str = "_quality") -> DataFrame:
+    """docs with a struct of counts, base_failed, rejected_by and kept. Texts are read twice (fit, verdict) and never shuffled.
 
-    Null text counts as no words and fails the base rules; unlabelled documents are judged like any other; without good labels only the base rules reject.
+    Null text counts as no words and fails the base rules; unlabelled documents are judged like any other; without good labels only the base rules reject. All columns of docs stay as they are, but one called name is replaced.
     """
-    cutoffs = fit_cutoffs(measure(docs.select("doc_id", *[x for x in ("lang",) if x in docs.columns], "text"), counts).drop("text"), labels, config, counts)
-    out = measure(docs, counts).withColumn("base_failed", base_failed(counts, config))
-    out = out.withColumn("rejected_by", rejected_by(cutoffs, stratum(docs, config), config, counts))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))
+    few = docs.select("doc_id", *[x for x in ("lang",) if x in docs.columns], "text")
+    cutoffs = fit_cutoffs(measure(few).drop("text"), labels, config)
+    out = measure(docs.drop(name), name)
+    failed, rejected = base_failed(name, config), rejected_by(cutoffs, stratum(docs, config), config, name)
+    return out.withColumn(name, F.struct(*[F.col(f"{name}.{c}").alias(c) for c in COUNTS], failed.alias("base_failed"), rejected.alias("rejected_by"), (~failed & (F.size(rejected) == 0)).alias("kept")))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,19 +108,19 @@ def _entropy(text: Column, c: EntropyClass, allow: tuple[str, ...], rank: int) -
     return F.when(text.rlike(pattern), spans).otherwise(none)
 
 
-def scan_secrets(docs: DataFrame, text: str = "text", config: SecretConfig = SecretConfig()) -> DataFrame:
-    """docs with base_spans and spans: arrays of (kind, rank, start, end) in code points, end exclusive, by start, then rank.
+def scan_secrets(docs: DataFrame, text: str = "text", config: SecretConfig = SecretConfig(), names: tuple[str, str] = ("base_spans", "spans")) -> DataFrame:
+    """docs with two arrays, by the names given: base spans and all spans, of (kind, rank, start, end) in code points, end exclusive, by start, then rank.
 
-    base_spans are matches of the three formats; spans adds high-entropy windows that overlap no base span.
-    Null or empty text has no spans; rows and all other columns stay. No shuffle, no Python: one pass over each text.
+    Base spans are matches of the three formats; all spans adds high-entropy windows that overlap no base span.
+    Null or empty text has no spans; rows and all other columns stay, but columns of the names given are replaced. No shuffle, no Python: one pass over each text.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     order = lambda x: F.transform(F.array_sort(F.transform(x, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))), lambda s: F.struct(s["kind"].alias("kind"), s["rank"].alias("rank"), s["start"].alias("start"), s["end"].alias("end")))
     base = F.concat(_between(t, ASSIGN, "assign", 0, 2, 6), _between(t, ACCESS, "access", 1), _between(t, HEX, "hex", 2))
     more = F.concat(*[_entropy(t, c, config.allow, 3 + i) for i, c in enumerate(config.classes)])
-    found = docs.withColumn("_base", base).withColumn("_more", more)
-    clash = lambda s: F.exists(F.col("_base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    return found.withColumn("base_spans", order(F.col("_base"))).withColumn("spans", order(F.concat(F.col("_base"), F.filter(F.col("_more"), lambda s: ~clash(s))))).drop("_base", "_more")
+    found = docs.withColumn("_lipika_base", base).withColumn("_lipika_more", more)
+    clash = lambda s: F.exists(F.col("_lipika_base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    return found.withColumn(names[0], order(F.col("_lipika_base"))).withColumn(names[1], order(F.concat(F.col("_lipika_base"), F.filter(F.col("_lipika_more"), lambda s: ~clash(s))))).drop("_lipika_base", "_lipika_more")
 
 
 def joined(spans: Column) -> Column:
