@@ -43,6 +43,18 @@ def stash(df: DataFrame, name: str, codec: str = "zstd", free: bool = False) ->
     return out
 
 
+def stash_buckets(df: DataFrame, key: str, name: str, codec: str = "zstd") -> DataFrame:
+    """As stash(), in buckets by key, as many as spark.sql.shuffle.partitions: later joins on key shuffle the other side only."""
+    spark = df.sparkSession
+    unique = uuid.uuid4().hex
+    buckets, entry = int(spark.conf.get("spark.sql.shuffle.partitions")), f"lipika_{unique}"
+    df.write.format("parquet").option("compression", codec).option("path", f"{shared_dir(spark)}/lipika-{name}-{unique}").bucketBy(buckets, key).saveAsTable(entry)
+    out = spark.table(entry)
+    out._lipika_path = f"{shared_dir(spark)}/lipika-{name}-{unique}"
+    spark.sql(f"drop table {entry}")  # the catalog's entry of an external table; the files stay
+    return out
+
+
 def discard(*stashed: DataFrame) -> None:
     """Deletes what stash() wrote; only for what no returned frame reads."""
     for df in stashed:

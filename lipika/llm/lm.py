@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PACKED, exchange, hashes, ints, mix, pack_keys, read_replies, replies, rows_of, runs, squeeze, stash, table, unsqueeze
+from .common import PACKED, exchange, hashes, ints, mix, pack_keys, read_replies, replies, rows_of, runs, squeeze, stash, stash_buckets, table, unsqueeze
 
 END = b"\n"  # no word holds a line break
 
@@ -266,7 +266,7 @@ def score_documents(docs: DataFrame, config: LmConfig = LmConfig()) -> DataFrame
     base_score: add-one unigrams. score: interpolated absolute discounting up to config.order words, over the known words and one unknown word; probabilities of a context's next token sum to one. Repeated doc_ids are documents of their own; a null doc_id has the text ''.
     """
     c = config
-    corpus = stash(corpus_blocks(docs, c), "corpus")
+    corpus = stash_buckets(corpus_blocks(docs, c), "block", "corpus")
     facts = corpus.agg(F.count("*"), F.sum("train_tokens")).first()
     parts, n_train = 8 + facts[0] // 2, int(facts[1] or 0)
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import NULL_ID, PACKED, blocks, exchange, hashes, ints, mix, pack_keys, read_replies, replies, rows_of, runs, squeeze, stash, table, unsqueeze
+from .common import NULL_ID, PACKED, blocks, exchange, hashes, ints, mix, pack_keys, read_replies, replies, rows_of, runs, squeeze, stash, stash_buckets, table, unsqueeze
 
 TOKEN = re.compile(rb"[^ \t\n\v\f\r]+[ \t\n\v\f\r]*")
 
@@ -170,7 +170,7 @@ def dedup_substrings(docs: DataFrame, window: int = 13, rounds: int = 4, emit: s
     """
     docs = docs.drop(*names)
     rest = [f.name for f in docs.schema.fields if f.name not in ("doc_id", "text")] if emit == "text" else []
-    held = stash(blocks(docs.select("doc_id", "text", *rest), block_bytes, _indexed(window, rounds), INDEX), "blocks")
+    held = stash_buckets(blocks(docs.select("doc_id", "text", *rest), block_bytes, _indexed(window, rounds), INDEX), "block", "blocks")
     parts, columns = 8 + held.count() // 2, docs.columns
 
     def name_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
