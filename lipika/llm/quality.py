@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import binomial_upper, raw, stash, table
+from .common import batch_slices, binomial_upper, raw, stash, table
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 SYMBOLS = b"#*$%&|<>"
@@ -88,7 +88,7 @@ def measure(docs: DataFrame, name: str = "counts") -> DataFrame:
     """docs with a struct of COUNTS; null and empty texts count zero. One pass, no shuffle; all other columns stay as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for batch in batches for part in batch_slices(batch, batch.schema.names.index("text"))):
             got = text_counts(raw(b.column(b.schema.names.index("text"))))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.StructArray.from_arrays([pa.array(x) for x in got], names=list(COUNTS))], names=[*b.schema.names, name])
 
