@@ -11,32 +11,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, raw, stash, table
+from .common import PACKED, batch_slices, discard, mix, pack_keys, raw, runs, stash, table, unsqueeze
 
 BYTES = 8
 
 
-def fingerprint(text: bytes, words_per_shingle: int) -> int:
-    """Bit i is set if it is set in over half the XXH64 (seed 42) of the lower-cased shingles, repeats included; no words: 0."""
+def shingles(text: bytes, words_per_shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 (seed 42) of the lower-cased shingles in order, in arrays of bounded size; a shorter text is one shingle, no words are none."""
     import xxhash
 
     words = text.lower().split()
-    if not words:
-        return 0
     line = b" ".join(words)
     n = len(words) - words_per_shingle + 1
     if n <= 1:
-        return xxhash.xxh64_intdigest(line, 42)
+        if words:
+            yield np.array([xxhash.xxh64_intdigest(line, 42)], np.uint64)
+        return
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
     starts = np.concatenate([[0], np.cumsum(sizes)])
     digest = xxhash.xxh64_intdigest
-    ones, done = np.zeros(64, np.int64), 0
-    for a in range(0, n, 65536):  # bounded memory for very long texts
+    for a in range(0, n, 65536):
         b = min(n, a + 65536)
         ends = (starts[a + words_per_shingle : b + words_per_shingle] - 1).tolist()
-        h = np.array([digest(line[x:y], 42) for x, y in zip(starts[a:b].tolist(), ends, strict=True)], np.uint64)
+        yield np.array([digest(line[x:y], 42) for x, y in zip(starts[a:b].tolist(), ends, strict=True)], np.uint64)
+
+
+def fingerprint(text: bytes, words_per_shingle: int) -> int:
+    """Bit i is set if it is set in over half the shingles' hashes, repeats included; no words: 0."""
+    ones, done = np.zeros(64, np.int64), 0
+    for h in shingles(text, words_per_shingle):
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        done += b - a
+        done += len(h)
     return int.from_bytes(np.packbits(2 * ones > done, bitorder="little").tobytes(), "little")
 
 
@@ -44,7 +49,7 @@ def fingerprints(docs: DataFrame, words_per_shingle: int = 3, name: str = "fp")
     """docs with a 64-bit fingerprint as a signed long; all columns stay. One pass over whole texts; null counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for batch in batches for part in batch_slices(batch, batch.schema.names.index("text"))):
             fps = np.array([fingerprint(t, words_per_shingle) for t in raw(b.column(b.schema.names.index("text")))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps, pa.int64())], names=[*b.schema.names, name])
 
@@ -196,11 +201,99 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words_per_shingle: int = 5, max_bits: int = 2) -> DataFrame:
-    """docs without all but the document with the smallest doc_id of each group; of rows with that doc_id, one. Rows with a null doc_id stay, as they can't be told apart."""
-    grouped = stash(near_duplicates(docs.select("doc_id", "text"), words_per_shingle, max_bits).select("doc_id", "component_id"), "groups")
-    kept = grouped.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    repeated = not kept.where("n > 1").isEmpty()
-    out = docs.join(stash(kept.select("doc_id"), "kept"), "doc_id", "left_semi")
+def shingle_set(text: bytes, words_per_shingle: int) -> np.ndarray:
+    parts = list(shingles(text, words_per_shingle))
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+def class_keys(h: np.ndarray, similarity: float, rate: int = 6) -> np.ndarray:
+    """Keys of a set of shingles, one for each class of it: the shingles are dealt in classes by their hash, as many as a power of two from n / rate on, 4 at least, and a class's key stands for just its members.
+
+    Sets of n shingles with that similarity or more differ in 2 * n * (1 - s) / (1 + s) at most (0.22 * n for 0.8), so a class is free of differences, and its keys equal, with a chance of a quarter or more, and some class is as good as surely. Sets of sizes on both sides of a power of two meet as the smaller one is dealt at the next one's number too.
+    """
+    if not len(h):
+        return h
+    number = lambda n: max(4, 1 << int(np.ceil(np.log2(max(1.0, n / rate)))))
+    out = []
+    for g in {number(len(h)), number(len(h) / similarity)}:
+        which = (mix(h) >> np.uint64(40)) % np.uint64(g)
+        order = np.argsort(which, kind="stable")
+        start = np.nonzero(np.diff(which[order], prepend=np.uint64(g)))[0]
+        sums = np.add.reduceat(mix(h + np.uint64(g))[order], start)
+        out.append(mix(sums + which[order][start] * np.uint64(0x9E3779B97F4A7C15)))
+    return np.concatenate(out)
+
+
+def similar_pairs(docs: DataFrame, words_per_shingle: int, similarity: float, documents: int = 1000) -> DataFrame:
+    """Candidates (a, b), a < b: documents that share a class of shingles, each paired with the first that has it and with the one before, so they grow with members, never with pairs."""
+    parts = 8 + docs.count() // (2 * documents)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, documents):
+                part = batch.slice(a, documents)
+                own = [class_keys(shingle_set(t, words_per_shingle), similarity) for t in raw(part.column(1))]
+                key, ids = np.concatenate(own), np.repeat(np.array(part.column(0).to_pylist(), np.int64), [len(x) for x in own])
+                order = np.argsort(key)
+                yield pack_keys(0, key[order], [ids[order]], parts)
+
+    def pairs(t: pa.Table) -> pa.Table:
+        key = np.concatenate([np.cumsum(unsqueeze(b, np.uint64), dtype=np.uint64) for b in t.column("keys").to_pylist()])
+        ids = np.concatenate([unsqueeze(v[0], np.int64) for v in t.column("vals").to_pylist()])
+        order = np.lexsort((ids, key))
+        key, ids = key[order], ids[order]
+        first = runs(key)
+        lead = np.repeat(ids[first], np.diff(np.append(first, len(key))))
+        inner = np.ones(len(key), bool)
+        inner[first] = False
+        at = np.nonzero(inner)[0]
+        both = np.stack([np.concatenate([lead[at], ids[at - 1]]), np.concatenate([ids[at], ids[at]])])
+        both = np.unique(both[:, both[0] < both[1]], axis=1)
+        return pa.table({"a": pa.array(both[0]), "b": pa.array(both[1])})
+
+    return docs.select("doc_id", "text").mapInArrow(keys, PACKED).groupBy("part").applyInArrow(pairs, "a long, b long").distinct()
+
+
+def similar_documents(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8, max_bits: int = 2) -> DataFrame:
+    """doc_id, component_id of every doc_id that is not null: groups by links of near fingerprints and of documents whose sets of shingles have a Jaccard similarity of at least so much.
+
+    Fingerprints of 64 bits find nearly all pairs of 0.95 and more; below, pairs that differ in more bits come from shared classes of shingles, and each is verified on its whole sets.
+    """
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    near = stash(near_duplicates(docs, words_per_shingle, max_bits).groupBy("doc_id").agg(F.min("component_id").alias("component_id")), "groups", free=True)
+    of = lambda c: near.select(F.col("doc_id").alias(c), F.col("component_id").alias(f"c{c}"))
+    found = stash(similar_pairs(docs, words_per_shingle, similarity), "pairs", free=True)
+    apart = stash(found.join(of("a"), "a").join(of("b"), "b").where("ca <> cb"), "pairs", free=True)
+    asked = stash(apart.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "asked")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, words_per_shingle).tobytes() for t in raw(b.column(1))], pa.binary())], names=["doc_id", "set"])
+
+    have = stash(docs.join(asked, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, set binary"), "sets", free=True)
+    side = lambda c: have.select(F.col("doc_id").alias(c), F.col("set").alias(f"s{c}"))
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both and both >= similarity * (len(x) + len(y) - both):
+                    keep.append(i)
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
+
+    links = apart.join(side("a"), "a").join(side("b"), "b").select("ca", "cb", "sa", "sb").mapInArrow(verified, "a long, b long")
+    roots = connected(links).select(F.col("node").alias("component_id"), "root")
+    return near.join(roots, "component_id", "left").select("doc_id", F.coalesce("root", "component_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs without all but the document with the smallest doc_id of each group of similar_documents(); of rows with that doc_id, one. Rows with a null doc_id stay, as they can't be told apart."""
+    grouped = similar_documents(docs, words_per_shingle, similarity)
+    kept = stash(grouped.where("doc_id = component_id").select("doc_id"), "kept", free=True)
+    repeated = not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+    out = docs.join(kept, "doc_id", "left_semi")
     out = out.dropDuplicates(["doc_id"]) if repeated else out
     return out.unionByName(docs.where("doc_id is null")).select(docs.columns)
