@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .script import detect_script, strip
 from .translit import final_h, to_slp1
@@ -14,7 +15,7 @@ NASALS = (("N", "kKgG"), ("Y", "cCjJ"), ("R", "wWqQ"), ("n", "tTdD"), ("m", "pPb
 LONG, SHORT = "AIUFX", "aiufx"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _compose(text: pd.Series) -> pd.Series:
     return text.str.normalize("NFC")
 
