@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from lipika.operators import chunk, evaluate, fusion, lexical, prompt, segment, store, vector
 from lipika.sources import files
 
-STORY = "मूर्खभृत्यस्य\n\nएकः भृत्यः आसीत्। सः मूर्खः॥\n\nचतुरस्य कालीदासस्य (clever)\n\nकालीदासः चतुरः।"
+STORY = "मूर्खभृत्यस्य\n\nएकः भृत्यः आसीत्। सः मूर्खः॥\n\nचतुरस्य कालीदासस्य (clever)\n\nसः कालीदासः चतुरः।"
 
 
 def test_titles_and_stories(spark):
@@ -130,7 +130,7 @@ def test_sources(spark, tmp_path):
 def test_index_and_search(spark, tmp_path):
     from lipika.plans import index
 
-    docs = spark.createDataFrame([("a", STORY)], "doc_id string, text string")
+    docs = spark.createDataFrame([("a", STORY), ("b", "सः रामः वनं गच्छति।"), ("c", "सा सीता गृहे अस्ति।"), ("d", "सः बालः पठति।")], "doc_id string, text string")
     index.build(docs, str(tmp_path / "ix"))
     q = spark.createDataFrame([(0, "कालीदासः"), (1, "kālīdāsaḥ")], "query_id long, text string")
     rows = index.search(spark, str(tmp_path / "ix"), q).collect()
