@@ -54,30 +54,16 @@ def postings(docs: DataFrame, key: str, text: str, c: Bm25Config = Bm25Config())
 def bm25(queries: DataFrame, docs: DataFrame, query_key: str, key: str, query_text: str = "text", text: str = "text", c: Bm25Config = Bm25Config(), digits: int | None = None) -> DataFrame:
     """query_key, key, score, rank: the c.k best documents of each query with a positive score, ties to the smaller key.
 
-    Documents are tokenised once; the vocabulary's totals come from (N, mean length, mean idf) of one aggregation each, and only postings of the queries' tokens are scored, so the scoring shuffle follows the matches. Tokens are distinct, so each counts once. digits: ranks on rounded scores.
+    Postings are a projection of the documents, nothing is stored; the vocabulary's totals are one row each (N and mean length, mean idf), and only postings of the queries' tokens are scored, so the scoring shuffle follows the matches. Tokens are distinct, so each counts once. digits: ranks on rounded scores.
     """
     post = postings(docs, key, text, c)
-    whole = docs.agg(F.count("*").alias("n_docs"))
-    lengths = post.agg((F.count("*") / F.countDistinct(key)).alias("avgdl"))
-    df = post.groupBy("token").agg(F.count("*").alias("df"))
-    return df.withColumn("idf", F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-
-
-def bm25(queries: DataFrame, docs: DataFrame, query_key: str, key: str, query_text: str = "text", text: str = "text", c: Bm25Config = Bm25Config(), digits: int | None = None) -> DataFrame:
-    """query_key, key, score, rank: the c.k best documents of each query with a positive score, ties to the smaller key.
-
-    Documents are tokenised once; the vocabulary's totals come from (N, mean length, mean idf) of one aggregation each, and only postings of the queries' tokens are scored, so the scoring shuffle follows the matches. Tokens are distinct, so each counts once. digits: ranks on rounded scores.
-    """
-    post = postings(docs, key, text, c)
-    whole = docs.agg(F.count("*").alias("n_docs"))
-    lengths = post.agg((F.count("*") / F.countDistinct(key)).alias("avgdl"))
-    stats = term_stats(post.crossJoin(F.broadcast(whole)).select("token", "n_docs"), F.lit(0), c) if False else None
-    del stats
-    df = post.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(whole))
+    length = F.greatest(F.size(F.coalesce(tokens(F.col(text), c), F.array().cast("array<string>"))), F.lit(1))
+    facts = docs.agg(F.count("*").alias("n_docs"), F.avg(length).alias("avgdl"))
+    df = post.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(facts))
     df = df.withColumn("idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = df.agg(F.avg("idf").alias("mean_idf"))
     asked = queries.select(query_key, F.explode(tokens(F.col(query_text), c)).alias("token"))
-    terms = asked.select("token").distinct().join(df, "token").crossJoin(F.broadcast(mean)).crossJoin(F.broadcast(lengths))
+    terms = asked.select("token").distinct().join(df, "token").crossJoin(F.broadcast(mean))
     weight = F.when(F.col("idf") < 0, c.epsilon * F.col("mean_idf")).otherwise(F.col("idf"))
     part = weight * (c.k1 + 1) / (1 + c.k1 * (1 - c.b + c.b * F.col("dl") / F.col("avgdl")))
     hits = post.join(terms, "token").select("token", key, part.alias("part")).join(asked, "token")

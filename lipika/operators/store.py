@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[Column])
 def numbered(rows: DataFrame, order: list[str], name: str = "vector_index", buckets: int = 64) -> DataFrame:
     """Rows numbered from 0 in order, without one task that sorts all: rows are ranged by the first key, numbered within, and shifted by the counts before."""
     spread = rows.repartitionByRange(buckets, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+    spread = spread.persist(StorageLevel.MEMORY_AND_DISK)  # both uses must see the same ranges
     counts = spread.groupBy("_p").agg(F.count("*").alias("_c"), F.min("_i").alias("_first"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return spread.join(F.broadcast(before), "_p").withColumn(name, (F.col("_i") - F.col("_first") + F.col("_before")).cast("bigint")).drop("_p", "_i", "_c", "_first", "_before")
