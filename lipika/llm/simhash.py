@@ -254,6 +254,19 @@ def similar_pairs(docs: DataFrame, words_per_shingle: int, similarity: float, do
     return docs.select("doc_id", "text").mapInArrow(keys, PACKED).groupBy("part").applyInArrow(pairs, "a long, b long").distinct()
 
 
+def likely(docs: DataFrame, ids: DataFrame, bits: int = 1 << 23) -> DataFrame:
+    """docs with _lipika_maybe: true for every doc_id that is in ids, and by chance for some others; false for null.
+
+    A bitmap of so many bits, a bit an id, travels to all executors (2 MB, whatever the input). It only spares rows that can't be in ids the shuffle of an exact join that must follow.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    at = ids.select(place.alias("p")).groupBy(F.expr("p div 64").alias("_lipika_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("_lipika_bits"))
+    marked = docs.withColumn("_lipika_place", place).withColumn("_lipika_word", F.expr("_lipika_place div 64"))
+    hit = F.coalesce(F.expr("shiftright(_lipika_bits, cast(_lipika_place % 64 as int)) & 1"), F.lit(0)) == 1
+    joined = marked.join(F.broadcast(stash(at, "bits")), "_lipika_word", "left").withColumn("_lipika_maybe", hit & F.col("doc_id").isNotNull())
+    return joined.select(*docs.columns, "_lipika_maybe")
+
+
 def similar_documents(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8, max_bits: int = 2) -> DataFrame:
     """doc_id, component_id of every doc_id that is not null: groups by links of near fingerprints and of documents whose sets of shingles have a Jaccard similarity of at least so much.
 
@@ -270,7 +283,7 @@ def similar_documents(docs: DataFrame, words_per_shingle: int = 5, similarity: f
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, words_per_shingle).tobytes() for t in raw(b.column(1))], pa.binary())], names=["doc_id", "set"])
 
-    have = stash(docs.join(asked, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, set binary"), "sets", free=True)
+    have = stash(likely(docs, asked).where("_lipika_maybe").drop("_lipika_maybe").join(asked, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "doc_id long, set binary"), "sets", free=True)
     side = lambda c: have.select(F.col("doc_id").alias(c), F.col("set").alias(f"s{c}"))
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,9 +304,12 @@ def similar_documents(docs: DataFrame, words_per_shingle: int = 5, similarity: f
 
 def keep_one(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without all but the document with the smallest doc_id of each group of similar_documents(); of rows with that doc_id, one. Rows with a null doc_id stay, as they can't be told apart."""
-    grouped = similar_documents(docs, words_per_shingle, similarity)
-    kept = stash(grouped.where("doc_id = component_id").select("doc_id"), "kept", free=True)
-    repeated = not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
-    out = docs.join(kept, "doc_id", "left_semi")
-    out = out.dropDuplicates(["doc_id"]) if repeated else out
-    return out.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    grouped = stash(similar_documents(docs, words_per_shingle, similarity), "similar", free=True)
+    kept, gone = (grouped.where(f"doc_id {x} component_id").select("doc_id") for x in ("=", "<>"))
+    # texts that can't be among those that go stay where they are; the others meet the exact list
+    marked = likely(docs, gone)
+    out = marked.where("not _lipika_maybe").unionByName(marked.where("_lipika_maybe").join(kept, "doc_id", "left_semi")).drop("_lipika_maybe")
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return out.select(docs.columns)
+    some = out.where("doc_id is not null").dropDuplicates(["doc_id"])
+    return some.unionByName(out.where("doc_id is null")).select(docs.columns)
