@@ -26,7 +26,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of PASSAGE_WORDS words or more that a document with a smaller doc_id has; n_chars follows."""
-    out = substrings.dedup_substrings(docs, window=PASSAGE_WORDS, rounds=6, emit="text", names=("_lipika_words", "_lipika_removed"))
+    out = substrings.dedup_substrings(docs, window=PASSAGE_WORDS, rounds=6, emit="text", names=("_lipika_words", "_lipika_removed"), block_bytes=2 << 20)
     return out.withColumn("n_chars", F.when(F.col("_lipika_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
