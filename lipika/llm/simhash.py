@@ -225,7 +225,7 @@ def class_keys(h: np.ndarray, similarity: float, rate: int = 6) -> np.ndarray:
 
 
 def similar_pairs(docs: DataFrame, words_per_shingle: int, similarity: float, documents: int = 1000) -> DataFrame:
-    """Candidates (a, b), a < b: documents that share a class of shingles, each paired with the first that has it and with the one before, so they grow with members, never with pairs."""
+    """Candidates (a, b), a < b: documents that share a class of shingles, each paired with the first that has it and with the one before, so they grow with members, never with pairs. other_pairs() gives what these leave."""
     parts = 8 + docs.count() // (2 * documents)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,6 +254,65 @@ def similar_pairs(docs: DataFrame, words_per_shingle: int, similarity: float, do
     return docs.select("doc_id", "text").mapInArrow(keys, PACKED).groupBy("part").applyInArrow(pairs, "a long, b long").distinct()
 
 
+def sketch(h: np.ndarray) -> np.ndarray:
+    """256 bits, each the parity of the shingles that it stands for: two sets differ in as many shingles as their sketches in bits, at least."""
+    return np.packbits(np.bincount((mix(h) & np.uint64(255)).astype(np.int64), minlength=256) & 1).view(np.uint64)
+
+
+def other_pairs(docs: DataFrame, words_per_shingle: int, similarity: float, documents: int = 1000) -> DataFrame:
+    """Candidates (a, b) of docs (doc_id, component_id, text): all pairs of documents that share a class of shingles and are in different components, but those that their sizes or sketches prove to be below the similarity. Nothing is capped."""
+    parts = 8 + docs.count() // (2 * documents)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, documents):
+                part = batch.slice(a, documents)
+                own = [shingle_set(t, words_per_shingle) for t in raw(part.column(2))]
+                classes = [class_keys(h, similarity) for h in own]
+                key, row = np.concatenate(classes), np.repeat(np.arange(len(own)), [len(x) for x in classes])
+                order = np.argsort(key)
+                row = row[order]
+                ids, components = (np.array(part.column(i).to_pylist(), np.int64) for i in (0, 1))
+                marks = np.stack([sketch(h) for h in own])
+                yield pack_keys(0, key[order], [ids[row], components[row], np.array([len(h) for h in own], np.int64)[row], *[marks[row, i] for i in range(4)]], parts)
+
+    def pairs(t: pa.Table) -> pa.Table:
+        key = np.concatenate([np.cumsum(unsqueeze(b, np.uint64), dtype=np.uint64) for b in t.column("keys").to_pylist()])
+        vals = t.column("vals").to_pylist()
+        column = lambda i, kind: np.concatenate([unsqueeze(v[i], kind) for v in vals])
+        ids, components, sizes = (column(i, np.int64) for i in range(3))
+        marks = np.stack([column(i, np.uint64) for i in range(3, 7)], axis=1)
+        order = np.lexsort((ids, components, key))
+        first = runs(key[order])
+        n = np.diff(np.append(first, len(key)))
+        # only classes with members of more than one component have pairs left
+        mixed = components[order][first] != components[order][first + n - 1]
+        order, n = order[np.repeat(mixed, n)], n[mixed]
+        ids, components, sizes, marks = ids[order], components[order], sizes[order], marks[order]
+        end = np.repeat(np.cumsum(n), n)
+        out, held = [np.zeros((2, 0), np.int64)], 0
+        i, apart = np.arange(len(ids)), 0
+        while len(i):
+            apart += 1
+            i = i[i + apart < end[i]]
+            for at in range(0, len(i), 1 << 18):
+                x = i[at : at + (1 << 18)]
+                x = x[components[x] != components[x + apart]]
+                y = x + apart
+                differ = np.maximum(np.bitwise_count(marks[x] ^ marks[y]).sum(1, dtype=np.int64), np.abs(sizes[x] - sizes[y]))
+                ok = differ * (1 + similarity) <= (sizes[x] + sizes[y]) * (1 - similarity) + 1e-6
+                x, y = ids[x[ok]], ids[y[ok]]
+                out.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
+                held += len(x)
+            if held > 1 << 20:
+                out = [np.unique(np.concatenate(out, axis=1), axis=1)]
+                held = 0
+        both = np.unique(np.concatenate(out, axis=1), axis=1)
+        return pa.table({"a": pa.array(both[0]), "b": pa.array(both[1])})
+
+    return docs.select("doc_id", "component_id", "text").mapInArrow(keys, PACKED).groupBy("part").applyInArrow(pairs, "a long, b long").distinct()
+
+
 def likely(docs: DataFrame, ids: DataFrame, bits: int = 1 << 23) -> DataFrame:
     """docs with _lipika_maybe: true for every doc_id that is in ids, and by chance for some others; false for null.
 
@@ -270,13 +329,30 @@ def likely(docs: DataFrame, ids: DataFrame, bits: int = 1 << 23) -> DataFrame:
 def similar_documents(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8, max_bits: int = 2) -> DataFrame:
     """doc_id, component_id of every doc_id that is not null: groups by links of near fingerprints and of documents whose sets of shingles have a Jaccard similarity of at least so much.
 
-    Fingerprints of 64 bits find nearly all pairs of 0.95 and more; below, pairs that differ in more bits come from shared classes of shingles, and each is verified on its whole sets.
+    Fingerprints of 64 bits find nearly all pairs of 0.95 and more; below, pairs that differ in more bits come from shared classes of shingles, and each is verified on its whole sets: first each document with the first of a class and the one before, then every pair of a class that is still in different components.
     """
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     near = stash(near_duplicates(docs, words_per_shingle, max_bits).groupBy("doc_id").agg(F.min("component_id").alias("component_id")), "groups", free=True)
-    of = lambda c: near.select(F.col("doc_id").alias(c), F.col("component_id").alias(f"c{c}"))
     found = stash(similar_pairs(docs, words_per_shingle, similarity), "pairs", free=True)
-    apart = stash(found.join(of("a"), "a").join(of("b"), "b").where("ca <> cb"), "pairs", free=True)
+    near = stash(_merged(docs, near, _apart(found, near), words_per_shingle, similarity), "groups", free=True)
+    # a class in several components has a pair of its first document that was not linked: all its members are in the components of such pairs
+    unlinked = _apart(found, near).select(F.explode(F.array("ca", "cb")).alias("component_id")).distinct()
+    salt = F.explode(F.sequence(F.lit(0), F.lit(63)))  # a component may hold many documents
+    rest = stash(near.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(64)).cast("int")).join(unlinked.withColumn("salt", salt), ["component_id", "salt"], "left_semi").select("doc_id", "component_id"), "open")
+    texts = likely(docs, rest).where("_lipika_maybe").drop("_lipika_maybe").join(rest, "doc_id")
+    others = stash(other_pairs(texts, words_per_shingle, similarity), "pairs", free=True)
+    return _merged(docs, near, _apart(others, near), words_per_shingle, similarity)
+
+
+def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """pairs (a, b) of different components, with these (ca, cb)."""
+    of = lambda c: groups.select(F.col("doc_id").alias(c), F.col("component_id").alias(f"c{c}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").where("ca <> cb")
+
+
+def _merged(docs: DataFrame, groups: DataFrame, candidates: DataFrame, words_per_shingle: int, similarity: float) -> DataFrame:
+    """groups (doc_id, component_id) with the components joined that a pair of candidates (a, b, ca, cb) links whose whole sets of shingles are that similar."""
+    apart = stash(candidates, "pairs", free=True)
     asked = stash(apart.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "asked")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,7 +375,7 @@ def similar_documents(docs: DataFrame, words_per_shingle: int = 5, similarity: f
 
     links = apart.join(side("a"), "a").join(side("b"), "b").select("ca", "cb", "sa", "sb").mapInArrow(verified, "a long, b long")
     roots = connected(links).select(F.col("node").alias("component_id"), "root")
-    return near.join(roots, "component_id", "left").select("doc_id", F.coalesce("root", "component_id").alias("component_id"))
+    return groups.join(roots, "component_id", "left").select("doc_id", F.coalesce("root", "component_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8) -> DataFrame:

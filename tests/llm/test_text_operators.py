@@ -182,6 +182,22 @@ def test_keep_one_of_similar(spark, rows):
     assert simhash.keep_one(d.limit(0)).count() == 0
 
 
+def test_every_edited_version_meets_its_original(spark):
+    import random
+
+    r = random.Random(3)
+    rows = []
+    for g in range(6):  # versions that are similar to their original only (0.82, to each other 0.67), whose id is in the middle of theirs
+        base = [f"g{g}w{i}" for i in range(204)]
+        for v in range(15):
+            own = list(base)
+            for at in r.sample(range(5, 199, 5), 4 if v != 7 else 0):
+                own[at] = f"z{v}"
+            rows.append((g * 100 + v, " ".join(own)))
+    ids = [x.doc_id for x in simhash.keep_one(frame(spark, rows)).collect()]
+    assert set(ids) == set(brute_similar(rows, 5, 0.8).values()) == {0, 100, 200, 300, 400, 500} and len(ids) == 6
+
+
 def test_dense_fingerprints(spark):
     import random
 
