@@ -35,7 +35,7 @@ def _steps(first: float, last: float, n: int = 40) -> tuple[float, ...]:
 
 @dataclass(frozen=True)
 class QualityConfig:
-    """false_rejection: most good documents of a stratum that all cutoffs together may reject, with a probability of 1 - risk over all strata and rules together."""
+    """false_rejection: most good documents of a stratum that all cutoffs together may reject, with a probability of 1 - risk over all strata together; strata with too few labels count as one."""
 
     strata: tuple[str, ...] = ("en", "fr", "de", "es")
     false_rejection: float = 0.02
@@ -115,36 +115,79 @@ def _beaten(rule: Rule, counts: str) -> Column:
     return F.filter(F.array(*[F.lit(g) for g in rule.grid]), (lambda g: ratio < g) if rule.low else (lambda g: ratio > g))
 
 
+def _path(bad: np.ndarray, plain: np.ndarray) -> list[tuple[int, int]]:
+    """Moves (rule, level) from lenient to strict, a rule's level being the number of its cutoffs passed: each time the one that rejects most bad documents for each unlabelled one.
+
+    bad, plain: documents by rule and by the level that rejects them first. No good label has a part in it.
+    """
+    at, out = [0] * len(bad), []
+    while True:
+        best = None
+        for r in range(len(bad)):
+            gain, cost = (np.cumsum(x[r, at[r] + 1 :]) for x in (bad, plain))
+            for k in np.nonzero(np.diff(gain, prepend=0))[0]:
+                # without unlabelled documents, for each step of the grid
+                score = gain[k] / (cost[k] + 1 if plain.any() else k + 1)
+                if best is None or score > best[0]:
+                    best = (score, r, at[r] + 1 + int(k))
+        if best is None:
+            return out
+        at[best[1]] = best[2]
+        out.append(best[1:])
+
+
+def least_labels(c: QualityConfig) -> int:
+    """The fewest labelled good documents with which a cutoff that rejects none of them can be certified."""
+    return int(np.ceil(np.log(c.risk / (len(c.strata) + 1)) / np.log(1 - c.false_rejection)))
+
+
 def fit_cutoffs(measured: DataFrame, labels: DataFrame, c: QualityConfig = QualityConfig(), counts: str = "counts") -> dict[tuple[str, str], float]:
-    """The strictest certified cutoff of each (stratum, rule); none where no cutoff can be certified.
+    """The strictest certified cutoffs of each (stratum, rule); none where no cutoff can be certified.
 
-    Labelled good documents (quality 1; of conflicting labels the best counts) that pass the base rules are the holdout. For each rule, cutoffs are tested from lenient to strict and the test stops at the first whose Clopper-Pearson bound of the false-rejection rate exceeds false_rejection / rules: in a fixed sequence, that needs no correction among cutoffs. Strata and rules share risk (Bonferroni).
-    Only the counts per stratum, rule and grid cell come to the driver, (strata + 1) * rules * (grid + 1) at most.
+    Labelled good documents (quality 1; of conflicting labels the best counts) that pass the base rules are the holdout; all rules of a stratum are certified together. One sequence of moves, each of which makes one rule stricter, is chosen from labelled bad and unlabelled documents (without bad ones: all rules in turn), and the sequence ends before the first at which the Clopper-Pearson bound of the rate of holdouts that any rule rejects exceeds false_rejection: in a fixed sequence, that needs no correction among cutoffs or rules. Strata share risk (Bonferroni).
+    Strata with fewer than least_labels() holdouts, but any, are one stratum together and have the same cutoffs.
+    Only the counts per stratum, rule and grid cell and per stratum and move come to the driver.
     """
     best = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(r.name).alias("rule"),
-                # the number of cutoffs that reject this document: those of the strict end
-                F.size(_beaten(r, counts)).alias("hit"),
-            )
-            for r in c.rules
-        ]
-    )
-    good = measured.where(~base_failed(counts, c)).select("doc_id", stratum(measured, c).alias("stratum"), F.explode(cells).alias("c"))
-    rows = good.join(best.where("quality = 1"), "doc_id").groupBy("stratum", "c.rule", "c.hit").count().collect()
+    # hit: the number of cutoffs that reject this document, those of the strict end
+    hits = F.array(*[F.size(_beaten(r, counts)) for r in c.rules])
+    judged = measured.where(~base_failed(counts, c)).select("doc_id", stratum(measured, c).alias("stratum"), hits.alias("hits")).join(best, "doc_id", "left")
+    rows = judged.select("stratum", "quality", F.posexplode("hits").alias("rule", "hit")).groupBy("stratum", "quality", "rule", "hit").count().collect()
+    holdouts: dict[str, int] = {}
+    for x in rows:
+        if x["quality"] == 1 and x["rule"] == 0:
+            holdouts[x["stratum"]] = holdouts.get(x["stratum"], 0) + x["count"]
+    if not holdouts:
+        return {}
+    pool = {s: s if n >= least_labels(c) else "" for s, n in holdouts.items()}
+    most = max(len(r.grid) for r in c.rules)
+    paths = {}
+    for g in set(pool.values()):
+        seen = {q: np.zeros((len(c.rules), most + 1), np.int64) for q in (0, None)}
+        for x in rows:
+            if pool.get(x["stratum"]) == g and x["quality"] in seen and x["hit"]:
+                seen[x["quality"]][x["rule"], len(c.rules[x["rule"]].grid) - x["hit"] + 1] += x["count"]
+        paths[g] = _path(seen[0], seen[None]) or [(r, i) for i in range(1, most + 1) for r in range(len(c.rules)) if i <= len(c.rules[r].grid)]
+    # the first move that rejects a holdout, by stratum, rule and hit
+    first = {}
+    for g, path in paths.items():
+        for r, rule in enumerate(c.rules):
+            reached = lambda level, r=r, path=path: next((i for i, (x, n) in enumerate(path) if x == r and n >= level), len(path))
+            first[g, r] = [len(path), *[reached(len(rule.grid) - h + 1) for h in range(1, len(rule.grid) + 1)]]
+    group = F.coalesce(*[F.when(F.col("stratum") == s, F.lit(g)) for s, g in pool.items()])
+    moves = F.coalesce(*[F.when(F.col("group") == g, F.least(*[F.get(F.array(*[F.lit(x) for x in first[g, r]]), F.col("hits")[r]) for r in range(len(c.rules))])) for g in paths])
+    falls = judged.where("quality = 1").withColumn("group", group).select("group", moves.alias("move")).groupBy("group", "move").count().collect()
     cutoffs: dict[tuple[str, str], float] = {}
-    risk = c.risk / ((len(c.strata) + 1) * len(c.rules))
-    for s in {x["stratum"] for x in rows}:
-        for r in c.rules:
-            by = {x["hit"]: x["count"] for x in rows if x["stratum"] == s and x["rule"] == r.name}
-            total = sum(by.values())
-            for i, cutoff in enumerate(r.grid):
-                rejected = sum(v for hit, v in by.items() if hit >= len(r.grid) - i)
-                if binomial_upper(rejected, total, risk) > c.false_rejection / len(c.rules):
-                    break
-                cutoffs[s, r.name] = cutoff
+    risk = c.risk / (len(c.strata) + 1)
+    for g, path in paths.items():
+        by = {x["move"]: x["count"] for x in falls if x["group"] == g}
+        total, rejected = sum(by.values()), 0
+        for i, (r, level) in enumerate(path):
+            rejected += by.get(i, 0)
+            if binomial_upper(rejected, total, risk) > c.false_rejection:
+                break
+            for s in [s for s, x in pool.items() if x == g]:
+                cutoffs[s, c.rules[r].name] = c.rules[r].grid[level - 1]
     return cutoffs
 
 

@@ -92,6 +92,17 @@ def test_cutoffs_keep_good_documents(spark):
     assert all(r.kept for r in quality.judge_quality(d, bad).select("_quality.kept").collect())
 
 
+def test_few_hundred_labels_certify_cutoffs(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    langs = ["en"] * 300 + ["de"] * 130 + ["fr"] * 130  # de and fr have too few alone, not together
+    rows = [(i, base + (" #" * 50 if i % 10 == 0 else ""), x) for i, x in enumerate(langs)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 10 != 0)) for i in range(len(rows))], "doc_id long, quality int")
+    assert quality.least_labels(quality.QualityConfig()) == 228
+    assert all(r.kept == (r.doc_id % 10 != 0) for r in quality.judge_quality(d, labels).select("doc_id", "_quality.kept").collect())
+    assert all(r.kept for r in quality.judge_quality(d, labels.where("doc_id < 200")).select("_quality.kept").collect())
+
+
 @pytest.mark.parametrize("k, n, risk", [(0, 50, 0.05), (3, 100, 0.01), (10, 20, 0.025), (0, 3000, 0.002)])
 def test_binomial_bound_is_exact(k, n, risk):
     p = common.binomial_upper(k, n, risk)
