@@ -57,11 +57,33 @@ def ivf_cells(base: DataFrame, n_cells: int | None = None, key: str = "vec_id",
     return model.transform(data).drop("_v"), model.clusterCenters()
 
 
-def ivf_topk(base: DataFrame, queries: DataFrame, k: int, nprobe: int = 1, n_cells: int | None = None, key: str = "vec_id", query_key: str = "query_id", vector: str = "embedding") -> DataFrame:
-    """As l2_topk, but only rows of a query's nprobe nearest cells are compared. At most 100 centres travel with the plan."""
-    cells, centres = ivf_cells(base, n_cells, key, vector)
+def _nearest_cells(centres: list[np.ndarray], vector: str) -> Column:
+    """Numbers of all cells, nearest centre first."""
     rows = F.array(*[F.struct(squared_l2(F.col(vector), F.array(*[F.lit(float(x)) for x in c])).alias("d"), F.lit(i).alias("cell")) for i, c in enumerate(centres)])
-    probes = queries.select(query_key, F.col(vector).alias("_q"), F.explode(F.transform(F.slice(F.array_sort(rows), 1, nprobe), lambda r: r["cell"])).alias("cell"))
+    return F.transform(F.array_sort(rows), lambda r: r["cell"])
+
+
+def calibrated_probes(cells: DataFrame, centres: list[np.ndarray], queries: DataFrame, k: int, recall: float = 0.95, sample: int = 256, key: str = "vec_id", query_key: str = "query_id", vector: str = "embedding") -> int:
+    """The fewest cells to probe that hold that share of the true k nearest (brute force over all rows) of a sample of the queries, chosen by hash. One row a cell comes to the driver."""
+    some = queries.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(query_key), query_key).limit(sample)
+    truth = l2_topk(cells.select(key, vector), some, k, key, query_key, vector).select(query_key, key)
+    order = some.select(query_key, _nearest_cells(centres, vector).alias("_cells"))
+    place = truth.join(cells.select(key, "cell"), key).join(order, query_key).select(F.array_position("_cells", F.col("cell")).alias("n"))
+    by = {r["n"]: r["count"] for r in place.groupBy("n").count().collect()}
+    held, total = 0, sum(by.values())
+    for n in range(1, len(centres) + 1):
+        held += by.get(n, 0)
+        if held >= recall * total:
+            return n
+    return len(centres)
+
+
+def ivf_topk(base: DataFrame, queries: DataFrame, k: int, nprobe: int | None = 1, n_cells: int | None = None, key: str = "vec_id", query_key: str = "query_id", vector: str = "embedding") -> DataFrame:
+    """As l2_topk, but only rows of a query's nprobe nearest cells are compared (None: calibrated_probes()). At most 100 centres travel with the plan."""
+    cells, centres = ivf_cells(base, n_cells, key, vector)
+    if nprobe is None:
+        nprobe = calibrated_probes(cells, centres, queries, k, key=key, query_key=query_key, vector=vector)
+    probes = queries.select(query_key, F.col(vector).alias("_q"), F.explode(F.slice(_nearest_cells(centres, vector), 1, nprobe)).alias("cell"))
     pairs = cells.select(key, vector, "cell").join(probes, "cell").select(query_key, key, F.round(squared_l2(F.col(vector), F.col("_q")), 6).alias("dist"))
     w = Window.partitionBy(query_key).orderBy("dist", key)
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -375,7 +375,7 @@ def vector_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("ivf_topk", None)
 def ivf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return vector.ivf_topk(e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 10, nprobe=8)
+    return vector.ivf_topk(e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 10, nprobe=None)
 
 
 SQL_FUSED = f"""{SQL_BM25}, {sql_vec('(SELECT e.* FROM embeddings e JOIN benchmark ON item_id = vec_id)', K)},

@@ -42,6 +42,14 @@ def test_ivf_recall(spark):
     assert len(ann & exact) >= 0.6 * len(exact)
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables here")
+def test_ivf_is_calibrated(spark):
+    at = "/root/testdata/sf0.01"
+    ann = {(r.query_id, r.vec_id) for r in queries.ivf_topk(spark, at).collect()}
+    exact = {(r.query_id, r.ix) for r in queries.vector_topk(spark, at).collect()}
+    assert len(ann & exact) >= 0.9 * len(exact)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
