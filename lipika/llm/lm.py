@@ -27,7 +27,7 @@ class LmConfig:
     """
 
     order: int = 3
-    min_word: int = 10
+    min_word: int = 2
     min_count: int = 2
     discount: float = 0.75
     folds: int = 7

@@ -326,6 +326,13 @@ def test_scores(spark, rows, c):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == w[:4] and r.base_score == pytest.approx(w[4]) and r.score == pytest.approx(w[5])
 
 
+def test_every_repeated_ngram_counts(spark):
+    rows = [(i, f"the rare{i % 20} thing{i % 20} the end") for i in range(60)]  # words seen three times at most
+    want = brute_scores(rows, lm.LmConfig(min_word=1))
+    got = lm.score_documents(frame(spark, rows)).collect()
+    assert len(got) == 60 and all(r.score == pytest.approx(want[r.doc_id][5]) for r in got)
+
+
 def test_scores_of_little(spark):
     assert lm.score_documents(spark.createDataFrame([], DOCS)).count() == 0
     r = lm.score_documents(spark.createDataFrame([(None, None)], DOCS)).first()
