@@ -255,6 +255,7 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks: dict = {}
+        pieces_of: dict = {}  # bytes by id
         decimal = [str(i) for i in range(n_ids)]
         for b in batches:
             for r in range(b.num_rows):
@@ -265,8 +266,10 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
                 tokens, raws = folded.field("ids").to_pylist(), folded.field("bytes").to_pylist()
                 if long_at:
                     ranks = ranks or load_ranks(path)
+                    pieces_of = pieces_of or {i: w for w, i in ranks.items()}
                     for i, w in zip(long_at, long_words, strict=True):
-                        tokens[i], raws[i] = merge_by_heap(w, ranks), w
+                        tokens[i] = merge_by_heap(w, ranks)
+                        raws[i] = b"".join([pieces_of[x] for x in tokens[i]])
                 # of each distinct string: tokens, and their decimal form or themselves, and decoded bytes
                 lens, shown, bytes_, at = [], [], [], 0
                 for n in parts:

@@ -51,6 +51,12 @@ def test_long_words_merge_alike(tik):
         assert bpe.merge_by_heap(w, ranks) == tik.encode_ordinary(w.decode()) or len(tik.encode_ordinary(w.decode())) > 1
 
 
+def test_long_words_are_decoded_from_their_ids(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "merge_by_heap", lambda w, ranks: [ranks[w[:1]]])  # a fault in encoding
+    r = bpe.encode(frame(spark, [(1, "z" * 600)]), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), emit="ids").first()
+    assert len(r.ids) == 1 and bytes(r.decoded) == b"z"
+
+
 # --- 4: quality ---
 
 
