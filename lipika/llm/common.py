@@ -1,7 +1,8 @@
-"""Helpers that the training-data operators share: shared storage, exact binomial bounds, packed exchanges."""
+"""Helpers that the training-data operators share: storage, exact binomial bounds, packed exchanges."""
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,12 +16,14 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Lowers the session's limit of rows in an Arrow batch: rows here are whole texts, and both sides of the exchange hold a batch."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
+    """Lowers the session's limits of an Arrow batch, in rows and in bytes: rows here are whole texts, and both sides of the exchange hold a batch. Lower limits that the caller has set stay."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key))
     if now <= 0 or now > rows:
         spark.conf.set(key, str(rows))
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, "64MB", "67108864b"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,27 +32,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (as in tests) a new temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master, where all is one machine, may leave it unset (as tests do); it then is a new temporary one."""
     small_batches(spark)
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="lipika-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
-def stash(df: DataFrame, name: str, codec: str = "zstd", free: bool = False) -> DataFrame:
-    """df written to the shared folder as Parquet and read again; cuts its lineage, and a lost executor loses nothing of it.
+@contextlib.contextmanager
+def shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """Spark deletes the shuffle files of each query within as soon as it ends; else they stay on the executors' disks until the driver's JVM happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
-    free: asks the driver's JVM to collect its garbage, on which Spark deletes the shuffle files that nothing refers to any more; else those of all earlier steps stay on the executors' disks until the driver happens to collect.
-    """
+
+def stash(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    """df written to the shared folder as Parquet and read again; cuts its lineage, and a lost executor loses nothing of it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lipika-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    with shuffles_end(spark):
+        df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lipika_path = path  # for discard()
-    if free:
-        spark._jvm.System.gc()
     return out
 
 
@@ -58,7 +71,8 @@ def stash_buckets(df: DataFrame, key: str, name: str, codec: str = "zstd") -> Da
     spark = df.sparkSession
     unique = uuid.uuid4().hex
     buckets, entry = int(spark.conf.get("spark.sql.shuffle.partitions")), f"lipika_{unique}"
-    df.write.format("parquet").option("compression", codec).option("path", f"{shared_dir(spark)}/lipika-{name}-{unique}").bucketBy(buckets, key).saveAsTable(entry)
+    with shuffles_end(spark):
+        df.write.format("parquet").option("compression", codec).option("path", f"{shared_dir(spark)}/lipika-{name}-{unique}").bucketBy(buckets, key).saveAsTable(entry)
     out = spark.table(entry)
     out._lipika_path = f"{shared_dir(spark)}/lipika-{name}-{unique}"
     spark.sql(f"drop table {entry}")  # the catalog's entry of an external table; the files stay
@@ -227,6 +241,13 @@ def hashes(words: list[bytes]) -> np.ndarray:
 
 
 PACKED = "part int, block long, n long, keys binary, vals array<binary>"
+#: Rows that a sender makes of its keys, whatever the input.
+FAN = 64
+
+
+def parts_of(blocks: int, share: int = 4) -> int:
+    """Parts of the key space, a multiple of FAN: so many that a part gets the keys of share blocks, or FAN where that is more."""
+    return FAN * max(1, -(-blocks // (FAN * share)))
 
 
 def _codec(kind: str):
@@ -247,9 +268,15 @@ def unsqueeze(b: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
 
 
-def pack_keys(block: int, keys: np.ndarray, vals: list[np.ndarray], parts: int) -> pa.RecordBatch:
-    """Sorted 64-bit keys of a block, with values each, as one row for each part of the key space that has any."""
-    edges = [0, *np.searchsorted(keys, np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)).tolist(), len(keys)]
+def _edges(keys: np.ndarray, first: int, count: int, parts: int) -> list[int]:
+    """Where the parts first .. first + count of the whole key space cut sorted keys that lie in these."""
+    inner = np.array([(i << 64) // parts for i in range(first + 1, first + count)], np.uint64)
+    return [0, *np.searchsorted(keys, inner).tolist(), len(keys)]
+
+
+def pack_keys(block: int, keys: np.ndarray, vals: list[np.ndarray]) -> pa.RecordBatch:
+    """Sorted 64-bit keys of a block, with values each, as one row for each of FAN parts of the key space that has any."""
+    edges = _edges(keys, 0, FAN, FAN)
     rows = [(p, a, b) for p, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
     return pa.RecordBatch.from_arrays(
         [
@@ -263,22 +290,71 @@ def pack_keys(block: int, keys: np.ndarray, vals: list[np.ndarray], parts: int)
     )
 
 
-def exchange(packed: DataFrame, answer: Callable[..., np.ndarray], kinds: list[type], reply: type) -> DataFrame:
-    """Each part's keys of all blocks meet in one task; every key of every block gets a reply, which goes back packed.
+def unpack_keys(cell: bytes) -> np.ndarray:
+    return np.cumsum(unsqueeze(cell, np.uint64), dtype=np.uint64)
 
-    packed: rows of pack_keys(). answer(keys, *vals): the replies, in the order of keys. Callers choose the number of parts by the number of blocks, so a part's size does not grow with the input; a key is in a block once (or few times), whatever its frequency.
-    Result: part, block, reply: the replies in the order of the block's keys of that part.
+
+BUNDLED = PACKED + ", who binary, ns binary"
+
+
+def gathered(packed: DataFrame, kinds: list[type], parts: int) -> DataFrame:
+    """Rows of pack_keys() in rows of BUNDLED for each of parts parts of the key space.
+
+    A sender's rows are FAN whatever the input, so all rows grow in proportion to it. Beyond FAN parts there are two hops: rows of a part and of some FAN senders meet in one task, which cuts them in finer parts and bundles each of these; block is then the bundle's number, who the senders' and ns their numbers of keys. Up to FAN parts rows stay as they are.
+    """
+    if parts <= FAN:
+        return packed
+    fine, groups = parts // FAN, max(1, parts * 4 // FAN)
+
+    def bundle(t: pa.Table) -> pa.Table:
+        t = t.sort_by("block")
+        part, group, who = t.column("part")[0].as_py(), t.column("sender")[0].as_py(), t.column("block").to_numpy()
+        keys = [unpack_keys(b) for b in t.column("keys").to_pylist()]
+        vals = [[unsqueeze(v, kind) for v, kind in zip(row, kinds, strict=True)] for row in t.column("vals").to_pylist()]
+        edges = [_edges(k, part * fine, fine, parts) for k in keys]
+        out: list[list] = [[] for _ in range(7)]
+        for j in range(fine):
+            ns = np.array([e[j + 1] - e[j] for e in edges], np.int64)
+            if ns.any():
+                own = np.concatenate([k[e[j] : e[j + 1]] for k, e in zip(keys, edges, strict=True)])
+                cells = [squeeze(np.concatenate([v[i][e[j] : e[j + 1]] for v, e in zip(vals, edges, strict=True)])) for i in range(len(kinds))]
+                for x, y in zip(out, (part * fine + j, part * groups + group, len(own), squeeze(np.diff(own, prepend=np.uint64(0))), cells, who.tobytes(), ns.tobytes()), strict=True):
+                    x.append(y)
+        types = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.binary(), pa.binary()]
+        return pa.table([pa.array(x, k) for x, k in zip(out, types, strict=True)], names=["part", "block", "n", "keys", "vals", "who", "ns"])
+
+    return packed.withColumn("sender", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int")).groupBy("part", "sender").applyInArrow(bundle, BUNDLED)
+
+
+def exchange(packed: DataFrame, answer: Callable[..., np.ndarray], kinds: list[type], reply: type, parts: int) -> DataFrame:
+    """Each part's keys of all blocks meet in one task; every key of every block gets a reply, which goes back packed, by the same hops.
+
+    packed: rows of pack_keys(). answer(keys, *vals): the replies, in the order of keys. parts: parts_of() the number of blocks, so a part's size does not grow with the input; a key is in a block once (or few times), whatever its frequency.
+    Result: part (one of FAN), block, reply: the replies in the order of the block's keys of that part.
     """
+    more = ["who", "ns"] if parts > FAN else []
 
     def reduce(t: pa.Table) -> pa.Table:
         n = t.column("n").to_numpy()
-        keys = np.concatenate([np.cumsum(unsqueeze(b, np.uint64), dtype=np.uint64) for b in t.column("keys").to_pylist()])
+        keys = np.concatenate([unpack_keys(b) for b in t.column("keys").to_pylist()])
         vals = t.column("vals").to_pylist()
         got = answer(keys, *[np.concatenate([unsqueeze(v[i], kind) for v in vals]) for i, kind in enumerate(kinds)]).astype(reply)
         ends = np.cumsum(n)
-        return pa.table({"part": t.column("part"), "block": t.column("block"), "reply": pa.array([squeeze(got[e - k : e]) for e, k in zip(ends, n, strict=True)], pa.binary())})
-
-    return packed.groupBy("part").applyInArrow(reduce, "part int, block long, reply binary")
+        cells = pa.array([squeeze(got[e - k : e]) for e, k in zip(ends, n, strict=True)], pa.binary())
+        return pa.table([t.column("part"), t.column("block"), cells, *[t.column(c) for c in more]], names=["part", "block", "reply", *more])
+
+    def unbundle(t: pa.Table) -> pa.Table:
+        t = t.sort_by("part")
+        who, got = ints(t.column("who")[0].as_py()), []
+        for cell, ns in zip(t.column("reply").to_pylist(), t.column("ns").to_pylist(), strict=True):
+            got.append(np.split(unsqueeze(cell, reply), np.cumsum(ints(ns))[:-1]))
+        cells = [np.concatenate(x) for x in zip(*got, strict=True)]
+        part = t.column("part")[0].as_py() * FAN // parts
+        rows = [(w, squeeze(x)) for w, x in zip(who.tolist(), cells, strict=True) if len(x)]
+        return pa.table([pa.array([part] * len(rows), pa.int32()), pa.array([w for w, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["part", "block", "reply"])
+
+    answered = gathered(packed, kinds, parts).groupBy("part").applyInArrow(reduce, "part int, block long, reply binary" + "".join(f", {c} binary" for c in more))
+    return answered.groupBy("block").applyInArrow(unbundle, "part int, block long, reply binary") if more else answered
 
 
 def replies(answers: DataFrame, name: str) -> DataFrame:

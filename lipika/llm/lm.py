@@ -1,6 +1,8 @@
 """Language-model scoring by a weighted backoff automaton over n-grams counted in the whole corpus.
 
-Documents become blocks of token numbers. All counts are exact sums over all training documents, found by packed exchanges: every block sends its distinct n-grams with its own counts and gets the corpus counts back, so each block ends up with the part of the model that its documents can reach, and no task holds more.
+Documents become blocks of token numbers. All counts are exact sums over all training documents, found by one packed exchange: every block sends its distinct n-grams of all lengths with its own counts and gets the corpus counts back, so each block ends up with the part of the automaton that its documents can reach, and no task holds more.
+
+N-grams are told apart by 63-bit hashes of their words' hashes. Of n distinct ones, about n * n / 2^64 collide and are counted as one: none to be expected below 1e9, and at 1e12 some 5e4, a share of 5e-8.
 """
 
 from __future__ import annotations
@@ -14,25 +16,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PACKED, exchange, hashes, ints, mix, pack_keys, read_replies, replies, rows_of, runs, squeeze, stash, stash_buckets, table, unsqueeze
+from .common import PACKED, exchange, hashes, ints, mix, pack_keys, parts_of, read_replies, replies, rows_of, runs, squeeze, stash, table, unsqueeze
 
 END = b"\n"  # no word holds a line break
 
 
 @dataclass(frozen=True)
 class LmConfig:
-    """order: longest n-gram. min_word: least count of a word in an n-gram of 2 words or more; min_count: least count of such an n-gram; rarer ones are left to backoff. discount: taken off each n-gram's count and given to shorter ones, and at last to the unknown word.
+    """order: longest n-gram. prior: how many observations the shorter context's distribution counts for in that of a longer one. discount: taken off each word's count and given to the one unknown word.
 
-    folds, held: a document is held out if crc32(doc_id as text) mod folds is held.
+    folds, held: a document is held out if crc32(doc_id as text) mod folds is held. stretch: tokens that the traversal reads in a row; a longer text is read in several stretches, each of which first reads the order - 1 tokens before it.
     """
 
     order: int = 3
-    min_word: int = 2
-    min_count: int = 2
+    prior: float = 16.0
     discount: float = 0.75
     folds: int = 7
     held: int = 2
     block_bytes: int = 4 << 20
+    stretch: int = 256
 
 
 CORPUS = "block long, ids binary, null_ids binary, sizes binary, held binary, seq binary, keys binary, train_tokens long"
@@ -75,265 +77,206 @@ def corpus_blocks(docs: DataFrame, c: LmConfig) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, CORPUS)
 
 
-class Level:
-    """The n-grams of one length in a block. at: positions where they end; key: their distinct keys, sorted; first: a place in at of each; of: place of each position's n-gram among the keys; count, owner: corpus counts (0: not in the model) and whether the block speaks for the n-gram when each is to be summed once."""
-
-    def __init__(self, at: np.ndarray, key: np.ndarray, first: np.ndarray, of: np.ndarray):
-        self.at, self.key, self.first, self.of = at, key, first, of
-        self.count = self.owner = self.sum = None
+class Grams:
+    """The n-grams of one length in a block. at: positions where they end; key: their distinct keys, sorted; first: a place in at of each; of: place of each position's n-gram among the keys; count: corpus counts."""
 
-    @classmethod
-    def found(cls, at: np.ndarray, gram: np.ndarray) -> Level:
+    def __init__(self, at: np.ndarray, gram: np.ndarray):
         order = np.argsort(gram)
         ordered = gram[order]
         start = runs(ordered)
-        of = np.empty(len(gram), np.int64)
-        of[order] = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(gram))))
-        return cls(at, ordered[start], order[start], of)
+        self.at, self.key, self.first = at, ordered[start], order[start]
+        self.of = np.empty(len(gram), np.int32)
+        self.of[order] = np.repeat(np.arange(len(start), dtype=np.int32), np.diff(np.append(start, len(gram))))
 
-    def answered(self, reply: np.ndarray) -> None:
-        self.count, self.owner = reply >> 1, (reply & 1).astype(bool)
 
-
-class BlockModel:
-    """A block with as many levels of the model as replies are there."""
+class Block:
+    """A block of documents with its n-grams of every length. The lowest bit of a key tells words from longer n-grams."""
 
     def __init__(self, row: dict, c: LmConfig):
         self.c = c
         self.ids, self.sizes = ints(row["ids"]), ints(row["sizes"])
         self.null = np.frombuffer(row["null_ids"], np.uint8).astype(bool)
         self.held = np.frombuffer(row["held"], np.uint8).astype(bool)
-        self.seq = unsqueeze(row["seq"], np.uint32).astype(np.int64)
-        self.words = np.cumsum(unsqueeze(row["keys"], np.uint64), dtype=np.uint64)
+        self.seq = unsqueeze(row["seq"], np.uint32).astype(np.int32)
+        words = np.cumsum(unsqueeze(row["keys"], np.uint64), dtype=np.uint64)
         ends = np.cumsum(self.sizes)
-        self.starts = ends - self.sizes
-        self.train = np.repeat(~self.held, self.sizes)
-        self.begins = np.zeros(len(self.seq), bool)
-        self.begins[self.starts] = True
-        self.ends = np.zeros(len(self.seq), bool)
-        self.ends[ends - 1] = True
-        # gram[i]: key of the n-gram of the latest level that ends at i; kept[i]: it is in the model
-        self.levels: list[Level] = []
-        self.gram, self.kept = self.words[self.seq], np.ones(len(self.seq), bool)
-
-    def unigrams(self, reply: np.ndarray) -> None:
-        at = np.arange(len(self.seq))
-        first = np.empty(len(self.words), np.int64)
-        first[self.seq] = at
-        level = Level(at, self.words, first, self.seq)
-        level.answered(reply)
-        self.levels.append(level)
-        self.kept = level.count[level.of] >= self.c.min_word
-
-    def grams(self) -> Level:
-        """Candidates of the next length: both shorter n-grams that they hold are in the model."""
-        ok = np.zeros(len(self.seq), bool)
-        ok[1:] = self.kept[1:] & self.kept[:-1] & ~self.begins[1:]
-        at = np.nonzero(ok)[0]
-        return Level.found(at, mix(mix(self.gram[at - 1] + np.uint64(len(self.levels))) * np.uint64(0x9E3779B97F4A7C15) + self.words[self.seq[at]]))
-
-    def next(self, reply: np.ndarray) -> Level:
-        """The next level with its counts."""
-        level = self.grams()
-        level.answered(reply)
-        self.levels.append(level)
-        self.before = (self.gram, self.kept)
-        self.gram, self.kept = np.zeros(len(self.seq), np.uint64), np.zeros(len(self.seq), bool)
-        self.gram[level.at] = level.key[level.of]
-        self.kept[level.at] = level.count[level.of] > 0
-        return level
-
-    def contexts(self) -> np.ndarray:
-        """Distinct keys of the n-grams before the latest level's last word that are in the model; sorted."""
-        gram, kept = self.before
-        return np.unique(gram[kept & ~self.ends])
-
-
-def _joined(corpus: DataFrame, tables: list[DataFrame]) -> DataFrame:
-    for t in tables:
-        corpus = corpus.join(t, "block", "left")
-    return corpus
-
-
-def _rebuild(row: dict, c: LmConfig, levels: int) -> BlockModel:
-    b = BlockModel(row, c)
-    b.unigrams(read_replies(row["count1"], np.int64))
-    for n in range(2, levels + 1):
-        level = b.next(read_replies(row[f"count{n}"], np.int64))
-        level.sum = (b.contexts(), read_replies(row.get(f"sum{n}"), np.float64))
-    return b
-
-
-def _counted(least: int):
-    """Replies 2 * count + owner: the corpus count of each key, 0 if under least, and 1 for the first of a key's askers."""
-
-    def answer(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        order = np.argsort(keys, kind="stable")
-        first = runs(keys[order])
-        total = np.add.reduceat(counts[order].astype(np.int64), first)
-        total[total < least] = 0
-        out = np.empty(len(keys), np.int64)
-        own = np.zeros(len(keys), np.int64)
-        own[first] = 1
-        out[order] = 2 * np.repeat(total, np.diff(np.append(first, len(keys)))) + own
-        return out
-
-    return answer
-
-
-def _summed(keys: np.ndarray, parts: np.ndarray) -> np.ndarray:
+        self.starts, self.n_words = ends - self.sizes, len(words)
+        inside = np.arange(len(self.seq)) - np.repeat(self.starts, self.sizes)
+        gram = words[self.seq]
+        self.levels = [Grams(np.arange(len(self.seq)), gram | np.uint64(1))]
+        for n in range(2, c.order + 1):
+            at = np.nonzero(inside >= n - 1)[0]
+            longer = np.zeros(len(self.seq), np.uint64)
+            longer[at] = mix(mix(gram[at - 1] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15) + words[self.seq[at]])
+            gram = longer
+            self.levels.append(Grams(at, gram[at] & ~np.uint64(1)))
+        keys = np.concatenate([x.key for x in self.levels])
+        self.order = np.argsort(keys, kind="stable")  # the levels' keys are runs
+        self.keys = keys[self.order]
+
+    def own_counts(self) -> np.ndarray:
+        """How often the block's training documents have each key."""
+        train = np.repeat(~self.held, self.sizes)
+        return np.concatenate([np.bincount(x.of[train[x.at]], minlength=len(x.key)) for x in self.levels]).astype(np.uint32)[self.order]
+
+    def answered(self, counts: np.ndarray) -> None:
+        """Corpus counts, in the order of the keys."""
+        by_level = np.empty(len(counts), np.int64)
+        by_level[self.order] = counts
+        for x, own in zip(self.levels, np.split(by_level, np.cumsum([len(x.key) for x in self.levels])[:-1]), strict=True):
+            x.count = own
+
+
+def _counted(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Four times the corpus count of each key, 2 more for a word, 1 more for the first of a key's askers."""
     order = np.argsort(keys, kind="stable")
-    first = runs(keys[order])
-    out = np.empty(len(keys))
-    out[order] = np.repeat(np.add.reduceat(parts[order], first), np.diff(np.append(first, len(keys))))
+    ordered = keys[order]
+    first = runs(ordered)
+    total = 4 * np.add.reduceat(counts[order].astype(np.int64), first) + 2 * (ordered[first] & np.uint64(1)).astype(np.int64)
+    found = np.repeat(total, np.diff(np.append(first, len(keys))))
+    found[first] += 1
+    out = np.empty(len(keys), np.int64)
+    out[order] = found
     return out
 
 
 class Automaton:
-    """The model within a block. States are n-grams in the model that can be a context; state 0 is the empty one.
+    """The model within a block: states, arcs by state and token, and failure arcs.
 
-    A state has arcs, at a weight each, for the tokens that follow it in the model, and fails to the state of its n-gram less the first word, at the weight of its backoff; state 0 has an arc for every token. weight, fail: by state. level: the number of a state's words. arcs[n]: by position, the weight of the arc of n words that ends there, or nan. after: by position, the state when its token is read.
+    A state is an n-gram that training documents continue; state 0 is the empty one. An arc for each token that follows it in training has the log-probability as weight and leads to the longest n-gram read that is a state; state 0 has an arc for every token. A state without an arc for a token fails to the state of its n-gram less the first word, at the weight of its backoff.
+    Probabilities: a context h seen c(h) times gives a token v (c(hv) + prior * p(v | h less its first word)) / (c(h) + prior), so they sum to one; the first term is an arc's, what a token without an arc gets is the failure's weight. As every document ends with a token of its own, c(h) is also the sum of its continuations' counts.
     """
 
-    def __init__(self, b: BlockModel, n_train: int, n_types: int):
-        c, count, size = b.c, b.levels[0].count, len(b.seq)
+    def __init__(self, b: Block, n_train: int, n_types: int):
+        c, size = b.c, len(b.seq)
         # absolute discounting of words; what is taken off goes to the one unknown word
-        total = max(1, n_train)
+        total, count = max(1, n_train), b.levels[0].count
         known = np.where(count > 0, (count - c.discount) / total, max(n_types * c.discount, 1.0 if not n_train else 0.0) / total)
-        p = known[b.seq]  # probability after the longest context of the level below
-        self.begins = b.begins
-        self.after, self.arcs = np.zeros(size, np.int32), {1: np.log10(p)}
-        fail, weight, level_of = [np.zeros(1, np.int32)], [np.zeros(1)], [np.zeros(1, np.int8)]
+        p = known[b.seq]
+        ends = np.zeros(size, bool)
+        ends[np.cumsum(b.sizes) - 1] = True
+        self.tokens = np.int64(b.n_words)
+        after = np.zeros(size, np.int64)  # by position: the state of the longest n-gram so far that ends there
+        reached = np.zeros(size, np.int64)  # the same of just the level below, 0: none
+        context_count = np.full(size, n_train)
+        fail, weight = [np.zeros(1, np.int64)], [np.zeros(1)]
+        arcs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         states = 1
-        back = context_count = None  # of the level below, by position: backoff (not in logs), count
-        for n, level in enumerate(b.levels, 1):
-            kept = (level.count >= c.min_word if n == 1 else level.count > 0)[level.of]
-            own = level.at[kept]
-            counts = np.zeros(size)
-            counts[own] = level.count[level.of][kept]
+        for n, x in enumerate(b.levels, 1):
+            seen = x.count[x.of]
             if n > 1:
-                p = p.copy()
-                p[own] = (counts[own] - c.discount) / context_count[own - 1] + back[own - 1] * p[own]
-                self.arcs[n] = np.full(size, np.nan)
-                self.arcs[n][own] = np.log10(p[own])
-            if n == len(b.levels):
-                break
-            keys, sums = b.levels[n].sum
-            place_at = own[~b.ends[own]]
-            gram = np.zeros(size, np.uint64)
-            gram[level.at] = level.key[level.of]
-            place = np.searchsorted(keys, gram[place_at])
-            back = np.ones(size)
-            back[place_at] = 1 - sums[place] / counts[place_at]
-            fails, weights = np.zeros(len(keys), np.int32), np.zeros(len(keys))
-            fails[place], weights[place] = self.after[place_at], np.log10(np.maximum(back[place_at], 1e-12))
-            fail.append(fails)
-            weight.append(weights)
-            level_of.append(np.full(len(keys), n, np.int8))
-            self.after[place_at] = states + place
-            states += len(keys)
-            context_count = counts
-        self.fail, self.weight, self.level = np.concatenate(fail), np.concatenate(weight), np.concatenate(level_of)
-
-    def traverse(self) -> np.ndarray:
-        """Log-probability of every token, each read from the state that the traversal from the left is in: it takes that state's arc, or fails until a state has one.
-
-        A state is the longest n-gram in the model that ends at a place, so the states of all places are at hand, and the places take their steps together.
+                before = context_count[x.at - 1]
+                p_at = p[x.at]
+                p[x.at] = np.where(before > 0, (seen + c.prior * p_at) / (before + c.prior), p_at)
+            source = reached[x.at - 1] if n > 1 else np.zeros(len(x.at), np.int64)
+            if n < len(b.levels):
+                state = x.at[(seen > 0) & ~ends[x.at]]
+                ids = np.full(len(x.key), -1, np.int64)
+                own = np.zeros(size, bool)
+                own[state] = True
+                distinct = np.nonzero(own[x.at[x.first]])[0]
+                ids[distinct] = states + np.arange(len(distinct))
+                fail.append(after[x.at[x.first[distinct]]])
+                weight.append(np.log10(c.prior / (x.count[distinct] + c.prior)))
+                states += len(distinct)
+                reached = np.zeros(size, np.int64)
+                of = np.full(size, -1, np.int32)
+                of[x.at] = x.of
+                reached[state] = ids[of[state]]
+                after[state] = reached[state]
+                context_count = np.zeros(size, np.int64)
+                context_count[x.at] = seen
+            # an arc for each distinct n-gram that training has; every token from state 0
+            first = x.first if n == 1 else x.first[x.count > 0]
+            at = x.at[first]
+            arcs.append((source[first] * self.tokens + b.seq[at], np.log10(p[at]), after[at]))
+        keys = np.concatenate([a[0] for a in arcs])
+        order = np.argsort(keys)
+        self.keys, self.weights, self.to = keys[order], np.concatenate([a[1] for a in arcs])[order], np.concatenate([a[2] for a in arcs])[order]
+        self.fail, self.backoff = np.concatenate(fail), np.concatenate(weight)
+
+    def traverse(self, seq: np.ndarray, starts: np.ndarray, sizes: np.ndarray, lead: int, stretch: int) -> np.ndarray:
+        """Log-probability of each document, read from left to right: every token takes the current state's arc, or fails until a state has one, and the arc's end is the next state.
+
+        All documents of the block advance together, a token a step. A document longer than stretch is read in several stretches: from lead tokens before its stretch on, which lead to the same state as the whole text before, as no state has more words.
         """
-        state = np.concatenate([[0], self.after[:-1]]) if len(self.after) else self.after
-        state[self.begins] = 0
-        total, open_ = np.zeros(len(state)), np.arange(len(state))
-        while len(open_):
-            now = self.level[state[open_]] + 1
-            arc = np.full(len(open_), np.nan)
-            for n, weights in self.arcs.items():
-                here = now == n
-                arc[here] = weights[open_[here]]
-            fails = np.isnan(arc)
-            total[open_[~fails]] += arc[~fails]
-            open_ = open_[fails]
-            total[open_] += self.weight[state[open_]]
-            state[open_] = self.fail[state[open_]]
-        return total
+        pieces = np.maximum(1, -(-sizes // stretch))
+        doc = np.repeat(np.arange(len(sizes)), pieces)
+        nth = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        early = np.minimum(lead, nth * stretch)  # nth is 0 or a whole stretch lies before
+        begin = starts[doc] + nth * stretch - early
+        length = np.minimum(stretch, sizes[doc] - nth * stretch) + early
+        order = np.argsort(-length, kind="stable")
+        doc, begin, length, early = doc[order], begin[order], length[order], early[order]
+        state, total = np.zeros(len(doc), np.int64), np.zeros(len(doc))
+        for t in range(int(length.max(initial=0))):
+            m = int(np.searchsorted(-length, -t, "left"))  # stretches with a token t
+            token, got = seq[begin[:m] + t], np.zeros(m)
+            now = state[:m].copy()
+            open_ = np.arange(m)
+            while len(open_):
+                key = now[open_] * self.tokens + token[open_]
+                place = np.searchsorted(self.keys, key)
+                place[place == len(self.keys)] = 0
+                hit = self.keys[place] == key
+                taken, missed = open_[hit], open_[~hit]
+                got[taken] += self.weights[place[hit]]
+                state[taken] = self.to[place[hit]]
+                got[missed] += self.backoff[now[missed]]
+                now[missed] = self.fail[now[missed]]
+                open_ = missed
+            total[:m] += np.where(t >= early[:m], got, 0.0)
+        return np.bincount(doc, total, len(sizes))
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def score_documents(docs: DataFrame, config: LmConfig = LmConfig()) -> DataFrame:
-    """SCORES of every row of docs (doc_id, text); the model learns from the rows that are not held out.
+    """SCORES of every row of docs (doc_id, text; other columns are left out); the model learns from the rows that are not held out, and from all their n-grams up to config.order words.
 
-    base_score: add-one unigrams. score: interpolated absolute discounting up to config.order words, over the known words and one unknown word; probabilities of a context's next token sum to one. Repeated doc_ids are documents of their own; a null doc_id has the text ''.
+    base_score: add-one unigrams. score: see Automaton; over the known words and one unknown word, probabilities of a context's next token sum to one. Repeated doc_ids are documents of their own; a null doc_id has the text '' for its fold, null text is empty. A very long text is read in stretches, with the same result.
     """
     c = config
-    corpus = stash_buckets(corpus_blocks(docs, c), "block", "corpus")
+    corpus = stash(corpus_blocks(docs, c), "corpus")
     facts = corpus.agg(F.count("*"), F.sum("train_tokens")).first()
-    parts, n_train = 8 + facts[0] // 2, int(facts[1] or 0)
+    n_train = int(facts[1] or 0)
 
-    def unigram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in rows_of(batch):
-                b = BlockModel(row, c)
-                yield pack_keys(row["block"], b.words, [np.bincount(b.seq[b.train], minlength=len(b.words)).astype(np.uint32)], parts)
-
-    def counts(rows, least: int, n: int) -> DataFrame:
-        return stash(replies(exchange(rows, _counted(least), [np.uint32], np.int64), f"count{n}"), f"count{n}", free=True)
-
-    tables = [counts(corpus.mapInArrow(unigram_rows, PACKED), 1, 1)]
-    n_types = _types(tables[0])
-
-    def gram_rows(n: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for row in rows_of(batch):
-                    b = _rebuild(row, c, n - 1)
-                    level = b.grams()
-                    yield pack_keys(row["block"], level.key, [np.bincount(level.of[b.train[level.at]], minlength=len(level.key)).astype(np.uint32)], parts)
-
-        return run
-
-    def sum_rows(n: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for row in rows_of(batch):
-                    b = _rebuild(row, c, n)
-                    level, keys = b.levels[-1], b.contexts()
-                    mine = level.owner & (level.count > 0)
-                    at = level.at[level.first[mine]]
-                    place = np.searchsorted(keys, b.before[0][at - 1])
-                    yield pack_keys(row["block"], keys, [np.bincount(place, level.count[mine] - c.discount, len(keys))], parts)
-
-        return run
-
-    for n in range(2, c.order + 1):
-        tables.append(counts(_joined(corpus, tables).mapInArrow(gram_rows(n), PACKED), c.min_count, n))
-        sums = _joined(corpus, tables).mapInArrow(sum_rows(n), PACKED)
-        tables.append(stash(replies(exchange(sums, _summed, [np.float64], np.float64), f"sum{n}"), f"sum{n}", free=True))
+                b = Block(row, c)
+                yield pack_keys(row["block"], b.keys, [b.own_counts()])
+
+    found = stash(replies(exchange(corpus.mapInArrow(grams, PACKED), _counted, [np.uint32], np.int64, parts_of(facts[0])), "found"), "counts")
+    n_types = _types(found)
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in rows_of(batch):
-                b = _rebuild(row, c, c.order)
+                b = Block(row, c)
+                b.answered(read_replies(row["found"], np.int64) >> 2)
                 known = b.levels[0].count
                 base = np.log10((known + 1) / (n_train + n_types + 1))[b.seq]
-                got = np.add.reduceat(Automaton(b, n_train, n_types).traverse(), b.starts)
+                got = Automaton(b, n_train, n_types).traverse(b.seq, b.starts, b.sizes, c.order - 1, c.stretch)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(b.ids, pa.int64(), mask=b.null), pa.array(b.held), pa.array(b.sizes), pa.array(np.add.reduceat((known > 0)[b.seq].astype(np.int64), b.starts)), pa.array([n_train] * len(b.ids), pa.int64()), pa.array(np.add.reduceat(base, b.starts)), pa.array(got, pa.float64())],
                     names=[x.split()[0] for x in SCORES.split(", ")],
                 )
 
-    return _joined(corpus, tables).mapInArrow(scores, SCORES)
+    return corpus.join(found, "block", "left").mapInArrow(scores, SCORES)
 
 
-def _types(counts: DataFrame) -> int:
-    """Distinct training tokens: keys with a count, each asked by one owner."""
+def _types(found: DataFrame) -> int:
+    """Distinct training tokens: words with a count, each counted at its first asker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = [int((read_replies(x, np.int64) >= 3).astype(np.int64) @ (read_replies(x, np.int64) & 1)) for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([sum(n)], pa.int64())], names=["n"])
+            for cells in batch.column(0).to_pylist():
+                x = read_replies(cells, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([int(((x & 3 == 3) & (x > 3)).sum())], pa.int64())], names=["n"])
 
-    return int(counts.select("count1").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0)
+    return int(found.select("found").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0)
 
 
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

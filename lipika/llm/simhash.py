@@ -226,7 +226,6 @@ def class_keys(h: np.ndarray, similarity: float, rate: int = 6) -> np.ndarray:
 
 def similar_pairs(docs: DataFrame, words_per_shingle: int, similarity: float, documents: int = 1000) -> DataFrame:
     """Candidates (a, b), a < b: documents that share a class of shingles, each paired with the first that has it and with the one before, so they grow with members, never with pairs. other_pairs() gives what these leave."""
-    parts = 8 + docs.count() // (2 * documents)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,7 +234,7 @@ def similar_pairs(docs: DataFrame, words_per_shingle: int, similarity: float, do
                 own = [class_keys(shingle_set(t, words_per_shingle), similarity) for t in raw(part.column(1))]
                 key, ids = np.concatenate(own), np.repeat(np.array(part.column(0).to_pylist(), np.int64), [len(x) for x in own])
                 order = np.argsort(key)
-                yield pack_keys(0, key[order], [ids[order]], parts)
+                yield pack_keys(0, key[order], [ids[order]])
 
     def pairs(t: pa.Table) -> pa.Table:
         key = np.concatenate([np.cumsum(unsqueeze(b, np.uint64), dtype=np.uint64) for b in t.column("keys").to_pylist()])
@@ -261,7 +260,6 @@ def sketch(h: np.ndarray) -> np.ndarray:
 
 def other_pairs(docs: DataFrame, words_per_shingle: int, similarity: float, documents: int = 1000) -> DataFrame:
     """Candidates (a, b) of docs (doc_id, component_id, text): all pairs of documents that share a class of shingles and are in different components, but those that their sizes or sketches prove to be below the similarity. Nothing is capped."""
-    parts = 8 + docs.count() // (2 * documents)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,7 +272,7 @@ def other_pairs(docs: DataFrame, words_per_shingle: int, similarity: float, docu
                 row = row[order]
                 ids, components = (np.array(part.column(i).to_pylist(), np.int64) for i in (0, 1))
                 marks = np.stack([sketch(h) for h in own])
-                yield pack_keys(0, key[order], [ids[row], components[row], np.array([len(h) for h in own], np.int64)[row], *[marks[row, i] for i in range(4)]], parts)
+                yield pack_keys(0, key[order], [ids[row], components[row], np.array([len(h) for h in own], np.int64)[row], *[marks[row, i] for i in range(4)]])
 
     def pairs(t: pa.Table) -> pa.Table:
         key = np.concatenate([np.cumsum(unsqueeze(b, np.uint64), dtype=np.uint64) for b in t.column("keys").to_pylist()])
@@ -332,15 +330,15 @@ def similar_documents(docs: DataFrame, words_per_shingle: int = 5, similarity: f
     Fingerprints of 64 bits find nearly all pairs of 0.95 and more; below, pairs that differ in more bits come from shared classes of shingles, and each is verified on its whole sets: first each document with the first of a class and the one before, then every pair of a class that is still in different components.
     """
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    near = stash(near_duplicates(docs, words_per_shingle, max_bits).groupBy("doc_id").agg(F.min("component_id").alias("component_id")), "groups", free=True)
-    found = stash(similar_pairs(docs, words_per_shingle, similarity), "pairs", free=True)
-    near = stash(_merged(docs, near, _apart(found, near), words_per_shingle, similarity), "groups", free=True)
+    near = stash(near_duplicates(docs, words_per_shingle, max_bits).groupBy("doc_id").agg(F.min("component_id").alias("component_id")), "groups")
+    found = stash(similar_pairs(docs, words_per_shingle, similarity), "pairs")
+    near = stash(_merged(docs, near, _apart(found, near), words_per_shingle, similarity), "groups")
     # a class in several components has a pair of its first document that was not linked: all its members are in the components of such pairs
     unlinked = _apart(found, near).select(F.explode(F.array("ca", "cb")).alias("component_id")).distinct()
     salt = F.explode(F.sequence(F.lit(0), F.lit(63)))  # a component may hold many documents
     rest = stash(near.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(64)).cast("int")).join(unlinked.withColumn("salt", salt), ["component_id", "salt"], "left_semi").select("doc_id", "component_id"), "open")
     texts = likely(docs, rest).where("_lipika_maybe").drop("_lipika_maybe").join(rest, "doc_id")
-    others = stash(other_pairs(texts, words_per_shingle, similarity), "pairs", free=True)
+    others = stash(other_pairs(texts, words_per_shingle, similarity), "pairs")
     return _merged(docs, near, _apart(others, near), words_per_shingle, similarity)
 
 
@@ -352,14 +350,14 @@ def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
 
 def _merged(docs: DataFrame, groups: DataFrame, candidates: DataFrame, words_per_shingle: int, similarity: float) -> DataFrame:
     """groups (doc_id, component_id) with the components joined that a pair of candidates (a, b, ca, cb) links whose whole sets of shingles are that similar."""
-    apart = stash(candidates, "pairs", free=True)
+    apart = stash(candidates, "pairs")
     asked = stash(apart.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "asked")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, words_per_shingle).tobytes() for t in raw(b.column(1))], pa.binary())], names=["doc_id", "set"])
 
-    have = stash(likely(docs, asked).where("_lipika_maybe").drop("_lipika_maybe").join(asked, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "doc_id long, set binary"), "sets", free=True)
+    have = stash(likely(docs, asked).where("_lipika_maybe").drop("_lipika_maybe").join(asked, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "doc_id long, set binary"), "sets")
     side = lambda c: have.select(F.col("doc_id").alias(c), F.col("set").alias(f"s{c}"))
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,7 +378,7 @@ def _merged(docs: DataFrame, groups: DataFrame, candidates: DataFrame, words_per
 
 def keep_one(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without all but the document with the smallest doc_id of each group of similar_documents(); of rows with that doc_id, one. Rows with a null doc_id stay, as they can't be told apart."""
-    grouped = stash(similar_documents(docs, words_per_shingle, similarity), "similar", free=True)
+    grouped = stash(similar_documents(docs, words_per_shingle, similarity), "similar")
     kept, gone = (grouped.where(f"doc_id {x} component_id").select("doc_id") for x in ("=", "<>"))
     # texts that can't be among those that go stay where they are; the others meet the exact list
     marked = likely(docs, gone)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import NULL_ID, PACKED, blocks, exchange, hashes, ints, mix, pack_keys, read_replies, replies, rows_of, runs, squeeze, stash, stash_buckets, table, unsqueeze
+from .common import NULL_ID, PACKED, blocks, exchange, hashes, ints, mix, pack_keys, parts_of, read_replies, replies, rows_of, runs, squeeze, stash, stash_buckets, table, unsqueeze
 
 TOKEN = re.compile(rb"[^ \t\n\v\f\r]+[ \t\n\v\f\r]*")
 
@@ -171,24 +171,24 @@ def dedup_substrings(docs: DataFrame, window: int = 13, rounds: int = 4, emit: s
     docs = docs.drop(*names)
     rest = [f.name for f in docs.schema.fields if f.name not in ("doc_id", "text")] if emit == "text" else []
     held = stash_buckets(blocks(docs.select("doc_id", "text", *rest), block_bytes, _indexed(window, rounds), INDEX), "block", "blocks")
-    parts, columns = 8 + held.count() // 2, docs.columns
+    parts, columns = parts_of(held.count()), docs.columns
 
     def name_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in rows_of(batch):
-                yield pack_keys(r["block"], np.cumsum(unsqueeze(r["names"], np.uint64), dtype=np.uint64), [unsqueeze(r["twice"], np.uint8)], parts)
+                yield pack_keys(r["block"], np.cumsum(unsqueeze(r["names"], np.uint64), dtype=np.uint64), [unsqueeze(r["twice"], np.uint8)])
 
-    shared = stash(replies(exchange(held.select("block", "names", "twice").mapInArrow(name_rows, PACKED), _shared, [np.uint8], np.uint8), "shared"), "shared", free=True)
+    shared = stash(replies(exchange(held.select("block", "names", "twice").mapInArrow(name_rows, PACKED), _shared, [np.uint8], np.uint8, parts), "shared"), "shared")
 
     def window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in rows_of(batch):
                 b, starts = _open(r, window)
                 key, check, doc, _ = _compared(b, starts, window)
-                yield pack_keys(r["block"], key, [check, doc], parts)
+                yield pack_keys(r["block"], key, [check, doc])
 
     opened = held.select("block", "ids", "sizes", "text", "places", "lengths", *(["lens", "rest"] if emit == "text" else [])).join(shared, "block", "left")
-    earlier = stash(replies(exchange(opened.drop("lens", "rest").mapInArrow(window_rows, PACKED), _earlier, [np.uint32, np.int64], np.uint8), "earlier"), "earlier", free=True)
+    earlier = stash(replies(exchange(opened.drop("lens", "rest").mapInArrow(window_rows, PACKED), _earlier, [np.uint32, np.int64], np.uint8, parts), "earlier"), "earlier")
 
     def removed(r: dict) -> tuple[Block, np.ndarray]:
         b, starts = _open(r, window)

@@ -290,30 +290,17 @@ def test_substrings_of_nothing(spark):
 def brute_scores(rows, c):
     docs = [(i, [x.encode() for x in words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))] + [lm.END], zlib.crc32(str(i).encode()) % 7 == 2) for i, t in rows]
     train = [w for _, w, held in docs if not held]
-    count = {1: Counter((x,) for w in train for x in w)}
+    count = {n: Counter(tuple(w[i - n + 1 : i + 1]) for w in train for i in range(n - 1, len(w))) for n in range(1, c.order + 1)}
     total, types = sum(count[1].values()), len(count[1])
-    kept = {1: {g for g, k in count[1].items() if k >= c.min_word}}
-    for n in range(2, c.order + 1):
-        all_ = Counter(tuple(w[i - n + 1 : i + 1]) for w in train for i in range(n - 1, len(w)))
-        count[n] = {g: k for g, k in all_.items() if k >= c.min_count and g[:-1] in kept[n - 1] and g[1:] in kept[n - 1]}
-        kept[n] = set(count[n])
-    mass = defaultdict(float)
-    for n in range(2, c.order + 1):
-        for g, k in count[n].items():
-            mass[g[:-1]] += k - c.discount
 
     def p(h, v):
         if not h:
             k = count[1].get((v,), 0)
             return (k - c.discount) / total if k else c.discount * types / total
-        low = p(h[1:], v)
-        if h not in kept[len(h)]:
-            return low
-        own = count[len(h) + 1].get(h + (v,))
-        return ((own - c.discount) / count[len(h)][h] if own else 0) + (1 - mass[h] / count[len(h)][h]) * low
+        return (count[len(h) + 1].get(h + (v,), 0) + c.prior * p(h[1:], v)) / (count[len(h)].get(h, 0) + c.prior)
 
     known = [g[0] for g in count[1]]
-    for h in [()] + [g for n in range(1, c.order) for g in list(kept[n])[:5] if g[-1] != lm.END]:
+    for h in [()] + [g for n in range(1, c.order) for g in list(count[n])[:5] if g[-1] != lm.END]:
         assert abs(sum(p(h, v) for v in known) + p(h, b"never seen") - 1) < 1e-9
     out = {}
     for i, w, held in docs:
@@ -322,8 +309,9 @@ def brute_scores(rows, c):
     return out
 
 
-@pytest.mark.parametrize("c", [lm.LmConfig(min_word=3, block_bytes=2000), lm.LmConfig(order=2), lm.LmConfig(order=4, min_word=2), lm.LmConfig(order=1)])
-def test_scores(spark, rows, c):
+@pytest.mark.parametrize("c, hops", [(lm.LmConfig(block_bytes=2000), 1), (lm.LmConfig(block_bytes=300, prior=0.5), 3), (lm.LmConfig(order=2, stretch=10), 1), (lm.LmConfig(order=4, stretch=7), 1), (lm.LmConfig(order=1), 1)])
+def test_scores(spark, rows, c, hops, monkeypatch):
+    monkeypatch.setattr(lm, "parts_of", lambda blocks: common.FAN * hops)  # over FAN parts, keys and replies take two hops
     want = brute_scores(rows, c)
     got = lm.score_documents(frame(spark, rows), c).collect()
     assert len(got) == len(rows)
@@ -332,11 +320,8 @@ def test_scores(spark, rows, c):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == w[:4] and r.base_score == pytest.approx(w[4]) and r.score == pytest.approx(w[5])
 
 
-def test_every_repeated_ngram_counts(spark):
-    rows = [(i, f"the rare{i % 20} thing{i % 20} the end") for i in range(60)]  # words seen three times at most
-    want = brute_scores(rows, lm.LmConfig(min_word=1))
-    got = lm.score_documents(frame(spark, rows)).collect()
-    assert len(got) == 60 and all(r.score == pytest.approx(want[r.doc_id][5]) for r in got)
+def test_parts_follow_the_blocks():
+    assert [common.parts_of(n) for n in (0, 1, 256, 257, 100_000)] == [64, 64, 64, 128, 25024]
 
 
 def test_scores_of_little(spark):
