@@ -1,8 +1,8 @@
 """Language-model scoring by a weighted backoff automaton over n-grams counted in the whole corpus.
 
-Documents become blocks of token numbers. All counts are exact sums over all training documents, found by one packed exchange: every block sends its distinct n-grams of all lengths with its own counts and gets the corpus counts back, so each block ends up with the part of the automaton that its documents can reach, and no task holds more.
+Documents become blocks of token numbers. All counts are exact sums over all training documents, found by a packed exchange for each length: every block sends its distinct n-grams with its own counts and gets the corpus counts back, so each block ends up with the part of the automaton that its documents can reach, and no task holds more.
 
-N-grams are told apart by 63-bit hashes of their words' hashes. Of n distinct ones, about n * n / 2^64 collide and are counted as one: none to be expected below 1e9, and at 1e12 some 5e4, a share of 5e-8.
+N-grams are told apart by 64-bit hashes of their words' hashes. Of n distinct ones, about n * n / 2^64 share theirs and are counted as one: none to be expected below 1e9, and at 1e12 some 5e4, a share of 5e-8.
 """
 
 from __future__ import annotations
@@ -90,7 +90,7 @@ class Grams:
 
 
 class Block:
-    """A block of documents with its n-grams of every length. The lowest bit of a key tells words from longer n-grams."""
+    """A block of documents and its n-grams."""
 
     def __init__(self, row: dict, c: LmConfig):
         self.c = c
@@ -98,42 +98,42 @@ class Block:
         self.null = np.frombuffer(row["null_ids"], np.uint8).astype(bool)
         self.held = np.frombuffer(row["held"], np.uint8).astype(bool)
         self.seq = unsqueeze(row["seq"], np.uint32).astype(np.int32)
-        words = np.cumsum(unsqueeze(row["keys"], np.uint64), dtype=np.uint64)
+        self.words = np.cumsum(unsqueeze(row["keys"], np.uint64), dtype=np.uint64)
         ends = np.cumsum(self.sizes)
-        self.starts, self.n_words = ends - self.sizes, len(words)
+        self.starts, self.n_words = ends - self.sizes, len(self.words)
+        self.levels: list[Grams] = []
+
+    def grams(self, longest: int) -> Iterator[np.ndarray]:
+        """Positions at which an n-gram ends, and its hash, for each n from 1."""
         inside = np.arange(len(self.seq)) - np.repeat(self.starts, self.sizes)
-        gram = words[self.seq]
-        self.levels = [Grams(np.arange(len(self.seq)), gram | np.uint64(1))]
-        for n in range(2, c.order + 1):
+        gram = self.words[self.seq]
+        yield np.arange(len(self.seq)), gram
+        for n in range(2, longest + 1):
             at = np.nonzero(inside >= n - 1)[0]
             longer = np.zeros(len(self.seq), np.uint64)
-            longer[at] = mix(mix(gram[at - 1] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15) + words[self.seq[at]])
+            longer[at] = mix(mix(gram[at - 1] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15) + self.words[self.seq[at]])
             gram = longer
-            self.levels.append(Grams(at, gram[at] & ~np.uint64(1)))
-        keys = np.concatenate([x.key for x in self.levels])
-        self.order = np.argsort(keys, kind="stable")  # the levels' keys are runs
-        self.keys = keys[self.order]
+            yield at, gram[at]
 
-    def own_counts(self) -> np.ndarray:
-        """How often the block's training documents have each key."""
-        train = np.repeat(~self.held, self.sizes)
-        return np.concatenate([np.bincount(x.of[train[x.at]], minlength=len(x.key)) for x in self.levels]).astype(np.uint32)[self.order]
+    def level(self, n: int) -> tuple[Grams, np.ndarray]:
+        """The n-grams of one length, and how often the block's training documents have each."""
+        *_, (at, gram) = self.grams(n)
+        x, train = Grams(at, gram), np.repeat(~self.held, self.sizes)
+        return x, np.bincount(x.of[train[at]], minlength=len(x.key)).astype(np.uint32)
 
-    def answered(self, counts: np.ndarray) -> None:
-        """Corpus counts, in the order of the keys."""
-        by_level = np.empty(len(counts), np.int64)
-        by_level[self.order] = counts
-        for x, own in zip(self.levels, np.split(by_level, np.cumsum([len(x.key) for x in self.levels])[:-1]), strict=True):
-            x.count = own
+    def answered(self, row: dict) -> None:
+        """All levels with their corpus counts."""
+        for n, (at, gram) in enumerate(self.grams(self.c.order), 1):
+            x = Grams(at, gram)
+            x.count = read_replies(row[f"count{n}"], np.int64) >> 1
+            self.levels.append(x)
 
 
 def _counted(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Four times the corpus count of each key, 2 more for a word, 1 more for the first of a key's askers."""
+    """Twice the corpus count of each key, 1 more for the first of a key's askers."""
     order = np.argsort(keys, kind="stable")
-    ordered = keys[order]
-    first = runs(ordered)
-    total = 4 * np.add.reduceat(counts[order].astype(np.int64), first) + 2 * (ordered[first] & np.uint64(1)).astype(np.int64)
-    found = np.repeat(total, np.diff(np.append(first, len(keys))))
+    first = runs(keys[order])
+    found = np.repeat(2 * np.add.reduceat(counts[order].astype(np.int64), first), np.diff(np.append(first, len(keys))))
     found[first] += 1
     out = np.empty(len(keys), np.int64)
     out[order] = found
@@ -242,20 +242,24 @@ def score_documents(docs: DataFrame, config: LmConfig = LmConfig()) -> DataFrame
     facts = corpus.agg(F.count("*"), F.sum("train_tokens")).first()
     n_train = int(facts[1] or 0)
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in rows_of(batch):
-                b = Block(row, c)
-                yield pack_keys(row["block"], b.keys, [b.own_counts()])
+    def rows(n: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in rows_of(batch):
+                    x, own = Block(row, c).level(n)
+                    yield pack_keys(row["block"], x.key, [own])
+
+        return run
 
-    found = stash(replies(exchange(corpus.mapInArrow(grams, PACKED), _counted, [np.uint32], np.int64, parts_of(facts[0])), "found"), "counts")
-    n_types = _types(found)
+    # one length after the other, as the shuffle of all at once takes twice the disk
+    counts = [stash(replies(exchange(corpus.mapInArrow(rows(n), PACKED), _counted, [np.uint32], np.int64, parts_of(facts[0])), f"count{n}"), f"count{n}") for n in range(1, c.order + 1)]
+    n_types = _types(counts[0])
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in rows_of(batch):
                 b = Block(row, c)
-                b.answered(read_replies(row["found"], np.int64) >> 2)
+                b.answered(row)
                 known = b.levels[0].count
                 base = np.log10((known + 1) / (n_train + n_types + 1))[b.seq]
                 got = Automaton(b, n_train, n_types).traverse(b.seq, b.starts, b.sizes, c.order - 1, c.stretch)
@@ -264,19 +268,21 @@ def score_documents(docs: DataFrame, config: LmConfig = LmConfig()) -> DataFrame
                     names=[x.split()[0] for x in SCORES.split(", ")],
                 )
 
-    return corpus.join(found, "block", "left").mapInArrow(scores, SCORES)
+    for x in counts:
+        corpus = corpus.join(x, "block", "left")
+    return corpus.mapInArrow(scores, SCORES)
 
 
-def _types(found: DataFrame) -> int:
+def _types(counts: DataFrame) -> int:
     """Distinct training tokens: words with a count, each counted at its first asker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for cells in batch.column(0).to_pylist():
                 x = read_replies(cells, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([int(((x & 3 == 3) & (x > 3)).sum())], pa.int64())], names=["n"])
+                yield pa.RecordBatch.from_arrays([pa.array([int(((x & 1 > 0) & (x > 1)).sum())], pa.int64())], names=["n"])
 
-    return int(found.select("found").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0)
+    return int(counts.select("count1").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0)
 
 
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
