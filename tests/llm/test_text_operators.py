@@ -162,18 +162,17 @@ def test_simhash(spark, rows):
 
 
 def brute_similar(rows, k, least):
-    """Components over near fingerprints and over sets of shingles."""
-    fps = {i: brute_fingerprint(t, k) for i, t in rows}
+    """Components over sets of shingles."""
     sets = {}
     for i, t in rows:
         w = words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
         sets[i] = {" ".join(w[x : x + k]) for x in range(len(w) - k + 1)} or ({" ".join(w)} if w else set())
-    ids = sorted(fps)
+    ids = sorted(sets)
     root = {i: i for i in ids}
     for n, i in enumerate(ids):
         for j in ids[:n]:
             both = len(sets[i] & sets[j])
-            if (fps[i] ^ fps[j]).bit_count() <= 2 or both and both >= least * (len(sets[i]) + len(sets[j]) - both):
+            if both >= least * (len(sets[i]) + len(sets[j]) - both):
                 a, b = root[i], root[j]
                 root = {x: min(a, b) if r in (a, b) else r for x, r in root.items()}
     return root
@@ -232,6 +231,40 @@ def test_dense_fingerprints(spark):
     assert all(x.component_id == want[x.doc_id] for x in simhash.group(d, 2).collect())
 
 
+def test_long_posting_lists_are_cut(spark):
+    import random
+
+    r, bits = random.Random(6), lambda n: sum(1 << b for b in r.sample(range(64), n))
+    base = r.getrandbits(64) & ~0xFFFFFFFF
+    fps = sorted({base | r.getrandbits(r.choice([8, 20, 32])) for _ in range(900)} | {base ^ bits(2) for _ in range(300)})  # under one key of four bytes
+    d = spark.createDataFrame([(i, x - (1 << 64) if x >> 63 else x) for i, x in enumerate(fps)], "doc_id long, fp long").repartition(3)
+    lists = simhash._postings(d.select("fp")).groupBy("at", "key").count()
+    assert lists.where("at < 6").agg(F.max("count")).first()[0] <= simhash.LONG_LIST and lists.where("at >= 6").count() > 0
+    want = brute_components(dict(enumerate(fps)))
+    assert all(x.component_id == want[x.doc_id] for x in simhash.group(d, 2).collect())
+
+
+def test_sketches_never_rule_out_similar_sets():
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    for n in (5, 60, 300, 3000, 9000):
+        x = r.integers(0, 2**63, n).astype(np.uint64)
+        y = np.concatenate([x[: n - n // 10], r.integers(0, 2**63, n // 10).astype(np.uint64)])
+        a, b = simhash.sketch(x), simhash.sketch(y)
+        w = min(len(a), len(b))
+        differ = int(np.bitwise_count(simhash.folded(a, w) ^ simhash.folded(b, w)).sum())
+        assert differ <= 2 * (n // 10) and simhash._may_be(differ, 2 * n, 0.8)
+        assert n < 100 or set(simhash.class_keys(x, 0.8).tolist()) & set(simhash.class_keys(y, 0.8).tolist())
+
+
+def test_hot_keys_are_compared_in_blocks(spark):
+    rows = [(7, i, i % 3, 100, bytes(32)) for i in range(60)] + [(8, i, 1, 100, bytes(32)) for i in range(5)]
+    d = spark.createDataFrame(rows, "key long, doc_id long, component_id long, n long, sketch binary")
+    got = {(r.a, r.b) for r in simhash.crossed(d, 0.8, most=10).collect()}
+    assert got == {(i, j) for i in range(60) for j in range(i + 1, 60) if i % 3 != j % 3}
+
+
 def test_long_chains_settle(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(300, 301)], "a long, b long").repartition(7)
     got = {r.node: r.root for r in simhash.connected(edges).collect()}
