@@ -1,6 +1,6 @@
 """Byte-level BPE: higher-order functions fold ranked merges over the byte arrays of distinct words; decoding concatenates pieces.
 
-Documents travel in chunks, one row each: the chunk's distinct words as byte arrays and each document as places among them. A projection folds the merges over every distinct word, within the stage that reads the texts, and writes the chunks; the documents are then put together from these. Nothing is shuffled, and no dictionary has to fit anywhere but a chunk's own.
+Documents travel in chunks, one row each: the chunk's distinct words and each document as places among them. The distinct words of all chunks meet once, in Spark's own aggregation, and are folded once each, by native expressions; the ids go back to the chunks that asked, and the documents are put together from these. No dictionary has to fit anywhere but a chunk's own.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stash, table
+from .common import discard, stash, stash_buckets, table
 
 #: The fold's word is an array of longs, one a token: the rank of its pair with the next one (NONE: no pair), where it starts, its id. So all differ, and the least is the pair to merge next, the leftmost of equals. EDGE is the id of an entry that stands at either end.
 RANK, START, NONE, EDGE = 34, 18, 1 << 20, (1 << 18) - 1
@@ -62,16 +62,12 @@ def rank_table(ranks: dict[bytes, int]) -> Column:
         values[key % n].append(r)
     single = [ranks[bytes([x])] for x in range(256)]
     double = [ranks.get(bytes([x, y]), NONE) for x in range(256) for y in range(256)]
-    tokens = [b""] * size
-    for t, r in ranks.items():
-        tokens[r] = t
     return F.struct(
         F.lit(n).cast("bigint").alias("buckets"),
         _nested(keys, "bigint").alias("keys"),
         _nested(values, "int").alias("values"),
         _numbers(single, "int").alias("single"),
         _numbers(double, "int").alias("double"),
-        F.split(F.lit(",".join(x.hex() for x in tokens)), ",").alias("pieces"),
     )
 
 
@@ -108,11 +104,6 @@ def encode_word(bytes_: Column, t: Column) -> Column:
     return F.filter(F.transform(folded, lambda x: id_of(x).cast("int")), lambda x: x != EDGE)
 
 
-def decode_ids(ids: Column, t: Column) -> Column:
-    """Bytes of the ids: their pieces, concatenated."""
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(t["pieces"], i)), ""))
-
-
 def merge_by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The same merges for a long word, in time n log n."""
     import heapq
@@ -144,158 +135,199 @@ def merge_by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in part if p is not None]
 
 
-CHUNK = "ids array<long>, sizes array<int>, places binary, parts binary, pieces binary, words array<array<int>>, long_at array<int>, long_words array<binary>"
-
-
-MARKS = frozenset(".,;:!?")
+#: Letters that are \p{L} in all versions of Unicode, and marks that follow them: such strings are cut without the pattern, which says the same.
+PLAIN = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+$"
+MARKED = PLAIN[:-1] + "[.,;:!?]$"
+#: White space beside a space, or at an end of the text.
+ODD = "[\\s\\x0b\\x1c-\\x1f\\x{85}\\pZ] | [\\s\\x0b\\x1c-\\x1f\\x{85}\\pZ]|^ | $"
 
+CHUNK = "chunk long, ids array<long>, sizes binary, places binary, parts binary, pieces binary, words array<string>"
 
-class Pieces(dict):
-    """Numbers of the distinct words met so far."""
 
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        return n
+def cut_strings(strings: pa.Array, find: Callable[[str], list[str]], plain: bool) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Of distinct strings: how many words each has, their numbers, and the distinct words. A space that starts a string belongs to its first word."""
+    import pyarrow.compute as pc
 
+    n = len(strings)
+    parts = np.zeros(n, np.int32)
+    letters, marked = (pc.match_substring_regex(strings, x).to_numpy(zero_copy_only=False) if plain else np.zeros(n, bool) for x in (PLAIN.replace("^", "^ ?"), MARKED.replace("^", "^ ?")))
+    rest = np.nonzero(~letters & ~marked)[0]
+    found = [find(x) for x in strings.take(pa.array(rest)).to_pylist()]
+    parts[letters], parts[marked], parts[rest] = 1, 2, [len(x) for x in found]
+    start = np.cumsum(parts) - parts
+    both = strings.filter(pa.array(marked))
+    at = [start[letters], start[marked], start[marked] + 1, np.repeat(start[rest], parts[rest]) + _inner(parts[rest])]
+    words = pa.chunked_array([strings.filter(pa.array(letters)), pc.utf8_slice_codeunits(both, 0, -1), pc.utf8_slice_codeunits(both, -1), pa.array([w for x in found for w in x], pa.string())]).combine_chunks().dictionary_encode()
+    pieces = np.zeros(int(parts.sum()), np.int32)
+    pieces[np.concatenate(at)] = words.indices.to_numpy()
+    return parts, pieces, words.dictionary
 
-class Strings(dict):
-    """Numbers of distinct strings between single spaces, each cut in words once."""
 
-    def __init__(self, before: str, find: Callable[[str], list[str]], cut: list[list[int]], words: Pieces, plain: bool = True):
-        self.before, self.find, self.cut, self.words, self.plain = before, find, cut, words, plain
+def _inner(counts: np.ndarray) -> np.ndarray:
+    """0 .. count - 1 for each count."""
+    return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
 
-    def __missing__(self, string: str) -> int:
-        self[string] = n = len(self.cut)
-        # letters alone are one word, as are letters before one ASCII mark; the pattern says the same, at more cost
-        if string.isalpha() and self.plain:
-            self.cut.append([self.words[self.before + string]])
-        elif self.plain and string[-1:] in MARKS and string[:-1].isalpha():
-            self.cut.append([self.words[self.before + string[:-1]], self.words[string[-1]]])
-        else:
-            self.cut.append([self.words[w] for w in self.find(self.before + string)])
-        return n
 
-
-def chunks(docs: DataFrame, pattern: str, chunk_bytes: int, fold_bytes: int = FOLD_BYTES) -> DataFrame:
+def chunks(docs: DataFrame, pattern: str, chunk_bytes: int) -> DataFrame:
     """Rows of documents of about chunk_bytes together: ids, strings of each document, and places of all strings among the distinct ones, whose words are pieces (parts of them each).
 
     A single space between two characters that are no white space starts a word with the pattern of these tokenizers and ends the one before, so a text is cut there first, and the pattern is applied to each distinct string once. A text with any other white space beside a space is cut by the pattern alone.
-    A word of over fold_bytes is empty among words and whole in long_words.
     """
     by_space = pattern == public_tokenizers.PATTERN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
-
+        import pyarrow.compute as pc
         import regex
+        from pyspark import TaskContext
 
-        find, odd = regex.compile(pattern).findall, re.compile(r"\s | \s|^ | $").search
+        find = regex.compile(pattern).findall
+        base, k = TaskContext.get().partitionId() << 32, 0
+        ids: list = []
+        held: list[pa.Array] = []
+        read = 0
 
         def flush() -> pa.RecordBatch:
-            words = [w.encode() for w in pieces]
-            sizes_ = np.fromiter(map(len, words), np.int64, len(words))
-            big = np.nonzero(sizes_ > fold_bytes)[0]
-            long_words = [words[i] for i in big]
-            for i in big:
-                words[i] = b""
-            sizes_[big] = 0
-            flat = pa.array(np.frombuffer(b"".join(words), np.uint8).astype(np.int32))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes_)]), pa.int32()), flat)
+            texts = pa.chunked_array(held, pa.string()).combine_chunks()
+            odd = np.ones(len(texts), bool)
+            if by_space:
+                odd = pc.or_(pc.match_substring_regex(texts, ODD), pc.equal(pc.binary_length(texts), 0)).to_numpy(zero_copy_only=False)
+            # strings of the plain texts but the first of each have a space before
+            split = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+            n = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+            first = np.zeros(int(n.sum()), bool)
+            first[np.cumsum(n) - n] = True
+            flat = split.flatten()
+            later, begin = (flat.filter(pa.array(x)).dictionary_encode() for x in (~first, first))
+            whole = [find(x) for x in texts.filter(pa.array(odd)).to_pylist()]
+            alone = pa.array([w for x in whole for w in x], pa.string()).dictionary_encode()
+            spaced = pc.binary_join_element_wise(pa.scalar(" "), later.dictionary, "")
+            lists = [cut_strings(spaced, find, by_space), cut_strings(begin.dictionary, find, by_space)]
+            words = pa.chunked_array([*[x[2] for x in lists], alone.dictionary]).combine_chunks().dictionary_encode()
+            number = words.indices.to_numpy()
+            after = np.cumsum([0, len(lists[0][2]), len(lists[1][2])])
+            parts = np.concatenate([*[x[0] for x in lists], np.ones(len(alone.dictionary), np.int32)]).astype(np.int32)
+            pieces = np.concatenate([number[after[0] + lists[0][1]], number[after[1] + lists[1][1]], number[after[2] :]]).astype(np.int32)
+            # places in the order of the documents
+            plain = np.zeros(int(n.sum()), np.int32)
+            plain[~first] = later.indices.to_numpy()
+            plain[first] = begin.indices.to_numpy() + len(spaced)
+            other = alone.indices.to_numpy() + len(spaced) + len(begin.dictionary)
+            sizes = np.zeros(len(texts), np.int32)
+            sizes[~odd], sizes[odd] = n, [len(x) for x in whole]
+            of_odd = np.repeat(odd, sizes)
+            places = np.zeros(len(of_odd), np.int32)
+            places[~of_odd], places[of_odd] = plain, other
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-            cells = [np.concatenate(places) if places else np.zeros(0, np.int32), np.array([len(x) for x in cut], np.int32), np.array([y for x in cut for y in x], np.int32)]
-            return pa.RecordBatch.from_arrays(
-                [one(pa.array(ids, pa.int64())), one(pa.array(sizes, pa.int32())), *[pa.array([x.tobytes()], pa.binary()) for x in cells], one(lists), one(pa.array(big, pa.int32())), one(pa.array(long_words, pa.binary()))],
-                names=[x.split()[0] for x in CHUNK.split(", ")],
-            )
-
-        def clear() -> None:
-            nonlocal pieces, cut, first, later, alone, ids, sizes, places, held
-            pieces, cut, ids, sizes, places, held = Pieces(), [], [], [], [], 0
-            first, later, alone = Strings("", find, cut, pieces), Strings(" ", find, cut, pieces), Strings("", lambda x: [x], cut, pieces, plain=False)
-
-        pieces = cut = first = later = alone = ids = sizes = places = held = None
-        clear()
+            return pa.RecordBatch.from_arrays([pa.array([base + k], pa.int64()), one(pa.array(ids, pa.int64())), *[pa.array([x.tobytes()], pa.binary()) for x in (sizes, places, parts, pieces)], one(words.dictionary)], names=[x.split()[0] for x in CHUNK.split(", ")])
+
         for b in batches:
-            for i, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                text = text.as_py() or ""
-                if not by_space or not text or odd(text):
-                    found = find(text)
-                    own = np.fromiter(map(alone.__getitem__, found), np.int32, len(found))
-                else:
-                    found = text.split(" ")
-                    own = np.fromiter(map(later.__getitem__, found), np.int32, len(found))
-                    own[0] = first[found[0]]
-                ids.append(i)
-                sizes.append(len(own))
-                places.append(own)
-                held += len(text)
-                if held >= chunk_bytes or len(ids) >= chunk_bytes >> 4:
-                    yield flush()
-                    clear()
+            ids += b.column(0).to_pylist()
+            held.append(pc.fill_null(b.column(1), ""))
+            read += held[-1].nbytes
+            if read >= chunk_bytes or len(ids) >= chunk_bytes >> 4:
+                yield flush()
+                ids, held, read, k = [], [], 0, k + 1
         if ids:
             yield flush()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, CHUNK)
 
 
-def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, chunk_bytes: int = 8 << 20, emit: str = "digest") -> DataFrame:
-    """Encodes each document's whole text, then decodes the ids.
+def _byte_arrays(words: DataFrame, pieces: list[bytes], fold_bytes: int) -> DataFrame:
+    """word, bytes (its byte values; empty for a word of over fold_bytes), long_ids (the ids of such a word, else null)."""
+    sent = words.sparkSession.sparkContext.broadcast(pieces)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks: dict[bytes, int] = {}
+        for b in batches:
+            cells = b.column(0).cast(pa.binary())
+            sizes = np.diff(np.frombuffer(cells.buffers()[1], np.int32, len(cells) + 1, 4 * cells.offset))
+            big = np.nonzero(sizes > fold_bytes)[0]
+            ranks = ranks or ({w: i for i, w in enumerate(sent.value) if w} if len(big) else {})
+            ids: list = [None] * len(cells)
+            for i in big:
+                ids[i] = merge_by_heap(cells[i].as_py(), ranks)
+            values = np.frombuffer(b"".join(x if len(x) <= fold_bytes else b"" for x in cells.to_pylist()), np.uint8).astype(np.int32)
+            ends = np.concatenate([[0], np.cumsum(np.where(sizes > fold_bytes, 0, sizes))])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values)), pa.array(ids, pa.list_(pa.int32()))], names=["word", "bytes", "long_ids"])
+
+    return words.mapInArrow(run, "word string, bytes array<int>, long_ids array<int>")
+
+
+def encode_words(words: DataFrame, path: str, fold_bytes: int = FOLD_BYTES) -> DataFrame:
+    """word, ids of each distinct word (string), folded once each."""
+    ranks = load_ranks(path)
+    t = rank_table(ranks)
+    pieces = pieces_of(ranks)
+    ids = F.coalesce("long_ids", _let(t, lambda t: encode_word(F.col("bytes"), t)))
+    return _byte_arrays(words.select("word").distinct(), pieces, fold_bytes).select("word", ids.alias("ids"))
+
+
+def _joined(strings: pa.Array, ends: np.ndarray) -> pa.Array:
+    """Binary strings, those between two ends concatenated: the same bytes with fewer offsets."""
+    at = np.frombuffer(strings.buffers()[1], np.int32)[: len(strings) + 1] if len(strings) else np.zeros(1, np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(at[ends].astype(np.int32)), strings.buffers()[2]])
+
+
+def pieces_of(ranks: dict[bytes, int]) -> list[bytes]:
+    """Bytes of each id; empty where there is no such id."""
+    out = [b""] * (max(ranks.values()) + 1)
+    for w, i in ranks.items():
+        out[i] = w
+    return out
+
+
+def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, chunk_bytes: int = 32 << 20, emit: str = "digest", fold_bytes: int = FOLD_BYTES) -> DataFrame:
+    """Encodes each document's whole text, then decodes the ids by concatenating their pieces.
 
     emit "ids": doc_id, ids array<int>, decoded binary. emit "digest": doc_id, n_tokens, ids_sha256 (decimal ids joined by commas), decoded_sha256.
-    Null text is empty and has no tokens; repeated doc_ids keep a row each. A word's tokens depend on it alone, so chunks don't change results.
+    Null text is empty and has no tokens; a null doc_id stays null, repeated doc_ids keep a row each, other columns are left out. A very long text is a chunk of its own. A word's tokens depend on it alone, so chunks don't change results.
     """
-    ranks_ = load_ranks(path)
-    t, n_ids = rank_table(ranks_), max(ranks_.values()) + 1
-    del ranks_
-    per_word = lambda T: F.transform("words", lambda w: _let(encode_word(w, T), lambda ids: F.struct(ids.alias("ids"), decode_ids(ids, T).alias("bytes"))))
-    rows = chunks(docs, pattern, chunk_bytes).select("ids", "sizes", "places", "parts", "pieces", _let(t, per_word).alias("folded"), "long_at", "long_words")
-    rows = stash(rows, "words")  # the two Python stages then run one after the other, in half the memory
+    held = stash_buckets(chunks(docs, pattern, chunk_bytes), "chunk", "chunks")
+    asked = held.select("chunk", F.posexplode("words").alias("n", "word"))
+    folded = stash(encode_words(asked, path, fold_bytes), "words")
+    answers = stash(asked.join(folded, "word").groupBy("chunk").agg(F.collect_list(F.struct("n", "ids")).alias("answers")), "answers")  # of a chunk's distinct words
+    discard(folded)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if emit == "digest" else "doc_id long, ids array<int>, decoded binary"
     names = [x.split()[0] for x in schema.split(", ")]
+    sent = docs.sparkSession.sparkContext.broadcast(pieces_of(load_ranks(path)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks: dict = {}
-        pieces_of: dict = {}  # bytes by id
-        decimal = [str(i) for i in range(n_ids)]
+        pieces = pa.array(sent.value, pa.binary())
+        decimals = pa.array([f"{i},".encode() for i in range(len(pieces))], pa.binary())
         for b in batches:
             for r in range(b.num_rows):
                 cell = lambda c, b=b, r=r: b.column(b.schema.names.index(c))[r]
-                ids, sizes, long_at, long_words = (cell(c).as_py() for c in ("ids", "sizes", "long_at", "long_words"))
-                places, parts, pieces = (np.frombuffer(cell(c).as_py(), np.int32).tolist() for c in ("places", "parts", "pieces"))
-                folded = cell("folded").values
-                tokens, raws = folded.field("ids").to_pylist(), folded.field("bytes").to_pylist()
-                if long_at:
-                    ranks = ranks or load_ranks(path)
-                    pieces_of = pieces_of or {i: w for w, i in ranks.items()}
-                    for i, w in zip(long_at, long_words, strict=True):
-                        tokens[i] = merge_by_heap(w, ranks)
-                        raws[i] = b"".join([pieces_of[x] for x in tokens[i]])
-                # of each distinct string: tokens, and their decimal form or themselves, and decoded bytes
-                lens, shown, bytes_, at = [], [], [], 0
-                for n in parts:
-                    own = [x for p in pieces[at : at + n] for x in tokens[p]] if n > 1 else tokens[pieces[at]]
-                    lens.append(len(own))
-                    shown.append(",".join([decimal[x] for x in own]) if emit == "digest" else own)
-                    bytes_.append(b"".join([raws[p] for p in pieces[at : at + n]]) if n > 1 else raws[pieces[at]])
-                    at += n
-                out: list[list] = [[] for _ in names]
-                at = 0
-                for i, n in zip(ids, sizes, strict=True):
-                    own = places[at : at + n]
-                    at += n
-                    out[0].append(i)
-                    whole = b"".join([bytes_[x] for x in own])
-                    if emit == "digest":
-                        out[1].append(sum([lens[x] for x in own]))
-                        out[2].append(hashlib.sha256(",".join([shown[x] for x in own]).encode()).hexdigest())
-                        out[3].append(hashlib.sha256(whole).hexdigest())
-                    else:
-                        out[1].append([y for x in own for y in shown[x]])
-                        out[2].append(whole)
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()] if emit == "digest" else [pa.int64(), pa.list_(pa.int32()), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=names)
-
-    return rows.mapInArrow(run, schema)
+                sizes, places, parts, own = (np.frombuffer(cell(c).as_py(), np.int32) for c in ("sizes", "places", "parts", "pieces"))
+                # the ids of all words in the order of their numbers, as one array with ends
+                answers = cell("answers").values
+                if answers is None:
+                    ids, word_ends = pa.array([], pa.int32()), np.zeros(1, np.int64)
+                else:
+                    ordered = answers.field("ids").take(pa.array(np.argsort(answers.field("n").to_numpy())))
+                    ids, word_ends = ordered.flatten(), np.concatenate([[0], np.cumsum(ordered.value_lengths().to_numpy())])
+                # every string's words, then every document's
+                begin = np.cumsum(parts) - parts
+                words = own[np.repeat(begin[places], parts[places]) + _inner(parts[places])]
+                ends = np.concatenate([[0], np.cumsum(parts[places])])[np.concatenate([[0], np.cumsum(sizes)])]
+                lens = np.concatenate([[0], np.cumsum(np.diff(word_ends)[words])])[ends]
+                cells = []
+                for of_id in (pieces, decimals)[: 2 if emit == "digest" else 1]:
+                    per_word = _joined(of_id.take(ids), word_ends)
+                    whole = _joined(per_word.take(pa.array(words)), ends)
+                    cells.append((memoryview(whole.buffers()[2] or b""), np.frombuffer(whole.buffers()[1], np.int32).tolist()))
+                doc_ids = cell("ids").values
+                data, at = cells[0]
+                if emit == "digest":
+                    shown, to = cells[1]
+                    digests = [hashlib.sha256(shown[x : max(x, y - 1)]).hexdigest() for x, y in zip(to, to[1:], strict=False)]
+                    columns = [pa.array(np.diff(lens), pa.int64()), pa.array(digests), pa.array([hashlib.sha256(data[x:y]).hexdigest() for x, y in zip(at, at[1:], strict=False)])]
+                else:
+                    by_word = pa.ListArray.from_arrays(pa.array(word_ends, pa.int32()), ids)
+                    columns = [pa.ListArray.from_arrays(pa.array(lens, pa.int32()), by_word.take(pa.array(words)).flatten()), pa.array([bytes(data[x:y]) for x, y in zip(at, at[1:], strict=False)], pa.binary())]
+                yield pa.RecordBatch.from_arrays([doc_ids, *columns], names=names)
+
+    return held.drop("words").join(answers, "chunk", "left").mapInArrow(run, schema)
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,10 +45,39 @@ def test_bpe_equals_the_library_and_comes_back(spark, rows, tik):
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
 
 
-def test_long_words_merge_alike(tik):
-    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    for w in (b"abcabcabc" * 80, "धर्मक्षेत्रे".encode() * 30, b"z"):
-        assert bpe.merge_by_heap(w, ranks) == tik.encode_ordinary(w.decode()) or len(tik.encode_ordinary(w.decode())) > 1
+def test_long_words_merge_alike(spark, rows, tik):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = bpe.load_ranks(path)
+    for w in (b"abcabcabc" * 80, "धर्मक्षेत्रे".encode() * 30, b"z", b"!!" * 700):
+        assert bpe.merge_by_heap(w, ranks) == tik._encode_single_piece(w)
+    d = frame(spark, rows[:20])
+    both = [{r.doc_id: r.ids for r in bpe.encode(d, path, emit="ids", fold_bytes=n).collect()} for n in (3, 512)]
+    assert both[0] == both[1]
+
+
+def test_bpe_of_nothing(spark):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    assert bpe.encode(frame(spark, []), path).count() == 0
+    got = bpe.encode(frame(spark, [(None, None), (None, "a b"), (3, "")]), path).collect()
+    empty = hashlib.sha256(b"").hexdigest()
+    assert sorted((r.doc_id is None, r.n_tokens) for r in got) == [(False, 0), (True, 0), (True, 2)]
+    assert all((r.ids_sha256, r.decoded_sha256) == (empty, empty) for r in got if not r.n_tokens)
+
+
+def test_plain_strings_are_cut_as_the_pattern_cuts():
+    import random
+
+    import pyarrow as pa
+    import regex
+
+    r, find = random.Random(1), regex.compile(public_tokenizers.PATTERN).findall
+    strings = sorted({"".join(r.choice("abZéßſ.,!?'s1ñÿŁ́ɐ-") for _ in range(r.randint(1, 6))) for _ in range(3000)} | {"it's", "a.", "é!", "ž,"})
+    for before in ("", " "):
+        parts, pieces, words = bpe.cut_strings(pa.array([before + x for x in strings]), find, True)
+        words, at = words.to_pylist(), 0
+        for x, n in zip(strings, parts.tolist(), strict=True):
+            assert [words[p] for p in pieces[at : at + n]] == find(before + x)
+            at += n
 
 
 def test_long_words_are_decoded_from_their_ids(spark, monkeypatch):
