@@ -102,14 +102,14 @@ def mark_revisits(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     """pages (page_id, url, html) with payload, payload_bytes, payload_digest, refers_to (null: a response).
 
     Of equal payloads of least_bytes or more, the largest page_id is the response. The digests are summed to one row each before they meet the pages, and only digests seen twice or more do; that table is written, so Spark can broadcast it while small and else split a digest that holds many pages.
-    Null html is the empty payload. Rows with equal page_id and payload all are the response.
+    Null html is the empty payload. Rows with equal page_id and payload all are the response. A null page_id is a response, or a revisit where an equal payload has an id. Other columns are left out.
     """
     p = pages.select(F.col("page_id").cast("long"), F.coalesce("url", F.lit("")).alias("url"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     p = p.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha1("payload"))
     seen = p.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("payload_digest", "payload_bytes", "first")
     firsts = stash(seen, "payloads")
     joined = p.join(firsts, ["payload_digest", "payload_bytes"], "left")
-    return joined.withColumn("refers_to", F.when(F.col("first") != F.col("page_id"), F.col("first"))).drop("first")
+    return joined.withColumn("refers_to", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))).drop("first")
 
 
 def write_archives(marked: DataFrame, folder: str, package_bytes: int = 256 << 20, zip64: bool = False) -> DataFrame:
@@ -232,7 +232,7 @@ def parse_record(packed: bytes) -> dict:
 RECORDS = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
 
-def index_of(packages: DataFrame, slice_bytes: int = 8 << 20) -> DataFrame:
+def index_of(packages: DataFrame, slice_bytes: int = 2 << 20) -> DataFrame:
     """(path, start, lengths): runs of consecutive records from each package's index, of about slice_bytes; start is an offset in the package's file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,8 +283,11 @@ def read_archives(packages: DataFrame, payload: bool = True) -> DataFrame:
                     p += n
                 yield pa.RecordBatch.from_arrays([pa.array([g[c] for g in found], k) for c, k in zip(names, kinds, strict=True)], names=names)
 
-    ranges = index_of(packages)
-    return ranges.repartition(F.hash("path", "start")).mapInArrow(run, RECORDS)
+    ranges = stash(index_of(packages), "ranges")
+    total = ranges.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    # a number of tasks that follows the bytes to read: with none, Spark would merge these small rows in one task
+    tasks = max(1, -(-total // packages.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()))
+    return ranges.repartition(tasks).mapInArrow(run, RECORDS)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
