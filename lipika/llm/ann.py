@@ -148,16 +148,24 @@ def distinct_vectors(vectors: DataFrame, k: int) -> DataFrame:
     return first.groupBy("h", "embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select("embedding", "ids")
 
 
+def one_vector_each(vectors: DataFrame) -> DataFrame:
+    """vec_id, embedding of usable vectors with an id; of several vectors of one id, the least by its components. Only where ids repeat are any vectors moved."""
+    good = vectors.select(F.col("vec_id").cast("long"), "embedding").where(F.col("vec_id").isNotNull() & usable("embedding"))
+    again = stash(good.groupBy("vec_id").count().where("count > 1").select("vec_id"), "again")
+    if again.isEmpty():
+        return good
+    return good.join(again, "vec_id", "left_anti").unionByName(good.join(again, "vec_id", "left_semi").groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, config: AnnConfig = AnnConfig(), report: dict | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the config.k nearest found of each query row, its own vec_id left out, all candidates if fewer.
 
-    vectors and queries: vec_id, embedding (equal lengths). Vectors null, zero or with null or non-finite components take no part. Each distinct vector is indexed once with its smallest ids, and each distinct query searched once.
+    vectors and queries: vec_id, embedding (equal lengths); other columns are left out. Vectors null, zero or with null or non-finite components and null ids take no part; repeated rows count once, and of several vectors of one id only the least by its components. Each distinct vector is indexed once with its smallest ids, and each distinct query searched once.
     The driver holds the tree and config.probes probe results, both of bounded size. Shards of neighbouring leaves meet the queries that visit them; large leaves are split, and each query's best of each shard are merged.
     report, if given, gets the tree's size, the leaves visited and the calibration's recall.
     """
     c = config
-    good = vectors.select(F.col("vec_id").cast("long"), "embedding").where(usable("embedding"))
-    base = stash(distinct_vectors(good, c.k), "vectors")
+    base = stash(distinct_vectors(one_vector_each(vectors), c.k), "vectors")
     total = base.count()
     spark = vectors.sparkSession
     if total == 0:
@@ -194,7 +202,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, config: AnnConfig = AnnConfi
     where = spark.createDataFrame([(i, first[i], parts[i]) for i in range(tree.leaves)], "leaf long, shard long, parts long")
     dealt = index.join(F.broadcast(where), "leaf").select((F.col("shard") + F.pmod(F.xxhash64("embedding", F.lit(1)), "parts")).alias("shard"), "leaf", "embedding", "ids")
 
-    q = queries.select(F.col("vec_id").cast("long").alias("query_id"), "embedding").where(usable("embedding"))
+    q = one_vector_each(queries).withColumnRenamed("vec_id", "query_id")
     by_vector = q.withColumn("h", F.xxhash64("embedding"))
     asked = stash(by_vector.groupBy("h", "embedding").agg(F.min("query_id").alias("first")), "queries")
 
