@@ -28,9 +28,9 @@ class PackConfig:
 
 
 def load_encoder(path: str):
-    """encode(text) -> ids, as the tokenizers library gives them for a byte-level BPE file of this kind.
+    """encode(text) -> ids, as the tokenizers library gives them for a byte-level BPE file with add_special_tokens=False: special tokens that a text spells out are single ids.
 
-    The file's vocabulary and merges are read into the faster tiktoken encoder, where ids are merge ranks; should a file not be of that kind, or a probe differ, the tokenizers library itself encodes. Kept per process.
+    The file's vocabulary and merges are read into the faster tiktoken encoder, where ids are merge ranks; texts that spell out a special token, and all texts if a file is not of that kind or a probe differs, are encoded by the tokenizers library itself. Kept per process.
     """
     held = public_tokenizers.__dict__.setdefault("_encoders", {})
     if path in held:
@@ -43,7 +43,6 @@ def load_encoder(path: str):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     out = slow = lambda text: plain.encode(text, add_special_tokens=False).ids
     spec = json.load(open(path, encoding="utf-8"))
     # byte-level alphabets write printable bytes as themselves and the others, in order, from U+0100 on
@@ -56,10 +55,10 @@ def load_encoder(path: str):
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         in_order = [vocab["".join(m)] for m in merges]
         if in_order == sorted(in_order) and not spec["model"].get("ignore_merges") and (spec.get("normalizer") is None):
-            fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-            probe = "It's  a test: naïve façade, 12345 №№ धर्म \n\n\t x=y;#### <|endoftext|>  end "
-            if fast.encode_ordinary(probe) == slow(probe):
-                out = fast.encode_ordinary
+            fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            probe = "It's  a test: naïve façade, 12345 №№ धर्म \n\n\t x=y;####  end "
+            if fast(probe) == slow(probe):
+                out = lambda text: slow(text) if any(x in text for x in special) else fast(text)
     except KeyError:
         pass
     held[path] = out
@@ -87,7 +86,7 @@ def pack(docs: DataFrame, path: str, config: PackConfig = PackConfig()) -> DataF
     """A row a piece: its document's tokens start .. start+length, put at offset of sequence_id; padding: of that sequence.
 
     Each partition fills its own sequences, k pieces of class k to a sequence, and numbers them by the partition, so nothing is shuffled and a task that is run again gives the same rows. What is left of the classes at a partition's end, fewer than k pieces each, shares sequences first-fit by falling length. Memory is one open sequence a class.
-    Null text is empty and gets the end id alone. Documents keep their rows: repeated doc_ids are packed each for itself.
+    Null text is empty and gets the end id alone. Documents keep their rows: repeated doc_ids are packed each for itself, a null doc_id stays null; other columns are left out. A very long text is many full sequences and one remainder.
     A sequence is padded to capacity, except one whose content is a power of two, which stays as long as it is.
     """
     c = config
