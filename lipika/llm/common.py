@@ -127,6 +127,28 @@ def beta_cdf(x: float, a: float, b: float) -> float:
     return exp(a * log(x) + b * log1p(-x) - _log_beta(a, b)) * h / a
 
 
+def beta_above(x: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """1 - beta_cdf(x, a, b) of arrays, by the same continued fraction over all at once."""
+    from math import lgamma
+
+    a, b = (np.asarray(v, np.float64) for v in (a, b))
+    turn = x > (a + 1) / (a + b + 2)
+    p, q, y = np.where(turn, b, a), np.where(turn, a, b), np.where(turn, 1 - x, x)
+    near = lambda v: np.where(np.abs(v) > 1e-300, v, 1e-300)
+    c, d = np.ones_like(p), 1 / near(1 - (p + q) * y / (p + 1))
+    h = d.copy()
+    for m in range(1, 10_000):
+        for n in (m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))):
+            d = 1 / near(1 + n * d)
+            c = near(1 + n / c)
+            h = h * c * d
+        if (np.abs(c * d - 1) < 1e-13).all():
+            break
+    log_beta = np.array([lgamma(u) + lgamma(v) - lgamma(u + v) for u, v in zip(p, q, strict=True)])
+    below = np.exp(p * np.log(y) + q * np.log1p(-y) - log_beta) * h / p
+    return np.where(turn, below, 1 - below)
+
+
 def binomial_upper(k: int, n: int, risk: float) -> float:
     """Clopper-Pearson upper limit at level 1 - risk of a rate, seen k times of n; 1 if n is 0."""
     if n <= 0 or k >= n:
