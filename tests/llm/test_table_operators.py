@@ -6,6 +6,7 @@ import zipfile
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lipika.llm import ann, common, urls, warc
 
@@ -65,6 +66,14 @@ def test_ann_few_and_none(spark):
     assert ann.nearest(d, d.limit(0)).count() == 0
 
 
+def test_ann_null_and_repeated_ids(spark):
+    rows = [(20, [1.0, 2.0]), (20, [3.0, 1.0]), (1, [1.0, 2.0]), (20, [1.0, 2.0]), (None, [5.0, 5.0]), (40, [0.5, 0.5]), (1, [1.0, 2.0])]
+    d = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA + ", ids string, leaf int")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(d, d.where("vec_id % 20 = 0")).collect())
+    # 20 stands for (1, 2), the lesser of its vectors; the null id takes no part
+    assert got == [(20, 1, 1, 5.0), (20, 2, 40, 1.5), (40, 1, 1, 1.5), (40, 2, 20, 1.5)]
+
+
 # --- 3: WARC ---
 
 
@@ -95,6 +104,20 @@ def test_warc_round_trip(spark, zip64, package_bytes, tmp_path):
         assert z.testzip() is None and z.namelist() == [warc.ARCHIVE, warc.INDEX]
 
 
+def test_warc_null_ids_and_reading_tasks(spark, tmp_path):
+    rows = [(None, "http://a/", "n" * 2000, 1), (5, "http://b/", "n" * 2000, 2), (None, "http://c/", "m" * 2000, 3), (6, None, None, 4)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string, payload int").repartition(2)
+    got = sorted((r.page_id or 0, r.record_type, r.refers_to or 0) for r in warc.read_archives(warc.write_archives(warc.mark_revisits(d), f"file://{tmp_path}/n")).collect())
+    assert got == [(0, "response", 0), (0, "revisit", 5), (5, "response", 0), (6, "response", 0)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 4000)
+    try:
+        _, d = pages(spark)
+        d = d.withColumn("html", F.concat("html", F.expr("repeat(sha2(cast(page_id as string), 256), 9)")))
+        assert warc.read_archives(warc.write_archives(warc.mark_revisits(d), f"file://{tmp_path}/t", 4000)).rdd.getNumPartitions() > 3
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_zip_reader_of_other_writers():
     b = io.BytesIO()
     with zipfile.ZipFile(b, "w") as z:
@@ -152,6 +175,63 @@ def test_urls(spark):
     assert urls.judge_urls(d.limit(0)).count() == 0
 
 
+def brute_reputation(outcomes, hosts, c):
+    """p_bad of each host from (host, bad), level by level in plain Python."""
+    def names(host):
+        labels = host.split(".")
+        two = len(labels) > 1 and len(labels[-1]) == 2 and labels[-1].isalpha() and labels[-2] in c.generic
+        n = 2 if two else 1
+        return ".".join(labels[-n:]), ".".join(labels[-n - 1 :])
+
+    n, bad = {}, {}
+    for h, y in outcomes:
+        n[h], bad[h] = n.get(h, 0) + 1, bad.get(h, 0) + y
+
+    def level(children, pa, pb):
+        """(mean, strength) from (bad, n) of the children."""
+        b, k = (sum(x[i] for x in children) for i in (0, 1))
+        mean = (b + pa) / (k + pa + pb)
+        spread = sum(y * (x / y) ** 2 for x, y in children) / k - (b / k) ** 2
+        inv, bound = len(children) / k, mean * (1 - mean)
+        s = c.strength if len(children) < 2 else c.most if spread <= bound * inv else (bound - spread) / (spread - bound * inv)
+        s = min(max(s, c.least), c.most)
+        return mean * s, (1 - mean) * s
+
+    domains = {}
+    for h in n:
+        domains.setdefault(names(h), []).append((bad[h], n[h]))
+    suffix = {s: level([tuple(map(sum, zip(*v))) for (x, _), v in domains.items() if x == s], *c.base) for s in {s for s, _ in domains}}
+    domain = {d: level(v, *suffix[s]) for (s, d), v in domains.items()}
+    out = {}
+    for h in hosts:
+        s, d = names(h)
+        a, b = domain.get(d) or suffix.get(s) or c.base
+        out[h] = 1 - common.beta_cdf(c.bad_rate, a + bad.get(h, 0), b + n.get(h, 0) - bad.get(h, 0))
+    return out
+
+
+def test_reputation_against_plain_python(spark):
+    r, c = random.Random(4), urls.ReputationConfig()
+    hosts = [f"{x}.d{d}.{s}" for s, rate in (("org", 0.1), ("net", 0.9), ("co.uk", 0.5), ("uk", 0.5), ("info", 0.5)) for d in range(3) for x in "abc"]
+    rate = {h: r.random() for h in hosts}
+    outcomes = [(h, int(r.random() < rate[h])) for h in hosts for _ in range(r.randint(0, 30))] + [("bare", 1), ("", 0), ("co.uk", 1)]
+    asked = [*hosts, "new.d1.org", "new.other.org", "new.new", "", "x.new.co.uk", "10.0.0.1"]
+    got = urls.host_reputation(spark.createDataFrame(outcomes, "host string, bad int"), spark.createDataFrame([(h,) for h in asked * 2], "host string")).collect()
+    want = brute_reputation(outcomes, asked, c)
+    assert len(got) == len(set(asked)) and len({round(x, 6) for x in want.values()}) > 20
+    for x in got:
+        assert x.p_bad == pytest.approx(want[x.host], abs=1e-9) and x.bad_host == (x.p_bad >= c.certainty)
+
+
+def test_pages_are_outcomes_by_their_own_text(spark):
+    fine, empty, links = "<p>" + "word " * 80 + "</p><script>x y z</script>", "<script>" + "word " * 90 + "</script><!-- " + "w " * 90 + "-->few", "<a href='x'>" + "word " * 80 + "</a> and more"
+    d = spark.createDataFrame([(1, fine), (2, empty), (3, links), (4, None), (5, "")], "i long, html string")
+    assert {r.i: r.b for r in d.select("i", urls.bad_page(F.col("html")).alias("b")).collect()} == {1: 0, 2: 1, 3: 1, 4: 1, 5: 1}
+    rows = [(i, f"http://fine.net/de/{i}", fine) for i in range(20)] + [(i, f"http://bad.net/de/{i}", links) for i in range(100, 120)] + [(None, "http://fine.net/es/", fine)]
+    got = {r.page_id: (r.verdict, r.p_bad) for r in urls.judge_urls(spark.createDataFrame([(*x, "h", 1) for x in rows], "page_id long, url string, html string, host string, bad int")).collect()}
+    assert got[3][0] == "allow" and got[103][0] == "block" and got[None] == ("block", None) and got[3][1] < 0.05 and got[103][1] > 0.95
+
+
 def test_reputation_follows_labels_and_shrinks(spark):
     rows = [(i, f"http://h{i % 4}.spam.org/{i}") for i in range(80)] + [(i, f"http://h{i % 4}.fine.org/{i}") for i in range(100, 180)] + [(500, "http://new.spam.org/"), (501, "http://new.fine.org/"), (502, "http://other.info/")]
     labels = spark.createDataFrame([(i, int(i < 80)) for i in [*range(80), *range(100, 180)]], "page_id long, bad int")
@@ -167,3 +247,4 @@ def test_beta_cdf(a, b, x):
     log = (a - 1) * np.log(t) + (b - 1) * np.log1p(-t)
     w = np.exp(log - log.max())
     assert common.beta_cdf(x, a, b) == pytest.approx(w[t <= x].sum() / w.sum(), abs=2e-3)
+    assert common.beta_above(x, np.array([a, 1.0]), np.array([b, 1.0])) == pytest.approx([1 - common.beta_cdf(x, a, b), 1 - x], abs=1e-12)

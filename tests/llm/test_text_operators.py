@@ -451,8 +451,7 @@ def test_packing(spark, rows):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
-    all_rows = rows + [(700, "<|endoftext|> word"), (701, None)]
+    all_rows = rows + [(700, "a <|endoftext|> b<|endoftext|>"), (701, None)]
     text, got = dict(all_rows), defaultdict(list)
     out = packing.pack(frame(spark, all_rows), path).collect()
     for r in out:
@@ -479,6 +478,31 @@ def test_packing(spark, rows):
     assert packing.pack(frame(spark, []), path).count() == 0
 
 
+def test_both_libraries_encode_alike():
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, encode, r = Tokenizer.from_file(path), packing.load_encoder(path), random.Random(9)
+    assert encode("a <|endoftext|> b") == plain.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    vocabulary = [w for w in (plain.decode([i]) for i in range(plain.get_vocab_size())) if "\ufffd" not in w]
+    chars = "abcXYZ 019 \n\t.,'éßñ中文धर्म€😀\u00a0\u0301\u200d<|>" + chr(0x2028)
+    texts = [*vocabulary, *("".join(r.choice(chars) for _ in range(r.randint(0, 40))) for _ in range(3000)), *(" ".join(r.sample(vocabulary, 20)) for _ in range(500))]
+    for t, got in zip(texts, plain.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert encode(t) == got.ids
+
+
+def test_sequences_are_full(spark):
+    import random
+
+    r = random.Random(3)
+    d = spark.createDataFrame([(i if i % 7 else None, "the " * r.randint(0, 3000)) for i in range(400)], DOCS).coalesce(2)
+    out = packing.pack(d, public_tokenizers.path("byte_bpe_50k.json")).collect()
+    by = {r.sequence_id: r.padding for r in out}
+    assert sum(by.values()) < 0.02 * sum(r.length for r in out) and sum(r.doc_id is None for r in out) >= 58
+
+
 def test_cuts_fill_classes():
     c = packing.PackConfig()
     for n in range(1, 5000):
