@@ -7,8 +7,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .script import detect_script, strip
-from .translit import final_h, to_slp1
+from .script import SPACE, detect_script, is_blank, is_devanagari, is_iast, strip
+from .translit import devanagari_to_slp1, final_h, hk_to_slp1, iast_to_slp1, loose_roman, to_slp1
 
 # Each class of consonants with the nasal that an anusvara before it stands for, in the order in which they are applied.
 NASALS = (("N", "kKgG"), ("Y", "cCjJ"), ("R", "wWqQ"), ("n", "tTdD"), ("m", "pPbB"), ("[nRYNm]", "Szsh"), ("n", "kKgG"))
@@ -21,8 +21,9 @@ def _compose(text: pd.Series) -> pd.Series:
 
 
 def nfc(text: Column) -> Column:
-    """Unicode composition. Spark has no built-in; ASCII texts don't need it."""
-    return F.when(text.rlike(r"[^\x00-\x7F]"), _compose(text)).otherwise(text)
+    """Unicode composition. Spark has no built-in; ASCII texts don't need it and don't leave the JVM."""
+    other = text.rlike(r"[^\x00-\x7F]")
+    return F.when(other, _compose(F.when(other, text))).otherwise(text)
 
 
 def anusvara(text: Column) -> Column:
@@ -38,9 +39,10 @@ def fold_vowels(text: Column) -> Column:
 def clean_text(text: Column) -> Column:
     """One kind of line break, single spaces, at most one blank line, no white space around lines or the text."""
     text = F.regexp_replace(text, r"\r\n?", "\n")
-    text = F.regexp_replace(text, r"[ \t]+", " ")
+    text = F.regexp_replace(text, r"[ \t]{2,}|\t", " ")
     text = F.regexp_replace(text, r"\n\s*\n\s*\n+", "\n\n")
-    return strip(F.array_join(F.transform(F.split(text, "\n", -1), strip), "\n"))
+    around = f"[{SPACE}&&[^\n]]*"
+    return strip(F.regexp_replace(text, f"{around}\n{around}", "\n"))
 
 
 def remove_punctuation(text: Column, keep_dandas: bool = True) -> Column:
@@ -51,19 +53,20 @@ def remove_punctuation(text: Column, keep_dandas: bool = True) -> Column:
 def preprocess(text: Column, for_indexing: bool = True, nasals: bool = True, compose: bool = True) -> Column:
     """The search form: composed, SLP1, nasals as anusvara and vowels short (for_indexing), clean; blank and null: ''."""
     t = nfc(text) if compose else text
-    script = detect_script(t)
-    t = to_slp1(F.when(script == "loose_roman", final_h(t)).otherwise(t), script)
+
+    # each script's test is named once; the loose spelling is read with final visargas before and after its long vowels
+    loose = hk_to_slp1(final_h(loose_roman(final_h(t))))
+    out = F.when(is_devanagari(t), devanagari_to_slp1(t)).when(is_iast(t), iast_to_slp1(t)).otherwise(loose)
     if for_indexing:
-        t = fold_vowels(anusvara(t) if nasals else t)
-    return F.when(F.coalesce(strip(text), F.lit("")) == "", "").otherwise(clean_text(t))
+        out = fold_vowels(anusvara(out) if nasals else out)
+    return F.when(is_blank(text), "").otherwise(clean_text(out))
 
 
 def process(text: Column, nasals: bool = True) -> Column:
     """Struct of original, script ('unknown' if blank), slp1 and mixed flag."""
     from .script import has_mixed_scripts
 
-    blank = F.coalesce(strip(text), F.lit("")) == ""
-    return F.struct(text.alias("original"), F.when(blank, "unknown").otherwise(detect_script(nfc(text))).alias("script"), preprocess(text, nasals=nasals).alias("slp1"), has_mixed_scripts(text).alias("is_mixed_script"))
+    return F.struct(text.alias("original"), F.when(is_blank(text), "unknown").otherwise(detect_script(nfc(text))).alias("script"), preprocess(text, nasals=nasals).alias("slp1"), has_mixed_scripts(text).alias("is_mixed_script"))
 
 
 def equivalent(a: Column, b: Column, folded: bool = True) -> Column:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The letters of the Roman scholarly transliteration beyond ASCII.
 DIACRITICS = "āīūṛṝḷḹṃḥṅñṭḍṇśṣĀĪŪṚṜḶḸṂḤṄÑṬḌṆŚṢ"
 DEVANAGARI = r"\x{0900}-\x{097F}"
+OTHER_LETTERS = rf"\p{{L}}&&[^{DEVANAGARI}]"
 SPACE = r"[\s\x{0085}\x{001C}-\x{001F}\p{Z}]"
 
 
@@ -15,23 +18,38 @@ def count_of(text: Column, pattern: str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)).cast("bigint")
 
 
+def is_blank(text: Column) -> Column:
+    """Null, or nothing but white space."""
+    return ~F.coalesce(text.rlike(f"[^{SPACE[1:]}"), F.lit(False))
+
+
 def strip(text: Column) -> Column:
     """Without white space (Unicode) at either end."""
     return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
 
 
+def chars_in(text: Column, chars: str) -> Column:
+    """How many characters of a class (what stands between brackets) there are; null has none. Whole runs are taken out at once, so no match is an object of its own."""
+    return F.coalesce(F.length(text) - F.length(F.regexp_replace(text, f"[{chars}]+", "")), F.lit(0)).cast("bigint")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(x) with x evaluated once, wherever body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def devanagari_count(text: Column) -> Column:
-    return count_of(text, f"[{DEVANAGARI}]")
+    return chars_in(text, DEVANAGARI)
 
 
 def other_letters(text: Column) -> Column:
-    return count_of(text, f"(?![{DEVANAGARI}])\\p{{L}}")
+    return chars_in(text, OTHER_LETTERS)
 
 
 def is_devanagari(text: Column, majority: float = 0.5) -> Column:
     """More than majority of the letters are in the block (its signs and digits count); false without letters or for null."""
-    d, o = devanagari_count(text), other_letters(text)
-    return F.when(d + o == 0, False).otherwise(d / (d + o) > majority)
+    d = devanagari_count(text)
+    return F.coalesce(text.rlike(f"[{DEVANAGARI}]"), F.lit(False)) & (d / (d + other_letters(text)) > majority)
 
 
 def is_iast(text: Column) -> Column:
@@ -40,7 +58,7 @@ def is_iast(text: Column) -> Column:
 
 def has_mixed_scripts(text: Column) -> Column:
     """A character of the block, and a letter outside it."""
-    return (devanagari_count(text) > 0) & (other_letters(text) > 0)
+    return F.coalesce(text.rlike(f"[{DEVANAGARI}]") & text.rlike(f"[{OTHER_LETTERS}]"), F.lit(False))
 
 
 def detect_script(text: Column) -> Column:
@@ -49,17 +67,18 @@ def detect_script(text: Column) -> Column:
 
 
 def script_stats(text: Column) -> Column:
-    """Struct of disjoint counts (the block, diacritics, other letters, the rest but white space), script and mixed flag."""
-    d = devanagari_count(text)
-    i = count_of(text, f"[{DIACRITICS}]")
-    roman = count_of(text, f"(?![{DEVANAGARI}{DIACRITICS}])\\p{{L}}")
-    rest = count_of(text, f"(?![{DEVANAGARI}{DIACRITICS}])[^\\p{{L}}\\s\\x{{0085}}\\x{{001C}}-\\x{{001F}}\\p{{Z}}]")
-    return F.struct(
+    """Struct of disjoint counts (the block, diacritics, other letters, the rest but white space), script and mixed flag. Each count is one pass, and script and flag follow from the counts."""
+    counts = F.struct(
         F.coalesce(F.length(text), F.lit(0)).cast("bigint").alias("total_chars"),
-        d.alias("devanagari_chars"),
-        i.alias("iast_chars"),
-        roman.alias("roman_chars"),
-        rest.alias("other_chars"),
-        detect_script(text).alias("script_type"),
-        has_mixed_scripts(text).alias("is_mixed"),
+        devanagari_count(text).alias("devanagari_chars"),
+        chars_in(text, DIACRITICS).alias("iast_chars"),
+        chars_in(text, f"{OTHER_LETTERS}&&[^{DIACRITICS}]").alias("roman_chars"),
+        chars_in(text, f"^\\p{{L}}\\s{DEVANAGARI}\\x{{0085}}\\x{{001C}}-\\x{{001F}}\\p{{Z}}").alias("other_chars"),
     )
+
+    def judged(c: Column) -> Column:
+        d, i, other = c["devanagari_chars"], c["iast_chars"], c["iast_chars"] + c["roman_chars"]
+        script = F.when((d > 0) & (d / (d + other) > 0.5), "devanagari").when(i > 0, "iast").otherwise("loose_roman")
+        return F.struct(*[c[x].alias(x) for x in ("total_chars", "devanagari_chars", "iast_chars", "roman_chars", "other_chars")], script.alias("script_type"), ((d > 0) & (other > 0)).alias("is_mixed"))
+
+    return let(counts, judged)

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .script import detect_script, strip
+from .script import detect_script, is_blank
 
 # The published schemes, in the order of the alphabet.
 VOWELS = "अआइईउऊऋॠऌॡएऐओऔ"
@@ -66,7 +66,7 @@ def to_slp1(text: Column, script: Column | None = None) -> Column:
     """SLP1 of a text in the given or detected script; blank and null stay."""
     script = detect_script(text) if script is None else script
     out = F.when(script == "devanagari", devanagari_to_slp1(text)).when(script == "iast", iast_to_slp1(text)).otherwise(hk_to_slp1(final_h(loose_roman(text))))
-    return F.when(strip(text) == "", text).otherwise(out)
+    return F.when(is_blank(text), text).otherwise(out)
 
 
 def slp1_to_iast(text: Column) -> Column:

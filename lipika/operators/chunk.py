@@ -5,10 +5,10 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lipika.functions.script import strip
+from lipika.functions.script import let, strip
 
 
 @dataclass(frozen=True)
@@ -33,39 +33,46 @@ def sentences(text: Column, c: ChunkConfig = ChunkConfig()) -> Column:
 def pack(parts: Column, most: int, c: ChunkConfig = ChunkConfig()) -> Column:
     """Consecutive sentences in groups of at most `most` tokens; a sentence with more is a group of its own."""
     none = F.array().cast("array<string>")
-    full = lambda a, s: (a["tokens"] + tokens_of(s, c) > most) & (F.size(a["now"]) > 0)
-    return F.aggregate(
-        parts,
-        F.struct(F.array().cast("array<array<string>>").alias("done"), none.alias("now"), F.lit(0).cast("bigint").alias("tokens")),
-        lambda a, s: F.struct(
-            F.when(full(a, s), F.array_append(a["done"], a["now"])).otherwise(a["done"]).alias("done"),
-            F.when(full(a, s), F.array(s)).otherwise(F.array_append(a["now"], s)).alias("now"),
-            F.when(full(a, s), tokens_of(s, c)).otherwise(a["tokens"] + tokens_of(s, c)).alias("tokens"),
-        ),
-        lambda a: F.when(F.size(a["now"]) > 0, F.array_append(a["done"], a["now"])).otherwise(a["done"]),
-    )
+    state = lambda done, now, tokens: F.struct(done.alias("done"), now.alias("now"), tokens.alias("tokens"))
 
+    def step(a: Column, s: Column) -> Column:
+        more = tokens_of(s, c)
+        full = (a["tokens"] + more > most) & (F.size(a["now"]) > 0)
+        return F.when(full, state(F.array_append(a["done"], a["now"]), F.array(s), more)).otherwise(state(a["done"], F.array_append(a["now"], s), a["tokens"] + more))
 
-def _exploded(df: DataFrame, groups: Column, index: str, keep: list[str]) -> DataFrame:
-    """A row a group: index from 1, text, token_count and offsets that leave out the spaces between sentences of different groups."""
-    rows = df.select(*keep, F.posexplode(groups).alias("p", "own"))
-    return rows.withColumn(index, F.col("p").cast("bigint") + 1).withColumn("text", F.array_join("own", " ")).drop("p", "own")
+    first = state(F.array().cast("array<array<string>>"), none, F.lit(0).cast("bigint"))
+    return F.aggregate(parts, first, step, lambda a: F.when(F.size(a["now"]) > 0, F.array_append(a["done"], a["now"])).otherwise(a["done"]))
+
+
+def placed(groups: Column, start: Column, c: ChunkConfig) -> Column:
+    """Array of text, token_count, start_char, end_char of each group; offsets begin at start and leave out the spaces between groups. A fold over the row's own groups, so no window is needed."""
+    none = F.array().cast("array<struct<text:string,token_count:bigint,start_char:bigint,end_char:bigint>>")
+
+    def step(a: Column, text: Column) -> Column:
+        end = a["at"] + F.length(text)
+        own = F.struct(text.alias("text"), tokens_of(text, c).alias("token_count"), a["at"].alias("start_char"), end.alias("end_char"))
+        return F.struct(end.alias("at"), F.array_append(a["out"], own).alias("out"))
+
+    return F.aggregate(F.transform(groups, lambda g: F.array_join(g, " ")), F.struct(start.cast("bigint").alias("at"), none.alias("out")), step, lambda a: a["out"])
+
+
+def _rows(df: DataFrame, chunks: Column, index: str, keep: list[str]) -> DataFrame:
+    """A row a chunk, numbered from 1."""
+    rows = df.select(*keep, F.posexplode_outer(chunks).alias("_p", "_c")).where("_c is not null")
+    return rows.select(*keep, (F.col("_p").cast("bigint") + 1).alias(index), "_c.text", "_c.start_char", "_c.end_char", "_c.token_count")
 
 
 def parents(stories: DataFrame, key: str = "story_id", text: str = "story_text", keep: list[str] | None = None, c: ChunkConfig = ChunkConfig()) -> DataFrame:
     """key, kept columns, parent_index, parent_id, text, token_count, start_char, end_char; stories without sentences have none."""
-    rows = _exploded(stories, pack(sentences(F.col(text), c), c.parent_max, c), "parent_index", [key, *(keep or [])])
-    before = Window.partitionBy(key).orderBy("parent_index").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("text")).over(before), F.lit(0)).cast("bigint")
-    rows = rows.withColumn("start_char", start).withColumn("end_char", F.col("start_char") + F.length("text")).withColumn("token_count", tokens_of(F.col("text"), c))
+    rows = _rows(stories, placed(pack(sentences(F.col(text), c), c.parent_max, c), F.lit(0), c), "parent_index", [key, *(keep or [])])
     return rows.withColumn("parent_id", F.concat(F.col(key).cast("string"), F.lit("_p"), F.col("parent_index").cast("string")))
 
 
 def children(parent_rows: DataFrame, keep: list[str] | None = None, c: ChunkConfig = ChunkConfig()) -> DataFrame:
     """parent_id, kept columns, child_index, total_children, chunk_id, text, token_count, start_char, end_char."""
-    base = parent_rows.withColumnRenamed("start_char", "_from").withColumn("_groups", pack(sentences(F.col("text"), c), c.child_max, c))
-    rows = _exploded(base.withColumn("total_children", F.size("_groups").cast("bigint")), F.col("_groups"), "child_index", ["parent_id", "_from", "total_children", *(keep or [])])
-    before = Window.partitionBy("parent_id").orderBy("child_index").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("_from") + F.coalesce(F.sum(F.length("text")).over(before), F.lit(0))
-    rows = rows.withColumn("start_char", start.cast("bigint")).withColumn("end_char", F.col("start_char") + F.length("text")).withColumn("token_count", tokens_of(F.col("text"), c))
-    return rows.withColumn("chunk_id", F.concat("parent_id", F.lit("_c"), F.col("child_index").cast("string"))).drop("_from")
+    of_parent = placed(pack(sentences(F.col("text"), c), c.child_max, c), F.col("start_char"), c)
+    numbered = let(of_parent, lambda x: F.transform(x, lambda y: F.struct(F.size(x).cast("bigint").alias("total_children"), y["text"].alias("text"), y["start_char"].alias("start_char"), y["end_char"].alias("end_char"), y["token_count"].alias("token_count"))))
+    own = ["parent_id", *(keep or [])]
+    rows = parent_rows.select(*own, F.posexplode_outer(numbered).alias("_p", "_c")).where("_c is not null")
+    rows = rows.select("parent_id", "_c.total_children", *(keep or []), (F.col("_p").cast("bigint") + 1).alias("child_index"), "_c.text", "_c.start_char", "_c.end_char", "_c.token_count")
+    return rows.withColumn("chunk_id", F.concat("parent_id", F.lit("_c"), F.col("child_index").cast("string")))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lipika.functions.normalize import fold_vowels
+from lipika.functions.normalize import LONG, fold_vowels
+from lipika.functions.script import let
 
 # Fixed value: punctuation taken off both ends of a word.
 EDGES = r""".,;:!?"'()\[\]{}।॥\-"""
@@ -32,42 +33,106 @@ def char_ngrams(text: Column, n: int = 3) -> Column:
 
 
 def words(text: Column) -> Column:
-    split = F.split(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), r"(?U)\s+", -1)
-    return F.filter(F.transform(split, lambda w: F.regexp_replace(w, f"^[{EDGES}]+|[{EDGES}]+$", "")), lambda w: w != "")
+    """Runs without white space, without the edges' punctuation, in one pass: from the first character that is no edge to the last."""
+    return F.regexp_extract_all(text, F.lit(f"(?U)[^\\s{EDGES}](?:\\S*[^\\s{EDGES}])?"), F.lit(0))
 
 
 def tokens(text: Column, c: Bm25Config = Bm25Config()) -> Column:
-    """Distinct tokens in order: words, n-grams without spaces, and both with short vowels; not hybrid: n-grams alone. Empty and null: none."""
+    """Distinct tokens in order: words, n-grams without spaces, and both with short vowels; not hybrid: n-grams alone. Empty and null: none.
+
+    Of the forms with short vowels only those that hold a long one are made, as the others are there already.
+    """
     solid = F.replace(text, F.lit(" "), F.lit(""))
-    grams = [char_ngrams(solid, c.n), char_ngrams(fold_vowels(solid), c.n)]
-    parts = [words(text), grams[0], words(fold_vowels(text)), grams[1]] if c.hybrid else grams
-    return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(*parts)))
+    long = F.regexp_extract_all(solid, F.lit(f"(?s)(?=.{{0,{c.n - 1}}}[{LONG}])(?=(.{{{c.n}}}))"), F.lit(1))
+    folded = F.transform(F.when(F.length(solid) < c.n, F.array(solid)).otherwise(long), fold_vowels)
+    if c.hybrid:
+        found = let(words(text), lambda w: F.concat(w, char_ngrams(solid, c.n), F.transform(F.filter(w, lambda x: x.rlike(f"[{LONG}]")), fold_vowels), folded))
+    else:
+        found = F.concat(char_ngrams(solid, c.n), folded)
+    return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.array_distinct(found))
 
 
 def postings(docs: DataFrame, key: str, text: str, c: Bm25Config = Bm25Config()) -> DataFrame:
-    """key, token, dl (distinct tokens of the document). A document without tokens has one that nothing matches."""
-    t = docs.select(key, F.coalesce(tokens(F.col(text), c), F.array().cast("array<string>")).alias("_t"))
-    t = t.withColumn("_t", F.when(F.size("_t") == 0, F.array(F.lit(EMPTY))).otherwise(F.col("_t")))
-    return t.select(key, F.size("_t").cast("bigint").alias("dl"), F.explode("_t").alias("token"))
+    """key, dl (distinct tokens of the document), token. A document without tokens has one that nothing matches.
 
+    Tokens are made once a document: no other expression names them (an inner explode would, in a filter of its own), and dl is their own number.
+    """
+    own = let(F.coalesce(tokens(F.col(text), c), F.array().cast("array<string>")), lambda t: F.when(F.size(t) == 0, F.array(F.lit(EMPTY))).otherwise(t))
+    numbered = let(own, lambda t: F.transform(t, lambda x: F.struct(F.size(t).cast("bigint").alias("dl"), x.alias("token"))))
+    return docs.select(key, F.explode_outer(numbered).alias("_p")).select(key, "_p.dl", "_p.token")
 
-def bm25(queries: DataFrame, docs: DataFrame, query_key: str, key: str, query_text: str = "text", text: str = "text", c: Bm25Config = Bm25Config(), digits: int | None = None) -> DataFrame:
-    """query_key, key, score, rank: the c.k best documents of each query with a positive score, ties to the smaller key.
 
-    Postings are a projection of the documents, nothing is stored; the vocabulary's totals are one row each (N and mean length, mean idf), and only postings of the queries' tokens are scored, so the scoring shuffle follows the matches. Tokens are distinct, so each counts once. digits: ranks on rounded scores.
-    """
+@dataclass(frozen=True)
+class Bm25Index:
+    """postings (key, dl, token), terms (token, df) and facts (n_docs, avgdl; one row) of a collection, as projections of its documents or as stored tables."""
+
+    postings: DataFrame
+    terms: DataFrame
+    facts: DataFrame
+    key: str
+
+
+def bm25_index(docs: DataFrame, key: str, text: str = "text", c: Bm25Config = Bm25Config()) -> Bm25Index:
+    """The index as a projection: nothing is stored. All totals follow from the terms' document frequencies, so texts are tokenised once for these and once for the postings."""
     post = postings(docs, key, text, c)
-    length = F.greatest(F.size(F.coalesce(tokens(F.col(text), c), F.array().cast("array<string>"))), F.lit(1))
-    facts = docs.agg(F.count("*").alias("n_docs"), F.avg(length).alias("avgdl"))
-    df = post.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(facts))
-    df = df.withColumn("idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = df.agg(F.avg("idf").alias("mean_idf"))
-    asked = queries.select(query_key, F.explode(tokens(F.col(query_text), c)).alias("token"))
-    terms = asked.select("token").distinct().join(df, "token").crossJoin(F.broadcast(mean))
+    terms = post.groupBy("token").agg(F.count("*").alias("df"))
+    facts = docs.agg(F.count("*").alias("n_docs")).crossJoin(terms.agg(F.sum("df").alias("total"))).select("n_docs", (F.col("total") / F.col("n_docs")).alias("avgdl"))
+    return Bm25Index(post, terms, facts, key)
+
+
+def save_bm25(index: Bm25Index, path: str, buckets: int | None = None) -> None:
+    """Writes the index under path: postings in folders by a hash of the token, so that a search reads only those of its own tokens. buckets: of these; as many as postings fill with 4 million rows each unless given."""
+    spark = index.postings.sparkSession
+    index.terms.write.mode("overwrite").parquet(f"{path}/terms")
+    terms = spark.read.parquet(f"{path}/terms")
+    index.facts.write.mode("overwrite").parquet(f"{path}/facts")
+    n = buckets or max(1, int(terms.agg(F.sum("df")).first()[0] or 0) >> 22)
+    post = index.postings.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(n)).cast("int"))
+    # a token that every document has fills several files of its bucket
+    spread = post.repartition(F.col("bucket"), F.pmod(F.xxhash64(index.key), F.lit(8)))
+    spread.sortWithinPartitions("bucket", "token").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    spark.createDataFrame([(n, index.key)], "buckets int, key string").coalesce(1).write.mode("overwrite").json(f"{path}/about")
+
+
+def load_bm25(spark: SparkSession, path: str) -> Bm25Index:
+    key = spark.read.json(f"{path}/about").first()["key"]
+    return Bm25Index(*(spark.read.parquet(f"{path}/{x}") for x in ("postings", "terms", "facts")), key)
+
+
+def validate_bm25(index: Bm25Index, docs: DataFrame, text: str = "text", c: Bm25Config = Bm25Config(), least: int = 5) -> bool:
+    """Whether the first document (by key) is the first hit, or has the first hit's score, for its own first tokens; true without documents."""
+    first = docs.where(F.coalesce(text, F.lit("")) != "").orderBy(index.key).limit(1)
+    asked = first.select(F.lit(0).alias("_q"), F.explode(F.slice(tokens(F.col(text), c), 1, least)).alias("token"))
+    hits = search_bm25(index, asked, "_q", c)
+    best = hits.agg(F.max("score").alias("score")).crossJoin(first.select(F.col(index.key).alias("_first")))
+    return hits.join(best, "score").where(F.col(index.key) == F.col("_first")).count() > 0 or first.isEmpty()
+
+
+def search_bm25(index: Bm25Index, asked: DataFrame, query_key: str, c: Bm25Config = Bm25Config(), digits: int | None = None) -> DataFrame:
+    """query_key, key, score, rank of asked (query_key, token), distinct tokens each: the c.k best documents of each query with a positive score, ties to the smaller key.
+
+    The vocabulary's totals are one row; only postings of asked tokens are scored, and contributions are summed by query and document before they are shuffled, so a token that every document has costs no more than its postings. digits: ranks on rounded scores.
+    """
+    key = index.key
+    terms = index.terms.crossJoin(F.broadcast(index.facts)).withColumn("idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    mean = terms.agg(F.avg("idf").alias("mean_idf"))
+    known = asked.select("token").distinct().join(terms, "token").crossJoin(F.broadcast(mean))
     weight = F.when(F.col("idf") < 0, c.epsilon * F.col("mean_idf")).otherwise(F.col("idf"))
-    part = weight * (c.k1 + 1) / (1 + c.k1 * (1 - c.b + c.b * F.col("dl") / F.col("avgdl")))
-    hits = post.join(terms, "token").select("token", key, part.alias("part")).join(asked, "token")
+    known = known.select("token", (weight * (c.k1 + 1)).alias("weight"), "avgdl")
+    part = F.col("weight") / (1 + c.k1 * (1 - c.b + c.b * F.col("dl") / F.col("avgdl")))
+    post = index.postings
+    if "bucket" in post.columns:  # stored: only the folders of asked tokens are read
+        n = post.sparkSession.read.json(post.inputFiles()[0].split("/postings/")[0] + "/about").first()["buckets"]
+        known = known.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(n)).cast("int"))
+    on = [x for x in ("bucket", "token") if x in post.columns]
+    hits = post.join(known, on).select("token", key, part.alias("part")).join(asked, "token")
     score = F.sum("part")
     scored = hits.groupBy(query_key, key).agg((F.round(score, digits) if digits else score).alias("score")).where("score > 0")
     w = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= c.k)
+
+
+def bm25(queries: DataFrame, docs: DataFrame, query_key: str, key: str, query_text: str = "text", text: str = "text", c: Bm25Config = Bm25Config(), digits: int | None = None) -> DataFrame:
+    """search_bm25() of a table of queries over documents that have no stored index."""
+    asked = queries.select(query_key, F.explode_outer(tokens(F.col(query_text), c)).alias("token")).where("token is not null")
+    return search_bm25(bm25_index(docs, key, text, c), asked, query_key, c, digits)

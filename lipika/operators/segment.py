@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lipika.functions.script import count_of, devanagari_count, strip
+from lipika.functions.script import chars_in, count_of, devanagari_count, is_blank, let, strip
 
 # Words that open prose, never a title.
 PROSE_STARTERS = ("एकः", "एका", "एकस्मिन्", "अथ", "कदाचित्", "तदा", "ततः", "सः", "सा", "तेन", "इदानीम्", "अपि", "यदा", "किंचित्")
@@ -18,35 +18,36 @@ class TitleRule:
     min_len: int = 2
     max_len: int = 120
     min_script_chars: int = 5
-    script: str | None = None  # a character class counted instead of Devanagari
+    script: str | None = None  # a character class (with brackets) counted instead of Devanagari
     starters: tuple[str, ...] = PROSE_STARTERS
 
 
 def is_title(line: Column, rule: TitleRule = TitleRule()) -> Column:
     n = F.length(line)
-    found = count_of(line, rule.script) if rule.script else devanagari_count(line)
+    found = chars_in(line, rule.script[1:-1]) if rule.script else devanagari_count(line)
     prose = F.lit(False)
     for s in rule.starters:
         prose = prose | line.startswith(s)
     return n.between(rule.min_len, rule.max_len) & ~prose & (found >= rule.min_script_chars)
 
 
-def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, line_no, start (characters before), line: a row each line; null texts have none."""
-    split = F.split(F.col(text), "\n", -1)
-    exploded = docs.select(key, F.length(text).alias("text_len"), F.posexplode(split).alias("line_no", "line"))
-    before = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    return exploded.withColumn("start", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)).cast("bigint"))
+def titles(text: Column, rule: TitleRule = TitleRule(), blank_before: bool = True) -> Column:
+    """Array of line_no, start (characters before the line), title: each line that passes the rule, at the text's start or after a blank line. One fold over the text's own lines; null has none."""
+    none = F.array().cast("array<struct<line_no:bigint,start:bigint,title:string>>")
+    first = F.struct(F.lit(0).cast("bigint").alias("line_no"), F.lit(0).cast("bigint").alias("start"), F.lit(True).alias("blank"), none.alias("found"))
+
+    def step(a: Column, line: Column) -> Column:
+        title = strip(line)
+        ok = is_title(title, rule) & (a["blank"] if blank_before else F.lit(True))
+        found = F.when(ok, F.array_append(a["found"], F.struct(a["line_no"].alias("line_no"), a["start"].alias("start"), title.alias("title")))).otherwise(a["found"])
+        return F.struct((a["line_no"] + 1).alias("line_no"), (a["start"] + F.length(line) + 1).alias("start"), is_blank(line).alias("blank"), found.alias("found"))
+
+    return F.aggregate(F.split(text, "\n", -1), first, step, lambda a: a["found"])
 
 
 def title_lines(docs: DataFrame, rule: TitleRule = TitleRule(), key: str = "doc_id", text: str = "text", blank_before: bool = True) -> DataFrame:
-    """key, line_no, start, title of each title: a line that passes the rule, at the text's start or after a blank line."""
-    w = Window.partitionBy(key).orderBy("line_no")
-    ls = lines(docs, key, text).withColumn("title", strip(F.col("line"))).withColumn("prev", F.lag("line").over(w))
-    ok = is_title(F.col("title"), rule)
-    if blank_before:
-        ok = ok & (F.col("prev").isNull() | (strip(F.col("prev")) == ""))
-    return ls.where(ok).select(key, F.col("line_no").cast("bigint").alias("line_no"), "start", "title", "text_len")
+    """key, line_no, start, title of each title."""
+    return docs.select(key, F.explode_outer(titles(F.col(text), rule, blank_before)).alias("_t")).where("_t is not null").select(key, "_t.line_no", "_t.start", "_t.title")
 
 
 def clean_title(title: Column) -> Column:
@@ -64,21 +65,21 @@ def clean_story(text: Column, title: Column) -> Column:
 
 
 def stories(docs: DataFrame, rule: TitleRule = TitleRule(), key: str = "doc_id", text: str = "text", blank_before: bool = True, untitled: str = "Untitled Story") -> DataFrame:
-    """key, story (from 1), title, start_char, end_char, story_text. Text before the first title is dropped; a text without titles is one untitled story."""
-    titles = title_lines(docs, rule, key, text, blank_before)
-    w = Window.partitionBy(key).orderBy("start")
-    spans = titles.select(key, F.row_number().over(w).alias("story"), F.col("title").alias("raw"), F.col("start").alias("start_char"), F.coalesce(F.lead("start").over(w), F.col("text_len")).cast("bigint").alias("end_char"))
-    cut = docs.select(key, text).join(spans, key, "left")
-    titled = F.col("story").isNotNull()
-    body = F.col(text).substr(F.col("start_char").cast("int") + 1, (F.col("end_char") - F.col("start_char")).cast("int"))
-    return cut.where(F.col(text).isNotNull()).select(
-        key,
-        F.coalesce("story", F.lit(1)).cast("bigint").alias("story"),
-        F.when(titled, clean_title(F.col("raw"))).otherwise(untitled).alias("title"),
-        F.coalesce("start_char", F.lit(0)).cast("bigint").alias("start_char"),
-        F.coalesce("end_char", F.length(text)).cast("bigint").alias("end_char"),
-        F.when(titled, clean_story(body, F.col("raw"))).otherwise(strip(F.col(text))).alias("story_text"),
-    )
+    """key, story (from 1), title, start_char, end_char, story_text. Text before the first title is dropped; a text without titles is one untitled story, and a null text none. A document's stories follow from its own row: nothing is shuffled."""
+    whole = F.col(text)
+    size = F.length(whole).cast("bigint")
+    alone = F.array(F.struct(F.lit(1).cast("bigint").alias("story"), F.lit(untitled).alias("title"), F.lit(0).cast("bigint").alias("start_char"), size.alias("end_char"), strip(whole).alias("story_text")))
+
+    def cut(found: Column) -> Column:
+        def story(t: Column, i: Column) -> Column:
+            end = F.coalesce(F.get(found, i + 1)["start"], size)
+            body = whole.substr((t["start"] + 1).cast("int"), (end - t["start"]).cast("int"))
+            return F.struct((i + 1).cast("bigint").alias("story"), clean_title(t["title"]).alias("title"), t["start"].alias("start_char"), end.alias("end_char"), clean_story(body, t["title"]).alias("story_text"))
+
+        return F.when(F.size(found) > 0, F.transform(found, story)).otherwise(alone)
+
+    rows = docs.select(key, F.explode_outer(F.when(whole.isNotNull(), let(titles(whole, rule, blank_before), cut))).alias("_s"))
+    return rows.where("_s is not null").select(key, "_s.*")
 
 
 def content_type(danda_density: Column, double_density: Column, markers: Column, verse: float = 0.02, dialogue: float = 0.08, least_markers: int = 5) -> Column:

@@ -244,7 +244,7 @@ def _stories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("title_lines", f"WITH {SQL_TITLES} SELECT doc_id, line_no::BIGINT AS line_no, start, title FROM titles")
 def title_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segment.title_lines(table(spark, sf_dir, "documents"), TITLES, blank_before=False).drop("text_len")
+    return segment.title_lines(table(spark, sf_dir, "documents"), TITLES, blank_before=False)
 
 
 @query("story_spans", f"WITH {SQL_STORIES} SELECT doc_id, story, title, start_char, end_char, md5(story_text) AS digest FROM stories")
