@@ -22,6 +22,8 @@ from .common import discard, stash, stash_buckets, table
 RANK, START, NONE, EDGE = 34, 18, 1 << 20, (1 << 18) - 1
 #: Words of more bytes are merged by a heap: each fold step copies the word's array, so a fold's cost is quadratic.
 FOLD_BYTES = 512
+#: Shares of the distinct words whose ids go back one after the other.
+SHARES = 4
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -286,7 +288,9 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
     held = stash_buckets(chunks(docs, pattern, chunk_bytes), "chunk", "chunks")
     asked = held.select("chunk", F.posexplode("words").alias("n", "word"))
     folded = stash(encode_words(asked, path, fold_bytes), "words")
-    answers = stash(asked.join(folded, "word").groupBy("chunk").agg(F.collect_list(F.struct("n", "ids")).alias("answers")), "answers")  # of a chunk's distinct words
+    # the ids of a chunk's distinct words, a share of the words after the other: the shuffles of all at once would take more disk than the texts
+    share = F.pmod(F.xxhash64("word", F.lit(1)), F.lit(SHARES))
+    answers = [stash(asked.where(share == i).join(folded.where(share == i), "word").groupBy("chunk").agg(F.collect_list(F.struct("n", "ids")).alias(f"answers{i}")), "answers") for i in range(SHARES)]
     discard(folded)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if emit == "digest" else "doc_id long, ids array<int>, decoded binary"
     names = [x.split()[0] for x in schema.split(", ")]
@@ -300,11 +304,11 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
                 cell = lambda c, b=b, r=r: b.column(b.schema.names.index(c))[r]
                 sizes, places, parts, own = (np.frombuffer(cell(c).as_py(), np.int32) for c in ("sizes", "places", "parts", "pieces"))
                 # the ids of all words in the order of their numbers, as one array with ends
-                answers = cell("answers").values
-                if answers is None:
-                    ids, word_ends = pa.array([], pa.int32()), np.zeros(1, np.int64)
-                else:
-                    ordered = answers.field("ids").take(pa.array(np.argsort(answers.field("n").to_numpy())))
+                found = [x for x in (cell(f"answers{i}").values for i in range(SHARES)) if x is not None]
+                ids, word_ends = pa.array([], pa.int32()), np.zeros(1, np.int64)
+                if found:
+                    order = np.argsort(np.concatenate([x.field("n").to_numpy() for x in found]))
+                    ordered = pa.chunked_array([x.field("ids") for x in found]).combine_chunks().take(pa.array(order))
                     ids, word_ends = ordered.flatten(), np.concatenate([[0], np.cumsum(ordered.value_lengths().to_numpy())])
                 # every string's words, then every document's
                 begin = np.cumsum(parts) - parts
@@ -327,7 +331,10 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
                     columns = [pa.ListArray.from_arrays(pa.array(lens, pa.int32()), by_word.take(pa.array(words)).flatten()), pa.array([bytes(data[x:y]) for x, y in zip(at, at[1:], strict=False)], pa.binary())]
                 yield pa.RecordBatch.from_arrays([doc_ids, *columns], names=names)
 
-    return held.drop("words").join(answers, "chunk", "left").mapInArrow(run, schema)
+    rows = held.drop("words")
+    for x in answers:
+        rows = rows.join(x, "chunk", "left")
+    return rows.mapInArrow(run, schema)
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
