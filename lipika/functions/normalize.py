@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .script import SPACE, detect_script, is_blank, is_devanagari, is_iast, strip
+from .script import SPACE, detect_script, has_mixed_scripts, is_blank, is_devanagari, is_iast, script_stats, strip
 from .translit import devanagari_to_slp1, final_h, hk_to_slp1, iast_to_slp1, loose_roman, to_slp1
 
 # Each class of consonants with the nasal that an anusvara before it stands for, in the order in which they are applied.
@@ -62,11 +62,16 @@ def preprocess(text: Column, for_indexing: bool = True, nasals: bool = True, com
     return F.when(is_blank(text), "").otherwise(clean_text(out))
 
 
-def process(text: Column, nasals: bool = True) -> Column:
-    """Struct of original, script ('unknown' if blank), slp1 and mixed flag."""
-    from .script import has_mixed_scripts
-
-    return F.struct(text.alias("original"), F.when(is_blank(text), "unknown").otherwise(detect_script(nfc(text))).alias("script"), preprocess(text, nasals=nasals).alias("slp1"), has_mixed_scripts(text).alias("is_mixed_script"))
+def process(text: Column, nasals: bool = True, script: str | None = None) -> Column:
+    """Struct of original, script ('unknown' if blank), slp1, mixed flag and stats (of the text as it is). script: taken instead of the detected one."""
+    t = nfc(text)
+    found = F.lit(script) if script else detect_script(t)
+    if script:
+        form = clean_text(fold_vowels(anusvara(to_slp1(final_h(t) if script == "loose_roman" else t, found)) if nasals else to_slp1(final_h(t) if script == "loose_roman" else t, found)))
+        form = F.when(is_blank(text), "").otherwise(form)
+    else:
+        form = preprocess(text, nasals=nasals)
+    return F.struct(text.alias("original"), F.when(is_blank(text), "unknown").otherwise(found).alias("script"), form.alias("slp1"), has_mixed_scripts(text).alias("is_mixed_script"), script_stats(text).alias("stats"))
 
 
 def equivalent(a: Column, b: Column, folded: bool = True) -> Column:

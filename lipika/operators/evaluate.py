@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,3 +34,31 @@ def failures(results: DataFrame, recall: str = "recall") -> DataFrame:
 def cross_script_consistency(tops: DataFrame, group: str, top: str) -> DataFrame:
     """group, consistent: all spellings of a question have the same first hit."""
     return tops.groupBy(group).agg((F.countDistinct(top) == 1).alias("consistent"))
+
+
+def run_evaluation(queries: DataFrame, hits: DataFrame, k: int = 5, query_key: str = "query_id", item: str = "title", rank: str = "rank") -> DataFrame:
+    """A row a query of queries (query_key, category, truth: array or null; more columns stay): retrieved (distinct items by rank), recall and found at k. Without truth both are null; a query without hits has retrieved nothing. All queries are judged in one batch."""
+    first = hits.groupBy(query_key, item).agg(F.min(rank).alias("_rank"))
+    listed = first.groupBy(query_key).agg(F.transform(F.sort_array(F.collect_list(F.struct("_rank", item))), lambda x: x[item]).alias("retrieved"))
+    both = queries.join(listed, query_key, "left").withColumn("retrieved", F.coalesce("retrieved", F.array().cast("array<string>")))
+    judged = F.coalesce(F.size("truth"), F.lit(0)) > 0
+    return both.withColumn("recall", F.when(judged, recall_at_k(F.col("retrieved"), F.col("truth"), k))).withColumn("found", F.when(judged, found(F.col("retrieved"), F.col("truth"), k)))
+
+
+def evaluation_report(results: DataFrame, category: str = "category", digits: int = 6) -> DataFrame:
+    """kind (overall or category), name, n, judged, mean, min and max recall, found, of run_evaluation()'s rows."""
+    facts = [F.count("*").alias("n"), F.count("recall").alias("judged"), F.round(F.avg("recall"), digits).alias("mean_recall"), F.min("recall").alias("min_recall"), F.max("recall").alias("max_recall"), F.coalesce(F.sum(F.col("found").cast("bigint")), F.lit(0)).alias("found")]
+    whole = results.agg(*facts).select(F.lit("overall").alias("kind"), F.lit(None).cast("string").alias("name"), "*")
+    each = results.groupBy(F.col(category).alias("name")).agg(*facts).select(F.lit("category").alias("kind"), "*")
+    return whole.unionByName(each)
+
+
+def timed(search: Callable[[DataFrame], DataFrame], queries: DataFrame) -> tuple[DataFrame, float]:
+    """search(queries), written once so that it is not run again, and the milliseconds a query that this took."""
+    import time
+
+    from lipika.sources import files
+
+    began = time.perf_counter()
+    hits = files.stash(search(queries))
+    return hits, 1000 * (time.perf_counter() - began) / max(1, queries.count())

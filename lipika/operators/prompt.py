@@ -8,7 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# What stands for a missing context, and before the passages.
 NO_CONTEXT = "No context."
+LEAD = "Here is the Sanskrit passage:"
 
 
 def passage(number: Column, title: Column, parent_text: Column, text: Column, most: int = 1200) -> Column:
@@ -23,10 +25,10 @@ def contexts(hits: DataFrame, query_key: str = "query_id", rank: str = "rank", t
     return p.groupBy(query_key).agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["p"]), "\n\n").alias("context"))
 
 
-def prompt(query: Column, context: Column, system: str, instruction: str, prefix: str) -> Column:
+def prompt(query: Column, context: Column, system: str, instruction: str, prefix: str, lead: str = LEAD) -> Column:
     """Chat markup with the context (NO_CONTEXT if null) and the question."""
     return F.concat(
-        F.lit(f"<|im_start|>system\n{system.strip()}\n<|im_end|>\n\n<|im_start|>user\nHere is the Sanskrit passage:\n\n"),
+        F.lit(f"<|im_start|>system\n{system.strip()}\n<|im_end|>\n\n<|im_start|>user\n{lead}\n\n"),
         F.coalesce(context, F.lit(NO_CONTEXT)),
         F.lit("\n\nQuestion: "),
         query,
@@ -65,3 +67,20 @@ def generate(prompts: DataFrame, make: Callable[[], Callable[[str], str]], promp
     from pyspark.sql import types as T
 
     return prompts.mapInPandas(run, T.StructType([*prompts.schema.fields, T.StructField(answer, T.StringType()), T.StructField("error", T.StringType())]))
+
+
+def quick_answer(hits: DataFrame, queries: DataFrame, make: Callable[[], Callable[[str], str]], system: str = "", instruction: str = "", prefix: str = "", most: int = 2) -> DataFrame:
+    """query_id, prompt, answer, error of queries (query_id, text) from their first hits alone; a query without hits is asked without context."""
+    context = contexts(hits.where(F.col("rank") <= most))
+    asked = queries.join(context, "query_id", "left").select("query_id", prompt(F.col("text"), F.col("context"), system, instruction, prefix).alias("prompt"))
+    return generate(asked, make)
+
+
+def first_passage() -> Callable[[str], str]:
+    """A generator that needs no model: it answers with the first passage of the prompt, empty without one."""
+
+    def call(text: str) -> str:
+        _, _, rest = text.partition("[Passage 1 - ")
+        return rest.partition("]\n")[2].partition("\n\n")[0]
+
+    return call

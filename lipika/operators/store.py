@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lipika.sources import files
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Rows of both, the last by order for each key: new rows replace old ones, and later new ones earlier ones."""
@@ -14,13 +15,15 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[Column])
     return both.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_batch")
 
 
-def numbered(rows: DataFrame, order: list[str], name: str = "vector_index", buckets: int = 64) -> DataFrame:
-    """Rows numbered from 0 in order, without one task that sorts all: rows are ranged by the first key, numbered within, and shifted by the counts before."""
-    spread = rows.repartitionByRange(buckets, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    spread = spread.persist(StorageLevel.MEMORY_AND_DISK)  # both uses must see the same ranges
-    counts = spread.groupBy("_p").agg(F.count("*").alias("_c"), F.min("_i").alias("_first"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return spread.join(F.broadcast(before), "_p").withColumn(name, (F.col("_i") - F.col("_first") + F.col("_before")).cast("bigint")).drop("_p", "_i", "_c", "_first", "_before")
+def numbered(rows: DataFrame, order: list[str], name: str = "vector_index", ranges: int | None = None) -> DataFrame:
+    """Rows numbered from 0 in order, without one task that sorts all: rows are ranged by order, written with their place in their range, and shifted by the counts before it. ranges: as many as the input has partitions, or Spark's shuffles where these are more."""
+    n = ranges or max(rows.rdd.getNumPartitions(), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = files.stash(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_i", F.monotonically_increasing_id()))
+    # the upper bits of such an id are the partition, the lower 33 the place in it
+    counts = placed.groupBy(F.shiftright("_i", 33).alias("_p")).agg(F.count("*").alias("_c"))
+    before = counts.select("_p", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    both = placed.withColumn("_p", F.shiftright("_i", 33)).join(F.broadcast(before), "_p")
+    return both.withColumn(name, (F.col("_i").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before")).cast("bigint")).drop("_p", "_i", "_before")
 
 
 def child_counts(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
@@ -41,6 +44,17 @@ def with_parent(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
     return children.join(parents.select(key), key, "left_semi")
 
 
+def children_of(children: DataFrame, parent: str, order: str, values: list | None = None, name: str = "position") -> DataFrame:
+    """Children with their position (from 1) among their parent's, by order; values: of these parents only."""
+    some = children.where(F.col(parent).isin(values)) if values is not None else children
+    return some.withColumn(name, F.row_number().over(Window.partitionBy(parent).orderBy(order)).cast("bigint"))
+
+
+def clear(spark: SparkSession, path: str, tables: tuple[str, ...] = ("stories", "parents", "children", "bm25", "vectors")) -> list[str]:
+    """Deletes the tables of an index folder; the names of those that were there. Other files in the folder stay."""
+    return [t for t in tables if files.delete(spark, f"{path}/{t}")]
+
+
 def lookup(rows: DataFrame, key: str, value) -> DataFrame:
     return rows.where(F.col(key) == F.lit(value))
 

@@ -1,12 +1,13 @@
-"""Vector search: exact nearest neighbours in blocks, and cells found by k-means."""
+"""Vector search: exact nearest neighbours in blocks, and cells found by k-means, in memory or stored."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from math import isqrt
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -20,6 +21,23 @@ def squared_l2(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
 
 
+def _k_nearest(x: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int, digits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row of q, id and rounded squared distance of the k nearest of each row of q, ties to the smaller id.
+
+    One matrix product gives all distances nearly; those that can be among the k nearest are then computed as they are defined.
+    """
+    near = (x * x).sum(1)[None, :] - 2 * (q @ x.T) + (q * q).sum(1)[:, None]
+    slack = 10.0**-digits + 1e-9 * max(1.0, float(np.abs(near).max(initial=0.0)))
+    bound = np.partition(near, k - 1, axis=1)[:, k - 1] + 2 * slack if k < len(x) else np.full(len(q), np.inf)
+    row, at = np.nonzero(near <= bound[:, None])
+    dist = np.round(((x[at] - q[row]) ** 2).sum(1), digits)
+    order = np.lexsort((ids[at], dist, row))
+    row, at, dist = row[order], at[order], dist[order]
+    first = np.searchsorted(row, np.arange(len(q)))
+    keep = np.arange(len(row)) - first[row] < k
+    return row[keep], ids[at[keep]], dist[keep]
+
+
 def l2_topk(base: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", query_key: str = "query_id", vector: str = "embedding", digits: int = 6, block_rows: int = 8192) -> DataFrame:
     """query_key, key, dist (squared, rounded to digits), rank: the k nearest of each query, ties to the smaller key.
 
@@ -30,20 +48,21 @@ def l2_topk(base: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", qu
     b = base.select(F.col(key).alias("id"), vector, F.pmod(F.xxhash64(key), F.lit(n_base)).alias("bb"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_queries - 1).cast("bigint"))).alias("qb"))
     q = queries.select(F.col(query_key).alias("q"), vector, F.pmod(F.xxhash64(query_key), F.lit(n_queries)).alias("qb"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_base - 1).cast("bigint"))).alias("bb"))
 
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"q": [], "id": [], "dist": []}).astype({"q": "int64", "id": "int64", "dist": "float64"})
-        x, y = (np.stack(d[vector].to_numpy()).astype(np.float64) for d in (left, right))
-        ids, out = left["id"].to_numpy(), []
-        for name, v in zip(right["q"].to_numpy(), y, strict=True):
-            dist = np.round(((x - v) ** 2).sum(1), digits)
-            order = np.lexsort((ids, dist))[:k]
-            out.append(pd.DataFrame({"q": name, "id": ids[order], "dist": dist[order]}))
-        return pd.concat(out)
-
-    found = b.groupBy("qb", "bb").cogroup(q.groupBy("qb", "bb")).applyInPandas(best, "q long, id long, dist double")
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        none = pa.table({"q": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "dist": pa.array([], pa.float64())})
+        if not left.num_rows or not right.num_rows:
+            return none
+        matrix = lambda t: t.column(vector).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1)
+        x, ids, names, found = matrix(left), left.column("id").to_numpy(), right.column("q").to_numpy(), []
+        y = matrix(right)
+        for a in range(0, len(y), 256):  # bounds the matrix of distances
+            row, near, dist = _k_nearest(x, ids, y[a : a + 256], k, digits)
+            found.append(pa.table({"q": pa.array(names[a + row]), "id": pa.array(near), "dist": pa.array(dist)}))
+        return pa.concat_tables(found)
+
+    met = b.groupBy("qb", "bb").cogroup(q.groupBy("qb", "bb")).applyInArrow(best, "q long, id long, dist double")
     w = Window.partitionBy("q").orderBy("dist", "id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("q").alias(query_key), F.col("id").alias(key), "dist", "rank")
+    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("q").alias(query_key), F.col("id").alias(key), "dist", "rank")
 
 
 def ivf_cells(base: DataFrame, n_cells: int | None = None, key: str = "vec_id", vector: str = "embedding", seed: int = 7) -> tuple[DataFrame, list[np.ndarray]]:
@@ -83,7 +102,45 @@ def ivf_topk(base: DataFrame, queries: DataFrame, k: int, nprobe: int | None = 1
     cells, centres = ivf_cells(base, n_cells, key, vector)
     if nprobe is None:
         nprobe = calibrated_probes(cells, centres, queries, k, key=key, query_key=query_key, vector=vector)
-    probes = queries.select(query_key, F.col(vector).alias("_q"), F.explode(F.slice(_nearest_cells(centres, vector), 1, nprobe)).alias("cell"))
+    return _probed(cells, centres, queries, k, nprobe, key, query_key, vector)
+
+
+def _probed(cells: DataFrame, centres: list[np.ndarray], queries: DataFrame, k: int, nprobe: int, key: str, query_key: str, vector: str) -> DataFrame:
+    probes = queries.where(F.col(vector).isNotNull()).select(query_key, F.col(vector).alias("_q"), F.explode(F.slice(_nearest_cells(centres, vector), 1, nprobe)).alias("cell"))
     pairs = cells.select(key, vector, "cell").join(probes, "cell").select(query_key, key, F.round(squared_l2(F.col(vector), F.col("_q")), 6).alias("dist"))
     w = Window.partitionBy(query_key).orderBy("dist", key)
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+@dataclass(frozen=True)
+class IvfIndex:
+    """A stored index: vectors in folders by cell, the centres, the number of cells to probe, and the columns' names."""
+
+    cells: DataFrame
+    centres: list[np.ndarray]
+    nprobe: int
+    key: str
+    vector: str
+
+
+def save_ivf(base: DataFrame, path: str, k: int = 50, n_cells: int | None = None, nprobe: int | None = None, key: str = "vec_id", vector: str = "embedding") -> None:
+    """Fits the cells and writes the index under path. nprobe: as many as a sample of the vectors themselves needs for a recall of 0.95 of their k nearest, unless given. Null vectors are left out."""
+    cells, centres = ivf_cells(base.where(F.col(vector).isNotNull()).select(key, vector), n_cells, key, vector)
+    spark = base.sparkSession
+    cells.repartition("cell", F.pmod(F.xxhash64(key), F.lit(8))).write.mode("overwrite").partitionBy("cell").parquet(f"{path}/cells")
+    written = spark.read.parquet(f"{path}/cells")
+    if nprobe is None:
+        nprobe = calibrated_probes(written, centres, written.select(F.col(key).alias("_q"), vector), k, key=key, query_key="_q", vector=vector)
+    rows = [(i, [float(x) for x in c], nprobe, key, vector) for i, c in enumerate(centres)]
+    spark.createDataFrame(rows, "cell int, centre array<double>, nprobe int, key string, vector string").coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
+
+
+def load_ivf(spark: SparkSession, path: str) -> IvfIndex:
+    """The index as written, without a new fit; the driver reads the centres, 100 rows at most unless more were asked for."""
+    rows = spark.read.parquet(f"{path}/centres").orderBy("cell").collect()
+    return IvfIndex(spark.read.parquet(f"{path}/cells"), [np.array(r["centre"]) for r in rows], rows[0]["nprobe"], rows[0]["key"], rows[0]["vector"])
+
+
+def search_ivf(index: IvfIndex, queries: DataFrame, k: int = 50, query_key: str = "query_id", nprobe: int | None = None) -> DataFrame:
+    """As ivf_topk over a stored index; queries hold a vector column of the index's name. Only folders of probed cells are read."""
+    return _probed(index.cells, index.centres, queries, k, nprobe or index.nprobe, index.key, query_key, index.vector)

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lipika.functions import normalize as N
 from lipika.functions import script as S
 from lipika.functions import translit as X
-from lipika.operators import chunk, evaluate, fusion, lexical, prompt, segment, store, vector
+from lipika.operators import chunk, encode, evaluate, fusion, lexical, prompt, segment, store, vector
 from lipika.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents", *columns) -> DataFrame:
+    """A table's columns for work by the text, over all cores even if it is one small file."""
+    return files.spread(table(spark, sf_dir, name).select(*columns) if columns else table(spark, sf_dir, name))
+
+
 def query(name: str, sql: str | None):
     def put(f: Query) -> Query:
         QUERIES[name] = f
@@ -167,6 +172,8 @@ on_rows("remove_punctuation", FIXTURE, lambda t: [N.remove_punctuation(t).alias(
 on_rows("nfc", FIXTURE, lambda t: [N.nfc(t).alias("out")], "nfc_normalize(t) AS out")
 on_rows("preprocess_fixture", FIXTURE, lambda t: [N.preprocess(t).alias("out")], f"{sql_preprocess('t')} AS out")
 on_rows("process_fixture", FIXTURE, lambda t: [N.process(t)["script"].alias("script"), N.process(t)["is_mixed_script"].alias("mixed")], f"CASE WHEN coalesce({sql_strip('t')}, '') = '' THEN 'unknown' ELSE {sql_script('nfc_normalize(t)')} END AS script, {sql_mixed('t')} AS mixed")
+on_rows("process_stats", FIXTURE, lambda t: [N.process(t)["stats"]["devanagari_chars"].alias("devanagari"), N.process(t)["stats"]["total_chars"].alias("total"), N.process(t, script="iast")["script"].alias("forced")], f"{sql_dev('t')} AS devanagari, coalesce(length(t), 0)::BIGINT AS total, CASE WHEN coalesce({sql_strip('t')}, '') = '' THEN 'unknown' ELSE 'iast' END AS forced")
+on_rows("equivalent_strict", FIXTURE, lambda t: [N.equivalent(t, F.lit("dharmaḥ"), folded=False).alias("same")], f"coalesce({sql_to_slp1('t')}, '-') = 'DarmaH' AS same")
 on_rows("from_slp1_iast", SLP1, lambda t: [X.slp1_to_iast(t).alias("out")], "{} AS out".format(sql_replace("translate(t, 'AIUfFxXMHNYwqRSz', 'āīūṛṝḷḹṃḥṅñṭḍṇśṣ')", [("K", "kh"), ("G", "gh"), ("C", "ch"), ("J", "jh"), ("W", "ṭh"), ("Q", "ḍh"), ("T", "th"), ("D", "dh"), ("P", "ph"), ("B", "bh"), ("E", "ai"), ("O", "au")])))
 
 
@@ -193,17 +200,17 @@ def cross_script_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("script_stats", f"SELECT doc_id, length(text)::BIGINT AS total_chars, {sql_dev('text')} AS devanagari_chars, {sql_count('text', DIACRITICS)} AS iast_chars, ({sql_other('text')} - {sql_count('text', DIACRITICS)})::BIGINT AS roman_chars, {sql_count('text', '[^\\p{L}\\s\\x{0900}-\\x{097F}\\x{0085}\\p{Z}]')} AS other_chars, {sql_script('text')} AS script_type, {sql_mixed('text')} AS is_mixed FROM documents")
 def script_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", S.script_stats(F.col("text")).alias("s")).select("doc_id", "s.*")
+    return texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", S.script_stats(F.col("text")).alias("s")).select("doc_id", "s.*")
 
 
 @query("script_detect", f"SELECT {sql_script('text')} AS script, lang, count(*)::BIGINT AS n FROM documents GROUP BY ALL")
 def script_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy(S.detect_script(F.col("text")).alias("script"), "lang").agg(F.count("*").alias("n"))
+    return texts(spark, sf_dir, "documents", "text", "lang").groupBy(S.detect_script(F.col("text")).alias("script"), "lang").agg(F.count("*").alias("n"))
 
 
 @query("preprocess_documents", f"SELECT doc_id, md5({sql_preprocess('text')}) AS digest FROM documents")
 def preprocess_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(N.preprocess(F.col("text"))).alias("digest"))
+    return texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.md5(N.preprocess(F.col("text"))).alias("digest"))
 
 
 @query("clean_conversations", f"SELECT conv_id, turn, md5({sql_clean('text')}) AS digest, md5(regexp_replace(text, '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g')) AS bare FROM conversations")
@@ -212,9 +219,19 @@ def clean_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(N.clean_text(t)).alias("digest"), F.md5(N.remove_punctuation(t, False)).alias("bare"))
 
 
-@query("valid_utf8", "SELECT doc_id, true AS valid FROM documents")
+#: Bytes in hex: valid texts, and such as no text has.
+BYTES = [(1, "c3a9"), (2, "ff"), (3, ""), (4, "e0a4"), (5, "e0a4a7"), (6, "616263"), (7, "c080"), (8, "f09f9880"), (9, "61c3"), (10, None)]
+
+
+@query("valid_utf8", f"SELECT id, t IS NOT NULL AND coalesce(try(decode(unhex(t))) IS NOT NULL, false) AS valid FROM {values(BYTES)}")
 def valid_utf8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.is_valid_utf8("text").alias("valid"))
+    f = spark.createDataFrame(BYTES, "id long, t string")
+    return f.select("id", F.coalesce(F.is_valid_utf8(F.unhex("t").cast("string")), F.lit(False)).alias("valid"))
+
+
+@query("documents_valid", "SELECT count(*)::BIGINT AS n, count(try(decode(encode(text))))::BIGINT AS valid FROM documents")
+def documents_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").agg(F.count("*").alias("n"), F.count(F.when(F.is_valid_utf8("text"), 1)).alias("valid"))
 
 
 @query("ingest_totals", "SELECT sum(length(text))::BIGINT AS total_chars, count(*)::BIGINT AS total_files FROM documents")
@@ -239,12 +256,12 @@ regexp_replace(CASE WHEN raw IS NULL THEN text ELSE regexp_replace(CASE WHEN str
 
 
 def _stories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segment.stories(table(spark, sf_dir, "documents").select("doc_id", "text"), TITLES, blank_before=False)
+    return segment.stories(texts(spark, sf_dir, "documents", "doc_id", "text"), TITLES, blank_before=False)
 
 
 @query("title_lines", f"WITH {SQL_TITLES} SELECT doc_id, line_no::BIGINT AS line_no, start, title FROM titles")
 def title_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segment.title_lines(table(spark, sf_dir, "documents"), TITLES, blank_before=False)
+    return segment.title_lines(texts(spark, sf_dir, "documents", "doc_id", "text"), TITLES, blank_before=False)
 
 
 @query("story_spans", f"WITH {SQL_STORIES} SELECT doc_id, story, title, start_char, end_char, md5(story_text) AS digest FROM stories")
@@ -252,6 +269,11 @@ def story_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stories(spark, sf_dir).withColumn("digest", F.md5("story_text")).drop("story_text")
 
 
+@query("story_report", f"WITH {SQL_STORIES}, r AS (SELECT doc_id, title, length(story_text)::BIGINT AS chars, len(regexp_extract_all(story_text, '[^\\s]+'))::BIGINT AS words, (length(story_text) - length(replace(story_text, chr(10), '')) + 1)::BIGINT AS lines, 1::BIGINT AS stories FROM stories) SELECT * FROM r UNION ALL SELECT NULL, NULL, coalesce(sum(chars), 0)::BIGINT, coalesce(sum(words), 0)::BIGINT, coalesce(sum(lines), 0)::BIGINT, coalesce(sum(stories), 0)::BIGINT FROM r")
+def story_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.story_report(_stories(spark, sf_dir))
+
+
 @query("story_metadata", "WITH m AS (SELECT doc_id, length(text) AS n, (length(text) - length(replace(text, '.', '')))::BIGINT AS danda_count, (length(text) - length(replace(text, ',', '')))::BIGINT AS double_danda_count, (length(text) - length(replace(text, '\"', '')))::BIGINT AS dialogue_markers, CASE WHEN regexp_matches(text, '[a-zA-Z@.:]*@[a-zA-Z@.:]*') THEN true END AS has_english_metadata FROM documents) SELECT doc_id, danda_count, double_danda_count, dialogue_markers, double_danda_count AS verse_count, CASE WHEN n > 0 THEN danda_count / n ELSE 0.0 END AS danda_density, CASE WHEN n > 0 THEN double_danda_count / n ELSE 0.0 END AS double_danda_density, CASE WHEN n > 0 AND double_danda_count / n > 0.02 THEN 'verse_conclusion' WHEN n > 0 AND danda_count / n > 0.08 AND dialogue_markers > 5 THEN 'dialogue_prose' ELSE 'narrative_prose' END AS content_type, has_english_metadata FROM m")
 def story_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", segment.story_metadata(F.col("text"), ".", ",").alias("m")).select("doc_id", "m.*")
@@ -272,12 +294,12 @@ SQL_CHILDREN = f"""{SQL_PARENTS}, {sql_packed('parents', 'parent_id', 'text', 20
 
 
 def _parents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk.parents(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("story_id"), F.col("text").alias("story_text")), c=CHUNKS)
+    return chunk.parents(texts(spark, sf_dir, "documents", F.col("doc_id").alias("story_id"), F.col("text").alias("story_text")), c=CHUNKS)
 
 
 @query("sentences", f"SELECT doc_id, len(l)::BIGINT AS n, md5(array_to_string(l, '|')) AS digest FROM (SELECT doc_id, {SQL_SENT.format(t='text')} AS l FROM documents)")
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", chunk.sentences(F.col("text"), CHUNKS).alias("l")).select("doc_id", F.size("l").cast("bigint").alias("n"), F.md5(F.array_join("l", "|")).alias("digest"))
+    return texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", chunk.sentences(F.col("text"), CHUNKS).alias("l")).select("doc_id", F.size("l").cast("bigint").alias("n"), F.md5(F.array_join("l", "|")).alias("digest"))
 
 
 @query("parent_chunks", f"WITH RECURSIVE {SQL_PARENTS} SELECT story_id, parent_index, parent_id, md5(text) AS digest, token_count::BIGINT AS token_count, start_char::BIGINT AS start_char, end_char::BIGINT AS end_char FROM parents")
@@ -323,7 +345,7 @@ lex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 
 def _lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ix"), "text")
+    docs = texts(spark, sf_dir, "documents", F.col("doc_id").alias("ix"), "text")
     return lexical.bm25(queries, docs, "query_id", "ix", c=lexical.Bm25Config(k=K), digits=6)
 
 
@@ -339,7 +361,7 @@ def hybrid_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("term_df", f"SELECT token, count(*)::BIGINT AS df FROM (SELECT unnest(l) AS token FROM {sql_tokens('documents', 'doc_id')}) GROUP BY token")
 def term_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.postings(table(spark, sf_dir, "documents"), "doc_id", "text").where(F.col("token") != lexical.EMPTY).groupBy("token").agg(F.count("*").alias("df"))
+    return lexical.bm25_index(texts(spark, sf_dir, "documents", "doc_id", "text"), "doc_id").terms.where(F.col("token") != lexical.EMPTY)
 
 
 @query("bm25_topk", f"WITH {SQL_BM25} SELECT query_id, ix, score, rank FROM lex")
@@ -372,6 +394,30 @@ def vector_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(vector.normalized(F.col("embedding"))).alias("i", "x")).withColumn("x", F.round("x", 6))
 
 
+def _letters():
+    """An encoder of three counts, which SQL can check."""
+    return lambda batch: [[t.count("a"), t.count("e"), len(t)] for t in batch]
+
+
+def sql_letters(prefix: str, table_: str, key: str) -> str:
+    parts = [f"(length(t) - length(replace(t, '{x}', '')))::DOUBLE" for x in "ae"] + ["length(t)::DOUBLE"]
+    v = f"SELECT {key}, unnest([{', '.join(parts)}]) AS x, unnest(range(0, 3)) AS i, sqrt({' + '.join(f'{p} * {p}' for p in parts)}) AS n FROM (SELECT {key}, '{prefix}' || coalesce(text, '') AS t FROM {table_})"
+    return f"SELECT {key}, i::INTEGER AS i, round((CASE WHEN n > 0 THEN x / n ELSE x END)::FLOAT, 5)::FLOAT AS x FROM ({v})"
+
+
+@query("embed_passages", sql_letters("passage: ", "conversations", "conv_id, turn"))
+def embed_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    out = encode.embed(rows, _letters, config=encode.EncoderConfig(model="some-e5-model"))
+    return out.select("conv_id", "turn", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.round("x", 5))
+
+
+@query("embed_queries", sql_letters("query: ", "benchmark", "item_id"))
+def embed_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = encode.embed_queries(table(spark, sf_dir, "benchmark").select("item_id", "text"), _letters, config=encode.EncoderConfig(model="e5"))
+    return out.select("item_id", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.round("x", 5))
+
+
 @query("ivf_topk", None)
 def ivf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -408,6 +454,31 @@ def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("query_id", F.round(evaluate.recall_at_k(F.col("r"), F.col("t")), 6).alias("recall"), evaluate.found(F.col("r"), F.col("t")).alias("found"))
 
 
+SQL_EVALUATED = f"""WITH {SQL_BM25}, hits AS (SELECT query_id, d.source AS title, min(rank) AS rank FROM lex JOIN documents d ON d.doc_id = lex.ix GROUP BY ALL),
+q AS (SELECT item_id AS query_id, 'c' || item_id % 3 AS category, CASE WHEN item_id % 4 = 0 THEN NULL ELSE (SELECT list(DISTINCT source) FROM documents WHERE doc_id % 7 = item_id % 7) END AS truth FROM benchmark),
+r AS (SELECT query_id, category, truth, coalesce((SELECT list(title ORDER BY rank, title) FROM hits h WHERE h.query_id = q.query_id), []) AS retrieved FROM q),
+evaluated AS (SELECT query_id, category, retrieved, CASE WHEN truth IS NOT NULL THEN len(list_intersect(retrieved[1:5], truth)) / len(truth) END AS recall, CASE WHEN truth IS NOT NULL THEN len(list_intersect(retrieved[1:5], truth)) > 0 END AS found FROM r)"""
+
+
+def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    hits = _lexical(spark, sf_dir).join(docs.select(F.col("doc_id").alias("ix"), F.col("source").alias("title")), "ix")
+    truth = docs.groupBy((F.col("doc_id") % 7).alias("part")).agg(F.collect_set("source").alias("truth"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("c"), (F.col("item_id") % 3).cast("string")).alias("category"), (F.col("item_id") % 7).alias("part"))
+    queries = asked.join(truth, "part").withColumn("truth", F.when(F.col("query_id") % 4 != 0, F.col("truth"))).drop("part")
+    return evaluate.run_evaluation(queries, hits)
+
+
+@query("run_evaluation", f"{SQL_EVALUATED} SELECT query_id, category, array_to_string(retrieved, ',') AS retrieved, round(recall, 6) AS recall, found FROM evaluated")
+def run_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _evaluated(spark, sf_dir).select("query_id", "category", F.array_join("retrieved", ",").alias("retrieved"), F.round("recall", 6).alias("recall"), "found")
+
+
+@query("evaluation_report", f"{SQL_EVALUATED} SELECT 'overall' AS kind, NULL AS name, count(*)::BIGINT AS n, count(recall)::BIGINT AS judged, round(avg(recall), 6) AS mean_recall, min(recall) AS min_recall, max(recall) AS max_recall, coalesce(sum(found::INT), 0)::BIGINT AS found FROM evaluated UNION ALL SELECT 'category', category, count(*), count(recall), round(avg(recall), 6), min(recall), max(recall), coalesce(sum(found::INT), 0)::BIGINT FROM evaluated GROUP BY category")
+def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.evaluation_report(_evaluated(spark, sf_dir))
+
+
 @query("eval_summary", "SELECT role AS component, round(avg(length(text)), 6) AS mean, min(length(text))::BIGINT AS min, max(length(text))::BIGINT AS max, count(text)::BIGINT AS n FROM conversations GROUP BY role")
 def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.summary(table(spark, sf_dir, "conversations").select(F.col("role").alias("component"), F.length("text").cast("bigint").alias("v")), "component", "v")
@@ -456,8 +527,12 @@ def chunk_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("children_by_parent", "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position, turn, role FROM conversations")
 def children_by_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return table(spark, sf_dir, "conversations").select("conv_id", F.row_number().over(w).cast("bigint").alias("position"), "turn", "role")
+    return store.children_of(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), "conv_id", "turn")
+
+
+@query("children_of_some", "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position, turn, role FROM conversations WHERE conv_id IN (3, 7)")
+def children_of_some(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.children_of(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), "conv_id", "turn", [3, 7])
 
 
 @query("orphan_semi", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O')")
@@ -473,7 +548,7 @@ def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), (F.col("turn") + 1).alias("rank"), F.col("role").alias("title"), F.lit(None).cast("string").alias("parent_text"), "text")
 
 
-@query("prompt_context", "SELECT conv_id AS query_id, md5('<|im_start|>system' || chr(10) || 'Answer.' || chr(10) || '<|im_end|>' || chr(10) || chr(10) || '<|im_start|>user' || chr(10) || 'Here is the Sanskrit passage:' || chr(10) || chr(10) || string_agg('[Passage ' || (turn + 1) || ' - ' || role || ']' || chr(10) || CASE WHEN length(text) > 1200 THEN substr(text, 1, 1200) || '...' ELSE text END, chr(10) || chr(10) ORDER BY turn) || chr(10) || chr(10) || 'Question: ' || 'Why?' || chr(10) || chr(10) || 'Be brief.' || chr(10) || '<|im_end|>' || chr(10) || chr(10) || '<|im_start|>assistant' || chr(10) || 'So, ') AS digest FROM conversations GROUP BY conv_id")
+@query("prompt_context", "SELECT conv_id AS query_id, md5('<|im_start|>system' || chr(10) || 'Answer.' || chr(10) || '<|im_end|>' || chr(10) || chr(10) || '<|im_start|>user' || chr(10) || '" + prompt.LEAD + "' || chr(10) || chr(10) || string_agg('[Passage ' || (turn + 1) || ' - ' || role || ']' || chr(10) || CASE WHEN length(text) > 1200 THEN substr(text, 1, 1200) || '...' ELSE text END, chr(10) || chr(10) ORDER BY turn) || chr(10) || chr(10) || 'Question: ' || 'Why?' || chr(10) || chr(10) || 'Be brief.' || chr(10) || '<|im_end|>' || chr(10) || chr(10) || '<|im_start|>assistant' || chr(10) || 'So, ') AS digest FROM conversations GROUP BY conv_id")
 def prompt_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = prompt.contexts(_hits(spark, sf_dir))
     return c.select("query_id", F.md5(prompt.prompt(F.lit("Why?"), F.col("context"), "Answer.", "Be brief.", "So, ")).alias("digest"))

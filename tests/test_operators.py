@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lipika.operators import chunk, evaluate, fusion, lexical, prompt, segment, store, vector
+from lipika.operators import chunk, encode, evaluate, fusion, lexical, prompt, segment, store, vector
 from lipika.sources import files
 
 STORY = "मूर्खभृत्यस्य\n\nएकः भृत्यः आसीत्। सः मूर्खः॥\n\nचतुरस्य कालीदासस्य (clever)\n\nसः कालीदासः चतुरः।"
@@ -152,3 +152,167 @@ def test_stream(spark, tmp_path):
     run()
     rows = ingest.latest(spark.read.parquet(str(tmp_path / "out"))).collect()
     assert {r.story_id: r.text for r in rows} == {1: "अ । आ ।", 2: "उ । ऊ ।"}
+
+
+def test_no_shuffle_in_stories_and_chunks(spark, tmp_path):
+    spark.createDataFrame([(1, STORY)], "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    d = spark.read.parquet(str(tmp_path / "d"))
+    p = chunk.parents(d.select(F.col("doc_id").alias("story_id"), F.col("text").alias("story_text")))
+    for df in (segment.title_lines(d), segment.stories(d), p, chunk.children(p), lexical.postings(d, "doc_id", "text")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "+- Filter" not in plan.split("FileScan")[0].rpartition("Generate")[2]
+
+
+def test_tokens_against_plain_python(spark):
+    import random
+
+    r = random.Random(5)
+    rows = [(i, "".join(r.choice("aAiIuU kx.,-।  \n'") for _ in range(r.randint(0, 40)))) for i in range(300)]
+    strip, fold = lexical.EDGES.replace("\\", ""), str.maketrans("AIUFX", "aiufx")
+
+    def plain(t, hybrid):
+        if not t:
+            return []
+        one = lambda x: [w for w in (w.strip(strip) for w in x.split()) if w]
+        grams = lambda x: [x[i : i + 3] for i in range(len(x) - 2)] if len(x) > 2 else [x]
+        solid = t.replace(" ", "")
+        parts = [one(t), grams(solid), one(t.translate(fold)), grams(solid.translate(fold))] if hybrid else [grams(solid), grams(solid.translate(fold))]
+        return list(dict.fromkeys(x for p in parts for x in p))
+
+    d = spark.createDataFrame(rows, "i long, t string")
+    for hybrid in (True, False):
+        for x in d.select("i", lexical.tokens(F.col("t"), lexical.Bm25Config(hybrid=hybrid)).alias("t")).collect():
+            assert x.t == plain(rows[x.i][1], hybrid)
+
+
+def test_stored_bm25(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"common word{i % 7} thing{i}") for i in range(50)] + [(50, ""), (51, None)], "ix long, text string")
+    q = spark.createDataFrame([(0, "word3 thing10"), (1, "common"), (2, "zzz"), (3, "")], "query_id long, text string")
+    want = lexical.bm25(q, docs, "query_id", "ix", digits=6).collect()
+    lexical.save_bm25(lexical.bm25_index(docs, "ix"), str(tmp_path / "b"), buckets=3)
+    index = lexical.load_bm25(spark, str(tmp_path / "b"))
+    asked = q.select("query_id", F.explode(lexical.tokens(F.col("text"))).alias("token"))
+    assert sorted(map(tuple, lexical.search_bm25(index, asked, "query_id", digits=6).collect())) == sorted(map(tuple, want)) and len(want) > 50
+    assert lexical.validate_bm25(index, docs) and lexical.validate_bm25(index, docs.limit(0))
+    assert not lexical.validate_bm25(index, docs.withColumn("text", F.concat(F.lit("other texts altogether "), "ix")).where("ix = 0"))
+
+
+def test_stored_vectors(spark, tmp_path):
+    import random
+
+    r = random.Random(2)
+    d = spark.createDataFrame([(i, [r.gauss(c, 1) for _ in range(8)]) for i in range(400) for c in [i % 5 * 3]] + [(400, None)], "vec_id long, embedding array<float>")
+    q = d.where("vec_id % 40 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    vector.save_ivf(d, str(tmp_path / "v"), k=5)
+    index = vector.load_ivf(spark, str(tmp_path / "v"))
+    assert len(index.centres) == 20 and "cell" in index.cells.columns
+    pairs = lambda df: {(x.query_id, x.vec_id, x["rank"]) for x in df.collect()}
+    want = pairs(vector.l2_topk(d, q, 5))
+    assert len(pairs(vector.search_ivf(index, q, 5)) & want) >= 0.9 * len(want)
+    assert pairs(vector.search_ivf(index, q, 5, nprobe=20)) == want
+
+
+def test_exact_search_has_ties_in_order(spark):
+    d = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(30)], "vec_id long, embedding array<float>")
+    rows = vector.l2_topk(d, spark.createDataFrame([(0, [0.0, 1.0])], "query_id long, embedding array<float>"), 12, block_rows=7).orderBy("rank").collect()
+    assert [r.vec_id for r in rows] == [*range(0, 30, 3), 1, 4] and [r.dist for r in rows] == [0.0] * 10 + [1.0] * 2
+
+
+def test_embed(spark):
+    seen = []
+
+    def make():
+        def call(texts):
+            assert len(texts) <= 2
+            return [[float(len(t)), 3.0] if t != "zero" else [0.0, 0.0] for t in texts]
+
+        return call
+
+    d = spark.createDataFrame([(1, "ab", 5.0), (2, None, 5.0), (3, "zero", 5.0)], "i long, text string, embedding double")
+    got = {r.i: [round(x, 5) for x in r.embedding] for r in encode.embed(d, make, config=encode.EncoderConfig(batch=2)).collect()}
+    assert got == {1: [0.5547, 0.83205], 2: [0.0, 1.0], 3: [0.0, 0.0]} and not seen
+    raw = encode.embed_queries(d, make, config=encode.EncoderConfig(model="Multi-E5", batch=2, normalize=False)).collect()
+    assert {r.i: r.embedding[0] for r in raw} == {1: 9.0, 2: 7.0, 3: 11.0}
+    hashed = encode.embed(d, encode.hashing_encoder(16)).collect()
+    assert all(len(r.embedding) == 16 for r in hashed) and encode.embed(d.limit(0), make).count() == 0
+
+
+def test_folder_with_a_file_that_fails(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("text")
+    (tmp_path / "bad.txt").write_bytes(b"x\xff")
+    (tmp_path / "b.pdf").write_bytes(b"one|two  ||")
+    (tmp_path / "c.pdf").write_bytes(b"fail")
+    (tmp_path / "d.md").write_text("no document")
+
+    def make():
+        def pages(content):
+            if content == b"fail":
+                raise ValueError("damaged")
+            return content.decode().split("|")
+
+        return pages
+
+    rows = {r.filename: r for r in files.directory_documents(spark, str(tmp_path), make).collect()}
+    assert {k: (r.status, r.error) for k, r in rows.items()} == {"a.txt": ("ok", None), "bad.txt": ("invalid", None), "b.pdf": ("ok", None), "c.pdf": ("failed", "damaged")}
+    assert rows["b.pdf"].text == "one\n\ntwo" and rows["c.pdf"].text is None
+    assert {r.filename: r.status for r in files.directory_documents(spark, str(tmp_path)).collect()}["b.pdf"] == "failed"
+
+
+def test_report_of_nothing(spark):
+    d = spark.createDataFrame([], "doc_id long, title string, story_text string")
+    assert [tuple(r) for r in files.story_report(d).collect()] == [(None, None, 0, 0, 0, 0)]
+
+
+def test_run_evaluation(spark):
+    q = spark.createDataFrame([(1, "x", ["A", "B"]), (2, "x", None), (3, "y", ["C"]), (4, "y", [])], "query_id long, category string, truth array<string>")
+    h = spark.createDataFrame([(1, "A", 2), (1, "D", 1), (1, "A", 3), (2, "A", 1)], "query_id long, title string, rank int")
+    rows = {r.query_id: r for r in evaluate.run_evaluation(q, h).collect()}
+    assert rows[1].retrieved == ["D", "A"] and (rows[1].recall, rows[1].found) == (0.5, True) and rows[2].recall is None and (rows[3].recall, rows[3].found) == (0.0, False) and rows[4].recall is None
+    report = {(r.kind, r.name): r for r in evaluate.evaluation_report(evaluate.run_evaluation(q, h)).collect()}
+    assert (report["overall", None].n, report["overall", None].judged, report["overall", None].mean_recall) == (4, 2, 0.25) and report["category", "y"].max_recall == 0.0
+    hits, ms = evaluate.timed(lambda x: h, q)
+    assert hits.count() == 4 and ms > 0
+
+
+def test_quick_answer_uses_two_passages(spark):
+    h = spark.createDataFrame([(1, i, "T", None, f"passage{i}") for i in range(1, 5)], "query_id long, rank int, title string, parent_text string, text string")
+    q = spark.createDataFrame([(1, "why?"), (2, "how?")], "query_id long, text string")
+    rows = {r.query_id: r for r in prompt.quick_answer(h, q, lambda: lambda t: t[-9:]).collect()}
+    assert "passage2" in rows[1].prompt and "passage3" not in rows[1].prompt and prompt.NO_CONTEXT in rows[2].prompt and rows[2].answer == rows[2].prompt[-9:]
+
+
+def test_config(tmp_path):
+    import json
+
+    from lipika.plans import config
+
+    (tmp_path / "c.json").write_text(json.dumps({"bm25": {"k1": 2, "b": 0.5}, "top_k": 4, "titles": {"starters": ["x"]}}))
+    c = config.load_config(str(tmp_path / "c.json"), required=("bm25",))
+    assert (c.bm25.k1, c.bm25.b, c.top_k, c.titles.starters, c.chunks.parent_max) == (2, 0.5, 4, ("x",), 800)
+    for bad in ({"bm52": {}}, {"bm25": {"k2": 1}}, {"bm25": 3}, {"top_k": "two"}, {"top_k": 0}, {"chunks": {"parent_max": 10}}, {"bm25": {"b": 2}}, {"w_lexical": 0, "w_vector": 0}):
+        with pytest.raises(ValueError):
+            config.make_config(bad)
+    with pytest.raises(ValueError, match="missing"):
+        config.make_config({}, required=("bm25",))
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from lipika.plans import cli, index
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/stories.txt").write_text(STORY, encoding="utf-8")
+    for i, t in enumerate(("सः रामः वनं गच्छति।", "सा सीता गृहे अस्ति।", "सः बालः पठति।")):
+        (tmp_path / f"in/{i}.txt").write_text(t, encoding="utf-8")
+    (tmp_path / "c.json").write_text('{"top_k": 1}')
+    at, plugins = str(tmp_path / "ix"), ["--encoder", "lipika.operators.encode:hashed"]
+    cli.main(["--mode", "index", "--data", str(tmp_path / "in"), "--index", at, *plugins])
+    assert all(r.ok for r in index.check(spark, at).collect()) and index.check(spark, at).count() == 5
+    capsys.readouterr()
+    cli.main(["--mode", "query", "--index", at, "--query", "kālīdāsaḥ", "--config", str(tmp_path / "c.json"), "--generator", "lipika.operators.prompt:first_passage", *plugins])
+    out = capsys.readouterr().out
+    assert out.count("चतुरस्य कालीदासस्य") == 1 and out.count("सः कालीदासः चतुरः") >= 2  # as a hit, and as the answer
+    index.build_bm25(spark, at)
+    cli.main(["--mode", "check", "--index", at])
+    assert "false" not in capsys.readouterr().out
+    cli.main(["--mode", "reset", "--index", at])
+    assert "children" in capsys.readouterr().out and store.clear(spark, at) == []
