@@ -167,7 +167,9 @@ def cut_strings(strings: pa.Array, find: Callable[[str], list[str]], plain: bool
 
 def _inner(counts: np.ndarray) -> np.ndarray:
     """0 .. count - 1 for each count."""
-    return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    out = np.arange(int(counts.sum()), dtype=np.int32)
+    out -= np.repeat((np.cumsum(counts) - counts).astype(np.int32), counts)
+    return out
 
 
 def chunks(docs: DataFrame, pattern: str, chunk_bytes: int) -> DataFrame:
@@ -229,6 +231,7 @@ def chunks(docs: DataFrame, pattern: str, chunk_bytes: int) -> DataFrame:
             if read >= chunk_bytes or len(ids) >= chunk_bytes >> 4:
                 yield flush()
                 ids, held, read, k = [], [], 0, k + 1
+                pa.default_memory_pool().release_unused()
         if ids:
             yield flush()
 
@@ -279,7 +282,7 @@ def pieces_of(ranks: dict[bytes, int]) -> list[bytes]:
     return out
 
 
-def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, chunk_bytes: int = 32 << 20, emit: str = "digest", fold_bytes: int = FOLD_BYTES) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, chunk_bytes: int = 12 << 20, emit: str = "digest", fold_bytes: int = FOLD_BYTES) -> DataFrame:
     """Encodes each document's whole text, then decodes the ids by concatenating their pieces.
 
     emit "ids": doc_id, ids array<int>, decoded binary. emit "digest": doc_id, n_tokens, ids_sha256 (decimal ids joined by commas), decoded_sha256.
