@@ -38,7 +38,11 @@ class SecretConfig:
     classes: tuple[EntropyClass, ...] = (
         EntropyClass("hexcase", "0123456789ABCDEFabcdef", r"[0-9A-Fa-f]", r"^(?=.*[0-9])(?=.*[A-Fa-f])", 20, 20, 3.0),
         EntropyClass("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", r"[A-Za-z0-9+/_=-]", r"^(?=.*[A-Z])(?=.*[a-z])(?=.*[0-9])", 20, 20, 3.8),
+        EntropyClass("lower", "abcdefghijklmnopqrstuvwxyz0123456789", r"[a-z0-9]", r"^(?=.*[a-z])(?=.*[0-9])", 20, 20, 3.6),
+        EntropyClass("upper", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", r"[A-Z0-9]", r"^(?=.*[A-Z])(?=.*[0-9])", 20, 20, 3.6),
     )
+    #: The shortest rest of an entropy span that a base span cuts off.
+    rest: int = 8
     #: A candidate that fits one of these is no secret.
     allow: tuple[str, ...] = (r"(?i)example|sample|dummy|placeholder|changeme", r"(.)\1{7,}", r"(?i)0123456789|abcdefghij", r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
 
@@ -111,16 +115,35 @@ def _entropy(text: Column, c: EntropyClass, allow: tuple[str, ...], rank: int) -
 def scan_secrets(docs: DataFrame, text: str = "text", config: SecretConfig = SecretConfig(), names: tuple[str, str] = ("base_spans", "spans")) -> DataFrame:
     """docs with two arrays, by the names given: base spans and all spans, of (kind, rank, start, end) in code points, end exclusive, by start, then rank.
 
-    Base spans are matches of the three formats; all spans adds high-entropy windows that overlap no base span.
-    Null or empty text has no spans; rows and all other columns stay, but columns of the names given are replaced. No shuffle, no Python: one pass over each text.
+    Base spans are matches of the three formats; all spans adds high-entropy windows, less what base spans cover of them; one that lies within a window of an earlier class is left out.
+    Null or empty text has no spans, repeated rows and null doc_ids are rows like others; all other columns stay, but columns of the names given are replaced. No shuffle, no Python: one pass over each text.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     order = lambda x: F.transform(F.array_sort(F.transform(x, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))), lambda s: F.struct(s["kind"].alias("kind"), s["rank"].alias("rank"), s["start"].alias("start"), s["end"].alias("end")))
     base = F.concat(_between(t, ASSIGN, "assign", 0, 2, 6), _between(t, ACCESS, "access", 1), _between(t, HEX, "hex", 2))
     more = F.concat(*[_entropy(t, c, config.allow, 3 + i) for i, c in enumerate(config.classes)])
     found = docs.withColumn("_lipika_base", base).withColumn("_lipika_more", more)
-    clash = lambda s: F.exists(F.col("_lipika_base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    return found.withColumn(names[0], order(F.col("_lipika_base"))).withColumn(names[1], order(F.concat(F.col("_lipika_base"), F.filter(F.col("_lipika_more"), lambda s: ~clash(s))))).drop("_lipika_base", "_lipika_more")
+    sorted_ = found.withColumn("_lipika_base", order(F.col("_lipika_base")))
+    # what lies within a span of an earlier class is known already
+    within = lambda s: F.exists("_lipika_more", lambda x: (x["rank"] < s["rank"]) & (x["start"] <= s["start"]) & (s["end"] <= x["end"]))
+    rest = F.flatten(F.transform(F.filter("_lipika_more", lambda s: ~within(s)), lambda s: _less(s, F.col("_lipika_base"), config.rest)))
+    return sorted_.withColumn(names[1], F.when(F.size("_lipika_more") == 0, F.col("_lipika_base")).otherwise(order(F.concat(F.col("_lipika_base"), rest)))).withColumn(names[0], F.col("_lipika_base")).drop("_lipika_base", "_lipika_more")
+
+
+def _less(span: Column, base: Column, least: int) -> Column:
+    """Parts of an entropy span that no base span (by start) covers: the span itself if none touches it, else those of least characters or more."""
+    part = lambda a, z: F.array(F.struct(span["kind"].alias("kind"), span["rank"].alias("rank"), a.alias("start"), z.alias("end")))
+
+    def step(x: Column, b: Column) -> Column:
+        touches = (b["start"] < span["end"]) & (b["end"] > x["at"])
+        before = touches & (b["start"] - x["at"] >= least)
+        return F.struct(F.when(touches, F.greatest(x["at"], b["end"])).otherwise(x["at"]).alias("at"), F.when(before, F.concat(x["out"], part(x["at"], b["start"]))).otherwise(x["out"]).alias("out"))
+
+    def end(x: Column) -> Column:
+        whole = (x["at"] == span["start"]) | (span["end"] - x["at"] >= least)
+        return F.when(whole, F.concat(x["out"], part(x["at"], span["end"]))).otherwise(x["out"])
+
+    return F.aggregate(base, F.struct(span["start"].alias("at"), F.array().cast(SPAN).alias("out")), step, end)
 
 
 def joined(spans: Column) -> Column:
