@@ -71,14 +71,14 @@ def script_stats(text: Column) -> Column:
     counts = F.struct(
         F.coalesce(F.length(text), F.lit(0)).cast("bigint").alias("total_chars"),
         devanagari_count(text).alias("devanagari_chars"),
-        chars_in(text, DIACRITICS).alias("iast_chars"),
-        chars_in(text, f"{OTHER_LETTERS}&&[^{DIACRITICS}]").alias("roman_chars"),
+        F.when(text.rlike(r"[^\x00-\x7F]"), chars_in(text, DIACRITICS)).otherwise(F.lit(0).cast("bigint")).alias("iast_chars"),
+        other_letters(text).alias("letters"),
         chars_in(text, f"^\\p{{L}}\\s{DEVANAGARI}\\x{{0085}}\\x{{001C}}-\\x{{001F}}\\p{{Z}}").alias("other_chars"),
     )
 
     def judged(c: Column) -> Column:
-        d, i, other = c["devanagari_chars"], c["iast_chars"], c["iast_chars"] + c["roman_chars"]
+        d, i, other = c["devanagari_chars"], c["iast_chars"], c["letters"]
         script = F.when((d > 0) & (d / (d + other) > 0.5), "devanagari").when(i > 0, "iast").otherwise("loose_roman")
-        return F.struct(*[c[x].alias(x) for x in ("total_chars", "devanagari_chars", "iast_chars", "roman_chars", "other_chars")], script.alias("script_type"), ((d > 0) & (other > 0)).alias("is_mixed"))
+        return F.struct(c["total_chars"].alias("total_chars"), d.alias("devanagari_chars"), i.alias("iast_chars"), (other - i).alias("roman_chars"), c["other_chars"].alias("other_chars"), script.alias("script_type"), ((d > 0) & (other > 0)).alias("is_mixed"))
 
     return let(counts, judged)

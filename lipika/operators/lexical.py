@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lipika.functions.normalize import LONG, fold_vowels
 from lipika.functions.script import let
+from lipika.sources import files
 
 # Fixed value: punctuation taken off both ends of a word.
 EDGES = r""".,;:!?"'()\[\]{}।॥\-"""
@@ -73,9 +74,9 @@ class Bm25Index:
 
 
 def bm25_index(docs: DataFrame, key: str, text: str = "text", c: Bm25Config = Bm25Config()) -> Bm25Index:
-    """The index as a projection: nothing is stored. All totals follow from the terms' document frequencies, so texts are tokenised once for these and once for the postings."""
+    """The index of documents: terms and facts are written to the shared folder, postings stay a projection. All totals follow from the terms' document frequencies, so texts are tokenised once for these and once for the postings."""
     post = postings(docs, key, text, c)
-    terms = post.groupBy("token").agg(F.count("*").alias("df"))
+    terms = files.stash(post.groupBy("token").agg(F.count("*").alias("df")))
     facts = docs.agg(F.count("*").alias("n_docs")).crossJoin(terms.agg(F.sum("df").alias("total"))).select("n_docs", (F.col("total") / F.col("n_docs")).alias("avgdl"))
     return Bm25Index(post, terms, facts, key)
 
@@ -108,24 +109,28 @@ def validate_bm25(index: Bm25Index, docs: DataFrame, text: str = "text", c: Bm25
     return hits.join(best, "score").where(F.col(index.key) == F.col("_first")).count() > 0 or first.isEmpty()
 
 
-def search_bm25(index: Bm25Index, asked: DataFrame, query_key: str, c: Bm25Config = Bm25Config(), digits: int | None = None) -> DataFrame:
+def search_bm25(index: Bm25Index, asked: DataFrame, query_key: str, c: Bm25Config = Bm25Config(), digits: int | None = None, most_broadcast: int = 500_000) -> DataFrame:
     """query_key, key, score, rank of asked (query_key, token), distinct tokens each: the c.k best documents of each query with a positive score, ties to the smaller key.
 
-    The vocabulary's totals are one row; only postings of asked tokens are scored, and contributions are summed by query and document before they are shuffled, so a token that every document has costs no more than its postings. digits: ranks on rounded scores.
+    The vocabulary's totals are one row; asked tokens that the index knows are written and counted, and travel to the postings if they are most_broadcast rows at most, else both sides are shuffled. Only postings of asked tokens are scored, and contributions are summed by query and document before they are shuffled, so a token that every document has costs no more than its postings.
+    digits: ranks on rounded scores.
     """
     key = index.key
     terms = index.terms.crossJoin(F.broadcast(index.facts)).withColumn("idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = terms.agg(F.avg("idf").alias("mean_idf"))
     known = asked.select("token").distinct().join(terms, "token").crossJoin(F.broadcast(mean))
     weight = F.when(F.col("idf") < 0, c.epsilon * F.col("mean_idf")).otherwise(F.col("idf"))
-    known = known.select("token", (weight * (c.k1 + 1)).alias("weight"), "avgdl")
+    known = files.stash(known.select("token", (weight * (c.k1 + 1)).alias("weight"), "avgdl"))
+    asked = files.stash(asked.join(known.select("token"), "token", "left_semi"))
     part = F.col("weight") / (1 + c.k1 * (1 - c.b + c.b * F.col("dl") / F.col("avgdl")))
     post = index.postings
     if "bucket" in post.columns:  # stored: only the folders of asked tokens are read
         n = post.sparkSession.read.json(post.inputFiles()[0].split("/postings/")[0] + "/about").first()["buckets"]
         known = known.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(n)).cast("int"))
     on = [x for x in ("bucket", "token") if x in post.columns]
-    hits = post.join(known, on).select("token", key, part.alias("part")).join(asked, "token")
+    # the estimate of an explode's size is too low by far, so Spark is told which side may travel: the counted one, or none
+    small = lambda d: F.broadcast(d) if d.count() <= most_broadcast else d.hint("merge")
+    hits = post.join(small(known), on).select("token", key, part.alias("part")).join(small(asked), "token")
     score = F.sum("part")
     scored = hits.groupBy(query_key, key).agg((F.round(score, digits) if digits else score).alias("score")).where("score > 0")
     w = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
