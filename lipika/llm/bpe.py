@@ -23,7 +23,9 @@ RANK, START, NONE, EDGE = 34, 18, 1 << 20, (1 << 18) - 1
 #: Words of more bytes are merged by a heap: each fold step copies the word's array, so a fold's cost is quadratic.
 FOLD_BYTES = 512
 #: Shares of the distinct words whose ids go back one after the other.
-SHARES = 4
+SHARES = 8
+#: Places that are put together at once.
+PLACES = 1 << 19
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -172,6 +174,15 @@ def _inner(counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """int32 values, all first bytes, then all second bytes and so on: the upper ones are mostly zero, so they compress better."""
+    return np.ascontiguousarray(x.astype("<i4", copy=False).view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _of_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
 def chunks(docs: DataFrame, pattern: str, chunk_bytes: int) -> DataFrame:
     """Rows of documents of about chunk_bytes together: ids, strings of each document, and places of all strings among the distinct ones, whose words are pieces (parts of them each).
 
@@ -207,7 +218,10 @@ def chunks(docs: DataFrame, pattern: str, chunk_bytes: int) -> DataFrame:
             spaced = pc.binary_join_element_wise(pa.scalar(" "), later.dictionary, "")
             lists = [cut_strings(spaced, find, by_space), cut_strings(begin.dictionary, find, by_space)]
             words = pa.chunked_array([*[x[2] for x in lists], alone.dictionary]).combine_chunks().dictionary_encode()
-            number = words.indices.to_numpy()
+            order = pc.sort_indices(words.dictionary)
+            number = np.empty(len(order), np.int32)
+            number[order.to_numpy()] = np.arange(len(order), dtype=np.int32)
+            number = number[words.indices.to_numpy()]
             after = np.cumsum([0, len(lists[0][2]), len(lists[1][2])])
             parts = np.concatenate([*[x[0] for x in lists], np.ones(len(alone.dictionary), np.int32)]).astype(np.int32)
             pieces = np.concatenate([number[after[0] + lists[0][1]], number[after[1] + lists[1][1]], number[after[2] :]]).astype(np.int32)
@@ -222,7 +236,7 @@ def chunks(docs: DataFrame, pattern: str, chunk_bytes: int) -> DataFrame:
             places = np.zeros(len(of_odd), np.int32)
             places[~of_odd], places[of_odd] = plain, other
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-            return pa.RecordBatch.from_arrays([pa.array([base + k], pa.int64()), one(pa.array(ids, pa.int64())), *[pa.array([x.tobytes()], pa.binary()) for x in (sizes, places, parts, pieces)], one(words.dictionary)], names=[x.split()[0] for x in CHUNK.split(", ")])
+            return pa.RecordBatch.from_arrays([pa.array([base + k], pa.int64()), one(pa.array(ids, pa.int64())), *[pa.array([_planes(x)], pa.binary()) for x in (sizes, places, parts, pieces)], one(words.dictionary.take(order))], names=[x.split()[0] for x in CHUNK.split(", ")])
 
         for b in batches:
             ids += b.column(0).to_pylist()
@@ -293,7 +307,8 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
     folded = stash(encode_words(asked, path, fold_bytes), "words")
     # the ids of a chunk's distinct words, a share of the words after the other: the shuffles of all at once would take more disk than the texts
     share = F.pmod(F.xxhash64("word", F.lit(1)), F.lit(SHARES))
-    answers = [stash(asked.where(share == i).join(folded.where(share == i), "word").groupBy("chunk").agg(F.collect_list(F.struct("n", "ids")).alias(f"answers{i}")), "answers") for i in range(SHARES)]
+    # in the chunks' own buckets, so that putting documents together moves nothing
+    answers = [stash_buckets(asked.where(share == i).join(folded.where(share == i), "word").groupBy("chunk").agg(F.collect_list(F.struct("n", "ids")).alias(f"answers{i}")), "chunk", "answers") for i in range(SHARES)]
     discard(folded)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if emit == "digest" else "doc_id long, ids array<int>, decoded binary"
     names = [x.split()[0] for x in schema.split(", ")]
@@ -305,7 +320,7 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
         for b in batches:
             for r in range(b.num_rows):
                 cell = lambda c, b=b, r=r: b.column(b.schema.names.index(c))[r]
-                sizes, places, parts, own = (np.frombuffer(cell(c).as_py(), np.int32) for c in ("sizes", "places", "parts", "pieces"))
+                sizes, places, parts, own = (_of_planes(cell(c).as_py()) for c in ("sizes", "places", "parts", "pieces"))
                 # the ids of all words in the order of their numbers, as one array with ends
                 found = [x for x in (cell(f"answers{i}").values for i in range(SHARES)) if x is not None]
                 ids, word_ends = pa.array([], pa.int32()), np.zeros(1, np.int64)
@@ -313,26 +328,30 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
                     order = np.argsort(np.concatenate([x.field("n").to_numpy() for x in found]))
                     ordered = pa.chunked_array([x.field("ids") for x in found]).combine_chunks().take(pa.array(order))
                     ids, word_ends = ordered.flatten(), np.concatenate([[0], np.cumsum(ordered.value_lengths().to_numpy())])
-                # every string's words, then every document's
-                begin = np.cumsum(parts) - parts
-                words = own[np.repeat(begin[places], parts[places]) + _inner(parts[places])]
-                ends = np.concatenate([[0], np.cumsum(parts[places])])[np.concatenate([[0], np.cumsum(sizes)])]
-                lens = np.concatenate([[0], np.cumsum(np.diff(word_ends)[words])])[ends]
-                cells = []
-                for of_id in (pieces, decimals)[: 2 if emit == "digest" else 1]:
-                    per_word = _joined(of_id.take(ids), word_ends)
-                    whole = _joined(per_word.take(pa.array(words)), ends)
-                    cells.append((memoryview(whole.buffers()[2] or b""), np.frombuffer(whole.buffers()[1], np.int32).tolist()))
-                doc_ids = cell("ids").values
-                data, at = cells[0]
-                if emit == "digest":
-                    shown, to = cells[1]
-                    digests = [hashlib.sha256(shown[x : max(x, y - 1)]).hexdigest() for x, y in zip(to, to[1:], strict=False)]
-                    columns = [pa.array(np.diff(lens), pa.int64()), pa.array(digests), pa.array([hashlib.sha256(data[x:y]).hexdigest() for x, y in zip(at, at[1:], strict=False)])]
-                else:
-                    by_word = pa.ListArray.from_arrays(pa.array(word_ends, pa.int32()), ids)
-                    columns = [pa.ListArray.from_arrays(pa.array(lens, pa.int32()), by_word.take(pa.array(words)).flatten()), pa.array([bytes(data[x:y]) for x, y in zip(at, at[1:], strict=False)], pa.binary())]
-                yield pa.RecordBatch.from_arrays([doc_ids, *columns], names=names)
+                by_word = pa.ListArray.from_arrays(pa.array(word_ends, pa.int32()), ids)
+                per_word = [_joined(of_id.take(ids), word_ends) for of_id in (pieces, decimals)[: 2 if emit == "digest" else 1]]
+                begin, doc_ids, after = np.cumsum(parts) - parts, cell("ids").values, np.concatenate([[0], np.cumsum(sizes)])
+                # some documents after the other: every string's words, then every document's
+                first = 0
+                while first < len(doc_ids):
+                    last = max(first + 1, int(np.searchsorted(after, after[first] + PLACES, "right")) - 1)
+                    part = places[after[first] : after[last]]
+                    words = own[np.repeat(begin[part], parts[part]) + _inner(parts[part])]
+                    ends = np.concatenate([[0], np.cumsum(parts[part])])[after[first : last + 1] - after[first]]
+                    lens = np.concatenate([[0], np.cumsum(np.diff(word_ends)[words])])[ends]
+                    cells = []
+                    for x in per_word:
+                        whole = _joined(x.take(pa.array(words)), ends)
+                        cells.append((memoryview(whole.buffers()[2] or b""), np.frombuffer(whole.buffers()[1], np.int32).tolist()))
+                    data, at = cells[0]
+                    if emit == "digest":
+                        shown, to = cells[1]
+                        digests = [hashlib.sha256(shown[x : max(x, y - 1)]).hexdigest() for x, y in zip(to, to[1:], strict=False)]
+                        columns = [pa.array(np.diff(lens), pa.int64()), pa.array(digests), pa.array([hashlib.sha256(data[x:y]).hexdigest() for x, y in zip(at, at[1:], strict=False)])]
+                    else:
+                        columns = [pa.ListArray.from_arrays(pa.array(lens, pa.int32()), by_word.take(pa.array(words)).flatten()), pa.array([bytes(data[x:y]) for x, y in zip(at, at[1:], strict=False)], pa.binary())]
+                    yield pa.RecordBatch.from_arrays([doc_ids.slice(first, last - first), *columns], names=names)
+                    first = last
 
     rows = held.drop("words")
     for x in answers:

@@ -56,6 +56,15 @@ def test_long_words_merge_alike(spark, rows, tik):
     assert both[0] == both[1]
 
 
+def test_documents_are_put_together_in_parts(spark, monkeypatch):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    d = frame(spark, [(1, "one two, three  four"), (2, None), (3, ""), (4, "five " * 40), (5, "six\n\nseven's 123456 \u0939\u093f"), (5, "again")]).coalesce(1)
+    rows = lambda: sorted(map(tuple, bpe.encode(d, path).collect()))
+    whole = rows()
+    monkeypatch.setattr(bpe, "PLACES", 3)
+    assert rows() == whole and len(whole) == 6
+
+
 def test_bpe_of_nothing(spark):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     assert bpe.encode(frame(spark, []), path).count() == 0
