@@ -23,7 +23,7 @@ RANK, START, NONE, EDGE = 34, 18, 1 << 20, (1 << 18) - 1
 #: Words of more bytes are merged by a heap: each fold step copies the word's array, so a fold's cost is quadratic.
 FOLD_BYTES = 512
 #: Shares of the distinct words whose ids go back one after the other.
-SHARES = 8
+SHARES = 6
 #: Places that are put together at once.
 PLACES = 1 << 19
 
@@ -308,7 +308,12 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
     # the ids of a chunk's distinct words, a share of the words after the other: the shuffles of all at once would take more disk than the texts
     share = F.pmod(F.xxhash64("word", F.lit(1)), F.lit(SHARES))
     # in the chunks' own buckets, so that putting documents together moves nothing
-    answers = [stash_buckets(asked.where(share == i).join(folded.where(share == i), "word").groupBy("chunk").agg(F.collect_list(F.struct("n", "ids")).alias(f"answers{i}")), "chunk", "answers") for i in range(SHARES)]
+    def answered(i: int) -> DataFrame:
+        """chunk, and of a share of its words: numbers, how many ids each has, and the ids, flat (a third of the bytes of pairs)."""
+        met = asked.where(share == i).join(folded.where(share == i), "word").groupBy("chunk").agg(F.collect_list(F.struct("n", "ids")).alias("a"))
+        return met.select("chunk", F.col("a.n").alias(f"n{i}"), F.transform("a.ids", F.size).alias(f"counts{i}"), F.flatten("a.ids").alias(f"ids{i}"))
+
+    answers = [stash_buckets(answered(i), "chunk", "answers") for i in range(SHARES)]
     discard(folded)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if emit == "digest" else "doc_id long, ids array<int>, decoded binary"
     names = [x.split()[0] for x in schema.split(", ")]
@@ -322,12 +327,10 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
                 cell = lambda c, b=b, r=r: b.column(b.schema.names.index(c))[r]
                 sizes, places, parts, own = (_of_planes(cell(c).as_py()) for c in ("sizes", "places", "parts", "pieces"))
                 # the ids of all words in the order of their numbers, as one array with ends
-                found = [x for x in (cell(f"answers{i}").values for i in range(SHARES)) if x is not None]
-                ids, word_ends = pa.array([], pa.int32()), np.zeros(1, np.int64)
-                if found:
-                    order = np.argsort(np.concatenate([x.field("n").to_numpy() for x in found]))
-                    ordered = pa.chunked_array([x.field("ids") for x in found]).combine_chunks().take(pa.array(order))
-                    ids, word_ends = ordered.flatten(), np.concatenate([[0], np.cumsum(ordered.value_lengths().to_numpy())])
+                number, counts, flat = (np.concatenate([np.zeros(0, np.int32), *[x.to_numpy() for x in (cell(f"{c}{i}").values for i in range(SHARES)) if x is not None]]) for c in ("n", "counts", "ids"))
+                order = np.argsort(number)
+                word_ends = np.concatenate([[0], np.cumsum(counts[order])])
+                ids = pa.array(flat[np.repeat((np.cumsum(counts) - counts)[order], counts[order]) + _inner(counts[order])])
                 by_word = pa.ListArray.from_arrays(pa.array(word_ends, pa.int32()), ids)
                 per_word = [_joined(of_id.take(ids), word_ends) for of_id in (pieces, decimals)[: 2 if emit == "digest" else 1]]
                 begin, doc_ids, after = np.cumsum(parts) - parts, cell("ids").values, np.concatenate([[0], np.cumsum(sizes)])
@@ -353,10 +356,11 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
                     yield pa.RecordBatch.from_arrays([doc_ids.slice(first, last - first), *columns], names=names)
                     first = last
 
-    rows = held.drop("words")
+    # the chunks' texts join last: each join copies its rows
+    rows = held.select("chunk")
     for x in answers:
         rows = rows.join(x, "chunk", "left")
-    return rows.mapInArrow(run, schema)
+    return rows.join(held.drop("words"), "chunk").mapInArrow(run, schema)
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
