@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .align import op12_alignment
 from .ann import op2_ann
 from .bpe import op1_bpe
 from .lm import op8_lm
 from .packing import op10_packing
+from .pu import op11_pu_quality
 from .quality import op4_quality
 from .secrets import op9_secrets
 from .simhash import op5_simhash
@@ -30,6 +32,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lm": op8_lm,
         "op9_secrets": op9_secrets,
         "op10_packing": op10_packing,
+        "op11_pu_quality": op11_pu_quality,
+        "op12_alignment": op12_alignment,
     }
 
 
