@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lipika.sources import files
+
 
 def recall_at_k(retrieved: Column, truth: Column, k: int = 5) -> Column:
     """Share of the distinct true items among the first k retrieved; 1 without truth."""
@@ -57,8 +59,76 @@ def timed(search: Callable[[DataFrame], DataFrame], queries: DataFrame) -> tuple
     """search(queries), written once so that it is not run again, and the milliseconds a query that this took."""
     import time
 
-    from lipika.sources import files
-
     began = time.perf_counter()
     hits = files.stash(search(queries))
     return hits, 1000 * (time.perf_counter() - began) / max(1, queries.count())
+
+
+def _shingles(words: Column, width: int) -> Column:
+    """Distinct 64-bit hashes of width consecutive words."""
+    at = F.when(F.size(words) >= width, F.sequence(F.lit(1), F.size(words) - width + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice(words, i, width), " "))))
+
+
+def quotable(text: Column, width: int = 3) -> Column:
+    """Whether quotes() can look for a text: it has width words besides its first and its last."""
+    return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))) >= width + 2, F.lit(False))
+
+
+def quotes(items: DataFrame, docs: DataFrame, item_key: str = "item_id", key: str = "doc_id", text: str = "text", width: int = 3, most_broadcast: int = 500_000) -> DataFrame:
+    """item_key, key: which documents contain which item's whole text, of quotable() items.
+
+    A document that contains a text contains its inner words as words, so of each item the run of width inner words that the fewest documents have leads to its candidates, and these are compared in full. Documents' runs that no item has are dropped where they are made, without a shuffle if the items' runs are most_broadcast (8 bytes each) at most; else both sides are shuffled by run.
+    """
+    found = lambda t: F.regexp_extract_all(t, F.lit(r"\S+"), F.lit(0))
+    own = items.where(quotable(F.col(text), width)).select(F.col(item_key).alias("_item"), F.explode(_shingles(F.slice(found(F.col(text)), F.lit(2), F.size(found(F.col(text))) - 2), width)).alias("_h"))
+    own = files.stash(own)
+    asked = own.select("_h").distinct()
+    asked = F.broadcast(asked) if asked.count() <= most_broadcast else asked.hint("merge")
+    met = files.stash(docs.select(F.col(key).alias("_doc"), F.explode(_shingles(found(F.col(text)), width)).alias("_h")).join(asked, "_h").select("_h", "_doc").distinct())
+    n = met.groupBy("_h").agg(F.count("*").alias("_n"))
+    # a run that no document has: the item is in none
+    rarest = own.join(n, "_h", "left").withColumn("_o", F.row_number().over(Window.partitionBy("_item").orderBy(F.coalesce("_n", F.lit(0)), "_h"))).where("_o = 1")
+    candidates = files.stash(rarest.join(met, "_h").select("_item", "_doc"))
+    both = candidates.join(items.select(F.col(item_key).alias("_item"), F.col(text).alias("_part")), "_item").join(docs.select(F.col(key).alias("_doc"), F.col(text).alias("_whole")), "_doc")
+    return both.where(F.contains("_whole", "_part")).select(F.col("_item").alias(item_key), F.col("_doc").alias(key)).distinct()
+
+
+def ranked_metrics(queries: DataFrame, hits: DataFrame, truth: DataFrame, k: int = 5, query_key: str = "query_id", key: str = "doc_id", rank: str = "rank", score: str = "score") -> DataFrame:
+    """A row a query of queries (query_key; other columns stay): n_truth, n_hits, found (a true one among the first k), recall_at_k, recall (of all hits), reciprocal_rank (0 if no hit is true), top_score, and the keys of the first k hits joined by commas. What needs a true one is null without any."""
+    true = truth.select(query_key, key).distinct().withColumn("_true", F.lit(True))
+    each = hits.join(true, [query_key, key], "left").groupBy(query_key).agg(
+        F.count("*").alias("n_hits"),
+        F.count(F.when(F.col("_true") & (F.col(rank) <= k), 1)).alias("_first"),
+        F.count("_true").alias("_all"),
+        F.min(F.when(F.col("_true"), F.col(rank))).alias("_rank"),
+        F.max(score).alias("top_score"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col(rank) <= k, F.struct(rank, key)))), lambda x: x[key].cast("string")), ",").alias("top"),
+    )
+    n = true.groupBy(query_key).agg(F.count("*").alias("n_truth"))
+    both = queries.join(each, query_key, "left").join(n, query_key, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_truth", "n_hits", "_first", "_all")}).withColumn("top", F.coalesce("top", F.lit("")))
+    judged = F.col("n_truth") > 0
+    out = {"found": F.col("_first") > 0, "recall_at_k": F.col("_first") / F.col("n_truth"), "recall": F.col("_all") / F.col("n_truth"), "reciprocal_rank": F.coalesce(1 / F.col("_rank"), F.lit(0.0))}
+    return both.withColumns({c: F.when(judged, x) for c, x in out.items()}).drop("_first", "_all", "_rank")
+
+
+class Components:
+    """What each part of an evaluation cost: rows it gave and milliseconds it took, for a report beside the results."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple[str, int, float]] = []
+
+    def measured(self, name: str, frame: DataFrame) -> DataFrame:
+        """frame, run once and written to the shared folder; its rows are counted by an observation within that same job."""
+        import time
+
+        from pyspark.sql import Observation
+
+        seen, began = Observation(), time.perf_counter()
+        out = files.stash(frame.observe(seen, F.count("*").alias("rows")))
+        self.rows.append((name, int(seen.get["rows"]), 1000 * (time.perf_counter() - began)))
+        return out
+
+    def report(self, spark) -> DataFrame:
+        """component, rows, milliseconds; a part that was measured again has another row."""
+        return spark.createDataFrame(self.rows, "component string, rows long, milliseconds double")

@@ -22,9 +22,8 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def stash(df: DataFrame) -> DataFrame:
-    """df written to the folder that driver and executors share (spark.checkpoint.dir) and read again, so that later steps see the same rows even after an executor is lost. Only a local master may leave the folder unset."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir). Only a local master may leave it unset, and gets a new temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
         master = spark.sparkContext.master
@@ -32,7 +31,13 @@ def stash(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="lipika-")
         spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/lipika-{uuid.uuid4().hex}"
+    return at.rstrip("/")
+
+
+def stash(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again, so that later steps see the same rows even after an executor is lost."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/lipika-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
