@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lipika.functions.script import let
 from lipika.sources import files
 
 
@@ -64,10 +65,16 @@ def timed(search: Callable[[DataFrame], DataFrame], queries: DataFrame) -> tuple
     return hits, 1000 * (time.perf_counter() - began) / max(1, queries.count())
 
 
-def _shingles(words: Column, width: int) -> Column:
-    """Distinct 64-bit hashes of width consecutive words."""
-    at = F.when(F.size(words) >= width, F.sequence(F.lit(1), F.size(words) - width + 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice(words, i, width), " "))))
+def _shingles(text: Column, width: int, inner: bool = False) -> Column:
+    """Distinct 64-bit hashes of width consecutive words; inner: without the first and the last word. The words are taken once a text."""
+
+    def of(words: Column) -> Column:
+        n = F.size(words) - width + 1
+        first, last = (F.lit(2), n - 1) if inner else (F.lit(1), n)
+        at = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice(words, i, width), " "))))
+
+    return let(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)), of)
 
 
 def quotable(text: Column, width: int = 3) -> Column:
@@ -80,12 +87,11 @@ def quotes(items: DataFrame, docs: DataFrame, item_key: str = "item_id", key: st
 
     A document that contains a text contains its inner words as words, so of each item the run of width inner words that the fewest documents have leads to its candidates, and these are compared in full. Documents' runs that no item has are dropped where they are made, without a shuffle if the items' runs are most_broadcast (8 bytes each) at most; else both sides are shuffled by run.
     """
-    found = lambda t: F.regexp_extract_all(t, F.lit(r"\S+"), F.lit(0))
-    own = items.where(quotable(F.col(text), width)).select(F.col(item_key).alias("_item"), F.explode(_shingles(F.slice(found(F.col(text)), F.lit(2), F.size(found(F.col(text))) - 2), width)).alias("_h"))
+    own = items.where(quotable(F.col(text), width)).select(F.col(item_key).alias("_item"), F.explode(_shingles(F.col(text), width, True)).alias("_h"))
     own = files.stash(own)
     asked = own.select("_h").distinct()
     asked = F.broadcast(asked) if asked.count() <= most_broadcast else asked.hint("merge")
-    met = files.stash(docs.select(F.col(key).alias("_doc"), F.explode(_shingles(found(F.col(text)), width)).alias("_h")).join(asked, "_h").select("_h", "_doc").distinct())
+    met = files.stash(docs.select(F.col(key).alias("_doc"), F.explode(_shingles(F.col(text), width)).alias("_h")).join(asked, "_h").select("_h", "_doc").distinct())
     n = met.groupBy("_h").agg(F.count("*").alias("_n"))
     # a run that no document has: the item is in none
     rarest = own.join(n, "_h", "left").withColumn("_o", F.row_number().over(Window.partitionBy("_item").orderBy(F.coalesce("_n", F.lit(0)), "_h"))).where("_o = 1")
