@@ -15,19 +15,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batch_slices, raw, squeeze, stash, table, unsqueeze
+from .common import batch_slices, raw, runs, squeeze, stash, table, unsqueeze
 
 _held: dict = {}
 
 
 @dataclass(frozen=True)
 class AlignConfig:
-    """salt: shares of an id pair's counts in the first stage. slice_bytes: text whose tokens are in memory at once."""
+    """salt: shares of an id pair's counts in the first stage. slice_bytes: text whose tokens are in memory at once (a longer text is alone)."""
 
     a: str = "byte_bpe_50k.json"
     b: str = "piece_bpe_32k.model"
     salt: int = 16
-    slice_bytes: int = 2 << 20
+    slice_bytes: int = 1 << 19
 
 
 def load_a(path: str):
@@ -46,7 +46,11 @@ def load_a(path: str):
 
     plain = Tokenizer.from_file(path)
     plain.encode_special_tokens = True
-    encode = slow = lambda text: plain.encode(text, add_special_tokens=False).ids
+
+    def slow(text: str) -> list[int]:
+        return plain.encode(text, add_special_tokens=False).ids
+
+    encode = slow
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     # byte-level alphabets write printable bytes as themselves and the others, in order, from U+0100 on
@@ -100,7 +104,8 @@ def align(a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray
     A token without bytes belongs to the group that ends at its offset.
     """
     ends_a, ends_b = _ends(a, sizes_a), _ends(b, sizes_b)
-    cuts = np.intersect1d(ends_a, ends_b)
+    # ends rise, so one of each run is all that is distinct
+    cuts = np.intersect1d(ends_a[runs(ends_a)], ends_b[runs(ends_b)], assume_unique=True)
     first_a, first_b = np.searchsorted(ends_a, cuts), np.searchsorted(ends_b, cuts)
     n_a, n_b = np.searchsorted(ends_a, cuts, "right") - first_a, np.searchsorted(ends_b, cuts, "right") - first_b
     return cuts, np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b), *cross(first_a, n_a, first_b, n_b)
@@ -192,9 +197,9 @@ def aligned(docs: DataFrame, config: AlignConfig = AlignConfig(), groups: bool =
 def pair_counts(aligned_docs: DataFrame, config: AlignConfig = AlignConfig()) -> DataFrame:
     """pair, n, best: links of each id pair over all documents, and whether no other pair of its b id has more.
 
-    Each slice sends a pair once; in the first stage the counts of a pair meet in config.salt shares, in the second these.
+    Each task sends a pair once; in the first stage the counts of a pair meet in config.salt shares of the tasks, in the second these.
     """
-    each = aligned_docs.where("pairs is not null").select(F.explode(F.arrays_zip("pairs", "counts")).alias("x"), F.pmod(F.xxhash64("doc_id", "groups_sha256"), F.lit(config.salt)).alias("salt"))
+    each = aligned_docs.where("pairs is not null").select(F.explode(F.arrays_zip("pairs", "counts")).alias("x"), F.pmod(F.spark_partition_id(), F.lit(config.salt)).alias("salt"))
     salted = each.groupBy(F.col("x.pairs").alias("pair"), "salt").agg(F.sum("x.counts").alias("n"))
     total = salted.groupBy("pair").agg(F.sum("n").alias("n"))
     b = F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF))
