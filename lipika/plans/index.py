@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lipika.functions.normalize import preprocess
-from lipika.operators import chunk, encode, fusion, lexical, prompt, segment, store, vector
+from lipika.operators import blockmax, chunk, encode, fusion, lexical, prompt, segment, store, vector
 from lipika.plans.config import SearchConfig
 from lipika.sources.files import load, save, stash
 
@@ -35,7 +35,7 @@ def build(docs: DataFrame, path: str, config: SearchConfig = SearchConfig(), key
 def build_bm25(spark: SparkSession, path: str, config: SearchConfig = SearchConfig()) -> None:
     """(Re)writes the BM25 index of the children under path."""
     children = load(spark, f"{path}/children")
-    lexical.save_bm25(lexical.bm25_index(children, "ix", "preprocessed_text", config.bm25), f"{path}/bm25")
+    blockmax.save_blocks(blockmax.block_index(children, "ix", "preprocessed_text", config.bm25), f"{path}/bm25")
 
 
 def build_vectors(spark: SparkSession, path: str, make: Callable[[], encode.Encoder], config: SearchConfig = SearchConfig()) -> None:
@@ -54,7 +54,7 @@ def search(spark: SparkSession, path: str, queries: DataFrame, config: SearchCon
     children, parents = load(spark, f"{path}/children"), load(spark, f"{path}/parents")
     asked = queries.select("query_id", preprocess(F.col("text")).alias("text"))
     tokens = asked.select("query_id", F.explode_outer(lexical.tokens(F.col("text"), c.bm25)).alias("token")).where("token is not null")
-    lex = lexical.search_bm25(lexical.load_bm25(spark, f"{path}/bm25"), tokens, "query_id", c.bm25).select("query_id", "ix", "score")
+    lex = blockmax.search_blocks(blockmax.load_blocks(spark, f"{path}/bm25"), tokens, "query_id", c.bm25).select("query_id", "ix", "score")
     if vectors is not None and query_vectors is not None:
         near = vector.l2_topk(vectors, query_vectors, c.vector_k, key="ix").select("query_id", "ix", "dist")
     elif make is not None:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lipika.functions import normalize as N
 from lipika.functions import script as S
 from lipika.functions import translit as X
-from lipika.operators import chunk, encode, evaluate, fusion, lexical, prompt, segment, store, vector
+from lipika.operators import blockmax, chunk, encode, evaluate, fusion, lexical, prompt, segment, store, vector
 from lipika.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -369,6 +369,14 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lexical(spark, sf_dir).withColumn("rank", F.col("rank").cast("bigint"))
 
 
+@query("bm25_blockmax", f"WITH {SQL_BM25} SELECT query_id, ix, score, rank FROM lex")
+def bm25_blockmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same hits by an index that skips what can't be among them."""
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ix"), "text")
+    return blockmax.bm25_blockmax(queries, docs, "query_id", "ix", c=lexical.Bm25Config(k=K), digits=6).withColumn("rank", F.col("rank").cast("bigint"))
+
+
 # --- vectors, fusion, hybrid search ----------------------------------------------------------------------------------
 
 SQL_DIST = "round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))), 6)"
