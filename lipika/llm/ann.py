@@ -19,18 +19,21 @@ from .common import stash, table
 
 @dataclass(frozen=True)
 class AnnConfig:
-    """sample: most vectors the tree is fitted on. leaf_rows: vectors a leaf holds on average, of the whole table; branch: children of a node; max_leaves bounds the tree that is sent to the executors.
+    """sample: most vectors the tree is fitted on. leaf_rows: most vectors a leaf holds on average, of the whole table: tables of fewer than leaves times so many have smaller leaves, of least_rows at least; branch: children of a node; max_leaves bounds the tree that is sent to the executors.
 
-    target: recall that the calibration must reach, on probes (vectors of the table) against brute force over the whole table. shard: most vectors that meet queries in one task.
+    target: recall that the calibration must reach, on probes (vectors of the table that the tree was not fitted on) against brute force over the whole table. reach: shares of a node's radius that the calibration tries in its priority. shard: most vectors, and most queries, that meet in one task.
     """
 
     k: int = 20
     sample: int = 20_000
     leaf_rows: int = 256
-    branch: int = 12
+    least_rows: int = 8
+    leaves: int = 1024
+    branch: int = 8
     max_leaves: int = 16_384
     iterations: int = 8
-    target: float = 0.96
+    target: float = 0.95
+    reach: tuple[float, ...] = (0.0, 0.2, 0.4, 0.7, 1.0)
     probes: int = 128
     shard: int = 4096
     seed: int = 7
@@ -38,9 +41,10 @@ class AnnConfig:
 
 @dataclass
 class Tree:
-    """centers[n]: centre of node n; radius[n]: reach of its sample around it; children[n]: its nodes (none: a leaf); leaf[n]: number of a leaf, else -1."""
+    """centers[n]: centre of node n; radius[n]: the distance from it of the farthest sample vector of the node; children[n]: its nodes (none: a leaf); leaf[n]: number of a leaf, else -1."""
 
     centers: list[np.ndarray] = field(default_factory=list)
+    radius: list[float] = field(default_factory=list)
     children: list[list[int]] = field(default_factory=list)
     leaf: list[int] = field(default_factory=list)
     leaves: int = 0
@@ -60,15 +64,19 @@ class Tree:
             stack += [(kid, rows[near == i]) for i, kid in enumerate(kids) if (near == i).any()]
         return out
 
-    def walk(self, q: np.ndarray, leaves: int) -> list[int]:
-        """The first leaves that the best-bin-first traversal reaches: always the open node whose centre has the largest inner product with q."""
+    def priorities(self, q: np.ndarray, reach: float) -> np.ndarray:
+        """Of each row of q and each node, what the node promises: the inner product with its centre and, at a reach of 1, all that a vector within its radius can add to it."""
+        return q @ np.array(self.centers).T + reach * np.sqrt((q * q).sum(1))[:, None] * np.array(self.radius)[None, :]
+
+    def walk(self, promise: list[float], leaves: int) -> list[int]:
+        """The first leaves that the best-bin-first traversal reaches: always the open node that promises most."""
         queue, order = [(-np.inf, 0)], []
         while queue and len(order) < leaves:
             _, n = heapq.heappop(queue)
             if not self.children[n]:
                 order.append(self.leaf[n])
             for kid in self.children[n]:
-                heapq.heappush(queue, (-float(q @ self.centers[kid]), kid))
+                heapq.heappush(queue, (-promise[kid], kid))
         return order
 
 
@@ -89,7 +97,9 @@ def fit_tree(sample: np.ndarray, leaves: int, config: AnnConfig) -> Tree:
     rng, t = np.random.default_rng(config.seed), Tree()
 
     def node(rows: np.ndarray) -> int:
-        t.centers.append(sample[rows].mean(0) if len(rows) else np.zeros(sample.shape[1]))
+        own = sample[rows]
+        t.centers.append(own.mean(0) if len(rows) else np.zeros(sample.shape[1]))
+        t.radius.append(float(np.sqrt(((own - t.centers[-1]) ** 2).sum(1).max())) if len(rows) else 0.0)
         t.children.append([])
         t.leaf.append(-1)
         return len(t.centers) - 1
@@ -160,22 +170,26 @@ def one_vector_each(vectors: DataFrame) -> DataFrame:
 def nearest(vectors: DataFrame, queries: DataFrame, config: AnnConfig = AnnConfig(), report: dict | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the config.k nearest found of each query row, its own vec_id left out, all candidates if fewer.
 
-    vectors and queries: vec_id, embedding (equal lengths); other columns are left out. Vectors null, zero or with null or non-finite components and null ids take no part; repeated rows count once, and of several vectors of one id only the least by its components. Each distinct vector is indexed once with its smallest ids, and each distinct query searched once.
-    The driver holds the tree and config.probes probe results, both of bounded size. Shards of neighbouring leaves meet the queries that visit them; large leaves are split, and each query's best of each shard are merged.
-    report, if given, gets the tree's size, the leaves visited and the calibration's recall.
+    vectors and queries: vec_id, embedding; other columns are left out. Vectors null, zero or with null or non-finite components and null ids take no part, nor do those whose length is not the most frequent one among vectors (of several, the smallest); repeated rows count once, and of several vectors of one id only the least by its components. Each distinct vector is indexed once with its smallest ids, and each distinct query searched once.
+    The driver holds the tree and config.probes probe results, both of bounded size. Shards of neighbouring leaves meet the queries that visit them, in slices of both; large leaves are split, and each query's best of each shard are merged.
+    report, if given, gets the tree's size, the leaves visited, the reach and the calibration's recall.
     """
     c = config
-    base = stash(distinct_vectors(one_vector_each(vectors), c.k), "vectors")
-    total = base.count()
     spark = vectors.sparkSession
-    if total == 0:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    # a fixed share of the distinct vectors by hash, and no more than c.sample of them
-    share = base.select("embedding", F.xxhash64("embedding", F.lit(c.seed)).alias("h")).orderBy("h").limit(min(c.sample, total))
-    sample = np.array([r.embedding for r in share.select("embedding").toLocalIterator()], np.float64)
-    rng = np.random.default_rng(c.seed)
-    tree = fit_tree(sample, max(1, min(c.max_leaves, total // c.leaf_rows)), c)
-    sent = spark.sparkContext.broadcast((tree.centers, tree.children, tree.leaf, tree.leaves))
+    none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    base = stash(distinct_vectors(one_vector_each(vectors), c.k), "vectors")
+    lengths = base.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    if lengths is None:
+        return none
+    base, total = base.where(F.size("embedding") == lengths["n"]), lengths["count"]
+    # by hash, so fixed and evenly drawn: the first fit the tree, the others are probes
+    share = base.select("embedding", F.xxhash64("embedding", F.lit(c.seed)).alias("h")).orderBy("h").limit(min(c.sample + c.probes, total))
+    drawn = np.array([r.embedding for r in share.select("embedding").toLocalIterator()], np.float64)
+    n_probes = min(c.probes, total // 4)
+    sample, probes = drawn[: len(drawn) - n_probes], drawn[len(drawn) - n_probes :]
+    leaf_rows = min(c.leaf_rows, max(c.least_rows, total // c.leaves))
+    tree = fit_tree(sample, max(1, min(c.max_leaves, total // leaf_rows)), c)
+    sent = spark.sparkContext.broadcast((tree.centers, tree.radius, tree.children, tree.leaf, tree.leaves))
 
     def leaf_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = Tree(*sent.value)
@@ -185,8 +199,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, config: AnnConfig = AnnConfi
 
     kind = base.schema["embedding"].dataType.simpleString()
     index = stash(base.mapInArrow(leaf_of, f"leaf long, embedding {kind}, ids array<long>"), "leaves")
-    probes = sample[rng.choice(len(sample), min(c.probes, len(sample)), replace=False)]
-    leaves = _calibrate(index, tree, probes, c, report)
+    leaves, reach = _calibrate(index, tree, probes, c, report)
 
     # shards: runs of leaves of about c.shard vectors; a leaf with more has shards of its own, dealt by hash
     sizes = {r["leaf"]: r["count"] for r in index.groupBy("leaf").count().collect()}
@@ -200,26 +213,28 @@ def nearest(vectors: DataFrame, queries: DataFrame, config: AnnConfig = AnnConfi
         parts.append(k)
         shard, held = (shard + k, 0) if k > 1 else (shard, held + n)
     where = spark.createDataFrame([(i, first[i], parts[i]) for i in range(tree.leaves)], "leaf long, shard long, parts long")
-    dealt = index.join(F.broadcast(where), "leaf").select((F.col("shard") + F.pmod(F.xxhash64("embedding", F.lit(1)), "parts")).alias("shard"), "leaf", "embedding", "ids")
-
-    q = one_vector_each(queries).withColumnRenamed("vec_id", "query_id")
+    q = one_vector_each(queries).where(F.size("embedding") == lengths["n"]).withColumnRenamed("vec_id", "query_id")
     by_vector = q.withColumn("h", F.xxhash64("embedding"))
     asked = stash(by_vector.groupBy("h", "embedding").agg(F.min("query_id").alias("first")), "queries")
+    slices = max(1, -(-asked.count() // c.shard))
+    shard = F.col("shard") + F.pmod(F.xxhash64("embedding", F.lit(1)), "parts")
+    dealt = index.join(F.broadcast(where), "leaf").select(shard.alias("shard"), "leaf", "embedding", "ids", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = Tree(*sent.value)
         for b in batches:
             rows: list[tuple[int, int, list[int]]] = []
-            for i, x in enumerate(_matrix(b.column(1)) if b.num_rows else ()):
+            promise = t.priorities(_matrix(b.column(1)), reach) if b.num_rows else ()
+            for i, own in enumerate(promise):
                 by: dict[int, list[int]] = {}
-                for leaf in t.walk(x, leaves):
+                for leaf in t.walk(own.tolist(), leaves):
                     for s in range(first[leaf], first[leaf] + parts[leaf]):
                         by.setdefault(s, []).append(leaf)
-                rows += [(s, i, x) for s, x in by.items()]
+                rows += [(s, i, found) for s, found in by.items()]
             at = pa.array([r[1] for r in rows], pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), b.column(0).take(at), b.column(1).take(at), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["shard", "first", "embedding", "visit"])
 
-    visited = asked.select("first", "embedding").mapInArrow(visits, f"shard long, first long, embedding {kind}, visit array<long>")
+    visited = asked.select("first", "embedding").mapInArrow(visits, f"shard long, first long, embedding {kind}, visit array<long>").withColumn("slice", F.pmod(F.xxhash64("first"), F.lit(slices)).cast("int"))
 
     def search(t: pa.Table, s: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
@@ -241,7 +256,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, config: AnnConfig = AnnConfi
 
     from pyspark.sql import Window
 
-    found = dealt.groupBy("shard").cogroup(visited.groupBy("shard")).applyInArrow(search, "first long, ids array<long>, score double")
+    found = dealt.groupBy("shard", "slice").cogroup(visited.groupBy("shard", "slice")).applyInArrow(search, "first long, ids array<long>, score double")
     each = found.select("first", F.explode("ids").alias("vec_id"), "score")
     top = each.withColumn("rank", F.row_number().over(Window.partitionBy("first").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= c.k + 1)
     near = stash(top.groupBy("first").agg(F.sort_array(F.collect_list(F.struct("rank", "vec_id", "score"))).alias("near")), "near")
@@ -262,11 +277,13 @@ def _top(x: np.ndarray, lead: np.ndarray, products: np.ndarray, q: np.ndarray, k
     return near[order], s[order]
 
 
-def _calibrate(index: DataFrame, tree: Tree, probes: np.ndarray, c: AnnConfig, report: dict | None) -> int:
-    """The fewest leaves after which the probes' k nearest, by brute force over the whole index, are found with a recall of c.target.
+def _calibrate(index: DataFrame, tree: Tree, probes: np.ndarray, c: AnnConfig, report: dict | None) -> tuple[int, float]:
+    """(leaves, reach): the fewest leaves, over the shares of the radius in c.reach, after which the probes' k nearest, by brute force over the whole index, are found with a recall of c.target.
 
     Each partition gives its k best per probe with their leaves, which the driver merges pairwise by Spark's window; probes are stand-ins for queries, so their own vector doesn't count. The widening goes leaf by leaf along each probe's own traversal.
     """
+    if not len(probes):
+        return tree.leaves, 0.0
     spark = index.sparkSession
     sent = spark.sparkContext.broadcast(probes)
     k = c.k
@@ -293,14 +310,17 @@ def _calibrate(index: DataFrame, tree: Tree, probes: np.ndarray, c: AnnConfig, r
 
     found = index.select("leaf", "embedding").mapInArrow(brute, "probe long, score double, leaf long")
     top = found.withColumn("n", F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("score"), "leaf"))).where(F.col("n") <= k).select("probe", "leaf").collect()
-    at: list[int] = []
-    walks = [{leaf: n for n, leaf in enumerate(tree.walk(q, tree.leaves))} for q in probes]
-    at = sorted(walks[r["probe"]][r["leaf"]] + 1 for r in top)
-    leaves = at[min(len(at) - 1, int(np.ceil(c.target * len(at))))] if at else tree.leaves
-    leaves = max(leaves, min(tree.leaves, 2))
+    best = None
+    for reach in c.reach:
+        walks = [{leaf: n for n, leaf in enumerate(tree.walk(own.tolist(), tree.leaves))} for own in tree.priorities(probes, reach)]
+        at = sorted(walks[r["probe"]][r["leaf"]] + 1 for r in top)
+        leaves = at[min(len(at) - 1, int(np.ceil(c.target * len(at))))] if at else tree.leaves
+        if best is None or leaves < best[0]:
+            best = (leaves, reach, sum(x <= leaves for x in at) / max(1, len(at)))
+    leaves = max(best[0], min(tree.leaves, 2))
     if report is not None:
-        report |= {"leaves": tree.leaves, "visited": leaves, "probes": len(probes), "recall": sum(x <= leaves for x in at) / max(1, len(at))}
-    return leaves
+        report |= {"leaves": tree.leaves, "visited": leaves, "reach": best[1], "probes": len(probes), "recall": best[2]}
+    return leaves, best[1]
 
 
 def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
