@@ -35,10 +35,10 @@ def _steps(first: float, last: float, n: int = 40) -> tuple[float, ...]:
 
 @dataclass(frozen=True)
 class QualityConfig:
-    """false_rejection: most good documents of a stratum that all cutoffs together may reject, with a probability of 1 - risk over all strata together; strata with too few labels count as one."""
+    """false_rejection: most good documents of a stratum that all its cutoffs together may reject, with a probability of 1 - risk over all strata together. A stratum with too few labels for that is held to the least share that its labels can certify if no holdout is rejected, loosest at most; with fewer labels still it has no cutoff."""
 
-    strata: tuple[str, ...] = ("en", "fr", "de", "es")
     false_rejection: float = 0.02
+    loosest: float = 0.1
     risk: float = 0.05
     min_words: int = 50
     repeat_percent: int = 50
@@ -102,8 +102,8 @@ def base_failed(counts: str, c: QualityConfig) -> Column:
 
 
 def stratum(docs: DataFrame, c: QualityConfig) -> Column:
-    """lang, if it is one of the strata; everything else, null too, is the stratum other."""
-    return F.when(F.col("lang").isin(list(c.strata)), F.col("lang")).otherwise("other") if "lang" in docs.columns else F.lit("other")
+    """lang, whatever it is; null, and tables without the column: ''."""
+    return F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
 
 
 def _ratio(counts: str, rule: Rule) -> Column:
@@ -136,58 +136,67 @@ def _path(bad: np.ndarray, plain: np.ndarray) -> list[tuple[int, int]]:
         out.append(best[1:])
 
 
-def least_labels(c: QualityConfig) -> int:
-    """The fewest labelled good documents with which a cutoff that rejects none of them can be certified."""
-    return int(np.ceil(np.log(c.risk / (len(c.strata) + 1)) / np.log(1 - c.false_rejection)))
+def least_labels(c: QualityConfig, strata: int = 1, share: float | None = None) -> int:
+    """The fewest labelled good documents with which a cutoff that rejects none of them can be certified for that share, where strata share the risk."""
+    return int(np.ceil(np.log(c.risk / strata) / np.log(1 - (share or c.false_rejection))))
+
+
+def promised(holdouts: dict[str, int], c: QualityConfig) -> dict[str, tuple[float, float]]:
+    """(share of good documents that may be rejected, risk) of each stratum that can have cutoffs, from the numbers of holdouts alone. Strata that could not be certified even if they had all the risk do not share it."""
+    able = [s for s, n in holdouts.items() if n >= least_labels(c, 1, c.loosest)]
+    out = {}
+    for s in able:
+        risk = c.risk / len(able)
+        share = max(c.false_rejection, 1 - risk ** (1 / holdouts[s]))
+        if share <= c.loosest:
+            out[s] = (share, risk)
+    return out
 
 
 def fit_cutoffs(measured: DataFrame, labels: DataFrame, c: QualityConfig = QualityConfig(), counts: str = "counts") -> dict[tuple[str, str], float]:
     """The strictest certified cutoffs of each (stratum, rule); none where no cutoff can be certified.
 
-    Labelled good documents (quality 1; of conflicting labels the best counts) that pass the base rules are the holdout; all rules of a stratum are certified together. One sequence of moves, each of which makes one rule stricter, is chosen from labelled bad and unlabelled documents (without bad ones: all rules in turn), and the sequence ends before the first at which the Clopper-Pearson bound of the rate of holdouts that any rule rejects exceeds false_rejection: in a fixed sequence, that needs no correction among cutoffs or rules. Strata share risk (Bonferroni).
-    Strata with fewer than least_labels() holdouts, but any, are one stratum together and have the same cutoffs.
-    Only the counts per stratum, rule and grid cell and per stratum and move come to the driver.
+    Labelled good documents (quality 1; of conflicting labels the best counts) that pass the base rules are the holdout of their stratum; all rules of a stratum are certified together, by its own holdouts alone. One sequence of moves, each of which makes one rule stricter, is chosen from the stratum's labelled bad and unlabelled documents (without bad ones: all rules in turn), and the sequence ends before the first at which the Clopper-Pearson bound of the rate of holdouts that any rule rejects exceeds what is promised(): in a fixed sequence, that needs no correction among cutoffs or rules. Strata share risk (Bonferroni).
+    Only counts per stratum with enough holdouts, rule and grid cell, and per stratum and move, come to the driver.
     """
     best = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     # hit: the number of cutoffs that reject this document, those of the strict end
     hits = F.array(*[F.size(_beaten(r, counts)) for r in c.rules])
     judged = measured.where(~base_failed(counts, c)).select("doc_id", stratum(measured, c).alias("stratum"), hits.alias("hits")).join(best, "doc_id", "left")
-    rows = judged.select("stratum", "quality", F.posexplode("hits").alias("rule", "hit")).groupBy("stratum", "quality", "rule", "hit").count().collect()
-    holdouts: dict[str, int] = {}
-    for x in rows:
-        if x["quality"] == 1 and x["rule"] == 0:
-            holdouts[x["stratum"]] = holdouts.get(x["stratum"], 0) + x["count"]
-    if not holdouts:
+    good = judged.where("quality = 1").groupBy("stratum").agg(F.count("*").alias("n"))
+    holdouts = {r["stratum"]: r["n"] for r in good.where(F.col("n") >= least_labels(c, 1, c.loosest)).collect()}
+    levels = promised(holdouts, c)
+    if not levels:
         return {}
-    pool = {s: s if n >= least_labels(c) else "" for s, n in holdouts.items()}
+    judged = judged.where(F.col("stratum").isin(list(levels)))
+    rows = judged.select("stratum", "quality", F.posexplode("hits").alias("rule", "hit")).groupBy("stratum", "quality", "rule", "hit").count().collect()
     most = max(len(r.grid) for r in c.rules)
     paths = {}
-    for g in set(pool.values()):
+    for s in levels:
         seen = {q: np.zeros((len(c.rules), most + 1), np.int64) for q in (0, None)}
         for x in rows:
-            if pool.get(x["stratum"]) == g and x["quality"] in seen and x["hit"]:
+            if x["stratum"] == s and x["quality"] in seen and x["hit"]:
                 seen[x["quality"]][x["rule"], len(c.rules[x["rule"]].grid) - x["hit"] + 1] += x["count"]
-        paths[g] = _path(seen[0], seen[None]) or [(r, i) for i in range(1, most + 1) for r in range(len(c.rules)) if i <= len(c.rules[r].grid)]
+        paths[s] = _path(seen[0], seen[None]) or [(r, i) for i in range(1, most + 1) for r in range(len(c.rules)) if i <= len(c.rules[r].grid)]
     # the first move that rejects a holdout, by stratum, rule and hit
     first = {}
-    for g, path in paths.items():
+    for s, path in paths.items():
         for r, rule in enumerate(c.rules):
             reached = lambda level, r=r, path=path: next((i for i, (x, n) in enumerate(path) if x == r and n >= level), len(path))
-            first[g, r] = [len(path), *[reached(len(rule.grid) - h + 1) for h in range(1, len(rule.grid) + 1)]]
-    group = F.coalesce(*[F.when(F.col("stratum") == s, F.lit(g)) for s, g in pool.items()])
-    moves = F.coalesce(*[F.when(F.col("group") == g, F.least(*[F.get(F.array(*[F.lit(x) for x in first[g, r]]), F.col("hits")[r]) for r in range(len(c.rules))])) for g in paths])
-    falls = judged.where("quality = 1").withColumn("group", group).select("group", moves.alias("move")).groupBy("group", "move").count().collect()
+            first[s, r] = [len(path), *[reached(len(rule.grid) - h + 1) for h in range(1, len(rule.grid) + 1)]]
+    moves = F.coalesce(*[F.when(F.col("stratum") == s, F.least(*[F.get(F.array(*[F.lit(x) for x in first[s, r]]), F.col("hits")[r]) for r in range(len(c.rules))])) for s in paths])
+    falls = judged.where("quality = 1").select("stratum", moves.alias("move")).groupBy("stratum", "move").count().collect()
     cutoffs: dict[tuple[str, str], float] = {}
-    risk = c.risk / (len(c.strata) + 1)
-    for g, path in paths.items():
-        by = {x["move"]: x["count"] for x in falls if x["group"] == g}
+    for s, path in paths.items():
+        share, risk = levels[s]
+        by = {x["move"]: x["count"] for x in falls if x["stratum"] == s}
         total, rejected = sum(by.values()), 0
         for i, (r, level) in enumerate(path):
             rejected += by.get(i, 0)
-            if binomial_upper(rejected, total, risk) > c.false_rejection:
+            # a share of its own is met by no rejection exactly, up to rounding
+            if binomial_upper(rejected, total, risk) > share + 1e-9:
                 break
-            for s in [s for s, x in pool.items() if x == g]:
-                cutoffs[s, c.rules[r].name] = c.rules[r].grid[level - 1]
+            cutoffs[s, c.rules[r].name] = c.rules[r].grid[level - 1]
     return cutoffs
 
 
@@ -196,7 +205,7 @@ def rejected_by(cutoffs: dict[tuple[str, str], float], of: Column, c: QualityCon
     hits = []
     for r in c.rules:
         out = None
-        for s in (*c.strata, "other"):
+        for s in sorted({x for x, _ in cutoffs}):
             if (s, r.name) in cutoffs:
                 x = F.lit(cutoffs[s, r.name])
                 test = _ratio(counts, r) < x if r.low else _ratio(counts, r) > x

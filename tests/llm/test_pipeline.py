@@ -77,3 +77,14 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_quality_stage_with_certified_cutoffs(spark, tmp_path):
+    """Enough good documents of one language certify a cutoff on symbols; those of a language with few labels are kept."""
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, base + (" #" * 50 if i % 10 == 0 else ""), "en" if i < 400 else "fr") for i in range(420)]
+    docs = spark.createDataFrame([(*r, "s", len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(i, int(i % 10 != 0)) for i, _, _ in rows], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = P.quality_rules(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    assert {r.doc_id for r in out.collect()} == {i for i, _, x in rows if i % 10 or x == "fr"}

@@ -1,6 +1,7 @@
 import hashlib
 import itertools
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -137,15 +138,95 @@ def test_cutoffs_keep_good_documents(spark):
     assert all(r.kept for r in quality.judge_quality(d, bad).select("_quality.kept").collect())
 
 
-def test_few_hundred_labels_certify_cutoffs(spark):
+def test_each_stratum_needs_a_certificate_of_its_own(spark):
+    """es has 20 good documents, of which 5 have many symbols; en, fr and de have enough without any. No cutoff may reach es."""
     base = " ".join(f"w{i}" for i in range(60))
-    langs = ["en"] * 300 + ["de"] * 130 + ["fr"] * 130  # de and fr have too few alone, not together
-    rows = [(i, base + (" #" * 50 if i % 10 == 0 else ""), x) for i, x in enumerate(langs)]
-    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    labels = spark.createDataFrame([(i, int(i % 10 != 0)) for i in range(len(rows))], "doc_id long, quality int")
-    assert quality.least_labels(quality.QualityConfig()) == 228
-    assert all(r.kept == (r.doc_id % 10 != 0) for r in quality.judge_quality(d, labels).select("doc_id", "_quality.kept").collect())
-    assert all(r.kept for r in quality.judge_quality(d, labels.where("doc_id < 200")).select("_quality.kept").collect())
+    rows = [(x, base + (" #" * 50 if bad else ""), int(not bad or x == "es")) for x, n in (("en", 225), ("fr", 225), ("de", 225)) for bad in [False] * n + [True] * 20]
+    rows += [("es", base + (" #" * 50 if i < 5 else ""), 1) for i in range(20)] + [(None, base + " #" * 50, 0)]
+    d = spark.createDataFrame([(i, t, x) for i, (x, t, _) in enumerate(rows)], "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, q) for i, (_, _, q) in enumerate(rows)], "doc_id long, quality int")
+    kept = {r.doc_id: r.kept for r in quality.judge_quality(d, labels).select("doc_id", "_quality.kept").collect()}
+    assert all(kept[i] == ("#" not in t or x in ("es", None)) for i, (x, t, _) in enumerate(rows))
+
+
+def test_small_strata_are_held_to_what_their_labels_can_show(spark):
+    c = quality.QualityConfig()
+    assert quality.least_labels(c) == 149 and quality.least_labels(c, 5) == 228 and quality.least_labels(c, 1, c.loosest) == 29
+    got = quality.promised({"a": 1000, "b": 100, "c": 28, "d": 33}, c)
+    assert set(got) == {"a", "b"} and got["a"][0] == 0.02 and abs(got["b"][0] - (1 - (0.05 / 3) ** 0.01)) < 1e-12
+    assert quality.promised({}, c) == {}
+    # one holdout that a cutoff rejects is one too many for a small stratum
+    base = " ".join(f"w{i}" for i in range(60))
+    for spoilt in (0, 1):
+        rows = [(i, base + (" #" * 50 if i < 40 or i < 40 + spoilt else ""), int(i >= 40)) for i in range(140)]
+        d = spark.createDataFrame([(i, t, "xx") for i, t, _ in rows], "doc_id long, text string, lang string")
+        out = quality.judge_quality(d, spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")).select("doc_id", "_quality.kept").collect()
+        assert all(r.kept == (r.doc_id >= 40 or bool(spoilt)) for r in out)
+
+
+def brute_verdicts(docs, labels, c):
+    """(doc_id, kept) from the definition: exact binomial tails by sums, moves by counting documents anew for each candidate."""
+    import math
+
+    best = {}
+    for i, q in labels:
+        if q is not None:
+            best[i] = max(q, best.get(i, q))
+    passed = {}
+    for i, text, lang in docs:
+        n = counts_of(text)
+        lines = len([x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)])
+        if n[0] >= 50 and 100 * n[4] <= 50 * n[0]:
+            ratios = (n[2] / max(n[1], 1), n[3] / max(lines, 1), n[4] / max(n[0], 1), n[1] / max(n[0], 1), n[1] / max(n[0], 1))
+            # the level from which each rule rejects the document
+            level = [next((k + 1 for k, g in enumerate(r.grid) if (x < g if r.low else x > g)), 99) for r, x in zip(c.rules, ratios, strict=True)]
+            passed[i] = (lang or "", level)
+    strata = {}
+    for i, (s, level) in passed.items():
+        strata.setdefault(s, {}).setdefault(best.get(i), []).append(level)
+    able = [s for s, x in strata.items() if (1 - c.loosest) ** len(x.get(1, [])) <= c.risk]
+    final = {}
+    for s in able:
+        good, bad, plain = (strata[s].get(q, []) for q in (1, 0, None))
+        risk, n = c.risk / len(able), len(good)
+        share = max(c.false_rejection, 1 - risk ** (1 / n))
+        if share > c.loosest:
+            continue
+        at, moves = [0] * len(c.rules), []
+        while bad:
+            options = []
+            for r, rule in enumerate(c.rules):
+                for k in range(at[r] + 1, len(rule.grid) + 1):
+                    gain, before = (sum(at[r] < x[r] <= m for x in bad) for m in (k, k - 1))
+                    if gain > before:
+                        cost = sum(at[r] < x[r] <= k for x in plain)
+                        options.append((gain / (cost + 1 if any(y <= 40 for x in plain for y in x) else k - at[r]), -r, -k))
+            if not options:
+                break
+            _, r, k = max(options)
+            at[-r] = -k
+            moves.append((-r, -k))
+        moves = moves or [(r, k) for k in range(1, 41) for r in range(len(c.rules))]
+        cut = [0] * len(c.rules)
+        for r, k in moves:
+            tried = [*cut[:r], k, *cut[r + 1 :]]
+            rejected = sum(any(x <= t for x, t in zip(level, tried, strict=True)) for level in good)
+            tail = sum(math.comb(n, j) * share**j * (1 - share) ** (n - j) for j in range(rejected + 1))
+            if tail > risk * (1 + 1e-6):
+                break
+            cut = tried
+        final[s] = cut
+    return {(i, i in passed and not (passed[i][0] in final and any(x <= t for x, t in zip(passed[i][1], final[passed[i][0]], strict=True)))) for i, _, _ in docs}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables here")
+def test_verdicts_of_given_documents_against_brute_force(spark):
+    at = "/root/testdata/sf0.01"
+    docs = [tuple(r) for r in spark.read.parquet(f"{at}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    labels = [tuple(r) for r in spark.read.parquet(f"{at}/labels.parquet").select("doc_id", "quality").collect()]
+    got = {(r.doc_id, r.kept) for r in quality.op4_quality(spark, at).collect()}
+    assert got == brute_verdicts(docs, labels, quality.QualityConfig())
+    assert sum(not k for _, k in got) > sum(counts_of(t)[0] < 50 for _, t, _ in docs)
 
 
 @pytest.mark.parametrize("k, n, risk", [(0, 50, 0.05), (3, 100, 0.01), (10, 20, 0.025), (0, 3000, 0.002)])
