@@ -17,13 +17,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-#: Texts in the scripts that the tables lack.
-FIXTURE = [
-    (1, "धर्मः"), (2, "dharmaḥ"), (3, "dharmah"), (4, "संस्कृतम्"), (5, "शंखनादः कः आसीत्?"), (6, "śaṅkhanādaḥ kaḥ āsīt?"), (7, "shankhanaadah kah aseet?"),
-    (8, "कुरुक्षेत्र"), (9, "kurukṣetra"), (10, "kurukshetra"), (11, "dharma धर्म"), (12, "धर्म a"), (13, ""), (14, "   "), (15, None), (16, "narah gacchati"), (17, "saha"), (18, "path"),
-    (19, "रामः वनं गच्छति। सीता॥"), (20, "hello   world  \r\n\r\n\r\n x"), (21, "धर्मः। x!"), (22, "café ā"), (23, "ऋषिः ॐ १२३"), (24, "El niño"), (25, "Ωmega"), (26, "AI Rāma ṝ"),
-]
-SLP1 = [(1, "Darma"), (2, "saNkara"), (3, "saNga"), (4, "sankara"), (5, "saYcaya"), (6, "maYju"), (7, "santa"), (8, "vanda"), (9, "sampanna"), (10, "kambala"), (11, "saMskfta"), (12, "kAlIdAsaH"), (13, "rAmo gacCati . sItA .."), (14, "fzi Esa Ozadi"), (15, "kfzRa"), (16, "haMsa"), (17, None), (18, "")]
 CHUNKS = chunk.ChunkConfig(delimiters=".", ending=" .")
 TITLES = segment.TitleRule(min_len=2, max_len=60, min_script_chars=1, script="[A-Z]", starters=("It ", "The "))
 K = 50
@@ -33,10 +26,6 @@ def quoted(s: str | None) -> str:
     return "NULL" if s is None else "'" + s.replace("'", "''") + "'"
 
 
-def values(rows: list[tuple]) -> str:
-    return "(VALUES " + ", ".join(f"({i}::BIGINT, {quoted(s)}{'::VARCHAR' if s is None else ''})" for i, s in rows) + ") AS f(id, t)"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -56,15 +45,38 @@ def query(name: str, sql: str | None):
     return put
 
 
-def on_rows(name: str, rows: list[tuple], out: Callable, sql: str) -> None:
-    """A query over inline texts: id and what out gives of t."""
+#: Name -> (column expressions of t, SQL of the same) of every function of one text; tests run them over odd texts too.
+SCALARS: dict[str, tuple[Callable, str]] = {}
+#: Letters that have both a composed and a decomposed form.
+COMPOSED = [("é", "e\u0301"), ("ö", "o\u0308"), ("ü", "u\u0308"), ("ñ", "n\u0303"), ("ó", "o\u0301")]
+#: Spellings of a turn, which the table has in Roman letters only.
+SPELLINGS = ("as written", "devanagari", "scholarly", "both scripts, decomposed")
+
+
+def spelt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, turn, spelling (a place in SPELLINGS), t: every conversation turn as it is, read as SLP1 and written in Devanagari and in scholarly Roman, and decomposed with Devanagari behind it."""
+    text = F.col("text")
+    loose = text
+    for a, b in COMPOSED:
+        loose = F.replace(loose, F.lit(a), F.lit(b))
+    written = F.array(text, X.slp1_to_devanagari(text), X.slp1_to_iast(text), F.concat(loose, F.lit(" "), X.slp1_to_devanagari(text)))
+    return texts(spark, sf_dir, "conversations", "conv_id", "turn", "text").select("conv_id", "turn", F.posexplode(written).alias("spelling", "t"))
+
+
+def sql_spelt() -> str:
+    loose = sql_replace("t", COMPOSED)
+    return f"(SELECT conv_id, turn, v::INTEGER AS spelling, CASE v WHEN 0 THEN t WHEN 1 THEN d WHEN 2 THEN {sql_from_slp1()} ELSE {loose} || ' ' || d END AS t FROM (SELECT conv_id, turn, text AS t, {_sql_to_dev('text')} AS d FROM conversations) x, (SELECT unnest(range(0, 4)) AS v) y) s"
+
+
+def on_texts(name: str, out: Callable, sql: str) -> None:
+    """A query over all spelt() turns: what out gives of t."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        f = spark.createDataFrame(rows, "id long, t string")
-        return f.select("id", *out(F.col("t")))
+        return spelt(spark, sf_dir).select("conv_id", "turn", "spelling", *out(F.col("t")))
 
+    SCALARS[name] = (out, sql)
     QUERIES[name] = run
-    ORACLES[name] = f"SELECT id, {sql} FROM {values(rows)}"
+    ORACLES[name] = f"SELECT conv_id, turn, spelling, {sql} FROM {sql_spelt()}"
 
 
 # --- SQL of the scalar functions -------------------------------------------------------------------------------------
@@ -155,30 +167,13 @@ def sql_preprocess(t: str) -> str:
     return f"CASE WHEN coalesce({sql_strip(t)}, '') = '' THEN '' ELSE (SELECT {sql_clean('z')} FROM (SELECT {sql_fold(sql_anusvara('y'))} AS z FROM (SELECT {body} AS y FROM (SELECT u, {sql_script('u')} AS s FROM (SELECT nfc_normalize({t}) AS u))))) END"
 
 
-# --- scalar functions ------------------------------------------------------------------------------------------------
+def sql_from_slp1(t: str = "t") -> str:
+    pairs = [("K", "kh"), ("G", "gh"), ("C", "ch"), ("J", "jh"), ("W", "ṭh"), ("Q", "ḍh"), ("T", "th"), ("D", "dh"), ("P", "ph"), ("B", "bh"), ("E", "ai"), ("O", "au")]
+    return sql_replace(f"translate({t}, 'AIUfFxXMHNYwqRSz', 'āīūṛṝḷḹṃḥṅñṭḍṇśṣ')", pairs)
+
 
-on_rows("script_detect_fixture", FIXTURE, lambda t: [S.detect_script(t).alias("script"), S.is_devanagari(t).alias("devanagari"), S.is_iast(t).alias("iast")], f"{sql_script('t')} AS script, CASE WHEN {sql_dev('t')} + {sql_other('t')} = 0 THEN false ELSE {sql_dev('t')} * 2 > {sql_dev('t')} + {sql_other('t')} END AS devanagari, coalesce(regexp_matches(t, '{DIACRITICS}'), false) AS iast")
-on_rows("mixed_scripts", FIXTURE, lambda t: [S.has_mixed_scripts(t).alias("mixed")], f"{sql_mixed('t')} AS mixed")
-on_rows("final_h", FIXTURE, lambda t: [X.final_h(t).alias("out")], f"{sql_final_h('t')} AS out")
-on_rows("loose_roman", FIXTURE, lambda t: [X.loose_roman(t).alias("out")], f"{sql_loose('t')} AS out")
-on_rows("to_slp1_devanagari", FIXTURE, lambda t: [X.devanagari_to_slp1(t).alias("out")], f"{sql_dev_to_slp1('t')} AS out")
-on_rows("to_slp1_iast", FIXTURE, lambda t: [X.iast_to_slp1(t).alias("out")], f"{sql_iast_to_slp1('t')} AS out")
-on_rows("to_slp1_loose", FIXTURE, lambda t: [X.hk_to_slp1(X.final_h(X.loose_roman(t))).alias("out")], f"{sql_hk_to_slp1(sql_final_h(sql_loose('t')))} AS out")
-on_rows("to_slp1_auto", FIXTURE, lambda t: [X.to_slp1(t).alias("out")], f"{sql_to_slp1('t')} AS out")
-on_rows("anusvara", SLP1, lambda t: [N.anusvara(t).alias("out")], f"{sql_anusvara('t')} AS out")
-on_rows("vowel_fold", SLP1, lambda t: [N.fold_vowels(t).alias("out")], f"{sql_fold('t')} AS out")
-on_rows("clean_text", FIXTURE, lambda t: [N.clean_text(t).alias("out")], f"{sql_clean('t')} AS out")
-on_rows("remove_punctuation", FIXTURE, lambda t: [N.remove_punctuation(t).alias("out"), N.remove_punctuation(t, False).alias("bare")], "regexp_replace(t, '[^\\p{L}\\p{N}_\\s।॥|]', '', 'g') AS out, regexp_replace(t, '[^\\p{L}\\p{N}_\\s]', '', 'g') AS bare")
-on_rows("nfc", FIXTURE, lambda t: [N.nfc(t).alias("out")], "nfc_normalize(t) AS out")
-on_rows("preprocess_fixture", FIXTURE, lambda t: [N.preprocess(t).alias("out")], f"{sql_preprocess('t')} AS out")
-on_rows("process_fixture", FIXTURE, lambda t: [N.process(t)["script"].alias("script"), N.process(t)["is_mixed_script"].alias("mixed")], f"CASE WHEN coalesce({sql_strip('t')}, '') = '' THEN 'unknown' ELSE {sql_script('nfc_normalize(t)')} END AS script, {sql_mixed('t')} AS mixed")
-on_rows("process_stats", FIXTURE, lambda t: [N.process(t)["stats"]["devanagari_chars"].alias("devanagari"), N.process(t)["stats"]["total_chars"].alias("total"), N.process(t, script="iast")["script"].alias("forced")], f"{sql_dev('t')} AS devanagari, coalesce(length(t), 0)::BIGINT AS total, CASE WHEN coalesce({sql_strip('t')}, '') = '' THEN 'unknown' ELSE 'iast' END AS forced")
-on_rows("equivalent_strict", FIXTURE, lambda t: [N.equivalent(t, F.lit("dharmaḥ"), folded=False).alias("same")], f"coalesce({sql_to_slp1('t')}, '-') = 'DarmaH' AS same")
-on_rows("from_slp1_iast", SLP1, lambda t: [X.slp1_to_iast(t).alias("out")], "{} AS out".format(sql_replace("translate(t, 'AIUfFxXMHNYwqRSz', 'āīūṛṝḷḹṃḥṅñṭḍṇśṣ')", [("K", "kh"), ("G", "gh"), ("C", "ch"), ("J", "jh"), ("W", "ṭh"), ("Q", "ḍh"), ("T", "th"), ("D", "dh"), ("P", "ph"), ("B", "bh"), ("E", "ai"), ("O", "au")])))
-
-
-def _sql_to_dev() -> str:
-    t, hole = f"regexp_replace(t, '([{X.CONSONANTS_SLP1}])a', '\\1{chr(X.PRIVATE)}', 'g')", chr(X.PRIVATE)
+def _sql_to_dev(t: str = "t") -> str:
+    t, hole = f"regexp_replace({t}, '([{X.CONSONANTS_SLP1}])a', '\\1{chr(X.PRIVATE)}', 'g')", chr(X.PRIVATE)
     for v, sign in zip(X.SIGNS_SLP1, X.SIGNS, strict=True):
         t = f"regexp_replace({t}, '([{X.CONSONANTS_SLP1}]){v}', '\\1{sign}', 'g')"
     t = f"regexp_replace(regexp_replace({t}, '([{X.CONSONANTS_SLP1}])', '\\1{X.VIRAMA}', 'g'), '{X.VIRAMA}([{X.SIGNS}{hole}])', '\\1', 'g')"
@@ -186,16 +181,46 @@ def _sql_to_dev() -> str:
     return f"translate({t}, {quoted(X.CONSONANTS_SLP1 + X.VOWELS_SLP1 + 'MH~' + chr(39) + '0123456789')}, '{X.CONSONANTS}{X.VOWELS}ंःँऽ०१२३४५६७८९')"
 
 
-on_rows("from_slp1_devanagari", SLP1, lambda t: [X.slp1_to_devanagari(t).alias("out")], f"{_sql_to_dev()} AS out")
-on_rows("clean_title", [(1, "शीतं बहु बाधति । The cold hurts by: A B"), (2, "मूर्खभृत्यस्य (The servant) "), (3, "कथा । x । y"), (4, "BY: nobody"), (5, None)], lambda t: [segment.clean_title(t).alias("out")], "CASE WHEN strpos(u, '।') > 0 THEN regexp_replace(string_split(u, '।')[1] || '।', '^\\s+|\\s+$', '', 'g') ELSE regexp_replace(u, '^\\s+|\\s+$', '', 'g') END AS out")
-ORACLES["clean_title"] = ORACLES["clean_title"].replace("FROM (VALUES", "FROM (SELECT id, regexp_replace(regexp_replace(t, '(?i)\\s*by:.*$', ''), '\\(.*?\\)', '', 'g') AS u FROM (VALUES") + ")"
-
+# --- scalar functions ------------------------------------------------------------------------------------------------
 
-@query("cross_script_equivalence", f"WITH p AS (SELECT id, {sql_preprocess('t')} AS x FROM {values(FIXTURE)}) SELECT a.id AS id, b.id AS other, a.x = b.x AS same FROM p a JOIN p b ON b.id = a.id + 1")
+on_texts("script_detect_fixture", lambda t: [S.detect_script(t).alias("script"), S.is_devanagari(t).alias("devanagari"), S.is_iast(t).alias("iast")], f"{sql_script('t')} AS script, CASE WHEN {sql_dev('t')} + {sql_other('t')} = 0 THEN false ELSE {sql_dev('t')} * 2 > {sql_dev('t')} + {sql_other('t')} END AS devanagari, coalesce(regexp_matches(t, '{DIACRITICS}'), false) AS iast")
+on_texts("mixed_scripts", lambda t: [S.has_mixed_scripts(t).alias("mixed")], f"{sql_mixed('t')} AS mixed")
+on_texts("final_h", lambda t: [X.final_h(t).alias("out")], f"{sql_final_h('t')} AS out")
+on_texts("loose_roman", lambda t: [X.loose_roman(t).alias("out")], f"{sql_loose('t')} AS out")
+on_texts("to_slp1_devanagari", lambda t: [X.devanagari_to_slp1(t).alias("out")], f"{sql_dev_to_slp1('t')} AS out")
+on_texts("to_slp1_iast", lambda t: [X.iast_to_slp1(t).alias("out")], f"{sql_iast_to_slp1('t')} AS out")
+on_texts("to_slp1_loose", lambda t: [X.hk_to_slp1(X.final_h(X.loose_roman(t))).alias("out")], f"{sql_hk_to_slp1(sql_final_h(sql_loose('t')))} AS out")
+on_texts("to_slp1_auto", lambda t: [X.to_slp1(t).alias("out")], f"{sql_to_slp1('t')} AS out")
+on_texts("anusvara", lambda t: [N.anusvara(t).alias("out")], f"{sql_anusvara('t')} AS out")
+on_texts("vowel_fold", lambda t: [N.fold_vowels(t).alias("out")], f"{sql_fold('t')} AS out")
+on_texts("clean_text", lambda t: [N.clean_text(t).alias("out")], f"{sql_clean('t')} AS out")
+on_texts("remove_punctuation", lambda t: [N.remove_punctuation(t).alias("out"), N.remove_punctuation(t, False).alias("bare")], "regexp_replace(t, '[^\\p{L}\\p{N}_\\s।॥|]', '', 'g') AS out, regexp_replace(t, '[^\\p{L}\\p{N}_\\s]', '', 'g') AS bare")
+on_texts("nfc", lambda t: [N.nfc(t).alias("out")], "nfc_normalize(t) AS out")
+on_texts("preprocess_fixture", lambda t: [N.preprocess(t).alias("out")], f"{sql_preprocess('t')} AS out")
+on_texts("process_fixture", lambda t: [N.process(t)["script"].alias("script"), N.process(t)["is_mixed_script"].alias("mixed")], f"CASE WHEN coalesce({sql_strip('t')}, '') = '' THEN 'unknown' ELSE {sql_script('nfc_normalize(t)')} END AS script, {sql_mixed('t')} AS mixed")
+on_texts("process_stats", lambda t: [N.process(t)["stats"]["devanagari_chars"].alias("devanagari"), N.process(t)["stats"]["total_chars"].alias("total"), N.process(t, script="iast")["script"].alias("forced")], f"{sql_dev('t')} AS devanagari, coalesce(length(t), 0)::BIGINT AS total, CASE WHEN coalesce({sql_strip('t')}, '') = '' THEN 'unknown' ELSE 'iast' END AS forced")
+on_texts("equivalent_strict", lambda t: [N.equivalent(t, F.lit("dharmaḥ"), folded=False).alias("same")], f"coalesce({sql_to_slp1('t')}, '-') = 'DarmaH' AS same")
+on_texts("from_slp1_iast", lambda t: [X.slp1_to_iast(t).alias("out")], f"{sql_from_slp1()} AS out")
+
+
+on_texts("from_slp1_devanagari", lambda t: [X.slp1_to_devanagari(t).alias("out")], f"{_sql_to_dev()} AS out")
+SQL_CLEAN_TITLE = "SELECT {k}, CASE WHEN strpos(u, '।') > 0 THEN regexp_replace(string_split(u, '।')[1] || '।', '^\\s+|\\s+$', '', 'g') ELSE regexp_replace(u, '^\\s+|\\s+$', '', 'g') END AS out FROM (SELECT {k}, regexp_replace(regexp_replace(t, '(?i)\\s*by:.*$', ''), '\\(.*?\\)', '', 'g') AS u FROM {source})"
+
+
+@query("clean_title", SQL_CLEAN_TITLE.format(k="doc_id, form", source="(SELECT doc_id, v::INTEGER AS form, CASE v WHEN 0 THEN h WHEN 1 THEN h || ' (' || lang || ') by: ' || source ELSE replace(h, '.', ' ।') || ' ' || lang END AS t FROM (SELECT doc_id, lang, source, string_split(text, chr(10))[1] AS h FROM documents) x, (SELECT unnest(range(0, 3)) AS v) y)"))
+def clean_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First lines of documents as titles: plain, with a note and an author, and with dandas."""
+    head = F.substring_index("text", "\n", 1)
+    forms = F.array(head, F.concat(head, F.lit(" ("), "lang", F.lit(") by: "), "source"), F.concat(F.replace(head, F.lit("."), F.lit(" ।")), F.lit(" "), "lang"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(forms).alias("form", "t")).select("doc_id", "form", segment.clean_title(F.col("t")).alias("out"))
+
+
+@query("cross_script_equivalence", f"WITH p AS (SELECT conv_id, turn, spelling, {sql_preprocess('t')} AS x FROM {sql_spelt()}) SELECT a.conv_id, a.turn, a.spelling, a.x = b.x AS same FROM p a JOIN p b ON b.conv_id = a.conv_id AND b.turn = a.turn AND b.spelling = 1 AND a.spelling <> 1")
 def cross_script_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = spark.createDataFrame(FIXTURE, "id long, t string")
-    other = f.select((F.col("id") - 1).alias("id"), F.col("id").alias("other"), F.col("t").alias("u"))
-    return f.join(other, "id").select("id", "other", N.equivalent(F.col("t"), F.col("u")).alias("same"))
+    """Whether each spelling of a turn has the search form of its Devanagari."""
+    f = spelt(spark, sf_dir)
+    other = f.where("spelling = 1").select("conv_id", "turn", F.col("t").alias("u"))
+    return f.where("spelling <> 1").join(other, ["conv_id", "turn"]).select("conv_id", "turn", "spelling", N.equivalent(F.col("t"), F.col("u")).alias("same"))
 
 
 @query("script_stats", f"SELECT doc_id, length(text)::BIGINT AS total_chars, {sql_dev('text')} AS devanagari_chars, {sql_count('text', DIACRITICS)} AS iast_chars, ({sql_other('text')} - {sql_count('text', DIACRITICS)})::BIGINT AS roman_chars, {sql_count('text', '[^\\p{L}\\s\\x{0900}-\\x{097F}\\x{0085}\\p{Z}]')} AS other_chars, {sql_script('text')} AS script_type, {sql_mixed('text')} AS is_mixed FROM documents")
@@ -219,14 +244,16 @@ def clean_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(N.clean_text(t)).alias("digest"), F.md5(N.remove_punctuation(t, False)).alias("bare"))
 
 
-#: Bytes in hex: valid texts, and such as no text has.
-BYTES = [(1, "c3a9"), (2, "ff"), (3, ""), (4, "e0a4"), (5, "e0a4a7"), (6, "616263"), (7, "c080"), (8, "f09f9880"), (9, "61c3"), (10, None)]
+SQL_VALID = "t IS NOT NULL AND coalesce(try(decode(unhex(t))) IS NOT NULL, false)"
 
 
-@query("valid_utf8", f"SELECT id, t IS NOT NULL AND coalesce(try(decode(unhex(t))) IS NOT NULL, false) AS valid FROM {values(BYTES)}")
+@query("valid_utf8", f"SELECT doc_id, cut::INTEGER AS cut, {SQL_VALID} AS valid FROM (SELECT doc_id, cut, CASE WHEN cut = 0 THEN h WHEN cut = 1 THEN substr(h, 3) ELSE substr(h, 1, length(h) // 4 * 2) END AS t FROM (SELECT doc_id, hex(encode(text)) AS h FROM documents) x, (SELECT unnest(range(0, 3)) AS cut) y)")
 def valid_utf8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = spark.createDataFrame(BYTES, "id long, t string")
-    return f.select("id", F.coalesce(F.is_valid_utf8(F.unhex("t").cast("string")), F.lit(False)).alias("valid"))
+    """Every document's bytes: whole, without the first one, and the first half, which may end within a character."""
+    h = F.hex(F.encode("text", "UTF-8"))
+    cuts = F.array(h, F.substring(h, F.lit(3), F.length(h)), F.substring(h, F.lit(1), (F.floor(F.length(h) / 4) * 2).cast("int")))
+    f = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(cuts).alias("cut", "t"))
+    return f.select("doc_id", "cut", F.coalesce(F.is_valid_utf8(F.unhex("t").cast("string")), F.lit(False)).alias("valid"))
 
 
 @query("documents_valid", "SELECT count(*)::BIGINT AS n, count(try(decode(encode(text))))::BIGINT AS valid FROM documents")
@@ -487,9 +514,19 @@ def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.evaluation_report(_evaluated(spark, sf_dir))
 
 
-@query("eval_summary", "SELECT role AS component, round(avg(length(text)), 6) AS mean, min(length(text))::BIGINT AS min, max(length(text))::BIGINT AS max, count(text)::BIGINT AS n FROM conversations GROUP BY role")
+@query("eval_summary", f"{SQL_EVALUATED} SELECT category AS component, round(avg(recall), 6) AS mean, min(recall) AS min, max(recall) AS max, count(recall)::BIGINT AS n FROM evaluated GROUP BY category")
 def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.summary(table(spark, sf_dir, "conversations").select(F.col("role").alias("component"), F.length("text").cast("bigint").alias("v")), "component", "v")
+    return evaluate.summary(_evaluated(spark, sf_dir), "category", "recall").withColumnRenamed("category", "component")
+
+
+@query("evaluation_components", f"WITH {SQL_FUSED} SELECT 'lexical' AS component, (SELECT count(*) FROM lex)::BIGINT AS rows, true AS timed UNION ALL SELECT 'vector', (SELECT count(*) FROM vec)::BIGINT, true UNION ALL SELECT 'fusion', (SELECT count(*) FROM fused)::BIGINT, true")
+def evaluation_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that each part of hybrid retrieval gave over all of benchmark, and whether its time was taken (the milliseconds differ from run to run)."""
+    parts = evaluate.Components()
+    lex, vec, _ = _fused(spark, sf_dir)
+    lex, vec = parts.measured("lexical", lex), parts.measured("vector", vec)
+    parts.measured("fusion", fusion.weighted_fusion(lex, vec, digits=6))
+    return parts.report(spark).select("component", "rows", (F.col("milliseconds") > 0).alias("timed"))
 
 
 @query("category_breakdown", "SELECT lang, count(*)::BIGINT AS n, round(avg(quality), 6) AS avg_quality, round(avg(toxic), 6) AS avg_toxic FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang")
@@ -497,9 +534,9 @@ def category_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.breakdown(table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id", "left"), "lang", ["quality", "toxic"])
 
 
-@query("failure_cases", "SELECT doc_id, quality::DOUBLE AS recall FROM labels WHERE quality < 1")
+@query("failure_cases", f"{SQL_EVALUATED} SELECT query_id, category, round(recall, 6) AS recall FROM evaluated WHERE recall < 1")
 def failure_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.failures(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("recall")))
+    return evaluate.failures(_evaluated(spark, sf_dir)).select("query_id", "category", F.round("recall", 6).alias("recall"))
 
 
 # --- the chunk store -------------------------------------------------------------------------------------------------
