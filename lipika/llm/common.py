@@ -55,6 +55,31 @@ def shuffles_end(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+#: Lists of what stash() writes within open scratch() blocks, the innermost last.
+_scratch: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes, when the block ends well, all that was stashed within it, but what was passed to the function that the block gets (that passes to the block around it, if any). Only for blocks of which no other frame leaves unread."""
+    made: list[DataFrame] = []
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    _scratch.append(made)
+    try:
+        yield keep
+    finally:
+        _scratch.remove(made)
+    left = {df._lipika_path for df in kept}
+    discard(*[df for df in made if df._lipika_path not in left])
+    if _scratch:
+        _scratch[-1].extend(df for df in made if df._lipika_path in left)
+
+
 def stash(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """df written to the shared folder as Parquet and read again; cuts its lineage, and a lost executor loses nothing of it."""
     spark = df.sparkSession
@@ -63,6 +88,8 @@ def stash(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lipika_path = path  # for discard()
+    if _scratch:
+        _scratch[-1].append(out)
     return out
 
 
@@ -75,6 +102,8 @@ def stash_buckets(df: DataFrame, key: str, name: str, codec: str = "zstd") -> Da
         df.write.format("parquet").option("compression", codec).option("path", f"{shared_dir(spark)}/lipika-{name}-{unique}").bucketBy(buckets, key).saveAsTable(entry)
     out = spark.table(entry)
     out._lipika_path = f"{shared_dir(spark)}/lipika-{name}-{unique}"
+    if _scratch:
+        _scratch[-1].append(out)
     spark.sql(f"drop table {entry}")  # the catalog's entry of an external table; the files stay
     return out
 
@@ -272,11 +301,16 @@ def parts_of(blocks: int, share: int = 4) -> int:
     return FAN * max(1, -(-blocks // (FAN * share)))
 
 
+_codecs: dict = {}
+
+
 def _codec(kind: str):
     """The process's own (de)compressor, as making one costs more than most uses of it."""
     import zstandard
 
-    return zstandard.__dict__.get(f"_own_{kind}") or zstandard.__dict__.setdefault(f"_own_{kind}", zstandard.ZstdCompressor(1) if kind == "in" else zstandard.ZstdDecompressor())
+    if kind not in _codecs:
+        _codecs[kind] = zstandard.ZstdCompressor(1) if kind == "in" else zstandard.ZstdDecompressor()
+    return _codecs[kind]
 
 
 def squeeze(x: np.ndarray) -> bytes:

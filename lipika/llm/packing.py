@@ -27,14 +27,16 @@ class PackConfig:
     cuts: int = 3
 
 
+_encoders: dict = {}
+
+
 def load_encoder(path: str):
     """encode(text) -> ids, as the tokenizers library gives them for a byte-level BPE file with add_special_tokens=False: special tokens that a text spells out are single ids.
 
     The file's vocabulary and merges are read into the faster tiktoken encoder, where ids are merge ranks; texts that spell out a special token, and all texts if a file is not of that kind or a probe differs, are encoded by the tokenizers library itself. Kept per process.
     """
-    held = public_tokenizers.__dict__.setdefault("_encoders", {})
-    if path in held:
-        return held[path]
+    if path in _encoders:
+        return _encoders[path]
     import json
     import os
 
@@ -61,7 +63,7 @@ def load_encoder(path: str):
                 out = lambda text: slow(text) if any(x in text for x in special) else fast(text)
     except KeyError:
         pass
-    held[path] = out
+    _encoders[path] = out
     return out
 
 

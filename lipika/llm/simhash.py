@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import PACKED, batch_slices, discard, gathered, mix, pack_keys, parts_of, raw, runs, shuffles_end, stash, table, unpack_keys, unsqueeze
+from .common import PACKED, batch_slices, discard, gathered, mix, pack_keys, parts_of, raw, runs, scratch, shuffles_end, stash, table, unpack_keys, unsqueeze
 
 BYTES = 8
 
@@ -471,7 +471,7 @@ def _sifted(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, words_per_shingle: int, similarity: float) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, words_per_shingle: int, similarity: float, partners: int = 256) -> DataFrame:
     """The pairs (a, b) whose whole sets of shingles are that similar."""
     some = stash(pairs, "pairs")
     asked = stash(some.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "asked")
@@ -488,6 +488,10 @@ def _verified(docs: DataFrame, pairs: DataFrame, words_per_shingle: int, similar
     texts = likely(docs, asked).where("_lipika_maybe").select("doc_id", "text").join(asked, "doc_id", "left_semi")
     have = stash(texts.mapInArrow(sets, "doc_id long, set binary"), "shingles")
     side = lambda c: have.select(F.col("doc_id").alias(c), F.col("set").alias(f"s{c}"))
+    # a may be the first of a class that very many have: its pairs are dealt over lanes, and its set goes once to each, never to each pair
+    lanes = some.groupBy("a").agg(F.ceil(F.count("*") / F.lit(partners)).cast("int").alias("k"))
+    of_a = side("a").join(lanes, "a").withColumn("lane", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).drop("k")
+    of_b = some.join(lanes, "a").withColumn("lane", F.pmod(F.xxhash64("b"), F.col("k")).cast("int")).drop("k").join(side("b"), "b")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -500,12 +504,13 @@ def _verified(docs: DataFrame, pairs: DataFrame, words_per_shingle: int, similar
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
 
-    return stash(some.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(compared, "a long, b long").distinct(), "links")
+    return stash(of_b.join(of_a, ["a", "lane"]).select("a", "b", "sa", "sb").mapInArrow(compared, "a long, b long").distinct(), "links")
 
 
 def keep_one(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without all but the document with the smallest doc_id of each group of similar_documents(); of rows with one doc_id, that with the least text hash and text. Rows with a null doc_id stay, as they can't be told apart; null text is empty, and texts without words are alike."""
-    grouped = stash(similar_documents(docs, words_per_shingle, similarity), "similar")
+    with scratch() as keep:
+        grouped = keep(stash(similar_documents(docs, words_per_shingle, similarity), "similar"))
     gone = grouped.where("doc_id <> component_id").select("doc_id")
     # texts that can't be among those that go stay where they are; the others meet the exact list
     out = _without(docs, gone)

@@ -1,9 +1,12 @@
+import pathlib
+
 import pytest
 
 from cases import frame, odd_documents, words
 from test_text_operators import brute_similar, brute_spans, counts_of
 
 import corpus_pipeline as P
+from lipika.llm.common import shared_dir
 
 
 @pytest.fixture(scope="module")
@@ -88,3 +91,12 @@ def test_quality_stage_with_certified_cutoffs(spark, tmp_path):
     out = P.quality_rules(spark, docs, str(tmp_path))
     assert out.columns == docs.columns
     assert {r.doc_id for r in out.collect()} == {i for i, _, x in rows if i % 10 or x == "fr"}
+
+
+def test_nothing_of_a_stage_stays_behind(spark, tables):
+    """A run leaves only the last stage's input in the shared folder."""
+    at, _ = tables
+    shared = pathlib.Path(shared_dir(spark).removeprefix("file:").replace("//", "/"))
+    before = set(shared.iterdir()) if shared.exists() else set()
+    assert P.run(spark, at).count() > 0
+    assert [x.name.split("-")[1] for x in set(shared.iterdir()) - before] == ["secret_scan"]
