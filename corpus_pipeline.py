@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lipika.llm import packing, quality, secrets, simhash, substrings
-from lipika.llm.common import stash, table
+from lipika.llm.common import scratch, stash, table
 
 #: Words of a passage that must not repeat in later documents.
 PASSAGE_WORDS = 50
@@ -56,8 +56,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage keeps is written before the next one reads it."""
+    """All stages over documents; what a stage keeps is written before the next one reads it, and deleted once that has."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir), name)
+    with scratch() as keep:
+        for name, stage in STAGES[:-1]:
+            docs = stash(stage(spark, docs, sf_dir), name)
+        keep(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
