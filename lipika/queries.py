@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lipika.functions import normalize as N
 from lipika.functions import script as S
 from lipika.functions import translit as X
-from lipika.operators import blockmax, chunk, encode, evaluate, fusion, lexical, prompt, segment, store, vector
+from lipika.operators import blockmax, chunk, encode, evaluate, fusion, knn, lexical, prompt, segment, store, vector
 from lipika.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -424,6 +424,13 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vectors(spark, sf_dir, q, 10)
 
 
+@query("vector_pivots", f"WITH {sql_vec('(SELECT * FROM embeddings WHERE vec_id % 50 = 0)', 10)} SELECT query_id, ix, dist, rank::INTEGER AS rank FROM vec")
+def vector_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same neighbours, where the triangle inequality decides which cells a query meets."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ix"), "embedding")
+    return knn.pivot_topk(e, e.where("ix % 50 = 0").withColumnRenamed("ix", "query_id"), 10, key="ix")
+
+
 @query("vector_normalized", "SELECT vec_id, i::INTEGER AS i, round(x / n, 6) AS x FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i, sqrt(list_sum(list_transform(embedding, lambda v: v::DOUBLE * v::DOUBLE))) AS n FROM embeddings)")
 def vector_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(vector.normalized(F.col("embedding"))).alias("i", "x")).withColumn("x", F.round("x", 6))
