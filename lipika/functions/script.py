@@ -38,6 +38,29 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def fold(items: Column, first: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str, chunk: int = 256) -> Column:
+    """Struct of state and out: a state carried over an array's items, and what was given out on the way.
+
+    step(state, item) is the next state (of first's type) and an element (of type kind) to give out, null for none. An array grows by being copied, so elements are gathered in chunks of items and these are put together once: the work is linear in the items. Null items give null.
+    """
+    none, nones = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+
+    def one(a: Column, x: Column) -> Column:
+        state, out = step(a["state"], x)
+        return F.struct(state.alias("state"), let(out, lambda o: F.when(o.isNull(), a["out"]).otherwise(F.array_append(a["out"], o))).alias("out"))
+
+    def over(all_: Column) -> Column:
+        def some(a: Column, i: Column) -> Column:
+            own = F.aggregate(F.slice(all_, i * chunk + 1, chunk), F.struct(a["state"].alias("state"), none.alias("out")), one)
+            return let(own, lambda r: F.struct(r["state"].alias("state"), F.array_append(a["out"], r["out"]).alias("out")))
+
+        n = F.size(all_)
+        chunks = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / chunk).cast("int"))).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(chunks, F.struct(first.alias("state"), nones.alias("out")), some, lambda a: F.struct(a["state"].alias("state"), F.flatten(a["out"]).alias("out")))
+
+    return F.when(items.isNotNull(), let(items, over))
+
+
 def devanagari_count(text: Column) -> Column:
     return chars_in(text, DEVANAGARI)
 

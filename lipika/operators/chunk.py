@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lipika.functions.script import let, strip
+from lipika.functions.script import fold, let, strip
 
 
 @dataclass(frozen=True)
@@ -31,29 +31,34 @@ def sentences(text: Column, c: ChunkConfig = ChunkConfig()) -> Column:
 
 
 def pack(parts: Column, most: int, c: ChunkConfig = ChunkConfig()) -> Column:
-    """Consecutive sentences in groups of at most `most` tokens; a sentence with more is a group of its own."""
-    none = F.array().cast("array<string>")
-    state = lambda done, now, tokens: F.struct(done.alias("done"), now.alias("now"), tokens.alias("tokens"))
+    """Consecutive sentences in groups of at most `most` tokens; a sentence with more is a group of its own. Groups are runs of places, cut out at the end, so the work is linear in the sentences."""
+    state = lambda at, start, tokens: F.struct(at.alias("at"), start.alias("start"), tokens.alias("tokens"))
+    run = lambda start, n: F.struct(start.alias("start"), n.alias("n"))
 
-    def step(a: Column, s: Column) -> Column:
+    def step(a: Column, s: Column) -> tuple[Column, Column]:
         more = tokens_of(s, c)
-        full = (a["tokens"] + more > most) & (F.size(a["now"]) > 0)
-        return F.when(full, state(F.array_append(a["done"], a["now"]), F.array(s), more)).otherwise(state(a["done"], F.array_append(a["now"], s), a["tokens"] + more))
+        full = (a["tokens"] + more > most) & (a["at"] > a["start"])
+        next_ = F.when(full, state(a["at"] + 1, a["at"], more)).otherwise(state(a["at"] + 1, a["start"], a["tokens"] + more))
+        return next_, F.when(full, run(a["start"], a["at"] - a["start"]))
 
-    first = state(F.array().cast("array<array<string>>"), none, F.lit(0).cast("bigint"))
-    return F.aggregate(parts, first, step, lambda a: F.when(F.size(a["now"]) > 0, F.array_append(a["done"], a["now"])).otherwise(a["done"]))
+    def groups(all_: Column) -> Column:
+        found = fold(all_, state(F.lit(0), F.lit(0), F.lit(0).cast("bigint")), step, "struct<start:int,n:int>")
+        last = lambda f: F.when(f["state"]["at"] > f["state"]["start"], F.array(run(f["state"]["start"], f["state"]["at"] - f["state"]["start"]))).otherwise(F.array().cast("array<struct<start:int,n:int>>"))
+        return F.transform(let(found, lambda f: F.concat(f["out"], last(f))), lambda r: F.slice(all_, r["start"] + 1, r["n"]))
+
+    return let(parts, groups)
 
 
 def placed(groups: Column, start: Column, c: ChunkConfig) -> Column:
     """Array of text, token_count, start_char, end_char of each group; offsets begin at start and leave out the spaces between groups. A fold over the row's own groups, so no window is needed."""
-    none = F.array().cast("array<struct<text:string,token_count:bigint,start_char:bigint,end_char:bigint>>")
 
-    def step(a: Column, text: Column) -> Column:
+    def step(a: Column, text: Column) -> tuple[Column, Column]:
         end = a["at"] + F.length(text)
         own = F.struct(text.alias("text"), tokens_of(text, c).alias("token_count"), a["at"].alias("start_char"), end.alias("end_char"))
-        return F.struct(end.alias("at"), F.array_append(a["out"], own).alias("out"))
+        return F.struct(end.alias("at")), own
 
-    return F.aggregate(F.transform(groups, lambda g: F.array_join(g, " ")), F.struct(start.cast("bigint").alias("at"), none.alias("out")), step, lambda a: a["out"])
+    kind = "struct<text:string,token_count:bigint,start_char:bigint,end_char:bigint>"
+    return fold(F.transform(groups, lambda g: F.array_join(g, " ")), F.struct(start.cast("bigint").alias("at")), step, kind)["out"]
 
 
 def _rows(df: DataFrame, chunks: Column, index: str, keep: list[str]) -> DataFrame:

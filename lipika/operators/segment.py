@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lipika.functions.script import chars_in, count_of, devanagari_count, is_blank, let, strip
+from lipika.functions.script import chars_in, count_of, devanagari_count, fold, is_blank, let, strip
 
 # Words that open prose, never a title.
 PROSE_STARTERS = ("एकः", "एका", "एकस्मिन्", "अथ", "कदाचित्", "तदा", "ततः", "सः", "सा", "तेन", "इदानीम्", "अपि", "यदा", "किंचित्")
@@ -31,18 +31,31 @@ def is_title(line: Column, rule: TitleRule = TitleRule()) -> Column:
     return n.between(rule.min_len, rule.max_len) & ~prose & (found >= rule.min_script_chars)
 
 
-def titles(text: Column, rule: TitleRule = TitleRule(), blank_before: bool = True) -> Column:
-    """Array of line_no, start (characters before the line), title: each line that passes the rule, at the text's start or after a blank line. One fold over the text's own lines; null has none."""
-    none = F.array().cast("array<struct<line_no:bigint,start:bigint,title:string>>")
-    first = F.struct(F.lit(0).cast("bigint").alias("line_no"), F.lit(0).cast("bigint").alias("start"), F.lit(True).alias("blank"), none.alias("found"))
+# Fixed value: what ends a line, besides \r\n as one.
+BREAKS = r"\n\r\x0B\x0C\x1C-\x1E\x{0085}\x{2028}\x{2029}"
+
+
+def lines(text: Column) -> Column:
+    """The text's lines, each with the break that ends it; together they are the text."""
+    return F.regexp_extract_all(text, F.lit(rf"[^{BREAKS}]*(?:\r\n|[{BREAKS}])|[^{BREAKS}]+"), F.lit(0))
+
+
+def titles_of(all_: Column, rule: TitleRule = TitleRule(), blank_before: bool = True) -> Column:
+    """Array of line_no, start (characters before the line), title of lines(): each line that passes the rule, at the text's start or after a blank line. One fold over the text's own lines."""
+    first = F.struct(F.lit(0).cast("bigint").alias("line_no"), F.lit(0).cast("bigint").alias("start"), F.lit(True).alias("blank"))
 
-    def step(a: Column, line: Column) -> Column:
+    def step(a: Column, line: Column) -> tuple[Column, Column]:
         title = strip(line)
         ok = is_title(title, rule) & (a["blank"] if blank_before else F.lit(True))
-        found = F.when(ok, F.array_append(a["found"], F.struct(a["line_no"].alias("line_no"), a["start"].alias("start"), title.alias("title")))).otherwise(a["found"])
-        return F.struct((a["line_no"] + 1).alias("line_no"), (a["start"] + F.length(line) + 1).alias("start"), is_blank(line).alias("blank"), found.alias("found"))
+        out = F.when(ok, F.struct(a["line_no"].alias("line_no"), a["start"].alias("start"), title.alias("title")))
+        return F.struct((a["line_no"] + 1).alias("line_no"), (a["start"] + F.length(line)).alias("start"), is_blank(line).alias("blank")), out
 
-    return F.aggregate(F.split(text, "\n", -1), first, step, lambda a: a["found"])
+    return fold(all_, first, step, "struct<line_no:bigint,start:bigint,title:string>")["out"]
+
+
+def titles(text: Column, rule: TitleRule = TitleRule(), blank_before: bool = True) -> Column:
+    """titles_of() a text's lines; null has none."""
+    return titles_of(lines(text), rule, blank_before)
 
 
 def title_lines(docs: DataFrame, rule: TitleRule = TitleRule(), key: str = "doc_id", text: str = "text", blank_before: bool = True) -> DataFrame:
@@ -70,15 +83,20 @@ def stories(docs: DataFrame, rule: TitleRule = TitleRule(), key: str = "doc_id",
     size = F.length(whole).cast("bigint")
     alone = F.array(F.struct(F.lit(1).cast("bigint").alias("story"), F.lit(untitled).alias("title"), F.lit(0).cast("bigint").alias("start_char"), size.alias("end_char"), strip(whole).alias("story_text")))
 
-    def cut(found: Column) -> Column:
-        def story(t: Column, i: Column) -> Column:
-            end = F.coalesce(F.get(found, i + 1)["start"], size)
-            body = whole.substr((t["start"] + 1).cast("int"), (end - t["start"]).cast("int"))
-            return F.struct((i + 1).cast("bigint").alias("story"), clean_title(t["title"]).alias("title"), t["start"].alias("start_char"), end.alias("end_char"), clean_story(body, t["title"]).alias("story_text"))
+    def cut(all_: Column) -> Column:
+        def stories_of(found: Column) -> Column:
+            def story(t: Column, i: Column) -> Column:
+                next_ = F.get(found, i + 1)
+                n = (F.coalesce(next_["line_no"], F.size(all_).cast("bigint")) - t["line_no"]).cast("int")
+                # from lines, as a part of the text by its place would be looked for from the text's start
+                body = F.array_join(F.slice(all_, (t["line_no"] + 1).cast("int"), n), "")
+                return F.struct((i + 1).cast("bigint").alias("story"), clean_title(t["title"]).alias("title"), t["start"].alias("start_char"), F.coalesce(next_["start"], size).alias("end_char"), clean_story(body, t["title"]).alias("story_text"))
+
+            return F.when(F.size(found) > 0, F.transform(found, story)).otherwise(alone)
 
-        return F.when(F.size(found) > 0, F.transform(found, story)).otherwise(alone)
+        return let(titles_of(all_, rule, blank_before), stories_of)
 
-    rows = docs.select(key, F.explode_outer(F.when(whole.isNotNull(), let(titles(whole, rule, blank_before), cut))).alias("_s"))
+    rows = docs.select(key, F.explode_outer(F.when(whole.isNotNull(), let(lines(whole), cut))).alias("_s"))
     return rows.where("_s is not null").select(key, "_s.*")
 
 

@@ -291,6 +291,20 @@ def title_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.title_lines(texts(spark, sf_dir, "documents", "doc_id", "text"), TITLES, blank_before=False)
 
 
+def _broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with other line breaks than the table has: \\r\\n after commas, a line separator after stops, a form feed in place of \\n."""
+    t = F.replace(F.replace("text", F.lit("\n"), F.lit("\f")), F.lit(", "), F.lit(",\r\n"))
+    return texts(spark, sf_dir, "documents", "doc_id", F.replace(t, F.lit(". "), F.lit(".\u2028")).alias("text"))
+
+
+SQL_BREAKS = "\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x{0085}\\x{2028}\\x{2029}"
+
+
+@query("broken_title_lines", f"WITH b AS (SELECT doc_id, replace(replace(replace(text, chr(10), chr(12)), ', ', ',' || chr(13) || chr(10)), '. ', '.' || chr(8232)) AS t FROM documents), l AS (SELECT doc_id, unnest(a) AS piece, generate_subscripts(a, 1) AS i FROM (SELECT doc_id, regexp_extract_all(t, '[^{SQL_BREAKS}]*(?:\\r\\n|[{SQL_BREAKS}])|[^{SQL_BREAKS}]+') AS a FROM b)), p AS (SELECT doc_id, (i - 1)::BIGINT AS line_no, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, regexp_replace(piece, '^[\\s\\x{{2028}}]+|[\\s\\x{{2028}}]+$', '', 'g') AS title FROM l) SELECT doc_id, line_no, start, title FROM p WHERE length(title) BETWEEN 2 AND 60 AND len(regexp_extract_all(title, '[A-Z]')) >= 1 AND NOT starts_with(title, 'It ') AND NOT starts_with(title, 'The ')")
+def broken_title_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.title_lines(_broken(spark, sf_dir), TITLES, blank_before=False)
+
+
 @query("story_spans", f"WITH {SQL_STORIES} SELECT doc_id, story, title, start_char, end_char, md5(story_text) AS digest FROM stories")
 def story_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stories(spark, sf_dir).withColumn("digest", F.md5("story_text")).drop("story_text")

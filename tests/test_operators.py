@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lipika.functions.script import fold
 from lipika.operators import chunk, encode, evaluate, fusion, lexical, prompt, segment, store, vector
 from lipika.sources import files
 
@@ -316,3 +317,39 @@ def test_command_line(spark, tmp_path, capsys):
     assert "false" not in capsys.readouterr().out
     cli.main(["--mode", "reset", "--index", at])
     assert "children" in capsys.readouterr().out and store.clear(spark, at) == []
+
+
+def test_lines_end_where_python_says(spark):
+    texts = ["a\nb", "a\r\nb\rc", "x\x0by\x0cz\x1c1\x1d2\x1e3\x854\u20285\u20296", "\n\n", "", "end\n", "\r\r\n\n", "no break", "\u2028"]
+    d = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    for r in d.select("i", segment.lines(F.col("t")).alias("l")).collect():
+        assert r.l == texts[r.i].splitlines(keepends=True)
+
+
+def test_stories_of_odd_breaks(spark):
+    text = "Title One\r\nsome text here.\u2028Title Two\x0cmore text."
+    d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = segment.stories(d, segment.TitleRule(2, 20, 1, "[A-Z]", ()), blank_before=False).orderBy("story").collect()
+    assert [(r.title, r.start_char, r.end_char, r.story_text) for r in got] == [("Title One", 0, 27, "some text here."), ("Title Two", 27, len(text), "more text.")]
+
+
+def test_folds_carry_state_over_chunks(spark):
+    d = spark.createDataFrame([(1, list(range(1000))), (2, []), (3, None), (4, [5])], "i long, a array<int>")
+    step = lambda s, x: (F.struct((s["n"] + x).alias("n")), F.when(x % 3 == 0, s["n"]))
+    got = {r.i: r.f for r in d.select("i", fold(F.col("a"), F.struct(F.lit(0).cast("bigint").alias("n")), step, "bigint", chunk=7).alias("f")).collect()}
+    assert got[1].state.n == sum(range(1000)) and got[1].out == [sum(range(i)) for i in range(0, 1000, 3)]
+    assert got[2].out == [] and got[3] is None and (got[4].state.n, got[4].out) == (5, [])
+
+
+def test_very_long_texts_are_cut_in_linear_time(spark):
+    """200,000 sentences and 50,000 stories; the quadratic versions needed minutes for a tenth of that."""
+    import time
+
+    c = chunk.ChunkConfig(delimiters=".", ending=" .")
+    d = spark.range(1).select(F.lit(1).alias("doc_id"), F.repeat(F.lit("Title Here\none sentence. and two. and three. and four.\n"), 50_000).alias("text"))
+    began = time.time()
+    stories = segment.stories(d, segment.TitleRule(2, 60, 1, "[A-Z]", ()), blank_before=False)
+    assert stories.agg(F.count("*"), F.max("end_char")).first() == (50_000, 50_000 * len("Title Here\none sentence. and two. and three. and four.\n"))
+    whole = d.select(F.lit("s").alias("story_id"), F.col("text").alias("story_text"))
+    got = chunk.children(chunk.parents(whole, c=c), c=c).agg(F.sum(F.regexp_count("text", F.lit(r"\."))).alias("sentences"), F.max("end_char").alias("end")).first()
+    assert got.sentences == 200_000 and time.time() - began < 60
