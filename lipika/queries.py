@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lipika.functions import normalize as N
 from lipika.functions import script as S
 from lipika.functions import translit as X
-from lipika.operators import blockmax, chunk, encode, evaluate, fusion, knn, lexical, prompt, segment, store, vector
+from lipika.operators import blockmax, chunk, encode, evaluate, fusion, knn, lexical, lsa, prompt, segment, store, vector
 from lipika.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -474,6 +474,13 @@ def embed_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("item_id", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.round("x", 5))
 
 
+@query("fitted_embeddings", None)
+def fitted_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document under an encoder fitted on all of them; SQL has no singular vectors (tests compare with numpy)."""
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text")
+    return lsa.embed_lsa(docs, lsa.fit_lsa(docs), "text").select("doc_id", "embedding")
+
+
 @query("ivf_topk", None)
 def ivf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
