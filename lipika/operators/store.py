@@ -55,6 +55,45 @@ def clear(spark: SparkSession, path: str, tables: tuple[str, ...] = ("stories",
     return [t for t in tables if files.delete(spark, f"{path}/{t}")]
 
 
+def _bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
+
+
+def save_clustered(rows: DataFrame, path: str, key: str, buckets: int = 64, row_group: int = 1 << 20, mode: str = "overwrite") -> None:
+    """Writes rows for look-ups by key: in folders by a hash of the key, sorted by it within files, in small row groups of which each has the key's range and a Bloom filter. A bucket of many rows fills several files, each with a range of its own."""
+    ordered = rows.withColumn("bucket", _bucket(key, buckets)).repartitionByRange("bucket", key).sortWithinPartitions("bucket", key)
+    ordered.write.mode(mode).option("partitionOverwriteMode", "dynamic").option("parquet.block.size", row_group).option(f"parquet.bloom.filter.enabled#{key}", "true").partitionBy("bucket").parquet(path)
+
+
+def lookup_many(spark: SparkSession, path: str, key: str, values: list, buckets: int = 64) -> DataFrame:
+    """The rows of save_clustered() with one of a batch of keys. Only folders of their hashes are listed, and within these only row groups read whose range and Bloom filter allow one of them."""
+    rows = spark.read.parquet(path)
+    kind = rows.schema[key].dataType
+    held = spark.createDataFrame([(v,) for v in values], "v " + kind.simpleString()).select(_bucket("v", buckets).alias("b")).distinct().collect()
+    # a long list would go to the files as its least and greatest value only, so it goes in short ones
+    short = max(1, int(spark.conf.get("spark.sql.parquet.pushdown.inFilterThreshold")))
+    some = F.lit(False)
+    for i in range(0, len(values), short):
+        some = some | F.col(key).isin(values[i : i + short])
+    return rows.where(F.col("bucket").isin([r["b"] for r in held]) & some).drop("bucket")
+
+
+def upsert_buckets(spark: SparkSession, path: str, new: DataFrame, key: str, order: list[Column], buckets: int = 64) -> int:
+    """Replaces and adds the rows of new in a table of save_clustered(), of several with one key the last by order; how many buckets were rewritten. Other buckets keep their files.
+
+    Old rows without a new one are found by comparing keys alone, so of both sides only rows of touched buckets are read, and no row is compared by more than its key. The buckets are written anew from a copy in the shared folder, as no file may be read while it is replaced; should a run end before all are, another run with the same rows gives the same table, as long as no bucket had lost its old files.
+    """
+    w = Window.partitionBy(key).orderBy(*[c.desc() for c in order])
+    last = files.stash(new.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n"))
+    touched = [r["b"] for r in last.select(_bucket(key, buckets).alias("b")).distinct().collect()]
+    if not touched:
+        return 0
+    rows = spark.read.parquet(path).where(F.col("bucket").isin(touched)).drop("bucket")
+    kept = rows.join(last.select(key), key, "left_anti")
+    save_clustered(files.stash(kept.unionByName(last.select(rows.columns))), path, key, buckets)
+    return len(touched)
+
+
 def lookup(rows: DataFrame, key: str, value) -> DataFrame:
     return rows.where(F.col(key) == F.lit(value))
 

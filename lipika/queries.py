@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -578,6 +579,28 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.upsert(old, new, ["o_orderkey"], [F.col("seq")]).drop("seq")
 
 
+@query("upsert_buckets", "SELECT o_orderkey, CASE WHEN o_orderkey % 8 = 0 THEN 'U' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 8 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders UNION ALL SELECT -o_orderkey, 'N', o_totalprice FROM orders WHERE o_orderkey % 100 = 0 AND o_orderkey > 0")
+def upsert_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in a clustered table; some changed twice and some added by one upsert."""
+    at = f"{files.shared_dir(spark)}/lipika-orders-{uuid.uuid4().hex}"
+    old = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", F.lit(0).alias("seq"))
+    store.save_clustered(old, at, "o_orderkey")
+    changed = old.where("o_orderkey % 8 = 0")
+    new = changed.withColumns({"o_orderstatus": F.lit("T"), "seq": F.lit(1)}).unionByName(changed.withColumns({"o_orderstatus": F.lit("U"), "o_totalprice": F.col("o_totalprice") + 1, "seq": F.lit(2)}))
+    added = old.where("o_orderkey % 100 = 0 and o_orderkey > 0").withColumns({"o_orderkey": -F.col("o_orderkey"), "o_orderstatus": F.lit("N")})
+    store.upsert_buckets(spark, at, new.unionByName(added), "o_orderkey", [F.col("seq")])
+    return spark.read.parquet(at).select("o_orderkey", "o_orderstatus", "o_totalprice")
+
+
+@query("lookup_many", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100)")
+def lookup_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the 100 dearest orders, looked up by a batch of keys in all lines."""
+    at = f"{files.shared_dir(spark)}/lipika-lines-{uuid.uuid4().hex}"
+    store.save_clustered(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), at, "l_orderkey")
+    dearest = table(spark, sf_dir, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(100).select("o_orderkey").collect()
+    return store.lookup_many(spark, at, "l_orderkey", [r[0] for r in dearest])
+
+
 @query("vector_index", "SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) - 1 AS vector_index FROM conversations")
 def vector_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.numbered(table(spark, sf_dir, "conversations").select("conv_id", "turn"), ["conv_id", "turn"])
