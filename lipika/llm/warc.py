@@ -38,7 +38,7 @@ def filesystem(uri: str):
 
 
 class StoredZip:
-    """Streams stored members to a file. Sizes follow the data (local ZIP64 fields are written first and patched if the sink can seek; else a data descriptor holds them)."""
+    """Streams stored members to a file that need not seek: a member's sizes and checksum follow its data, in a descriptor with 8-byte sizes."""
 
     def __init__(self, sink: BinaryIO, zip64: bool = False):
         self.sink, self.at, self.members, self.zip64 = sink, 0, [], zip64
@@ -141,7 +141,8 @@ def write_archives(marked: DataFrame, folder: str, package_bytes: int = 256 << 2
                     zf = StoredZip(fs.open_output_stream(f"{base}/{name}"), zip64)
                     zf.begin(ARCHIVE)
                 got = record(page, url, "response" if refers is None else "revisit", payload, digest, refers)
-                lines.append(json.dumps({"page": page, "offset": zf.open[3], "length": len(got)}).encode() + b"\n")
+                about = {"url": url, "offset": zf.open[3], "length": len(got), "filename": ARCHIVE.rpartition("/")[2]}
+                lines.append(f"page:{page} 19700101000000 {json.dumps(about)}\n".encode())
                 zf.write(got)
                 if zf.open[3] >= package_bytes:
                     yield finish()
@@ -209,31 +210,114 @@ class ZipReader:
         return at + 30 + n + x, size
 
 
+def _headers(text: bytes) -> dict[str, str]:
+    """Names in lower case and values of the lines after the first."""
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in text.decode("utf-8", "replace").split("\r\n")[1:])}
+
+
+def _hex_digest(value: str) -> str | None:
+    """A sha1 digest in hex; writers give it in base 32 (in either case) or in hex. Other algorithms: null."""
+    import base64
+
+    kind, _, x = value.partition(":")
+    if kind.lower() != "sha1":
+        return None
+    return base64.b32decode(x.upper()).hex() if len(x) == 32 else x.lower()
+
+
+def _page(value: str | None) -> int | None:
+    """The page id of <urn:page:7>; null of any other record id."""
+    import re
+
+    found = re.fullmatch(r"<urn:page:(-?\d+)>", value or "")
+    return int(found[1]) if found else None
+
+
 def parse_record(packed: bytes) -> dict:
-    """WARC type, page, payload and headers of one gzip member."""
-    data = gzip.decompress(packed)
+    """WARC type, page, payload and headers of one record, a gzip member or plain. What is no HTTP message has its whole block as payload; a record without a target has no url, one with an id of another kind no page_id, one without a payload digest none."""
+    data = gzip.decompress(packed) if packed[:2] == b"\x1f\x8b" else packed
     head, _, rest = data.partition(b"\r\n\r\n")
-    warc = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode().split("\r\n")[1:])}
+    if not head.startswith(b"WARC/"):
+        raise ValueError("not a WARC record")
+    warc = _headers(head)
     body = rest[: int(warc["content-length"])]
-    http, _, payload = body.partition(b"\r\n\r\n")
-    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in http.decode().split("\r\n")[1:])}
-    page = lambda x: None if x == "<urn:page:null>" else int(x.strip("<>").rpartition(":")[2])
+    payload, size = body, len(body)
+    if warc.get("content-type", "").replace(" ", "").lower().startswith("application/http"):
+        http, _, payload = body.partition(b"\r\n\r\n")
+        # a revisit has the response's head without its payload
+        size = int(_headers(http).get("content-length", len(payload))) if warc["warc-type"] == "revisit" else len(payload)
     return {
-        "page_id": page(warc["warc-record-id"]),
-        "url": warc["warc-target-uri"],
+        "page_id": _page(warc.get("warc-record-id")),
+        "url": warc["warc-target-uri"].strip("<>") if "warc-target-uri" in warc else None,
         "record_type": warc["warc-type"],
-        "payload_bytes": int(fields["content-length"]),
-        "payload_digest": warc["warc-payload-digest"].removeprefix("sha1:"),
-        "refers_to": page(warc["warc-refers-to"]) if "warc-refers-to" in warc else None,
-        "payload": payload if warc["warc-type"] == "response" else None,
+        "payload_bytes": size,
+        "payload_digest": _hex_digest(warc["warc-payload-digest"]) if "warc-payload-digest" in warc else None,
+        "refers_to": _page(warc.get("warc-refers-to")),
+        "payload": None if warc["warc-type"] == "revisit" else payload,
     }
 
 
 RECORDS = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
 
+def index_entries(lines: bytes) -> list[tuple[str, int, int]]:
+    """(file name, offset, length) of each line of a CDXJ index: a sort key, a timestamp and JSON, or JSON alone; numbers may be strings, and header lines (!) and lines without an offset are left out."""
+    out = []
+    for line in lines.splitlines():
+        at = line.find(b"{")
+        if at < 0 or line.startswith(b"!"):
+            continue
+        e = json.loads(line[at:])
+        if "offset" in e and "length" in e:
+            out.append((e.get("filename", "").rpartition("/")[2], int(e["offset"]), int(e["length"])))
+    return out
+
+
+def record_lengths(read_at, start: int, size: int, chunk: int = 1 << 20) -> Iterator[int]:
+    """Lengths of the gzip members that follow each other in a range, found by inflating them; what has no index must be walked."""
+    at, held = 0, b""
+    while at < size or held:
+        d, used = zlib.decompressobj(31), 0
+        while not d.eof:
+            if not held:
+                if at >= size:
+                    raise ValueError("a record is cut off")
+                held = read_at(start + at, min(chunk, size - at))
+                at += len(held)
+            d.decompress(held)
+            used += len(held) - len(d.unused_data)
+            held = d.unused_data
+        yield used
+
+
+def package_entries(f_read, size: int) -> list[tuple[int, int]]:
+    """(offset in the file, length) of every record of a package: of its stored .warc.gz members, by the stored indexes (.cdxj, .cdxj.gz, .cdx.gz) that name them, else by walking the member."""
+    zf = ZipReader(f_read, size)
+    base = {n.rpartition("/")[2]: zf.locate(n) for n, (method, _, _) in zf.members.items() if n.endswith(".warc.gz") and not method}
+    if not base:
+        raise ValueError("no stored .warc.gz member")
+    found: dict[str, set[tuple[int, int]]] = {}
+    for n, (method, _, _) in zf.members.items():
+        if n.endswith((".cdxj", ".cdxj.gz", ".cdx.gz")) and not method:
+            where, length = zf.locate(n)
+            lines = f_read(where, length)
+            for name, o, k in index_entries(gzip.decompress(lines) if n.endswith(".gz") else lines):
+                # an index of one archive may leave its name out
+                found.setdefault(name or next(iter(base)), set()).add((o, k))
+    out = []
+    for name, (start, length) in base.items():
+        if name in found:
+            out += [(start + o, k) for o, k in found[name]]
+        else:
+            at = start
+            for k in record_lengths(f_read, start, length):
+                out.append((at, k))
+                at += k
+    return sorted(out)
+
+
 def index_of(packages: DataFrame, slice_bytes: int = 2 << 20) -> DataFrame:
-    """(path, start, lengths): runs of consecutive records from each package's index, of about slice_bytes; start is an offset in the package's file."""
+    """(path, start, lengths): runs of consecutive records of each package, of about slice_bytes; start is an offset in the package's file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -241,29 +325,31 @@ def index_of(packages: DataFrame, slice_bytes: int = 2 << 20) -> DataFrame:
             for path in b.column(0).to_pylist():
                 fs, at = filesystem(path)
                 with fs.open_input_file(at) as f:
-                    zf = ZipReader(lambda o, n, f=f: f.read_at(n, o), f.size())
-                    base, _ = zf.locate(ARCHIVE)
-                    where, size = zf.locate(INDEX)
-                    entries = sorted((e["offset"], e["length"]) for e in map(json.loads, f.read_at(size, where).splitlines()))
-                run_at, lengths = None, []
+                    entries = package_entries(lambda o, n, f=f: f.read_at(n, o), f.size())
+                run_at, lengths, held, end = 0, [], 0, 0
                 for o, n in entries:
-                    if lengths and (sum_ >= slice_bytes or o != end):
-                        rows.append((path, base + run_at, lengths))
-                        run_at, lengths = None, []
-                    if run_at is None:
-                        run_at, sum_ = o, 0
+                    if lengths and (held >= slice_bytes or o != end):
+                        rows.append((path, run_at, lengths))
+                        lengths = []
+                    if not lengths:
+                        run_at, held = o, 0
                     lengths.append(n)
-                    sum_ += n
-                    end = o + n
+                    held, end = held + n, o + n
                 if lengths:
-                    rows.append((path, base + run_at, lengths))
+                    rows.append((path, run_at, lengths))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["path", "start", "lengths"])
 
     return packages.select("path").mapInArrow(run, "path string, start long, lengths array<long>")
 
 
+def unresolved_revisits(records: DataFrame) -> DataFrame:
+    """The revisits (page_id, payload_digest, refers_to) whose response is not among the records or has another digest: what a revisit's header says of its payload can only be checked there."""
+    responses = records.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest").distinct()
+    return records.where("record_type = 'revisit' and refers_to is not null").select("page_id", "payload_digest", "refers_to").join(responses, ["refers_to", "payload_digest"], "left_anti")
+
+
 def read_archives(packages: DataFrame, payload: bool = True) -> DataFrame:
-    """All records of the packages (path). Ranges are dealt out evenly, so that a large package is read by many tasks; a damaged record (its digest, of a response) raises."""
+    """All records of the packages (path), of whatever writer. Ranges are dealt out evenly, so that a large package is read by many tasks; a damaged record (its digest, of a response) raises."""
     import hashlib
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +363,7 @@ def read_archives(packages: DataFrame, payload: bool = True) -> DataFrame:
                 found, p = [], 0
                 for n in lengths:
                     got = parse_record(data[p : p + n])
-                    if got["payload"] is not None and hashlib.sha1(got["payload"]).hexdigest() != got["payload_digest"]:
+                    if got["record_type"] == "response" and got["payload_digest"] is not None and hashlib.sha1(got["payload"]).hexdigest() != got["payload_digest"]:
                         raise ValueError(f"{path}: the payload of page {got['page_id']} does not fit its digest")
                     found.append(got if payload else got | {"payload": None})
                     p += n

@@ -1,5 +1,7 @@
+import gzip
 import hashlib
 import io
+import json
 import math
 import os
 import random
@@ -159,6 +161,59 @@ def test_warc_null_ids_and_reading_tasks(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def plain_record(kind, payload, target="http://x.org/", extra="", http=True):
+    """As common writers make them: UUID ids, base-32 digests."""
+    import base64
+
+    body = (b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n" if http else b"") + payload
+    digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    head = f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:1-2>\r\n" + (f"WARC-Target-URI: {target}\r\n" if target else "") + f"WARC-Payload-Digest: sha1:{digest}\r\nContent-Type: {'application/http; msgtype=response' if http else 'text/plain'}\r\n{extra}Content-Length: {len(body)}\r\n\r\n"
+    return gzip.compress(head.encode() + body + b"\r\n\r\n")
+
+
+@pytest.mark.parametrize("index", ["lines", "gz", "none", "json"])
+def test_packages_of_other_writers(spark, tmp_path, index):
+    records = [plain_record("warcinfo", b"software: s", None, http=False), plain_record("response", b"<p>one</p>"), plain_record("response", "zwei ü".encode() * 400, "http://y.org/a b"), plain_record("resource", b"plain", http=False)]
+    second = [plain_record("response", b"other archive")]
+    lines = [b"!meta {\"format\": \"cdxj\"}"]
+    for name, rs in (("a.warc.gz", records), ("b.warc.gz", second)):
+        at = 0
+        for r in rs:
+            about = json.dumps({"url": "u", "offset": str(at) if index == "lines" else at, "length": len(r), "filename": name})
+            lines.append(about.encode() if index == "json" else b"org,x)/ 20240101000000 " + about.encode())
+            at += len(r)
+    with zipfile.ZipFile(tmp_path / "p.wacz", "w") as z:
+        z.writestr("datapackage.json", "{}", zipfile.ZIP_DEFLATED)
+        z.writestr("archive/a.warc.gz", b"".join(records))
+        z.writestr("archive/b.warc.gz", b"".join(second))
+        if index != "none":
+            data = b"\n".join(lines) + b"\n"
+            z.writestr("indexes/index.cdx.gz" if index == "gz" else "indexes/index.cdxj", gzip.compress(data) if index == "gz" else data)
+    packages = spark.createDataFrame([(f"file://{tmp_path}/p.wacz",)], "path string")
+    got = warc.read_archives(packages).collect()
+    assert sorted((r.record_type, r.url or "", bytes(r.payload)) for r in got) == sorted([("warcinfo", "", b"software: s"), ("response", "http://x.org/", b"<p>one</p>"), ("response", "http://y.org/a b", "zwei ü".encode() * 400), ("resource", "http://x.org/", b"plain"), ("response", "http://x.org/", b"other archive")])
+    assert all(r.page_id is None and r.payload_digest == hashlib.sha1(bytes(r.payload)).hexdigest() for r in got)
+
+
+def test_damaged_packages_raise(spark, tmp_path):
+    good = plain_record("response", b"payload")
+    bad = plain_record("response", b"payload").replace(b"x", b"x")
+    data = gzip.decompress(bad).replace(b"payload\r\n\r\n", b"PAYLOAD\r\n\r\n")
+    for name, member in (("digest", good + gzip.compress(data)), ("cut", good + good[:-9]), ("none", None)):
+        with zipfile.ZipFile(tmp_path / f"{name}.wacz", "w") as z:
+            z.writestr("archive/a.warc.gz" if member else "x.txt", member or b"")
+        with pytest.raises(Exception, match="digest|cut off|no stored"):
+            warc.read_archives(spark.createDataFrame([(f"file://{tmp_path}/{name}.wacz",)], "path string")).collect()
+
+
+def test_revisits_are_checked_against_their_responses(spark, tmp_path):
+    rows, d = pages(spark)
+    got = warc.read_archives(warc.write_archives(warc.mark_revisits(d), f"file://{tmp_path}/p"))
+    assert warc.unresolved_revisits(got).count() == 0
+    some = got.where("record_type = 'revisit'").first()
+    assert warc.unresolved_revisits(got.where(f"not (record_type = 'response' and page_id = {some.refers_to})")).count() > 0
+
+
 def test_zip_reader_of_other_writers():
     b = io.BytesIO()
     with zipfile.ZipFile(b, "w") as z:
