@@ -12,7 +12,7 @@ from lipika.functions import normalize as N
 from lipika.functions import script as S
 from lipika.functions import translit as X
 from lipika.operators import blockmax, chunk, encode, evaluate, fusion, knn, lexical, lsa, prompt, segment, store, vector
-from lipika.sources import files
+from lipika.sources import files, pdf
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -273,6 +273,22 @@ def page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", F.md5("text").alias("digest"), "page_count")
 
 
+@F.udf("string")
+def _pdf(pages: list[str]) -> str:
+    return pdf.ascii_pdf(pages)
+
+
+@query("pdf_documents", ORACLES["page_documents"])
+def pdf_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation written as a PDF file with a page a turn, and all files read back as documents."""
+    at = f"{files.shared_dir(spark)}/lipika-pdf-{uuid.uuid4().hex}"
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))).alias("t"))
+    turns.select("conv_id", _pdf(F.transform("t", lambda x: x["text"])).alias("value")).write.partitionBy("conv_id").text(at)
+    pages = files.page_rows(spark, at, pdf.extractor, "*.txt").where("error is null")
+    out = files.documents_of_pages(pages.withColumn("conv_id", F.regexp_extract("source_path", r"conv_id=(\d+)", 1).cast("long")), "conv_id", "page_no")
+    return out.select("conv_id", F.md5("text").alias("digest"), "page_count")
+
+
 # --- stories and chunks ----------------------------------------------------------------------------------------------
 
 SQL_TITLES = """lines AS (SELECT doc_id, i - 1 AS line_no, l, length(text) AS text_len, coalesce(sum(length(l) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, regexp_replace(l, '^\\s+|\\s+$', '', 'g') AS title FROM (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),

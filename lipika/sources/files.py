@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lipika.functions.script import strip
+from lipika.sources import pdf
 
 #: Columns of documents read from files.
 DOCUMENT = ("text", "source", "filename", "source_path", "file_size", "char_count", "valid")
@@ -81,8 +82,8 @@ def page_rows(spark: SparkSession, path: str, extract: Callable[[], Callable[[by
     return raw.select("path", "length", "content").mapInPandas(run, "source string, filename string, source_path string, file_size long, page_no int, text string, error string")
 
 
-def directory_documents(spark: SparkSession, path: str, extract: Callable[[], Callable[[bytes], list[str]]] | None = None) -> DataFrame:
-    """DOCUMENT columns, status (ok, invalid or failed) and error of every file of a folder (not its subfolders), by its extension: .txt as text, .pdf by the extractor (without one, failed); other files are no documents. A file that fails doesn't stop the others."""
+def directory_documents(spark: SparkSession, path: str, extract: Callable[[], Callable[[bytes], list[str]]] | None = pdf.extractor) -> DataFrame:
+    """DOCUMENT columns, status (ok, invalid or failed) and error of every file of a folder (not its subfolders), by its extension: .txt as text, .pdf by the extractor (None: failed); other files are no documents. A file that fails doesn't stop the others."""
     texts = text_documents(spark, path).withColumn("status", F.when(F.col("valid"), "ok").otherwise("invalid")).withColumn("error", F.lit(None).cast("string"))
     if extract is None:
         raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path)
