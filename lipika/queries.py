@@ -273,17 +273,13 @@ def page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", F.md5("text").alias("digest"), "page_count")
 
 
-@F.udf("string")
-def _pdf(pages: list[str]) -> str:
-    return pdf.ascii_pdf(pages)
-
-
 @query("pdf_documents", ORACLES["page_documents"])
 def pdf_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation written as a PDF file with a page a turn, and all files read back as documents."""
     at = f"{files.shared_dir(spark)}/lipika-pdf-{uuid.uuid4().hex}"
     turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))).alias("t"))
-    turns.select("conv_id", _pdf(F.transform("t", lambda x: x["text"])).alias("value")).write.partitionBy("conv_id").text(at)
+    made = F.udf(lambda pages: pdf.ascii_pdf(pages), "string")
+    turns.select("conv_id", made(F.transform("t", lambda x: x["text"])).alias("value")).write.partitionBy("conv_id").text(at)
     pages = files.page_rows(spark, at, pdf.extractor, "*.txt").where("error is null")
     out = files.documents_of_pages(pages.withColumn("conv_id", F.regexp_extract("source_path", r"conv_id=(\d+)", 1).cast("long")), "conv_id", "page_no")
     return out.select("conv_id", F.md5("text").alias("digest"), "page_count")
