@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from math import isqrt
 
@@ -9,6 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lipika.sources import files
 
 
 def normalized(v: Column) -> Column:
@@ -38,18 +42,12 @@ def _k_nearest(x: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int, digits: in
     return row[keep], ids[at[keep]], dist[keep]
 
 
-def l2_topk(base: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", query_key: str = "query_id", vector: str = "embedding", digits: int = 6, block_rows: int = 8192) -> DataFrame:
-    """query_key, key, dist (squared, rounded to digits), rank: the k nearest of each query, ties to the smaller key.
-
-    Both sides are dealt in blocks by hash; each pair of blocks meets in one task, which keeps k rows a query, so nothing is broadcast and a task holds two blocks. Null vectors take no part.
-    """
-    base, queries = base.where(F.col(vector).isNotNull()), queries.where(F.col(vector).isNotNull())
-    n_base, n_queries = (max(1, -(-x.count() // block_rows)) for x in (base, queries))
-    b = base.select(F.col(key).alias("id"), vector, F.pmod(F.xxhash64(key), F.lit(n_base)).alias("bb"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_queries - 1).cast("bigint"))).alias("qb"))
-    q = queries.select(F.col(query_key).alias("q"), vector, F.pmod(F.xxhash64(query_key), F.lit(n_queries)).alias("qb"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_base - 1).cast("bigint"))).alias("bb"))
+def _best_of_blocks(vector: str, k: int, digits: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """What a task does with a block of rows (id, vector) and one of queries (q, vector): q, id, dist of the k nearest of each query in the block."""
 
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
-        none = pa.table({"q": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "dist": pa.array([], pa.float64())})
+        kinds = [right.schema.field("q").type, left.schema.field("id").type, pa.float64()]
+        none = pa.table([pa.array([], x) for x in kinds], names=["q", "id", "dist"])
         if not left.num_rows or not right.num_rows:
             return none
         matrix = lambda t: t.column(vector).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1)
@@ -57,10 +55,23 @@ def l2_topk(base: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", qu
         y = matrix(right)
         for a in range(0, len(y), 256):  # bounds the matrix of distances
             row, near, dist = _k_nearest(x, ids, y[a : a + 256], k, digits)
-            found.append(pa.table({"q": pa.array(names[a + row]), "id": pa.array(near), "dist": pa.array(dist)}))
+            found.append(pa.table([pa.array(names[a + row], kinds[0]), pa.array(near, kinds[1]), pa.array(dist)], names=["q", "id", "dist"]))
         return pa.concat_tables(found)
 
-    met = b.groupBy("qb", "bb").cogroup(q.groupBy("qb", "bb")).applyInArrow(best, "q long, id long, dist double")
+    return best
+
+
+def l2_topk(base: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", query_key: str = "query_id", vector: str = "embedding", digits: int = 6, block_rows: int = 8192) -> DataFrame:
+    """query_key, key, dist (squared, rounded to digits), rank: the k nearest of each query, ties to the smaller key.
+
+    Both sides are dealt in blocks by hash; each pair of blocks meets in one task, which keeps k rows a query, so nothing is broadcast and a task holds two blocks. Null vectors take no part.
+    """
+    base, queries = base.where(F.col(vector).isNotNull()), queries.where(F.col(vector).isNotNull())
+    n_base, n_queries = (max(1, -(-x.count() // block_rows)) for x in (base, queries))
+    b = base.select(F.col(key).alias("id"), vector, F.pmod(F.xxhash64(key), F.lit(n_base)).alias("bb"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_queries - 1).cast("bigint"))).alias("qb"))
+    q = queries.select(F.col(query_key).alias("q"), vector, F.pmod(F.xxhash64(query_key), F.lit(n_queries)).alias("qb"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_base - 1).cast("bigint"))).alias("bb"))
+
+    met = b.groupBy("qb", "bb").cogroup(q.groupBy("qb", "bb")).applyInArrow(_best_of_blocks(vector, k, digits), "q long, id long, dist double")
     w = Window.partitionBy("q").orderBy("dist", "id")
     return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("q").alias(query_key), F.col("id").alias(key), "dist", "rank")
 
@@ -76,17 +87,29 @@ def ivf_cells(base: DataFrame, n_cells: int | None = None, key: str = "vec_id",
     return model.transform(data).drop("_v"), model.clusterCenters()
 
 
-def _nearest_cells(centres: list[np.ndarray], vector: str) -> Column:
-    """Numbers of all cells, nearest centre first."""
-    rows = F.array(*[F.struct(squared_l2(F.col(vector), F.array(*[F.lit(float(x)) for x in c])).alias("d"), F.lit(i).alias("cell")) for i, c in enumerate(centres)])
-    return F.transform(F.array_sort(rows), lambda r: r["cell"])
+def _nearest_cells(queries: DataFrame, centres: list[np.ndarray], n: int, query_key: str, vector: str) -> DataFrame:
+    """query_key, vector, _cells of queries with a vector: numbers of the n nearest cells, nearest centre first, ties to the smaller number."""
+    c = np.array(centres, np.float64).reshape(len(centres), -1)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            y, found = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1), []
+            for a in range(0, len(y), 256):
+                d = ((y[a : a + 256, None, :] - c[None]) ** 2).sum(2)
+                found.append(np.argsort(d, axis=1, kind="stable")[:, :n].astype(np.int32))
+            cells = np.concatenate(found) if found else np.zeros((0, n), np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(cells) + 1) * cells.shape[1], pa.int32()), pa.array(cells.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], names=[query_key, vector, "_cells"])
+
+    some = queries.where(F.col(vector).isNotNull()).select(query_key, vector)
+    return some.mapInArrow(near, T.StructType([*some.schema.fields, T.StructField("_cells", T.ArrayType(T.IntegerType()))]))
 
 
 def calibrated_probes(cells: DataFrame, centres: list[np.ndarray], queries: DataFrame, k: int, recall: float = 0.95, sample: int = 256, key: str = "vec_id", query_key: str = "query_id", vector: str = "embedding") -> int:
     """The fewest cells to probe that hold that share of the true k nearest (brute force over all rows) of a sample of the queries, chosen by hash. One row a cell comes to the driver."""
-    some = queries.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(query_key), query_key).limit(sample)
+    some = files.stash(queries.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(query_key), query_key).limit(sample))
     truth = l2_topk(cells.select(key, vector), some, k, key, query_key, vector).select(query_key, key)
-    order = some.select(query_key, _nearest_cells(centres, vector).alias("_cells"))
+    order = _nearest_cells(some, centres, len(centres), query_key, vector).select(query_key, "_cells")
     place = truth.join(cells.select(key, "cell"), key).join(order, query_key).select(F.array_position("_cells", F.col("cell")).alias("n"))
     by = {r["n"]: r["count"] for r in place.groupBy("n").count().collect()}
     held, total = 0, sum(by.values())
@@ -99,17 +122,29 @@ def calibrated_probes(cells: DataFrame, centres: list[np.ndarray], queries: Data
 
 def ivf_topk(base: DataFrame, queries: DataFrame, k: int, nprobe: int | None = 1, n_cells: int | None = None, key: str = "vec_id", query_key: str = "query_id", vector: str = "embedding") -> DataFrame:
     """As l2_topk, but only rows of a query's nprobe nearest cells are compared (None: calibrated_probes()). At most 100 centres travel with the plan."""
-    cells, centres = ivf_cells(base, n_cells, key, vector)
+    # a column file of few row groups is dealt over all cores once, and cells are assigned once
+    cells, centres = ivf_cells(files.stash(files.spread(base.select(key, vector))), n_cells, key, vector)
+    cells = files.stash(cells)
     if nprobe is None:
         nprobe = calibrated_probes(cells, centres, queries, k, key=key, query_key=query_key, vector=vector)
     return _probed(cells, centres, queries, k, nprobe, key, query_key, vector)
 
 
-def _probed(cells: DataFrame, centres: list[np.ndarray], queries: DataFrame, k: int, nprobe: int, key: str, query_key: str, vector: str) -> DataFrame:
-    probes = queries.where(F.col(vector).isNotNull()).select(query_key, F.col(vector).alias("_q"), F.explode(F.slice(_nearest_cells(centres, vector), 1, nprobe)).alias("cell"))
-    pairs = cells.select(key, vector, "cell").join(probes, "cell").select(query_key, key, F.round(squared_l2(F.col(vector), F.col("_q")), 6).alias("dist"))
-    w = Window.partitionBy(query_key).orderBy("dist", key)
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def _probed(cells: DataFrame, centres: list[np.ndarray], queries: DataFrame, k: int, nprobe: int, key: str, query_key: str, vector: str, block_rows: int = 8192) -> DataFrame:
+    """The k nearest of each query among the rows of its nprobe nearest cells. Cells are dealt in blocks of about block_rows by the key's hash, as are queries; a block of a cell meets a block of the queries that probe it in one task, by a matrix product. A row a cell comes to the driver."""
+    kinds = cells.schema[key].dataType, queries.schema[query_key].dataType
+    cells = cells.where(F.col(vector).isNotNull())
+    probes = _nearest_cells(queries, centres, nprobe, query_key, vector).select(F.col(query_key).alias("q"), vector, F.explode("_cells").alias("cell"))
+    sizes = {r["cell"]: -(-r["count"] // block_rows) for r in cells.groupBy("cell").count().collect()}
+    n_queries = max(1, -(-queries.count() // block_rows))
+    blocks = F.coalesce(F.create_map(*[F.lit(x) for cell, n in sizes.items() for x in (cell, n)])[F.col("cell")], F.lit(1)) if sizes else F.lit(1)
+    places = lambda n: F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))
+    left = cells.select("cell", F.col(key).alias("id"), vector, F.pmod(F.xxhash64(key), blocks).cast("int").alias("bb"), places(F.lit(n_queries)).alias("qb"))
+    right = probes.select("cell", "q", vector, F.pmod(F.xxhash64("q"), F.lit(n_queries)).cast("int").alias("qb"), places(blocks).alias("bb"))
+    found = f"q {kinds[1].simpleString()}, id {kinds[0].simpleString()}, dist double"
+    met = left.groupBy("cell", "qb", "bb").cogroup(right.groupBy("cell", "qb", "bb")).applyInArrow(_best_of_blocks(vector, k, 6), found)
+    w = Window.partitionBy("q").orderBy("dist", "id")
+    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("q").alias(query_key), F.col("id").alias(key), "dist", "rank")
 
 
 @dataclass(frozen=True)

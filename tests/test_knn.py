@@ -43,3 +43,16 @@ def test_edges(spark):
     assert [(r.query_id, r.vec_id, r["rank"]) for r in knn.pivot_topk(base, q, 5).orderBy("rank").collect()] == [(9, 1, 1), (9, 3, 2)]
     assert knn.pivot_topk(base.limit(0), q, 5).count() == 0
     assert knn.pivot_topk(base, q.limit(0), 5).count() == 0
+
+
+def test_a_cell_is_searched_in_blocks_and_every_pair_is_met(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in (np.ones(3) if i < 40 else rng.normal(size=3))]) for i in range(120)]  # one large group of equal vectors
+    base = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    queries = base.where("vec_id % 6 = 0").withColumnRenamed("vec_id", "query_id")
+    cells, centres = vector.ivf_cells(base, 4)
+    found = vector._probed(cells, centres, queries, 7, 4, "vec_id", "query_id", "embedding", block_rows=8)
+    want = vector.l2_topk(base, queries, 7)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    # centres travel with a function, not as literals of the plan
+    assert str(found._jdf.queryExecution().analyzed()).count("array(") < 4
