@@ -60,32 +60,25 @@ class Weighted:
         w = idf[self.ids]
         length = np.sqrt(np.bincount(self.row, w * w, minlength=self.n))
         self.w = w / np.maximum(length, 1e-300)[self.row]
-        self.starts = np.cumsum(sizes) - sizes
-        self.some = sizes > 0
-
-    def times(self, m: np.ndarray) -> np.ndarray:
-        out = np.zeros((self.n, m.shape[1]))
-        if len(self.ids):
-            out[self.some] = np.add.reduceat(self.w[:, None] * m[self.ids], self.starts[self.some])
-        return out
-
-    def add_transposed(self, y: np.ndarray, total: np.ndarray) -> None:
-        """total += the rows' transpose times y."""
-        if len(self.ids):
-            order = np.argsort(self.ids, kind="stable")
-            ids = self.ids[order]
-            first = np.nonzero(np.diff(ids, prepend=-1))[0]
-            total[ids[first]] += np.add.reduceat((self.w[:, None] * y[self.row])[order], first)
-
-
-def _slices(batches: Iterator[pa.RecordBatch], idf: np.ndarray, most: int = 1 << 15) -> Iterator[Weighted]:
-    """The rows of all batches, so many tokens at a time."""
+
+    def dense(self) -> tuple[np.ndarray, np.ndarray]:
+        """(the rows' own buckets, rising; the rows over these). A matrix product of a few hundred rows costs less than gathering their tokens' rows one by one."""
+        own = np.flatnonzero(np.bincount(self.ids))
+        place = np.empty(own[-1] + 1 if len(own) else 0, np.int64)
+        place[own] = np.arange(len(own))
+        out = np.zeros((self.n, len(own)))
+        out[self.row, place[self.ids]] = self.w
+        return own, out
+
+
+def _slices(batches: Iterator[pa.RecordBatch], idf: np.ndarray, most: int = 1 << 17, rows: int = 256) -> Iterator[Weighted]:
+    """The rows of all batches, so many tokens and rows at a time."""
     for b in batches:
         col = b.column(b.schema.names.index("_ids"))
         ends = np.cumsum(col.value_lengths().to_numpy(zero_copy_only=False))
         a = 0
         while a < len(col):
-            z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
+            z = min(a + rows, max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right"))))
             yield Weighted(col.slice(a, z - a), idf)
             a = z
 
@@ -106,8 +99,9 @@ def _product(rows: DataFrame, idf: np.ndarray, m: np.ndarray) -> tuple[np.ndarra
         idf_, m_ = sent.value
         total, gram = np.zeros(m_.shape), np.zeros((width, width))
         for x in _slices(batches, idf_):
-            y = x.times(m_)
-            x.add_transposed(y, total)
+            own, part = x.dense()
+            y = part @ m_[own]
+            total[own] += part.T @ y
             gram += y.T @ y
         at = TaskContext.get().partitionId()
         cells = [(-1, gram), *((i, total[i * ROWS : (i + 1) * ROWS]) for i in range(-(-len(total) // ROWS)))]
@@ -134,12 +128,16 @@ def _product(rows: DataFrame, idf: np.ndarray, m: np.ndarray) -> tuple[np.ndarra
 
 
 def fit_lsa(docs: DataFrame, text: str = "text", config: LsaConfig = LsaConfig()) -> LsaModel:
-    """The model of all documents: idf of their buckets, and the config.dims leading right singular vectors of the matrix whose rows are their tf-idf weights at length 1 (a token counts once a document).
+    """fit_hashed() of documents' texts."""
+    return fit_hashed(files.stash(hashed(docs.select(text), text, config)), config)
+
+
+def fit_hashed(rows: DataFrame, config: LsaConfig = LsaConfig()) -> LsaModel:
+    """The model of all rows of hashed(), which are read once a pass: idf of their buckets, and the config.dims leading right singular vectors of the matrix whose rows are their tf-idf weights at length 1 (a token counts once a document).
 
     Subspace iteration from random directions: each pass multiplies with the matrix and its transpose, and the result is made orthonormal. The last pass gives singular values and vectors by the small matrix of products. With fewer directions than dims, the rest are zero. Signs are such that each vector's largest component is positive.
     """
     c = config
-    rows = files.stash(hashed(docs.select(text), text, c))
     n = rows.count()
     idf = np.zeros(c.buckets)
     for r in rows.select(F.explode("_ids").alias("id")).groupBy("id").agg(F.count("*").alias("df")).toLocalIterator():
@@ -159,15 +157,18 @@ def fit_lsa(docs: DataFrame, text: str = "text", config: LsaConfig = LsaConfig()
 
 def embed_lsa(rows: DataFrame, model: LsaModel, text: str = "text", out: str = "embedding") -> DataFrame:
     """rows with out (array<float> of length 1; zeros where no token is known), a column of that name replaced. The model travels to the tasks; its size is that of its configuration."""
-    c = model.config
-    kept = rows.drop(out)
-    coded = hashed(kept.withColumn("_text", F.col(text)), "_text", c)
-    sent, names = rows.sparkSession.sparkContext.broadcast((model.idf, model.vectors)), kept.columns
+    return embed_hashed(hashed(rows.drop(out).withColumn("_text", F.col(text)), "_text", model.config), model, out)
+
+
+def embed_hashed(coded: DataFrame, model: LsaModel, out: str = "embedding") -> DataFrame:
+    """As embed_lsa() of rows that hashed() has coded already."""
+    kept = coded.drop("_ids")
+    sent, names = coded.sparkSession.sparkContext.broadcast((model.idf, model.vectors)), kept.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, vectors = sent.value
         for b in batches:
-            found = [x.times(vectors) for x in _slices([b], idf)]
+            found = [part @ vectors[own] for own, part in (x.dense() for x in _slices([b], idf))]
             v = np.concatenate(found) if found else np.zeros((0, vectors.shape[1]))
             n = np.sqrt((v * v).sum(1, keepdims=True))
             v = np.divide(v, n, out=v.copy(), where=n > 1e-12)

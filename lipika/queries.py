@@ -490,8 +490,8 @@ def embed_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("fitted_embeddings", None)
 def fitted_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document under an encoder fitted on all of them; SQL has no singular vectors (tests compare with numpy)."""
-    docs = texts(spark, sf_dir, "documents", "doc_id", "text")
-    return lsa.embed_lsa(docs, lsa.fit_lsa(docs), "text").select("doc_id", "embedding")
+    rows = files.stash(lsa.hashed(texts(spark, sf_dir, "documents", "doc_id", "text"), "text", lsa.LsaConfig()))
+    return lsa.embed_hashed(rows, lsa.fit_hashed(rows)).select("doc_id", "embedding")
 
 
 @query("ivf_topk", None)

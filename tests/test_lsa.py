@@ -94,3 +94,28 @@ def test_given_documents(spark):
     e = lsa.embed_lsa(docs, m).select("doc_id", "embedding").withColumnRenamed("doc_id", "vec_id")
     near = {(r.query_id, r.vec_id) for r in vector.l2_topk(e, e.withColumnRenamed("vec_id", "query_id"), 6).collect()}
     assert len(pairs) > 50 and len(pairs & near) >= 0.9 * len(pairs)
+
+
+def test_rows_coded_once_give_the_same_model_and_embeddings(spark):
+    """Blocks of rows are multiplied as dense matrices, in slices by rows and by tokens."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    ids = [sorted(rng.choice(50, size=int(n), replace=False).tolist()) for n in rng.integers(0, 20, size=300)]
+    idf = rng.random(50) + 1
+    m = rng.normal(size=(50, 4))
+    full = np.zeros((300, 50))
+    for i, own in enumerate(ids):
+        full[i, own] = idf[own]
+    full /= np.maximum(np.sqrt((full**2).sum(1, keepdims=True)), 1e-300)
+    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32()))], names=["_ids"])
+    for most, rows in ((1 << 17, 256), (64, 256), (1 << 17, 7)):
+        parts = [part @ m[own] for own, part in (x.dense() for x in lsa._slices([batch], idf, most, rows))]
+        assert np.allclose(np.concatenate(parts), full @ m)
+    c = lsa.LsaConfig(buckets=64, dims=3, oversample=4, power=3)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a king lives", "a queen lives", None, "", "rivers of the north", "a king of rivers"])], "doc_id long, text string")
+    coded = lsa.hashed(docs, "text", c)
+    model = lsa.fit_hashed(coded, c)
+    shown = lambda d: [(r.doc_id, r.embedding) for r in d.orderBy("doc_id").select("doc_id", "embedding").collect()]
+    assert np.allclose(model.values, lsa.fit_lsa(docs, config=c).values)
+    assert shown(lsa.embed_hashed(coded, model)) == shown(lsa.embed_lsa(docs, model))
