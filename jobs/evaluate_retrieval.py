@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from jobs.command import log, main, rows_at
 from lipika.operators import evaluate, lexical
+from lipika.sources import files
 
 RESULT = "item_id long, n_words long, n_truth long, n_hits long, found boolean, recall_at_k double, recall double, reciprocal_rank double, top_score double, top string"
 
@@ -50,7 +51,7 @@ def run(spark: SparkSession, items: str, documents: str, out: str, config: Confi
     parts = evaluate.Components()
     asked = spark.read.parquet(items).where("item_id is not null").groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.max("text").alias("text"))
     asked = parts.measured("items", asked)
-    docs = spark.read.parquet(documents).where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = files.spread(spark.read.parquet(documents).where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     truth = parts.measured("quotes", evaluate.quotes(asked, docs, width=c.width))
     hits = parts.measured("hits", lexical.bm25(asked, docs, "item_id", "doc_id", c=lexical.Bm25Config(k=c.k, k1=c.k1, b=c.b), digits=c.digits))
     words = asked.select("item_id", F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0)).cast("long").alias("n_words"))
