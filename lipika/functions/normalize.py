@@ -12,6 +12,9 @@ from .translit import devanagari_to_slp1, final_h, hk_to_slp1, iast_to_slp1, loo
 
 # Each class of consonants with the nasal that an anusvara before it stands for, in the order in which they are applied.
 NASALS = (("N", "kKgG"), ("Y", "cCjJ"), ("R", "wWqQ"), ("n", "tTdD"), ("m", "pPbB"), ("[nRYNm]", "Szsh"), ("n", "kKgG"))
+# What composition may change: all but Latin-1, Latin Extended-A and Additional, general punctuation, and Devanagari without nuktas, accents and what they compose. None of these changes, moves or joins with another of them; a test tries all pairs.
+STABLE = r"\x{0000}-\x{017F}\x{0900}-\x{093B}\x{093D}-\x{0950}\x{0955}-\x{0957}\x{0960}-\x{097F}\x{1E00}-\x{1EFF}\x{2010}-\x{2027}"
+UNSTABLE = rf"[\x{{0080}}-\x{{10FFFF}}&&[^{STABLE}]]"
 LONG, SHORT = "AIUFX", "aiufx"
 
 
@@ -21,9 +24,9 @@ def _compose(text: pd.Series) -> pd.Series:
 
 
 def nfc(text: Column) -> Column:
-    """Unicode composition. Spark has no built-in; ASCII texts don't need it and don't leave the JVM."""
-    other = text.rlike(r"[^\x00-\x7F]")
-    return F.when(other, _compose(F.when(other, text))).otherwise(text)
+    """Unicode composition. Spark has no built-in; a text of characters that composition leaves alone whatever stands beside them doesn't leave the JVM."""
+    # the test is in the function's input alone, where it is made once, however often the result is named
+    return F.coalesce(_compose(F.when(text.rlike(UNSTABLE), text)), text)
 
 
 def anusvara(text: Column) -> Column:

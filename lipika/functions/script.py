@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 # The letters of the Roman scholarly transliteration beyond ASCII.
 DIACRITICS = "āīūṛṝḷḹṃḥṅñṭḍṇśṣĀĪŪṚṜḶḸṂḤṄÑṬḌṆŚṢ"
+#: A class of these that looks at ranges first: most characters are in none, and a class of single letters beyond Latin-1 tries one after the other.
+DIACRITIC = rf"[\x{{00D1}}\x{{00F1}}\x{{0100}}-\x{{016B}}\x{{1E00}}-\x{{1E7F}}&&[{DIACRITICS}]]"
 DEVANAGARI = r"\x{0900}-\x{097F}"
 OTHER_LETTERS = rf"\p{{L}}&&[^{DEVANAGARI}]"
 SPACE = r"[\s\x{0085}\x{001C}-\x{001F}\p{Z}]"
@@ -28,6 +30,17 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
 
 
+def ranges(chars: str) -> str:
+    """What stands between brackets for a class of these characters, by runs of neighbours."""
+    runs: list[list[int]] = []
+    for x in sorted({ord(c) for c in chars}):
+        if runs and x == runs[-1][1] + 1:
+            runs[-1][1] = x
+        else:
+            runs.append([x, x])
+    return "".join(rf"\x{{{a:04X}}}" if a == z else rf"\x{{{a:04X}}}-\x{{{z:04X}}}" for a, z in runs)
+
+
 def chars_in(text: Column, chars: str) -> Column:
     """How many characters of a class (what stands between brackets) there are; null has none. Whole runs are taken out at once, so no match is an object of its own."""
     return F.coalesce(F.length(text) - F.length(F.regexp_replace(text, f"[{chars}]+", "")), F.lit(0)).cast("bigint")
@@ -76,7 +89,7 @@ def is_devanagari(text: Column, majority: float = 0.5) -> Column:
 
 
 def is_iast(text: Column) -> Column:
-    return F.coalesce(text.rlike(f"[{DIACRITICS}]"), F.lit(False))
+    return F.coalesce(text.rlike(DIACRITIC), F.lit(False))
 
 
 def has_mixed_scripts(text: Column) -> Column:
@@ -94,7 +107,7 @@ def script_stats(text: Column) -> Column:
     counts = F.struct(
         F.coalesce(F.length(text), F.lit(0)).cast("bigint").alias("total_chars"),
         devanagari_count(text).alias("devanagari_chars"),
-        F.when(text.rlike(r"[^\x00-\x7F]"), chars_in(text, DIACRITICS)).otherwise(F.lit(0).cast("bigint")).alias("iast_chars"),
+        F.when(text.rlike(r"[^\x00-\x7F]"), chars_in(text, DIACRITIC[1:-1])).otherwise(F.lit(0).cast("bigint")).alias("iast_chars"),
         other_letters(text).alias("letters"),
         chars_in(text, f"^\\p{{L}}\\s{DEVANAGARI}\\x{{0085}}\\x{{001C}}-\\x{{001F}}\\p{{Z}}").alias("other_chars"),
     )

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .script import detect_script, is_blank
+from .script import is_blank, is_devanagari, is_iast, ranges
 
 # The published schemes, in the order of the alphabet.
 VOWELS = "अआइईउऊऋॠऌॡएऐओऔ"
@@ -28,6 +28,7 @@ LOOSE = (("aa", "A"), ("ee", "I"), ("oo", "U"), ("sh", "z"))
 FINAL_H_AFTER = "aAiIuUeEoORLÁáÍíÚú"
 FINAL_H_BEFORE = ".,;:!?।॥'\""
 PRIVATE = 0xE000
+MARKED = "\uFDD0"  # no character, so hardly a text has it
 
 
 def loose_roman(text: Column) -> Column:
@@ -43,7 +44,7 @@ def final_h(text: Column) -> Column:
 
 
 def devanagari_to_slp1(text: Column) -> Column:
-    text = F.regexp_replace(text, f"([{CONSONANTS}])(?![{SIGNS}{VIRAMA}])", "$1अ")
+    text = F.regexp_replace(text, f"([{ranges(CONSONANTS)}])(?![{ranges(SIGNS + VIRAMA)}])", "$1अ")
     text = F.replace(text, F.lit("॥"), F.lit(".."))
     marks, codes = MARKS.replace("॥", ""), MARKS_SLP1.replace("..", ".", 1)
     return F.translate(text, VOWELS + SIGNS + CONSONANTS + marks + VIRAMA, VOWELS_SLP1 + SIGNS_SLP1 + CONSONANTS_SLP1 + codes)
@@ -64,8 +65,8 @@ def hk_to_slp1(text: Column) -> Column:
 
 def to_slp1(text: Column, script: Column | None = None) -> Column:
     """SLP1 of a text in the given or detected script; blank and null stay."""
-    script = detect_script(text) if script is None else script
-    out = F.when(script == "devanagari", devanagari_to_slp1(text)).when(script == "iast", iast_to_slp1(text)).otherwise(hk_to_slp1(final_h(loose_roman(text))))
+    devanagari, iast = (is_devanagari(text), is_iast(text)) if script is None else (script == "devanagari", script == "iast")
+    out = F.when(devanagari, devanagari_to_slp1(text)).when(iast, iast_to_slp1(text)).otherwise(hk_to_slp1(final_h(loose_roman(text))))
     return F.when(is_blank(text), text).otherwise(out)
 
 
@@ -82,11 +83,13 @@ def slp1_to_iast(text: Column) -> Column:
 def slp1_to_devanagari(text: Column) -> Column:
     """A consonant before a vowel takes its sign, before a none, else a virama; any other vowel is a letter of its own."""
     vowels = VOWELS_SLP1
+    has_mark = F.contains(text, F.lit(MARKED))
     text = F.regexp_replace(text, f"([{CONSONANTS_SLP1}])(?![{vowels}])", f"$1{VIRAMA}")
-    signs = dict(zip(SIGNS_SLP1, SIGNS, strict=True))
-    text = F.regexp_replace(text, f"([{CONSONANTS_SLP1}])a", "$1" + chr(PRIVATE))
-    for v in SIGNS_SLP1:
-        text = F.regexp_replace(text, f"([{CONSONANTS_SLP1}]){v}", "$1" + signs[v])
+    # one pass says which vowels follow a consonant; these are then replaced as they are
+    slow, quick = text, F.regexp_replace(text, f"([{CONSONANTS_SLP1}])(?=[{vowels}])", f"$1{MARKED}")
+    for v, sign in (("a", chr(PRIVATE)), *zip(SIGNS_SLP1, SIGNS, strict=True)):
+        slow, quick = F.regexp_replace(slow, f"([{CONSONANTS_SLP1}]){v}", "$1" + sign), F.replace(quick, F.lit(MARKED + v), F.lit(sign))
+    text = F.when(has_mark, slow).otherwise(quick)
     text = F.replace(F.replace(text, F.lit(".."), F.lit("॥")), F.lit("."), F.lit("।"))
     digits = "0123456789"
     return F.translate(text, CONSONANTS_SLP1 + vowels + "MH~'" + digits + chr(PRIVATE), CONSONANTS + VOWELS + "ंःँऽ" + "०१२३४५६७८९")

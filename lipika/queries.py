@@ -60,7 +60,7 @@ def spelt(spark: SparkSession, sf_dir: str) -> DataFrame:
     loose = text
     for a, b in COMPOSED:
         loose = F.replace(loose, F.lit(a), F.lit(b))
-    written = F.array(text, X.slp1_to_devanagari(text), X.slp1_to_iast(text), F.concat(loose, F.lit(" "), X.slp1_to_devanagari(text)))
+    written = S.let(X.slp1_to_devanagari(text), lambda d: F.array(text, d, X.slp1_to_iast(text), F.concat(loose, F.lit(" "), d)))
     return texts(spark, sf_dir, "conversations", "conv_id", "turn", "text").select("conv_id", "turn", F.posexplode(written).alias("spelling", "t"))
 
 
@@ -219,9 +219,9 @@ def clean_title(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("cross_script_equivalence", f"WITH p AS (SELECT conv_id, turn, spelling, {sql_preprocess('t')} AS x FROM {sql_spelt()}) SELECT a.conv_id, a.turn, a.spelling, a.x = b.x AS same FROM p a JOIN p b ON b.conv_id = a.conv_id AND b.turn = a.turn AND b.spelling = 1 AND a.spelling <> 1")
 def cross_script_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each spelling of a turn has the search form of its Devanagari."""
-    f = spelt(spark, sf_dir)
-    other = f.where("spelling = 1").select("conv_id", "turn", F.col("t").alias("u"))
-    return f.where("spelling <> 1").join(other, ["conv_id", "turn"]).select("conv_id", "turn", "spelling", N.equivalent(F.col("t"), F.col("u")).alias("same"))
+    f = spelt(spark, sf_dir).select("conv_id", "turn", "spelling", N.preprocess(F.col("t")).alias("form"))
+    other = f.where("spelling = 1").select("conv_id", "turn", F.col("form").alias("other"))
+    return f.where("spelling <> 1").join(other, ["conv_id", "turn"]).select("conv_id", "turn", "spelling", F.col("form").eqNullSafe(F.col("other")).alias("same"))
 
 
 @query("script_stats", f"SELECT doc_id, length(text)::BIGINT AS total_chars, {sql_dev('text')} AS devanagari_chars, {sql_count('text', DIACRITICS)} AS iast_chars, ({sql_other('text')} - {sql_count('text', DIACRITICS)})::BIGINT AS roman_chars, {sql_count('text', '[^\\p{L}\\s\\x{0900}-\\x{097F}\\x{0085}\\p{Z}]')} AS other_chars, {sql_script('text')} AS script_type, {sql_mixed('text')} AS is_mixed FROM documents")

@@ -50,3 +50,31 @@ def test_no_python_in_native_functions(spark):
 def test_equivalent(spark):
     d = spark.createDataFrame([("धर्मः", "dharmaḥ"), ("धर्मः", "karma"), (None, "")], "a string, b string")
     assert [r[0] for r in d.select(N.equivalent(F.col("a"), F.col("b"))).collect()] == [True, False, True]
+
+
+def test_composition_leaves_stable_characters_alone_in_all_pairs():
+    """Texts of these alone don't leave the JVM."""
+    import re
+    import unicodedata
+
+    from lipika.functions import normalize
+
+    stable = re.compile("[" + re.sub(r"\\x\{(\w+)\}", lambda m: f"\\u{m[1]}", normalize.STABLE) + "]")
+    own = [chr(i) for i in range(0x3000) if stable.match(chr(i))]
+    assert {"न", "र", "ā", "ṭ", "é", "्"} <= set(own) and not {"\u093c", "\u0301", "क़"} & set(own)
+    assert [x for x in own if unicodedata.combining(x)] == ["्"]
+    assert not [a + b for a in own for b in own if unicodedata.normalize("NFC", a + b) != a + b]
+
+
+def test_texts_beyond_ascii_are_composed_and_read_as_before(spark):
+    import unicodedata
+
+    from pyspark.sql import functions as F
+
+    from lipika.functions import normalize, script, translit
+
+    texts = ["नर क\u093cलम", "e\u0301té", "ā ḍ ñ", "\u0951\u0952\u093c", "한\u1100\u1161", "\ufdd0a k\ufdd0a", "kA\ue000 ki kaM", None, ""]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").select("i", normalize.nfc(F.col("t")).alias("n"), script.is_iast(F.col("t")).alias("d"), translit.slp1_to_devanagari(F.col("t")).alias("v")).orderBy("i").collect()
+    assert [r.n for r in rows] == [None if t is None else unicodedata.normalize("NFC", t) for t in texts]
+    assert [r.d for r in rows] == [any(c in script.DIACRITICS for c in t or "") for t in texts]
+    assert [r.v for r in rows][5:7] == ["\ufdd0अ क्\ufdd0अ", "का कि कं"]
