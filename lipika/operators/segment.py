@@ -32,12 +32,12 @@ def is_title(line: Column, rule: TitleRule = TitleRule()) -> Column:
 
 
 # Fixed value: what ends a line, besides \r\n as one.
-BREAKS = r"\n\r\x0B\x0C\x1C-\x1E\x{0085}\x{2028}\x{2029}"
+BREAKS = r"\n-\r\x1C-\x1E\x{0085}\x{2028}-\x{2029}"
 
 
 def lines(text: Column) -> Column:
     """The text's lines, each with the break that ends it; together they are the text."""
-    return F.regexp_extract_all(text, F.lit(rf"[^{BREAKS}]*(?:\r\n|[{BREAKS}])|[^{BREAKS}]+"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(rf"[^{BREAKS}]*+(?:\r\n|[{BREAKS}])|[^{BREAKS}]++"), F.lit(0))
 
 
 def titles_of(all_: Column, rule: TitleRule = TitleRule(), blank_before: bool = True) -> Column:
@@ -45,9 +45,12 @@ def titles_of(all_: Column, rule: TitleRule = TitleRule(), blank_before: bool =
     first = F.struct(F.lit(0).cast("bigint").alias("line_no"), F.lit(0).cast("bigint").alias("start"), F.lit(True).alias("blank"))
 
     def step(a: Column, line: Column) -> tuple[Column, Column]:
-        title = strip(line)
-        ok = is_title(title, rule) & (a["blank"] if blank_before else F.lit(True))
-        out = F.when(ok, F.struct(a["line_no"].alias("line_no"), a["start"].alias("start"), title.alias("title")))
+        def named(title: Column) -> Column:
+            return F.when(is_title(title, rule), F.struct(a["line_no"].alias("line_no"), a["start"].alias("start"), title.alias("title")))
+
+        # the line's ends are looked at once, however often the rule names them
+        out = let(strip(line), named)
+        out = F.when(a["blank"], out) if blank_before else out
         return F.struct((a["line_no"] + 1).alias("line_no"), (a["start"] + F.length(line)).alias("start"), is_blank(line).alias("blank")), out
 
     return fold(all_, first, step, "struct<line_no:bigint,start:bigint,title:string>")["out"]

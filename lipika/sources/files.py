@@ -17,10 +17,10 @@ from lipika.sources import pdf
 DOCUMENT = ("text", "source", "filename", "source_path", "file_size", "char_count", "valid")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df over all cores where its scan has fewer partitions than these (a small or single-row-group file); larger inputs stay as they are read."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def spread(df: DataFrame, per_core: int = 4) -> DataFrame:
+    """df over all cores, several tasks each, where its scan has fewer partitions than these (small files, or of few row groups); larger inputs stay as they are read."""
+    n = per_core * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -114,6 +114,7 @@ def totals(docs: DataFrame, text: str = "text") -> DataFrame:
 def story_report(stories: DataFrame, key: str = "doc_id", text: str = "story_text", title: str = "title") -> DataFrame:
     """A row a story (its title, characters, words, lines) and one row with a null key and title for all of them, with the number of stories."""
     each = stories.select(F.col(key), F.col(title), F.length(text).cast("bigint").alias("chars"), F.regexp_count(text, F.lit(r"\S+")).cast("bigint").alias("words"), (F.regexp_count(text, F.lit("\n")) + 1).cast("bigint").alias("lines"), F.lit(1).cast("bigint").alias("stories"))
+    each = stash(each)  # a few numbers a story, for the sum over all without cutting the texts again
     whole = each.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in ("chars", "words", "lines", "stories")])
     kind = stories.schema[key].dataType
     return each.unionByName(whole.select(F.lit(None).cast(kind).alias(key), F.lit(None).cast("string").alias(title), "chars", "words", "lines", "stories"))

@@ -382,3 +382,20 @@ def test_the_best_of_blocks_are_held_in_bounded_room():
         best.add(np.tile([1.0, 0.0], (100, 1)), pa.array(range(3999 - a, 3899 - a, -1)))
         assert best.size <= 4 * 3 * 2 + 100
     assert best.rows().to_pydict() == {"q": [0, 0, 0], "score": [1.0] * 3, "key": [0, 1, 2]}
+
+
+def test_a_small_table_is_dealt_in_several_tasks_a_core(spark):
+    from lipika.sources import files
+
+    n = spark.sparkContext.defaultParallelism
+    assert files.spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() == 4 * n
+    assert files.spread(spark.range(0, 100, 1, 5 * n)).rdd.getNumPartitions() == 5 * n
+
+
+def test_a_report_of_stories_cuts_the_texts_once(spark):
+    from lipika.sources import files
+
+    stories = spark.createDataFrame([(1, "A", "one two\nthree"), (2, "B", "")], "doc_id long, title string, story_text string")
+    out = files.story_report(stories)
+    assert "story_text" not in out._jdf.queryExecution().analyzed().toString()
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, "A", 13, 3, 2, 1), (2, "B", 0, 0, 1, 1), (None, None, 13, 3, 3, 2)], key=str)
