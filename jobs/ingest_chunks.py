@@ -72,13 +72,17 @@ def _take(batch: DataFrame, number: int, out: str, c: Config) -> None:
     one = seen.where("doc_id is not null").groupBy("doc_id").agg(F.max("version").alias("version"))
     before = rows_at(spark, f"{out}/manifest", MANIFEST).where(F.col("batch") < number)
     held = before.groupBy("doc_id").agg(F.max_by("version", "batch").alias("version"))
-    # Spark's own hash: a task of a shuffle by doc_id holds few buckets
+    # Spark's own hash, which a shuffle by doc_id deals by
     bucket = F.pmod(F.hash("doc_id"), F.lit(c.buckets))
     fresh = one.join(held, ["doc_id", "version"], "left_anti").withColumn("bucket", bucket)
     fresh.observe(new, F.count("*").alias("rows")).write.mode("overwrite").parquet(f"{out}/manifest/batch={number}")
     fresh = rows_at(spark, f"{out}/manifest/batch={number}", "doc_id long, version string, bucket int")
+    # cutting costs more than its bytes tell, so the number of tasks follows from the rows; as a multiple of the buckets, each task holds one
+    cores = spark.sparkContext.defaultParallelism
+    tasks = min(max(4 * cores, new.get["rows"] // 8192), new.get["rows"] // 64)
+    texts = named.join(fresh.select("doc_id", "version"), ["doc_id", "version"], "left_semi").repartition(c.buckets * max(1, -(-tasks // c.buckets)), "doc_id")
     # equal versions are equal rows: any of them will do
-    texts = named.join(fresh.select("doc_id", "version"), ["doc_id", "version"], "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("version"))).where("_n = 1").drop("_n")
+    texts = texts.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("version"))).where("_n = 1").drop("_n")
     rows = chunked(texts, c).withColumn("bucket", bucket).observe(put, F.count("*").alias("rows"))
     rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/chunks/batch={number}")
     log.info("batch %d: read %d rows (%d without doc_id), %d new or changed documents, wrote %d chunks", number, read.get["rows"], read.get["nameless"], new.get["rows"], put.get["rows"])

@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .script import SPACE, detect_script, has_mixed_scripts, is_blank, is_devanagari, is_iast, script_stats, strip
+from .script import detect_script, has_mixed_scripts, is_blank, is_devanagari, is_iast, script_stats, strip
 from .translit import devanagari_to_slp1, final_h, hk_to_slp1, iast_to_slp1, loose_roman, to_slp1
 
 # Each class of consonants with the nasal that an anusvara before it stands for, in the order in which they are applied.
@@ -30,9 +30,10 @@ def nfc(text: Column) -> Column:
 
 
 def anusvara(text: Column) -> Column:
-    for nasal, before in NASALS:
-        text = F.regexp_replace(text, f"{nasal}([{before}])", "M$1")
-    return text
+    """NASALS in one pass: no nasal is what another stands before, and none stands before M, so no rule sees another's output."""
+    before = {n: "".join(b for nasals, b in NASALS if n in nasals) for nasals, _ in NASALS[:5] for n in nasals}
+    each = "|".join(f"(?<={n})[{b}]" for n, b in before.items())
+    return F.regexp_replace(text, f"[{''.join(before)}](?={each})", "M")
 
 
 def fold_vowels(text: Column) -> Column:
@@ -42,10 +43,9 @@ def fold_vowels(text: Column) -> Column:
 def clean_text(text: Column) -> Column:
     """One kind of line break, single spaces, at most one blank line, no white space around lines or the text."""
     text = F.regexp_replace(text, r"\r\n?", "\n")
-    text = F.regexp_replace(text, r"[ \t]{2,}|\t", " ")
+    text = F.regexp_replace(text, r"[ \t](?:[ \t]+|(?<=\t))", " ")
     text = F.regexp_replace(text, r"\n\s*\n\s*\n+", "\n\n")
-    around = f"[{SPACE}&&[^\n]]*"
-    return strip(F.regexp_replace(text, f"{around}\n{around}", "\n"))
+    return strip(F.array_join(F.transform(F.split(text, "\n", -1), strip), "\n"))
 
 
 def remove_punctuation(text: Column, keep_dandas: bool = True) -> Column:

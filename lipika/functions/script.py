@@ -14,6 +14,8 @@ DIACRITIC = rf"[\x{{00D1}}\x{{00F1}}\x{{0100}}-\x{{016B}}\x{{1E00}}-\x{{1E7F}}&&
 DEVANAGARI = r"\x{0900}-\x{097F}"
 OTHER_LETTERS = rf"\p{{L}}&&[^{DEVANAGARI}]"
 SPACE = r"[\s\x{0085}\x{001C}-\x{001F}\p{Z}]"
+#: The same, one by one.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def count_of(text: Column, pattern: str) -> Column:
@@ -26,8 +28,13 @@ def is_blank(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    """Without white space (Unicode) at either end."""
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    """Without white space (Unicode) at either end. Only the ends are compared with its characters; an expression would try its classes at every place."""
+    return F.btrim(text, F.lit(SPACES))
+
+
+def beyond_ascii(text: Column) -> Column:
+    """A character beyond ASCII, told from the sizes alone; null for null."""
+    return F.octet_length(text) != F.length(text)
 
 
 def ranges(chars: str) -> str:
@@ -85,11 +92,11 @@ def other_letters(text: Column) -> Column:
 def is_devanagari(text: Column, majority: float = 0.5) -> Column:
     """More than majority of the letters are in the block (its signs and digits count); false without letters or for null."""
     d = devanagari_count(text)
-    return F.coalesce(text.rlike(f"[{DEVANAGARI}]"), F.lit(False)) & (d / (d + other_letters(text)) > majority)
+    return F.coalesce(beyond_ascii(text) & text.rlike(f"[{DEVANAGARI}]"), F.lit(False)) & (d / (d + other_letters(text)) > majority)
 
 
 def is_iast(text: Column) -> Column:
-    return F.coalesce(text.rlike(DIACRITIC), F.lit(False))
+    return F.coalesce(beyond_ascii(text) & text.rlike(DIACRITIC), F.lit(False))
 
 
 def has_mixed_scripts(text: Column) -> Column:

@@ -40,7 +40,7 @@ def loose_roman(text: Column) -> Column:
 
 def final_h(text: Column) -> Column:
     """h after a vowel at a word's end is a visarga."""
-    return F.regexp_replace(text, f"([{FINAL_H_AFTER}])h(?=\\s|$|[{FINAL_H_BEFORE}])", "$1H")
+    return F.regexp_replace(text, f"(?<=[{FINAL_H_AFTER}])h(?=\\s|$|[{FINAL_H_BEFORE}])", "H")
 
 
 def devanagari_to_slp1(text: Column) -> Column:

@@ -33,11 +33,23 @@ def is_title(line: Column, rule: TitleRule = TitleRule()) -> Column:
 
 # Fixed value: what ends a line, besides \r\n as one.
 BREAKS = r"\n-\r\x1C-\x1E\x{0085}\x{2028}-\x{2029}"
+OTHER_BREAKS = "\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029"
 
 
 def lines(text: Column) -> Column:
     """The text's lines, each with the break that ends it; together they are the text."""
-    return F.regexp_extract_all(text, F.lit(rf"[^{BREAKS}]*+(?:\r\n|[{BREAKS}])|[^{BREAKS}]++"), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(rf"[^{BREAKS}]*+(?:\r\n|[{BREAKS}])|[^{BREAKS}]++"), F.lit(0))
+    # most texts have no break but \n, and a cut at one character needs no expression
+    other = F.lit(False)
+    for x in OTHER_BREAKS:
+        other = other | F.contains(text, F.lit(x))
+
+    def ended(parts: Column) -> Column:
+        n = F.size(parts)
+        whole = F.transform(F.slice(parts, F.lit(1), n - 1), lambda x: F.concat(x, F.lit("\n")))
+        return F.when(F.element_at(parts, -1) == "", whole).otherwise(F.array_append(whole, F.element_at(parts, -1)))
+
+    return F.when(other, found).otherwise(let(F.split(text, "\n", -1), ended))
 
 
 def titles_of(all_: Column, rule: TitleRule = TitleRule(), blank_before: bool = True) -> Column:

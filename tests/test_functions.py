@@ -1,3 +1,6 @@
+import itertools
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,3 +81,26 @@ def test_texts_beyond_ascii_are_composed_and_read_as_before(spark):
     assert [r.n for r in rows] == [None if t is None else unicodedata.normalize("NFC", t) for t in texts]
     assert [r.d for r in rows] == [any(c in script.DIACRITICS for c in t or "") for t in texts]
     assert [r.v for r in rows][5:7] == ["\ufdd0अ क्\ufdd0अ", "का कि कं"]
+
+
+def test_cheaper_forms_equal_the_expressions(spark):
+    """Ends, lines' ends, anusvara and final h against the rules as regular expressions, over every blank and break and all pairs of letters."""
+    from lipika.functions.script import SPACE, SPACES, strip
+
+    every = [chr(i) for i in range(0x10000) if not 0xD800 <= i < 0xE000]
+    d = spark.createDataFrame([(c,) for c in every], "t string")
+    assert {r.t for r in d.where(F.col("t").rlike(f"^{SPACE}$")).collect()} == set(SPACES)
+    r = random.Random(5)
+    letters = "NYRnmkKgGcCjJwWqQtTdDpPbBSzshaAiU .,?ÁM"
+    texts = ["".join(x) for n in (2, 3) for x in itertools.product("NYRnmkgszSha. ", repeat=n)] + ["".join(r.choice(letters) for _ in range(30)) for _ in range(300)]
+    texts += ["".join(r.choice(SPACES + "ab\n\n\t ") for _ in range(r.randint(0, 12))) for _ in range(2000)] + [None, ""]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    old = F.col("t")
+    for nasal, before in N.NASALS:
+        old = F.regexp_replace(old, f"{nasal}([{before}])", "M$1")
+    ends = lambda t: F.regexp_replace(t, f"^{SPACE}+|{SPACE}+$", "")
+    clean = F.regexp_replace(F.regexp_replace(F.regexp_replace("t", r"\r\n?", "\n"), r"[ \t]{2,}|\t", " "), r"\n\s*\n\s*\n+", "\n\n")
+    clean = ends(F.regexp_replace(clean, f"[{SPACE}&&[^\n]]*\n[{SPACE}&&[^\n]]*", "\n"))
+    h = F.regexp_replace("t", f"([{X.FINAL_H_AFTER}])h(?=\\s|$|[{X.FINAL_H_BEFORE}])", "$1H")
+    for a, b in ((N.anusvara(F.col("t")), old), (strip(F.col("t")), ends(F.col("t"))), (N.clean_text(F.col("t")), clean), (X.final_h(F.col("t")), h)):
+        assert d.select("t", a.alias("a"), b.alias("b")).where("not a <=> b").collect() == []

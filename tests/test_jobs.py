@@ -9,6 +9,7 @@ import sys
 import pytest
 from jobs import command, evaluate_retrieval, ingest_chunks, registry
 from lipika.operators import evaluate
+from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 SF = "/root/testdata/sf0.001"
@@ -100,6 +101,15 @@ def test_ingest_returns_to_an_earlier_version(spark, tmp_path):
     assert ingest_chunks.run(spark, docs, f"file://{tmp_path}/out", CONFIG)["documents"] == 0
 
 
+def test_cutting_is_dealt_over_all_cores(spark, tmp_path):
+    """A batch of few bytes but many texts is not cut by one task, and each task holds one bucket."""
+    docs, out = f"file://{tmp_path}/docs", f"file://{tmp_path}/out"
+    put(spark, [(i, text(i, 2), "en", 1) for i in range(1100)], docs)
+    assert ingest_chunks.run(spark, docs, out, CONFIG)["documents"] == 1100
+    written = spark.read.parquet(f"{out}/chunks").select("bucket", F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).alias("task")).distinct()
+    assert written.count() == written.select("task").distinct().count() == 16
+
+
 def test_quotes_against_brute_force(spark):
     items = [(1, "a b c d e"), (2, "x y z"), (3, "b b b b b b"), (4, "one two\nthree four five"), (5, None), (6, "half of this text here"), (7, "b c d e f g")]
     docs = [(10, "zz a b c d e f g"), (11, "a b c d ee"), (12, "b " * 50), (13, "one two three four five"), (14, "so: one two\nthree four five!"), (15, None), (16, ""), (17, "xa b c d efg")] * 2
