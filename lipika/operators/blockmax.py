@@ -10,17 +10,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lipika.functions.script import let
-from lipika.operators.lexical import EMPTY, Bm25Config, tokens
+from lipika.operators.lexical import Bm25Config, own_tokens, tokens
 from lipika.sources import files
 
 BLOCK = 64
 #: Documents of a shard: 16 bits are enough for their numbers.
 SHARD_DOCS = 8192
+#: A shard of long texts ends earlier, as a task holds its tokens.
+SHARD_TOKENS = 8 << 20
+#: Lists in a batch of a task's output.
+ROWS = 8192
 BLOCKS = "shard long, token string, n long, firsts binary, gaps binary"
 
 
@@ -62,6 +67,9 @@ class Postings:
         spare = len(self.firsts) * BLOCK - self.n
         return ids[: len(ids) - spare] if spare and len(which) and which[-1] == len(self.firsts) - 1 else ids
 
+    def all(self) -> np.ndarray:
+        return np.flatnonzero(self.bits) if self.bits is not None else self.read(np.arange(len(self.firsts)))
+
     def among(self, alive: np.ndarray) -> tuple[np.ndarray, int]:
         """(those of alive, rising, that have the token; how many postings or bits were looked at). Blocks without any of alive are skipped."""
         if self.bits is not None:
@@ -78,50 +86,74 @@ class Postings:
 def block_index(docs: DataFrame, key: str, text: str = "text", c: Bm25Config = Bm25Config(), shard_docs: int = SHARD_DOCS) -> BlockIndex:
     """The index of documents (their keys are distinct), written to the shared folder.
 
-    Texts are shuffled once, to shards of about shard_docs by the key's hash; numbering, tokens, postings and their collection by token all keep that partitioning. A document without tokens has one that nothing matches. The heavy tokens come to the driver: each is in over half of the documents, so they are fewer than twice the tokens of an average document.
+    A task cuts its texts and numbers, sorts and codes their postings in shards of at most shard_docs documents, and the coded lists are written once: tokens are neither stored nor shuffled (texts are, if they come in fewer parts than there are to be tasks). Document frequencies are sums over the lists. Only the lists of heavy tokens go on to their shards' documents, as bits. A document without tokens has one that nothing matches. The heavy tokens come to the driver: each is in over half of the documents, so they are fewer than twice the tokens of an average document.
     """
     total = docs.count()
-    # as many shards as cores even if the documents are few, but none for a handful of them
-    n = max(1, -(-total // min(shard_docs, 1 << 15)), min(docs.sparkSession.sparkContext.defaultParallelism, total // 512))
-    shards = docs.select(F.pmod(F.xxhash64(key), F.lit(n)).alias("shard"), F.col(key).alias("key"), F.col(text).alias("text")).repartition(n, "shard")
-    own = let(F.coalesce(tokens(F.col("text"), c), F.array().cast("array<string>")), lambda t: F.when(F.size(t) == 0, F.array(F.lit(EMPTY))).otherwise(t))
-    made = files.stash(shards.select("shard", "key", own.alias("tokens")).withColumn("dl", F.size("tokens").cast("bigint")))
-    df = files.stash(made.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df")))
-    heavy = [r["token"] for r in df.where(2 * F.col("df") > total).select("token").orderBy("token").collect()]
-    bit = F.create_map(*[F.lit(x) for i, t in enumerate(heavy) for x in (t, i)])[F.col("token")] if heavy else F.lit(None).cast("int")
-    terms = files.stash(df.withColumn("bit", bit))
-    of_shard = Window.partitionBy("shard")
-    sorted_ = made.withColumn("id", F.row_number().over(of_shard.orderBy("dl", "key")) - 1).withColumn("size", F.count("*").over(of_shard))
-    rare = F.array_except("tokens", F.array(*[F.lit(t) for t in heavy]).cast("array<string>"))
-    lists = sorted_.select("shard", "id", "size", F.explode(rare).alias("token")).groupBy("shard", "token").agg(F.max("size").alias("size"), F.sort_array(F.collect_list("id")).alias("ids"))
-
-    def pack(batches):
-        for b in batches:
-            ids = b.column(3)
-            flat, ends = ids.flatten().to_numpy(), np.cumsum(ids.value_lengths().to_numpy())
-            coded = [encode_postings(x, m) for x, m in zip(np.split(flat, ends[:-1]), b.column(2).to_pylist(), strict=True)] if b.num_rows else []
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), ids.value_lengths().cast(pa.int64()), pa.array([x for x, _ in coded], pa.binary()), pa.array([x for _, x in coded], pa.binary())], names=["shard", "token", "n", "firsts", "gaps"])
-
-    blocks = files.stash(lists.mapInArrow(pack, BLOCKS))
-    kept = F.array_intersect(F.array(*[F.lit(t) for t in heavy]).cast("array<string>"), F.col("tokens"))
-    whole = sorted_.select("shard", F.struct("id", "key", "dl", kept.alias("heavy")).alias("d")).groupBy("shard").agg(F.sort_array(F.collect_list("d")).alias("d"))
+    most = min(shard_docs, 1 << 15)
+    # several tasks a core even if the documents are few, but none for a handful of them
+    n = max(1, -(-total // most), min(4 * docs.sparkSession.sparkContext.defaultParallelism, total // 512))
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    texts = texts.repartition(n, "key") if texts.rdd.getNumPartitions() < n else texts.coalesce(n)
     kind = docs.schema[key].dataType.simpleString()
-    place = {t: i for i, t in enumerate(heavy)}
 
-    def mark(batches):
+    def shard(number: int, keys: pa.Array, tokens_: pa.ListArray):
+        """A row a token with its list, and one with a null token for the documents."""
+        size, lengths = len(keys), tokens_.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        order = pc.sort_indices(pa.table({"dl": lengths, "key": keys}), [("dl", "ascending"), ("key", "ascending")]).to_numpy()
+        ids = np.empty(size, np.int64)
+        ids[order] = np.arange(size)
+        coded = tokens_.flatten().dictionary_encode()
+        code = coded.indices.to_numpy().astype(np.int64)
+        counts = np.bincount(code, minlength=len(coded.dictionary))
+        # by token, then by document
+        flat = np.sort(code * size + np.repeat(ids, lengths)) % size
+        ends = np.cumsum(counts)
+        for at in range(0, len(counts), ROWS):
+            own = range(at, min(at + ROWS, len(counts)))
+            lists = [encode_postings(flat[ends[i] - counts[i] : ends[i]], size) for i in own]
+            yield pa.RecordBatch.from_arrays([pa.array([number] * len(own), pa.int64()), coded.dictionary.slice(at, ROWS), pa.array(counts[at : at + ROWS], pa.int64()), pa.array([x for x, _ in lists], pa.binary()), pa.array([x for _, x in lists], pa.binary()), pa.nulls(len(own), pa.list_(keys.type)), pa.nulls(len(own), pa.list_(pa.int64()))], names=names)
+        none = [pa.nulls(1, pa.string()), pa.array([size], pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary())]
+        whole = [pa.ListArray.from_arrays(pa.array([0, size], pa.int32()), x) for x in (keys.take(pa.array(order)), pa.array(lengths[order]))]
+        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *none, *whole], names=names)
+
+    names = [x.split()[0] for x in BLOCKS.split(", ")] + ["keys", "lengths"]
+
+    def cut(batches):
+        held, n_docs, n_tokens, number = [], 0, 0, TaskContext.get().partitionId() << 24
+
+        def whole():
+            return shard(number, *(pa.concat_arrays([b.column(i) for b in held]) for i in (0, 1)))
+
         for b in batches:
-            cells = []
-            for own in b.column(3).to_pylist():
-                m = np.zeros((len(own), max(1, -(-len(heavy) // 64)) * 64), np.uint8)
-                for i, x in enumerate(own):
-                    m[i, [place[t] for t in x]] = 1
-                cells.append(np.packbits(m, axis=1, bitorder="little").tobytes())
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(cells, pa.binary())], names=["shard", "keys", "lengths", "bits"])
-
-    arrays = whole.select("shard", F.col("d.key").alias("keys"), F.col("d.dl").alias("lengths"), F.col("d.heavy").alias("heavy"))
-    of = files.stash(arrays.mapInArrow(mark, f"shard long, keys array<{kind}>, lengths array<long>, bits binary"))
+            for a in range(0, b.num_rows, min(256, most)):
+                part = b.slice(a, min(256, most))
+                if held and (n_docs + part.num_rows > most or n_tokens >= SHARD_TOKENS):
+                    yield from whole()
+                    held, n_docs, n_tokens, number = [], 0, 0, number + 1
+                held.append(part)
+                n_docs, n_tokens = n_docs + part.num_rows, n_tokens + len(part.column(1).flatten())
+        if held:
+            yield from whole()
+
+    made = files.stash(texts.select("key", own_tokens(F.col("text"), c).alias("tokens")).mapInArrow(cut, f"{BLOCKS}, keys array<{kind}>, lengths array<long>"))
+    df = files.stash(made.where("token is not null").groupBy("token").agg(F.sum("n").alias("df")))
+    heavy = [r["token"] for r in df.where(2 * F.col("df") > total).select("token").orderBy("token").collect()]
+    place = {t: i for i, t in enumerate(heavy)}
+    bit = F.create_map(*[F.lit(x) for t, i in place.items() for x in (t, i)])[F.col("token")] if heavy else F.lit(None).cast("int")
+    is_heavy = F.col("token").isin(heavy)
+
+    def mark(t: pa.Table) -> pa.Table:
+        docs_ = t.filter(pc.is_null(t.column("token")))
+        size = docs_.column("n")[0].as_py()
+        m = np.zeros((size, max(1, -(-len(heavy) // 64)) * 64), np.uint8)
+        lists = t.filter(pc.is_valid(t.column("token")))
+        for token, k, firsts, gaps in zip(*(lists.column(x).to_pylist() for x in ("token", "n", "firsts", "gaps")), strict=True):
+            m[Postings(k, firsts, gaps, size).all(), place[token]] = 1
+        return docs_.select(["shard", "keys", "lengths"]).append_column("bits", pa.array([np.packbits(m, axis=1, bitorder="little").tobytes()], pa.binary()))
+
+    of = files.stash(made.where(F.col("token").isNull() | is_heavy).groupBy("shard").applyInArrow(mark, f"shard long, keys array<{kind}>, lengths array<long>, bits binary"))
     facts = of.select(F.explode("lengths").alias("dl")).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    return BlockIndex(blocks, of, terms, facts, key)
+    return BlockIndex(made.where(F.col("token").isNotNull() & ~is_heavy).drop("keys", "lengths"), of, df.withColumn("bit", bit), facts, key)
 
 
 def save_blocks(index: BlockIndex, path: str, buckets: int | None = None) -> None:

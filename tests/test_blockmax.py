@@ -80,3 +80,25 @@ def test_string_keys(spark):
     queries = spark.createDataFrame([("q", "apple")], "query_id string, text string")
     got = B.bm25_blockmax(queries, docs, "query_id", "ix").orderBy("rank").collect()
     assert [(r.query_id, r.ix) for r in got][:2] == [("q", "a"), ("q", "b")]
+
+
+def test_tokens_are_neither_stored_nor_shuffled(spark, monkeypatch):
+    """What the index's build writes is one row a list or a shard, no document's tokens; no shuffle deals tokens of documents."""
+    docs, _ = corpus(spark)
+    written, stash = [], B.files.stash
+    monkeypatch.setattr(B.files, "stash", lambda df: written.append((df.columns, df._jdf.queryExecution().executedPlan().toString())) or stash(df))
+    index = B.block_index(docs, "ix", shard_docs=300)
+    assert [x for x, _ in written] == [["shard", "token", "n", "firsts", "gaps", "keys", "lengths"], ["token", "df"], ["shard", "keys", "lengths", "bits"]]
+    assert all("Window" not in p and "collect_list" not in p and "explode" not in p for _, p in written)
+    assert index.terms.where("bit is not null").count() > 0
+    assert index.terms.agg(F.sum("df")).first()[0] == index.docs.select(F.explode("lengths").alias("x")).agg(F.sum("x")).first()[0]
+
+
+def test_shards_end_at_their_documents_and_tokens(spark, monkeypatch):
+    docs, queries = corpus(spark)
+    want = shown(L.bm25(queries, docs, "query_id", "ix", c=L.Bm25Config(k=7), digits=6))
+    for tokens, shard_docs in ((500, 8192), (B.SHARD_TOKENS, 40)):
+        monkeypatch.setattr(B, "SHARD_TOKENS", tokens)
+        sizes = [r.n for r in B.block_index(docs.coalesce(1), "ix", shard_docs=shard_docs).docs.select(F.size("keys").alias("n")).collect()]
+        assert sum(sizes) == 907 and len(sizes) > 3 and max(sizes) <= shard_docs
+        assert shown(B.bm25_blockmax(queries, docs, "query_id", "ix", c=L.Bm25Config(k=7), digits=6, shard_docs=shard_docs)) == want
