@@ -86,14 +86,13 @@ class Postings:
 def block_index(docs: DataFrame, key: str, text: str = "text", c: Bm25Config = Bm25Config(), shard_docs: int = SHARD_DOCS) -> BlockIndex:
     """The index of documents (their keys are distinct), written to the shared folder.
 
-    A task cuts its texts and numbers, sorts and codes their postings in shards of at most shard_docs documents, and the coded lists are written once: tokens are neither stored nor shuffled (texts are, if they come in fewer parts than there are to be tasks). Document frequencies are sums over the lists. Only the lists of heavy tokens go on to their shards' documents, as bits. A document without tokens has one that nothing matches. The heavy tokens come to the driver: each is in over half of the documents, so they are fewer than twice the tokens of an average document.
+    A task cuts its texts and numbers, sorts and codes their postings in shards of at most shard_docs documents, and the coded lists are written once: texts are shuffled once, by the key, and tokens neither stored nor shuffled. Document frequencies are sums over the lists. Only the lists of heavy tokens go on to their shards' documents, as bits. A document without tokens has one that nothing matches. The heavy tokens come to the driver: each is in over half of the documents, so they are fewer than twice the tokens of an average document.
     """
     total = docs.count()
     most = min(shard_docs, 1 << 15)
     # several tasks a core even if the documents are few, but none for a handful of them
     n = max(1, -(-total // most), min(4 * docs.sparkSession.sparkContext.defaultParallelism, total // 512))
-    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    texts = texts.repartition(n, "key") if texts.rdd.getNumPartitions() < n else texts.coalesce(n)
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).repartition(n, "key")
     kind = docs.schema[key].dataType.simpleString()
 
     def shard(number: int, keys: pa.Array, tokens_: pa.ListArray):
