@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lipika.functions.script import let
+from lipika.operators.cuts import SMALL, Found, Runs, blocks
 from lipika.sources import files
 
 
@@ -65,16 +68,17 @@ def timed(search: Callable[[DataFrame], DataFrame], queries: DataFrame) -> tuple
     return hits, 1000 * (time.perf_counter() - began) / max(1, queries.count())
 
 
-def _shingles(text: Column, width: int, inner: bool = False) -> Column:
-    """Distinct 64-bit hashes of width consecutive words; inner: without the first and the last word. The words are taken once a text."""
+def _runs(texts: DataFrame, key: str, text: str, width: int, inner: bool = False) -> DataFrame:
+    """key, _h, _size: hashes of width consecutive words, and their bytes, not all distinct. inner: without the first and the last word."""
 
-    def of(words: Column) -> Column:
-        n = F.size(words) - width + 1
-        first, last = (F.lit(2), n - 1) if inner else (F.lit(1), n)
-        at = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
-        return F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice(words, i, width), " "))))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = Runs(width)
+        for b in batches:
+            for first, block in blocks(b.column(1), SMALL):
+                at, h, size = cut.hashes(block, inner)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(first + at)), pa.array(h), pa.array(size)], names=[key, "_h", "_size"])
 
-    return let(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)), of)
+    return texts.select(key, F.col(text).cast("string")).mapInArrow(run, T.StructType([T.StructField(key, texts.schema[key].dataType), T.StructField("_h", T.LongType()), T.StructField("_size", T.LongType())]))
 
 
 def quotable(text: Column, width: int = 3) -> Column:
@@ -85,21 +89,49 @@ def quotable(text: Column, width: int = 3) -> Column:
 def quotes(items: DataFrame, docs: DataFrame, item_key: str = "item_id", key: str = "doc_id", text: str = "text", width: int = 3, most_broadcast: int = 500_000) -> DataFrame:
     """item_key, key: which documents contain which item's whole text, of quotable() items.
 
-    A document that contains a text contains its inner words as words, so of each item the run of width inner words that the fewest documents have leads to its candidates, and these are compared in full. Documents' runs that no item has are dropped where they are made, without a shuffle if the items' runs are most_broadcast (8 bytes each) at most; else both sides are shuffled by run.
+    A document that contains a text contains its inner words as words, so a run of width of these leads to the item's candidates, and they are compared in full. If the items' runs are most_broadcast at most, the run of each item that the fewest items have (of these, the longest) travels with its text, and documents are read once. Else both sides are shuffled by run, and the run that the fewest documents have leads to candidates.
     """
-    own = items.where(quotable(F.col(text), width)).select(F.col(item_key).alias("_item"), F.explode(_shingles(F.col(text), width, True)).alias("_h"))
-    own = files.stash(own)
-    asked = own.select("_h").distinct()
-    asked = F.broadcast(asked) if asked.count() <= most_broadcast else asked.hint("merge")
-    met = files.stash(docs.select(F.col(key).alias("_doc"), F.explode(_shingles(F.col(text), width)).alias("_h")).join(asked, "_h").select("_h", "_doc").distinct())
+    asked = items.where(quotable(F.col(text), width)).select(F.col(item_key).alias("_item"), F.col(text).alias("_part"))
+    own = files.stash(_runs(asked, "_item", "_part", width, True).groupBy("_item", "_h").agg(F.max("_size").alias("_size")))
+    if own.count() <= most_broadcast:
+        few = own.withColumn("_n", F.count("*").over(Window.partitionBy("_h")))
+        led = few.withColumn("_o", F.row_number().over(Window.partitionBy("_item").orderBy("_n", F.desc("_size"), "_h"))).where("_o = 1")
+        return _quoting(led.join(asked, "_item").select("_item", "_h", "_part"), docs.select(F.col(key).alias("_doc"), text), width).distinct().select(F.col("_item").alias(item_key), F.col("_doc").alias(key))
+    met = files.stash(_runs(docs, key, text, width).select("_h", F.col(key).alias("_doc")).join(own.select("_h").distinct().hint("merge"), "_h").distinct())
     n = met.groupBy("_h").agg(F.count("*").alias("_n"))
     # a run that no document has: the item is in none
     rarest = own.join(n, "_h", "left").withColumn("_o", F.row_number().over(Window.partitionBy("_item").orderBy(F.coalesce("_n", F.lit(0)), "_h"))).where("_o = 1")
     candidates = files.stash(rarest.join(met, "_h").select("_item", "_doc"))
-    both = candidates.join(items.select(F.col(item_key).alias("_item"), F.col(text).alias("_part")), "_item").join(docs.select(F.col(key).alias("_doc"), F.col(text).alias("_whole")), "_doc")
+    both = candidates.join(asked, "_item").join(docs.select(F.col(key).alias("_doc"), F.col(text).alias("_whole")), "_doc")
     return both.where(F.contains("_whole", "_part")).select(F.col("_item").alias(item_key), F.col("_doc").alias(key)).distinct()
 
 
+def _quoting(led: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """_item, _doc of led (_item, _h, _part), which travels, and docs (_doc, text): texts with a run _h that contain _part."""
+    sent = led.toArrow().sort_by("_h")
+    cast = docs.sparkSession.sparkContext.broadcast((sent.column("_h").to_numpy(), sent.column("_part").cast(pa.binary()).to_pylist(), sent.column("_item").combine_chunks()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        led_by, parts, names = cast.value
+        cut, few = Runs(width), Found(led_by)
+        first_of, end_of = np.searchsorted(led_by, few.few), np.searchsorted(led_by, few.few, "right")
+        for b in batches:
+            rows, found = [], []
+            for first, block in blocks(b.column(1), SMALL):
+                at, h, _ = cut.hashes(block)
+                here, which = few.at(h)
+                whole = block.cast(pa.binary())
+                # the same run may be in a text many times
+                for i, j in set(zip(at[here].tolist(), which.tolist(), strict=True)):
+                    text = whole[i].as_py()
+                    own = [x for x in range(first_of[j], end_of[j]) if parts[x] in text]
+                    rows += [first + i] * len(own)
+                    found += own
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(found, pa.int64())), b.column(0).take(pa.array(rows, pa.int64()))], names=["_item", "_doc"])
+
+    return docs.mapInArrow(run, T.StructType([T.StructField("_item", led.schema["_item"].dataType), T.StructField("_doc", docs.schema["_doc"].dataType)]))
+
+
 def ranked_metrics(queries: DataFrame, hits: DataFrame, truth: DataFrame, k: int = 5, query_key: str = "query_id", key: str = "doc_id", rank: str = "rank", score: str = "score") -> DataFrame:
     """A row a query of queries (query_key; other columns stay): n_truth, n_hits, found (a true one among the first k), recall_at_k, recall (of all hits), reciprocal_rank (0 if no hit is true), top_score, and the keys of the first k hits joined by commas. What needs a true one is null without any."""
     true = truth.select(query_key, key).distinct().withColumn("_true", F.lit(True))
