@@ -42,8 +42,9 @@ def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _strings(chars: np.ndarray, ends: np.ndarray) -> pa.Array:
     """Strings of characters (code points) that end at these places."""
-    size = 1 + (chars > 0x7F).astype(np.int8) + (chars > 0x7FF) + (chars > 0xFFFF)
-    at = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[np.concatenate([[0], ends])].astype(np.int32)
+    wide = np.flatnonzero(chars > 0x7F)
+    more = np.concatenate([[0], np.cumsum(1 + (chars[wide] > 0x7FF) + (chars[wide] > 0xFFFF))])
+    at = np.concatenate([[0], ends + more[np.searchsorted(wide, ends)]]).astype(np.int32)
     return pa.StringArray.from_buffers(len(ends), pa.py_buffer(at), pa.py_buffer(chars.astype("<u4").tobytes().decode("utf-32-le").encode()))
 
 
@@ -100,7 +101,6 @@ class Cutter:
             self.kind[[ord(x) for x in chars]] |= flag
         self.fold = np.arange(0x110000, dtype=np.uint32)
         self.fold[[ord(x) for x in long]] = [ord(x) for x in short]
-        self.any_long = f"[{long}]"
 
     def cut(self, texts: pa.Array) -> Cut:
         try:
@@ -172,37 +172,39 @@ class Cutter:
 
     def _words(self, chars: np.ndarray, ends: np.ndarray, rest: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
         """Pairs as in Cut, of words that are no n-grams by their length, and of rest. A text and the white space after it end at these places."""
+        rest = [(i, y) for i, x in rest for y in (x, x.translate(self.folds))]
         at, listed = np.array([i for i, _ in rest], np.int64), pa.array([x for _, x in rest], pa.string())
         if self.hybrid and len(chars):
             kind = self.kind[chars]
             turns = np.diff((kind != 1).view(np.int8), prepend=np.int8(0))
             first, end = np.flatnonzero(turns == 1), np.flatnonzero(turns == -1)
             edge = kind == 2
-            for _ in range(2):  # most words have few edges
-                first += edge[first] & (first < end)
-                end -= edge[end - 1] & (first < end)
-            more = np.flatnonzero((edge[first] | edge[end - 1]) & (first < end))
-            if len(more):
+            more = np.arange(len(first))
+            for _ in range(100):  # few words have many edges
+                first[more] += edge[first[more]]
+                end[more] -= edge[end[more] - 1] & (first[more] < end[more])
+                more = more[(edge[first[more]] | edge[end[more] - 1]) & (first[more] < end[more])]
+                if not len(more):
+                    break
+            else:
                 core = np.concatenate([[-1], np.flatnonzero(kind & 3 == 0), [len(chars)]])
                 first[more], end[more] = core[np.searchsorted(core, first[more])], core[np.searchsorted(core, end[more]) - 1] + 1
             fits = (end > first) & (end - first != self.n)
             first, end = first[fits], end[fits]
+            text = np.repeat(np.arange(len(ends)), np.diff(np.searchsorted(first, ends), prepend=0))
             inside = np.zeros(len(chars) + 1, np.int8)
             inside[first] = 1
             inside[end] -= 1
-            inside = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
-            at = np.concatenate([at, np.repeat(np.arange(len(ends)), np.diff(np.searchsorted(first, ends), prepend=0))])
-            listed = pa.concat_arrays([listed, _strings(chars[inside], np.cumsum(end - first))])
+            inside = np.cumsum(inside[:-1], dtype=np.int8).view(bool)
+            # words with long vowels, once more with short ones
+            long = np.flatnonzero(kind == 4)
+            long = _distinct(np.searchsorted(end, long[inside[long]], "right"))
+            size = (end - first)[long]
+            own = np.arange(size.sum()) + np.repeat(first[long] - (np.cumsum(size) - size), size)
+            spelt = _strings(np.concatenate([chars[inside], self.fold[chars[own]]]), np.cumsum(np.concatenate([end - first, size])))
+            at, listed = np.concatenate([at, text, text[long]]), pa.concat_arrays([listed, spelt])
         coded = listed.dictionary_encode()
         names, token = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
-        long = np.flatnonzero(pc.match_substring_regex(names, self.any_long).to_numpy(zero_copy_only=False))
-        if len(long):
-            folded = pa.array([x.translate(self.folds) for x in names.take(pa.array(long)).to_pylist()], pa.string())
-            both = pa.concat_arrays([names, folded]).dictionary_encode()
-            to = np.full(len(names), -1)
-            to[long] = both.indices.to_numpy()[len(names) :]
-            more = np.flatnonzero(to[token] >= 0)
-            names, at, token = both.dictionary, np.concatenate([at, at[more]]), np.concatenate([token, to[token[more]]])
         size = max(1, len(names))
         return *_apart(_distinct(at * size + token), len(ends), size), names
 
